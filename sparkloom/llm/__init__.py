@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, mixing
+from sparkloom.llm import chat_format, exact_dedup, mixing, topk_search
 
-MODULES = [mixing, exact_dedup]
+MODULES = [mixing, chat_format, exact_dedup, topk_search]
 
 
 def queries() -> dict:
