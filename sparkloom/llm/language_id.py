@@ -160,6 +160,22 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, known double")
 
 
+def identified(docs: DataFrame, filters: LanguageFilters, least_known: float) -> DataFrame:
+    """The documents, with all their columns and lang set to the language found, that the filters don't reject:
+    those with a letter and at least the part least_known of their n-grams in that language."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shared.value.predict(x.as_py()) for x in batch.column("text")]
+            lang = pa.array([x[0] for x in found], pa.string())
+            keeps = pa.array([x[0] != "und" and x[2] >= least_known for x in found], pa.bool_())
+            at = batch.schema.get_field_index("lang")
+            yield batch.set_column(at, "lang", lang).filter(keeps)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     filters = train(docs.where(~in_fold(4, 2)))
