@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.operators import corpus, messages
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = []
+MODULES: list = [corpus, messages]
 
 
 def queries() -> dict[str, Query]:
