@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.operators import corpus, messages
+from sparkloom.operators import corpus, graph, journal, knowledge, messages, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [corpus, messages]
+MODULES: list = [corpus, messages, knowledge, graph, vectors, journal]
 
 
 def queries() -> dict[str, Query]:
