@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.operators import corpus, graph, journal, knowledge, messages, vectors
+from sparkloom.operators import activation, citation, context, corpus, graph, journal, knowledge, messages, reports, search, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [corpus, messages, knowledge, graph, vectors, journal]
+MODULES: list = [corpus, messages, knowledge, graph, vectors, journal, context, citation, activation, reports, search]
 
 
 def queries() -> dict[str, Query]:
@@ -19,3 +19,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact vector search joined back to its text units, in corpus order under a token budget."""
+    return search.basic_search(spark, sf_dir)
