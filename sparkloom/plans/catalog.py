@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.operators import activation, citation, context, corpus, graph, journal, knowledge, messages, reports, search, vectors
+from sparkloom.operators import activation, citation, context, corpus, epochs, graph, journal, knowledge, messages, reports, search, vectors
+from sparkloom.sources import documents
+from sparkloom.streaming import consumer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [corpus, messages, knowledge, graph, vectors, journal, context, citation, activation, reports, search]
+MODULES: list = [corpus, messages, knowledge, graph, vectors, journal, context, citation, activation, reports, search, epochs, documents, consumer]
 
 
 def queries() -> dict[str, Query]:
