@@ -33,11 +33,11 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-    top = float(np.abs(values).max(initial=0))
+    values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+    top = float(np.abs(values.astype(np.float64)).max(initial=0))
     if top * top * max(dim, 1) < 2**53:
         return values.astype(np.float64)  # sums of products are exact in doubles
-    return values.astype(np.int64 if top * top * max(dim, 1) < 2**63 else object)
+    return values.astype(object)
 
 
 class SortedLists:
@@ -88,10 +88,10 @@ class SortedLists:
 
 
 def _plain(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For components too large for doubles: every score in exact integers."""
-    scores, left = rows @ query, np.flatnonzero(ids != query_id)
+    """For components too large for doubles: every score in exact integers, kept within 64 bits."""
+    scores, left = [min(max(int(x), -(2**63)), 2**63 - 1) for x in (rows @ query if rows.shape[1] else np.zeros(len(ids)))], np.flatnonzero(ids != query_id)
     first = sorted(left.tolist(), key=lambda i: (-scores[i], ids[i]))[:k]
-    return ids[first], scores[first]
+    return ids[first], np.array([scores[i] for i in first], np.int64)
 
 
 def top_k_search(vectors: DataFrame, is_query, k: int = 10, block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
@@ -100,8 +100,8 @@ def top_k_search(vectors: DataFrame, is_query, k: int = 10, block_rows: int = BL
     vectors: vec_id, embedding; other columns are ignored. is_query: a condition on vec_id.
     Returns query_id, rank (from 1), vec_id, score; fewer than k rows where there are fewer
     candidates. Null vectors and those with a null or non-finite component take no part, nor do rows
-    of a null vec_id; of rows that repeat a vec_id the smallest vector counts. Vectors of
-    different dimensions don't meet; those of dimension 0 all score 0. An empty table gives no rows.
+    of a null vec_id; of rows that repeat a vec_id the smallest vector counts. Scores beyond 64 bits
+    count as the limit. Vectors of different dimensions don't meet; those of dimension 0 all score 0. An empty table gives no rows.
     """
     v = quantised(vectors).withColumn("dim", F.size("v"))
     n = v.count()
