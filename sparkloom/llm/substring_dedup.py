@@ -25,7 +25,7 @@ from sparkloom.llm.common import read
 
 WINDOW = 13
 #: Windows that a task holds before it sends their entries on.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Bytes of text for a bucket of hashes or a group of documents, on average.
 BUCKET_BYTES = 8 << 20
 _SLICE = 1 << 20

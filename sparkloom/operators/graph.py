@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import random
-from collections import defaultdict
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -134,181 +130,105 @@ def community_ids(members: DataFrame) -> DataFrame:
     return members.groupBy("part").agg(F.count("*").alias("size"), F.sha2(joined, 256).alias("community_id"))
 
 
-# --- Leiden -------------------------------------------------------------------------------------
-
-
-class _Network:
-    """A weighted undirected graph in memory: the part of a level that one task clusters."""
-
-    def __init__(self, n: int, edges: list[tuple[int, int, float]], mass: list[float]):
-        self.n, self.mass = n, mass
-        self.near: list[dict[int, float]] = [defaultdict(float) for _ in range(n)]
-        for a, b, w in edges:
-            if a != b:
-                self.near[a][b] += w
-                self.near[b][a] += w
-
-
-def _move_nodes(net: _Network, part: list[int], gamma: float, rng: random.Random) -> bool:
-    """Moves single nodes to the neighbouring part of most gain until none gains; neighbours of moved nodes are tried again."""
-    mass = defaultdict(float)
-    for v in range(net.n):
-        mass[part[v]] += net.mass[v]
-    order = list(range(net.n))
-    rng.shuffle(order)
-    queued, moved = set(order), False
-    at = 0
-    while at < len(order):
-        v = order[at]
-        at += 1
-        queued.discard(v)
-        to: dict[int, float] = defaultdict(float)
-        for u, w in net.near[v].items():
-            to[part[u]] += w
-        own = part[v]
-        mass[own] -= net.mass[v]
-        gain = lambda c: to.get(c, 0.0) - gamma * net.mass[v] * mass[c]  # noqa: E731, B023
-        best, most = own, gain(own)
-        for c in to:
-            if (g := gain(c)) > most + 1e-12:
-                best, most = c, g
-        if most < -1e-12:  # alone is better
-            best = next(c for c in range(net.n + 1) if c not in mass or mass[c] <= 1e-12)
-        mass[best] += net.mass[v]
-        if best != own:
-            part[v], moved = best, True
-            for u in net.near[v]:
-                if part[u] != best and u not in queued:
-                    queued.add(u)
-                    order.append(u)
-    return moved
-
-
-def _refine(net: _Network, part: list[int], gamma: float, theta: float, rng: random.Random) -> list[int]:
-    """Splits parts into well connected ones: nodes that are still alone join a refined part, drawn by exp(gain / theta)."""
-    refined = list(range(net.n))
-    mass = list(net.mass)
-    alone = [True] * net.n
-    order = list(range(net.n))
-    rng.shuffle(order)
-    for v in order:
-        if not alone[v]:
-            continue
-        to: dict[int, float] = defaultdict(float)
-        for u, w in net.near[v].items():
-            if part[u] == part[v]:
-                to[refined[u]] += w
-        gains = {c: w - gamma * net.mass[v] * mass[c] for c, w in to.items() if c != refined[v]}
-        gains = {c: g for c, g in gains.items() if g >= 0}
-        if not gains:
-            continue
-        top = max(gains.values())
-        names = sorted(gains)
-        if theta > 0:
-            chosen = rng.choices(names, [2.718281828459045 ** max(-700.0, (gains[c] - top) / theta) for c in names])[0]
-        else:
-            chosen = min(names, key=lambda c: (-gains[c], c))
-        mass[chosen] += net.mass[v]
-        mass[refined[v]] -= net.mass[v]
-        refined[v] = chosen
-        alone[v] = False
-        for u in net.near[v]:
-            if refined[u] == chosen:
-                alone[u] = False
-    return refined
-
-
-def leiden(n: int, edges: list[tuple[int, int, float]], gamma: float = 1.0, theta: float = 0.001, seed: int = 42, modular: bool = True, most_rounds: int = 100) -> list[int]:
-    """Parts of n nodes by local moves, refinement and aggregation, for modularity or the constant Potts model.
-
-    Modularity is optimised as the Potts model with nodes weighted by their degree and gamma over twice the total weight.
-    """
-    degree = [0.0] * n
-    for a, b, w in edges:
-        degree[a] += w
-        degree[b] += w
-    total = sum(degree)
-    if modular and total == 0:
-        return list(range(n))
-    net = _Network(n, edges, degree if modular else [1.0] * n)
-    resolution = gamma / total if modular else gamma
-    rng = random.Random(seed)
-    of = list(range(n))  # node -> node of the present network
-    part = list(range(n))
-    for _ in range(most_rounds):
-        moved = _move_nodes(net, part, resolution, rng)
-        if not moved or len(set(part)) == net.n:
-            break
-        refined = _refine(net, part, resolution, theta, rng)
-        names = {c: i for i, c in enumerate(dict.fromkeys(refined))}
-        mass = [0.0] * len(names)
-        for v in range(net.n):
-            mass[names[refined[v]]] += net.mass[v]
-        merged: dict[tuple[int, int], float] = defaultdict(float)
-        for v in range(net.n):
-            for u, w in net.near[v].items():
-                if v < u:
-                    a, b = sorted((names[refined[v]], names[refined[u]]))
-                    merged[a, b] += w
-        parts = {names[refined[v]]: part[v] for v in range(net.n)}
-        of = [names[refined[v]] for v in of]
-        net = _Network(len(names), [(a, b, w) for (a, b), w in merged.items()], mass)
-        labels = {c: i for i, c in enumerate(dict.fromkeys(parts[v] for v in range(net.n)))}
-        part = [labels[parts[v]] for v in range(net.n)]
-    final = [part[v] for v in of]
-    labels = {c: i for i, c in enumerate(dict.fromkeys(final))}
-    return [labels[c] for c in final]
-
-
-def communities(edges: DataFrame, gamma: float = 1.0, theta: float = 0.001, seed: int = 42, modular: bool = True) -> DataFrame:
-    """(node, part) by Leiden, one task per connected component: no community spans two.
-
-    edges: source, target, weight, undirected. A component is clustered in memory, so it must fit one task.
-    """
-    labels = connected_components(edges)
-    placed = edges.join(labels.toDF("source", "component"), "source")
-
-    def cluster(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["source", "target"])
-        names = sorted({*group["source"], *group["target"]})
-        at = {x: i for i, x in enumerate(names)}
-        found = leiden(len(names), [(at[a], at[b], w) for a, b, w in zip(group["source"], group["target"], group["weight"], strict=True)], gamma, theta, seed, modular)
-        return pd.DataFrame({"node": names, "part": [f"{key[0]}/{c}" for c in found]})
+# --- communities ----------------------------------------------------------------------------------
 
-    return placed.groupBy("component").applyInPandas(cluster, "node string, part string")
+#: Rounds of moves on one level, and levels of aggregation, at most.
+ROUNDS, LEVELS = 16, 10
 
 
-def _splitter(gamma: float, seed: int):
-    """Clusters one community again; gives no rows if it doesn't split."""
+def _move(edges: DataFrame, nodes: DataFrame, number: int) -> DataFrame:
+    """One round of moves. nodes: u, mass, resolution, part; edges: u, v, w, both ways, without loops.
 
-    def split(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["source", "target"])
-        names = sorted({*group["source"], *group["target"]})
-        at = {x: i for i, x in enumerate(names)}
-        found = leiden(len(names), [(at[a], at[b], w) for a, b, w in zip(group["source"], group["target"], group["weight"], strict=True)], gamma, 0.001, seed)
-        rows = pd.DataFrame({"node": names, "part": [f"{key[0]}/{c}" for c in found], "parent": key[0]})
-        return rows if len(set(found)) > 1 else rows.iloc[:0]
-
-    return split
+    A node goes to the neighbouring part of most gain, w(u, part) - resolution * mass(u) * mass(part without u), if that
+    exceeds its own. A hash of node and round lets about half of the nodes move, so that neighbours don't swap for ever.
+    """
+    masses = nodes.groupBy("part").agg(F.sum("mass").alias("part_mass"))
+    near = edges.join(nodes.select(F.col("u").alias("v"), "part"), "v").groupBy("u", "part").agg(F.sum("w").alias("w"))
+    options = near.unionByName(nodes.select("u", "part", F.lit(0.0).alias("w"))).groupBy("u", "part").agg(F.sum("w").alias("w"))
+    scored = options.join(masses, "part").join(nodes.withColumnRenamed("part", "own"), "u")
+    own = F.col("part") == F.col("own")
+    others = F.col("part_mass") - F.when(own, F.col("mass")).otherwise(0.0)
+    scored = scored.withColumn("gain", F.round(F.col("w") - F.col("resolution") * F.col("mass") * others, 9)).withColumn("is_own", own)
+    best = scored.groupBy("u").agg(F.max(F.struct("gain", "is_own", F.xxhash64("part").alias("tie"), "part")).alias("best"))
+    free = F.pmod(F.xxhash64("u", F.lit(number)), F.lit(2)) == 0
+    moved = nodes.join(best, "u").withColumn("new", F.when(free, F.col("best.part")).otherwise(F.col("part")))
+    return moved.select("u", "mass", "resolution", F.col("new").alias("part"), (F.col("new") != F.col("part")).alias("moved"))
+
+
+def _settle(edges: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    """Rounds of moves until two in a row move nothing."""
+    still = 0
+    for number in range(ROUNDS):
+        after = _checkpointed(_move(edges, nodes, seed * 1000 + number))
+        nodes = after.drop("moved")
+        still = still + 1 if after.where("moved").isEmpty() else 0
+        if still == 2:
+            break
+    return nodes
 
 
-def hierarchical_communities(edges: DataFrame, largest: int = 10, gamma: float = 1.0, seed: int = 42, most_levels: int = 10) -> DataFrame:
-    """(level, part, parent, node, final): communities of more than `largest` nodes are clustered again until they no longer split."""
-    level, out = 0, None
-    parts = _checkpointed(communities(edges, gamma, seed=seed).withColumn("parent", F.lit("-1")))
-    while True:
-        sizes = parts.groupBy("part").count().where(F.col("count") > largest)
-        inside = edges.join(parts.select(F.col("node").alias("source"), "part"), "source").join(parts.select(F.col("node").alias("target"), F.col("part").alias("target_part")), "target")
-        inside = inside.where("part = target_part").join(sizes.select("part"), "part", "left_semi")
+def cluster(edges: DataFrame, groups: DataFrame, gamma: float = 1.0, seed: int = 42, modular: bool = True) -> DataFrame:
+    """(node, part): communities inside each group (node, grp), all groups at once; edges: source, target, weight.
 
-        deeper = _checkpointed(inside.groupBy("part").applyInPandas(_splitter(gamma, seed + level + 1), "node string, part string, parent string"))
-        done = parts.join(deeper.select(F.col("parent").alias("part")).distinct().withColumn("has_children", F.lit(True)), "part", "left")
-        rows = done.select(F.lit(level).alias("level"), "part", "parent", "node", F.col("has_children").isNull().alias("final"))
+    Levels of moves and aggregation by joins and sums, for modularity (a node's mass is its degree, the resolution
+    gamma over the group's total degree) or the constant Potts model (mass 1, resolution gamma). Communities are connected: in the
+    end each is split into its components.
+    """
+    side = lambda end: groups.select(F.col("node").alias(end), F.col("grp").alias(f"{end}_grp"))
+    inside = edges.where("source <> target").join(side("source"), "source").join(side("target"), "target").where("source_grp = target_grp")
+    inside = inside.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"), F.col("weight").cast("double").alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
+    both = _checkpointed(inside.unionByName(inside.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
+    if modular:
+        degree = both.groupBy("u").agg(F.sum("w").alias("mass"))
+        nodes = groups.withColumnRenamed("node", "u").join(degree, "u", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+        total = nodes.groupBy("grp").agg(F.sum("mass").alias("total"))
+        nodes = nodes.join(total, "grp").withColumn("resolution", F.when(F.col("total") > 0, gamma / F.col("total")).otherwise(0.0))
+    else:
+        nodes = groups.withColumnRenamed("node", "u").withColumn("mass", F.lit(1.0)).withColumn("resolution", F.lit(float(gamma)))
+    nodes = _checkpointed(nodes.select("u", "mass", "resolution", F.col("u").alias("part")))
+    of = nodes.select(F.col("u").alias("node"), "u")
+    level = both
+    for depth in range(LEVELS):
+        placed = _settle(level, nodes, seed + depth)
+        of = _checkpointed(of.join(placed.select("u", "part"), "u").select("node", F.col("part").alias("u")))
+        nodes = _checkpointed(placed.groupBy("part").agg(F.sum("mass").alias("mass"), F.first("resolution").alias("resolution")).select(F.col("part").alias("u"), "mass", "resolution", "part"))
+        if nodes.count() == placed.count():
+            break
+        name = placed.select(F.col("u"), F.col("part").alias("pu"))
+        level = level.join(name, "u").join(name.toDF("v", "pv"), "v").where("pu <> pv")
+        level = _checkpointed(level.groupBy(F.col("pu").alias("u"), F.col("pv").alias("v")).agg(F.sum("w").alias("w")))
+    # connected communities: the least member of each component names it
+    within = both.join(of.select(F.col("node").alias("u"), F.col("u").alias("pu")), "u").join(of.select(F.col("node").alias("v"), F.col("u").alias("pv")), "v").where("pu = pv")
+    parts = connected_components(within.select(F.col("u").alias("source"), F.col("v").alias("target")))
+    return groups.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+
+
+def communities(edges: DataFrame, gamma: float = 1.0, seed: int = 42, modular: bool = True) -> DataFrame:
+    """(node, part) of a whole graph; part is the least member's name."""
+    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
+    return cluster(edges, nodes.withColumn("grp", F.lit("")), gamma, seed, modular)
+
+
+def hierarchical_communities(edges: DataFrame, largest: int = 10, gamma: float = 1.0, seed: int = 42, most_levels: int = 6) -> DataFrame:
+    """(level, part, parent, node, final): communities of more than `largest` nodes are clustered again, all of a level at once, until they no longer split."""
+    label = lambda parent: F.concat_ws("/", parent, F.col("part"))
+    now = communities(edges, gamma, seed).select(F.lit("-1").alias("parent"), F.col("part"), "node")
+    now, out = _checkpointed(now), None
+    for level in range(most_levels):
+        large = now.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > largest)
+        groups = _checkpointed(now.join(large, "part").select("node", F.col("part").alias("grp")))
+        deeper = groups.limit(0).select("node", F.col("grp").alias("parent"), F.col("grp").alias("part"))
+        if level + 1 < most_levels and not groups.isEmpty():
+            found = cluster(edges, groups, gamma, seed + level + 1).join(groups, "node").select("node", F.col("grp").alias("parent"), "part")
+            split = found.groupBy("parent").agg(F.count_distinct("part").alias("n")).where("n > 1")
+            deeper = _checkpointed(found.join(split, "parent", "left_semi").select("node", "parent", label(F.col("parent")).alias("part")))
+        parents = deeper.select(F.col("parent").alias("part")).distinct().withColumn("has_children", F.lit(True))
+        rows = now.join(parents, "part", "left").select(F.lit(level).alias("level"), "part", "parent", "node", F.col("has_children").isNull().alias("final"))
         out = rows if out is None else out.unionByName(rows)
-        level += 1
-        if level >= most_levels or deeper.isEmpty():
-            return out
-        parts = deeper
+        if deeper.isEmpty():
+            break
+        now = deeper.select("parent", "part", "node")
+    return out
 
 
 def hierarchy_faults(rows: DataFrame) -> DataFrame:

@@ -114,32 +114,40 @@ def adjusted_rand(a, b):
     return (index - x * y / total) / ((x + y) / 2 - x * y / total)
 
 
-@pytest.mark.parametrize(("blocks", "size", "p_in", "p_out", "least"), [(4, 50, 0.3, 0.01, 0.95), (4, 40, 0.6, 0.02, 0.9)])
-def test_leiden_finds_planted_partitions(blocks, size, p_in, p_out, least):
-    edges = planted(blocks, size, p_in, p_out, 1)
-    truth = [i // size for i in range(blocks * size)]
-    assert adjusted_rand(graph.leiden(blocks * size, edges), truth) >= least
-    assert adjusted_rand(graph.leiden(blocks * size, edges, gamma=0.05, modular=False), truth) >= least
-
-
-def test_leiden_is_deterministic_and_connected(spark):
-    edges = planted(3, 20, 0.5, 0.02, 5)
-    first = graph.leiden(60, edges, seed=3)
-    assert first == graph.leiden(60, edges, seed=3)
-    for part in set(first):
-        members = {i for i, c in enumerate(first) if c == part}
+def edge_frame(spark, edges):
+    return spark.createDataFrame([(i, f"v{a:03}", f"v{b:03}", w) for i, (a, b, w) in enumerate(edges)], "pos long, source string, target string, weight double")
+
+
+def found_parts(frame):
+    return [x.part for x in frame.orderBy("node").collect()]
+
+
+def test_communities_find_planted_partitions(spark):
+    edges = edge_frame(spark, planted(4, 40, 0.6, 0.02, 1))
+    truth = [i // 40 for i in range(160)]
+    assert adjusted_rand(found_parts(graph.communities(edges)), truth) >= 0.9
+    assert adjusted_rand(found_parts(graph.communities(edges, gamma=0.05, modular=False)), truth) >= 0.9
+
+
+def test_communities_are_deterministic_connected_and_nested(spark):
+    raw = planted(3, 20, 0.5, 0.02, 5)
+    edges = edge_frame(spark, raw)
+    first = graph.communities(edges, seed=3)
+    parts = {x.node: x.part for x in first.collect()}
+    assert parts == {x.node: x.part for x in graph.communities(edges, seed=3).collect()}
+    assert graph.modularity(edges, first).first()["modularity"] > 0.4
+    for part in set(parts.values()):
+        members = {int(n[1:]) for n, c in parts.items() if c == part}
         reached, todo = set(), [min(members)]
         while todo:
             v = todo.pop()
             if v not in reached:
                 reached.add(v)
-                todo += [b if a == v else a for a, b, _ in edges if v in (a, b) and {a, b} <= members]
+                todo += [b if a == v else a for a, b, _ in raw if v in (a, b) and {a, b} <= members]
         assert reached == members
-    frame = spark.createDataFrame([(i, f"v{a:02}", f"v{b:02}", w) for i, (a, b, w) in enumerate(edges)], "pos long, source string, target string, weight double")
-    tree = graph.hierarchical_communities(frame, largest=8)
+    tree = graph.hierarchical_communities(edges, largest=8, most_levels=3)
     assert graph.hierarchy_faults(tree).isEmpty()
-    parts = tree.where("level = 0").select("node", "part")
-    assert graph.modularity(frame, parts).first()["modularity"] > 0.4
+    assert tree.where("level = 0").count() == len(parts)
 
 
 def test_neighborhood_and_semi_joins(spark):
