@@ -25,6 +25,8 @@ from sparkloom.llm.common import WORD, checkpointed, read, text_of
 LEVELS = ["domain", "lang", "source"]
 #: Hexadecimal digits of a permutation key that name its slot: 16^3 slots in a leaf.
 SLOT_DIGITS = 3
+#: A plan of leaves up to this size is broadcast to its documents; a larger one meets them in a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -111,10 +113,16 @@ def mix_plan(rows: DataFrame, mix: Mix) -> DataFrame:
     return plan.join(last, LEVELS, "left").select(*LEVELS, "tokens", "target", "epochs", "cut_key", "cut_tokens")
 
 
+def _sized(plan: DataFrame) -> DataFrame:
+    """A plan (checkpointed), marked for broadcast if its rows are measured to fit; so whole texts needn't be shuffled by leaf."""
+    size = plan.agg(F.sum(sum((F.octet_length(x) for x in LEVELS), F.lit(128)))).first()[0] or 0
+    return F.broadcast(plan) if size <= BROADCAST_BYTES else plan
+
+
 def _chosen(rows: DataFrame, plan: DataFrame, mix: Mix) -> DataFrame:
     """rows times the epochs that take them: adds epoch and tokens_taken."""
     key = epoch_key(mix.seed, F.col("epochs"))
-    joined = rows.join(plan.select(*LEVELS, "epochs", "cut_key", "cut_tokens"), LEVELS).withColumn("key", key)
+    joined = rows.join(_sized(plan.select(*LEVELS, "epochs", "cut_key", "cut_tokens")), LEVELS).withColumn("key", key)
     last = F.coalesce((F.col("key") <= F.col("cut_key")).cast("int"), F.lit(0))
     taken = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") + last)))
     taken = taken.where(F.col("epoch") < F.col("epochs") + last)
@@ -144,7 +152,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     names = {level: f"_{level}" for level in LEVELS}
     leaf = docs.withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_source", F.coalesce("source", F.lit("")))
     leaf = leaf.withColumn("_domain", domain_of(F.col("_source")))
-    renamed = plan.withColumnsRenamed(names).select(*names.values(), F.col("epochs").alias("_epochs"), F.col("cut_key").alias("_cut"))
+    renamed = _sized(plan).withColumnsRenamed(names).select(*names.values(), F.col("epochs").alias("_epochs"), F.col("cut_key").alias("_cut"))
     joined = leaf.join(renamed, list(names.values()))
     times = F.col("_epochs") + F.coalesce((epoch_key(mix.seed, F.col("_epochs")) <= F.col("_cut")).cast("int"), F.lit(0))
     return joined.withColumn("_epoch", F.explode(F.sequence(F.lit(0), times))).where(F.col("_epoch") < times).select(*docs.columns)
