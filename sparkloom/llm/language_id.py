@@ -33,6 +33,8 @@ TRAIN_DOCS = 10_000
 #: An n-gram is typical of a language if its share there is at least this part of its share in any other.
 TYPICAL = 0.5
 LANGUAGES_PER_WORD = 64
+#: N-grams that a task holds, besides one text's, before it counts them.
+HELD = 1 << 22
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -104,14 +106,19 @@ class LanguageFilters:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n) of each batch."""
+    """(lang, gram, n) of every HELD n-grams or, at its end, of the rest of a batch."""
     for batch in batches:
         by_lang: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            by_lang.setdefault(lang, []).append(grams(text))
-        for lang, parts in by_lang.items():
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+        held = 0
+        for at, (lang, text) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True), 1):
+            by_lang.setdefault(lang, []).append(found := grams(text.as_py()))
+            held += len(found)
+            if held < HELD and at < batch.num_rows:
+                continue
+            for name, parts in by_lang.items():
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+            by_lang, held = {}, 0
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, kept: int = KEPT) -> LanguageFilters:
