@@ -34,7 +34,7 @@ _WIDE = re.compile("[^\u0000-ɏ]")
 #: U+001C to U+001F are white space to Python, but not to the tokenizer's pattern.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|(?:[^\s\p{L}\p{N}]|[\x1c-\x1f])+")
 #: Pieces that a task remembers from batch to batch before it starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 def byte_of_letter() -> dict[str, str]:
@@ -67,7 +67,6 @@ class Bpe:
         end: str = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         self.special: dict[str, int] = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.names: dict[int, str] = {i: token for token, i in [*vocab.items(), *self.special.items()]}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
@@ -174,22 +173,59 @@ class Bpe:
         known.update(self.encode_pieces(new))
         return [b"".join([known[piece] for piece in pieces]) for pieces in cut]
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """Tokens joined by a space, as a vocabulary without a decoder gives them."""
-        return " ".join([self.names[i] for i in ids])
-
 
 @cache
 def vocabulary(path: str) -> Bpe:
     return Bpe(path)
 
 
+@cache
+def token_names(path: str) -> dict[int, str]:
+    """The tokens by id: all that decoding needs of a tokenizers file."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    return {i: token for token, i in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+
+
+def decode_ids(names: dict[int, str], ids: Iterable[int]) -> str:
+    """Tokens joined by a space, as a vocabulary without a decoder gives them."""
+    return " ".join([names[i] for i in ids])
+
+
 def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
+    """doc_id and ids of batches of doc_id and text."""
+    bpe = vocabulary(path or default_path())
+    known: dict[str, bytes] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            if len(known) > REMEMBERED:
+                known = {}
+            ids = bpe.encode_batch([x or "" for x in part.column("text").to_pylist()], known)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+
+def decode_batches(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_tokens, ids and decoded of batches of doc_id and ids."""
+    names = token_names(path or default_path())
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            ids = part.column("ids").to_pylist()
+            texts = [None if x is None else decode_ids(names, array("I", x)) for x in ids]
+            counts = [None if x is None else len(x) // 4 for x in ids]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+
+_DECODED = "doc_id long, n_tokens long, ids binary, decoded string"
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encodes every whole text.
 
@@ -198,39 +234,21 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     (binary, little-endian unsigned 32-bit integers). Null text is empty and has no ids; special
     tokens' strings in a text become their ids, and none are added. An empty table gives no rows.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path or default_path())
-        known: dict[str, bytes] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                if len(known) > REMEMBERED:
-                    known = {}
-                ids = bpe.encode_batch([x or "" for x in part.column("text").to_pylist()], known)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: encode_batches(batches, path), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """The inverse for encode()'s rows: doc_id, n_tokens, ids, decoded (null ids: null)."""
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: decode_batches(batches, path), _DECODED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = vocabulary(path or default_path())
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = part.column("ids").to_pylist()
-                texts = [None if x is None else bpe.decode(array("I", x)) for x in ids]
-                counts = [None if x is None else len(x) // 4 for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """decode(encode(docs)) in one pass of each task, so that ids don't leave its Python worker in between."""
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: decode_batches(encode_batches(batches, path), path), _DECODED)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode(encode(read(spark, sf_dir, "documents")))
+    found = encode_decode(read(spark, sf_dir, "documents"))
     return found.selectExpr("doc_id", "n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256")
 
 
