@@ -42,7 +42,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (32-bit little-endian) and the text decoded from them."""
-    return bpe.decode(bpe.encode(docs))
+    return bpe.encode_decode(docs)
 
 
 STAGES = [
