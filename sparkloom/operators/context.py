@@ -165,9 +165,11 @@ def context_batch_order(spark, sf_dir):
 
 
 def context_seeded_shuffle(spark, sf_dir):
-    rows = _rows(spark, sf_dir).where("doc_id < 100").select("doc_id")
-    order = spark.createDataFrame(list(enumerate(seeded_order(100))), "place long, doc_id long")
-    return rows.join(order, "doc_id")
+    """Reports, one for each brand, dealt by the shuffle of their positions."""
+    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
+    reports = brands.withColumn("pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("p_brand")) - 1)  # one row per brand
+    order = spark.createDataFrame(list(enumerate(seeded_order(brands.count()))), "place long, pos int")
+    return reports.join(order, "pos").select("p_brand", "place")
 
 
 def _points(spark, sf_dir) -> DataFrame:
@@ -199,7 +201,7 @@ def drift_fold_summary(spark, sf_dir):
 
 
 def suggested_questions(spark, sf_dir):
-    texts = table(spark, sf_dir, "conversations").where("turn < 4").groupBy(F.col("conv_id").alias("key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("- "), F.coalesce(F.substring_index("text", ".", 1), F.lit(""))).alias("text")))), lambda x: x["text"]), "\n").alias("text"))
+    texts = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("- "), F.coalesce(F.substring_index("text", ".", 1), F.lit(""))).alias("text")))), lambda x: x["text"]), "\n").alias("text"))
     return question_candidates(texts, 20).select("key", "place", F.sha2("question", 256).alias("digest"))
 
 

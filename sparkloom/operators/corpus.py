@@ -179,7 +179,7 @@ def corpus_generation_ready(spark, sf_dir):
 
 def corpus_locate_sources(spark, sf_dir):
     spans = _spans(spark, sf_dir).where("corpora_id = 2")
-    asked = spans.where("window_no = 0 AND doc_id % 10 = 0").select("unit_id")
+    asked = spans.where("window_no = 0").select("unit_id")
     return locate_sources(spans, table(spark, sf_dir, "documents"), asked).select("doc_id", "window_no", "unit_id", "source", "lang")
 
 
@@ -224,6 +224,6 @@ ORACLE_SQL = {
     "corpus_generation_copy": f"WITH {_SPANS_SQL} SELECT CAST(2 AS BIGINT) AS corpora_id, doc_id, count(*) AS spans FROM spans WHERE corpora_id = 1 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY doc_id",
     "corpus_earlier_units": f"WITH {_SPANS_SQL} SELECT DISTINCT unit_id FROM spans WHERE corpora_id = 2 AND unit_id IN (SELECT unit_id FROM spans WHERE corpora_id = 1)",
     "corpus_generation_ready": f"WITH {_SPANS_SQL}, m AS (SELECT count(*) AS missing FROM texts WHERE doc_id NOT IN (SELECT doc_id FROM spans WHERE corpora_id = 1)), s AS (SELECT count(*) AS spans FROM spans WHERE corpora_id = 1) SELECT missing, spans, missing = 0 AND spans > 0 AS ready FROM m, s",
-    "corpus_locate_sources": f"WITH {_SPANS_SQL} SELECT s.doc_id, window_no, unit_id, source, lang FROM spans s JOIN documents d ON s.doc_id = d.doc_id WHERE corpora_id = 2 AND unit_id IN (SELECT unit_id FROM spans WHERE corpora_id = 2 AND window_no = 0 AND doc_id % 10 = 0)",
+    "corpus_locate_sources": f"WITH {_SPANS_SQL} SELECT s.doc_id, window_no, unit_id, source, lang FROM spans s JOIN documents d ON s.doc_id = d.doc_id WHERE corpora_id = 2 AND unit_id IN (SELECT unit_id FROM spans WHERE corpora_id = 2 AND window_no = 0)",
     "corpus_document_dedup": "SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies, count(DISTINCT strlen(text)) AS sizes FROM documents WHERE text IS NOT NULL GROUP BY text",
 }

@@ -126,7 +126,7 @@ def boundary_upsert(stored: DataFrame, offered: DataFrame) -> DataFrame:
 
 def _claims(spark, sf_dir) -> DataFrame:
     """One output per order: a claim tuple for each line; lines of returned goods lack a field."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(
+    lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("key"), "l_linenumber",
         F.concat(F.lit("("), F.concat_ws(FIELD, F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit(" p"), F.col("l_partkey").cast("string"), F.lit(" ")), F.lit("DELIVERY"), "l_linestatus", F.lit("2024"), F.lit("2025"), F.lit("it was delivered"), F.when(F.col("l_returnflag") != "R", F.lit("text"))), F.lit(")")).alias("record"),
     )
@@ -139,7 +139,7 @@ def extraction_claims(spark, sf_dir):
 
 
 def extraction_graphs(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").where("p_partkey < 500")
+    parts = table(spark, sf_dir, "part")
     entity = F.struct(F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 10 != 0, F.col("p_type")).alias("type"), F.col("p_brand").alias("description"))
     relation = F.struct(F.col("p_name").alias("source"), F.col("p_brand").alias("target"), F.lit("made by").alias("description"), F.col("p_retailprice").alias("weight"))
     good = F.to_json(F.struct(F.array(entity).alias("entities"), F.array(relation).alias("relations")))
@@ -150,7 +150,7 @@ def extraction_graphs(spark, sf_dir):
 
 
 def extraction_points(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("user_id < 20")
+    events = table(spark, sf_dir, "events")
     point = F.struct(F.when(F.col("event_type") != "error", F.col("event_type")).otherwise(" ").alias("description"), F.floor("value").cast("long").alias("score"))
     outputs = events.select(F.col("event_id").alias("key"), F.when(F.col("event_type") == "signup", F.lit('{"answer": 1}')).otherwise(F.to_json(F.struct(F.array(point).alias("points")))).alias("output"))
     return parse_points(outputs).select("key", "point", "score", "error")
@@ -177,7 +177,7 @@ def metadata_codec(spark, sf_dir):
 
 
 def provenance_relation(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_suppkey < 20").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_quantity").alias("weight"), F.col("l_orderkey").alias("source_id"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_quantity").alias("weight"), F.col("l_orderkey").alias("source_id"))
     return relation_weights(lines).select("source", "target", "weight", F.size("sources").cast("long").alias("sources"))
 
 
@@ -197,7 +197,7 @@ def evidence_missing(spark, sf_dir):
 
 
 def evidence_closure(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 100")
+    lines = table(spark, sf_dir, "lineitem")
     matched = lines.where("l_suppkey % 3 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_partkey").alias("id"))
     return closure(matched, lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_partkey").alias("id")))
 
@@ -210,7 +210,7 @@ def community_containment(spark, sf_dir):
 
 
 def claim_subject_units(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 300")
+    lines = table(spark, sf_dir, "lineitem")
     entities = lines.select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("unit"))
     relations = lines.select((F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("id"), F.col("l_orderkey").alias("unit"))
     claims = entities.select(F.lit("entity").alias("kind"), "id", F.concat(F.lit("e"), F.col("id").cast("string")).alias("claim")).unionByName(relations.select(F.lit("relation").alias("kind"), "id", F.concat(F.lit("r"), F.col("id").cast("string")).alias("claim"))).distinct()
@@ -243,19 +243,19 @@ QUERIES = {
 _UNITS_SQL = corpus._UNITS_SQL
 
 ORACLE_SQL = {
-    "extraction_claims": "SELECT l_returnflag <> 'R' AS valid, CASE WHEN l_returnflag <> 'R' THEN l_linestatus ELSE '' END AS status, count(*) AS n, count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_partkey END) AS objects FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL",
-    "extraction_graphs": "SELECT p_partkey AS key, p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 10 <> 0 AS valid, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 10 <> 0 THEN p_name ELSE '' END AS title, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 10 <> 0 THEN p_retailprice ELSE 0.0 END AS weight FROM part WHERE p_partkey < 500",
-    "extraction_points": "WITH e AS (SELECT event_id AS key, event_type, CAST(floor(value) AS INT) AS s FROM events WHERE user_id < 20) SELECT key, 0::BIGINT AS point, CASE WHEN event_type = 'signup' OR s > 999 THEN -1 ELSE s END AS score, CASE WHEN event_type = 'signup' THEN 'no points' WHEN s > 100 THEN 'score' WHEN event_type = 'error' THEN 'description' ELSE '' END AS error FROM e",
+    "extraction_claims": "SELECT l_returnflag <> 'R' AS valid, CASE WHEN l_returnflag <> 'R' THEN l_linestatus ELSE '' END AS status, count(*) AS n, count(DISTINCT CASE WHEN l_returnflag <> 'R' THEN l_partkey END) AS objects FROM lineitem GROUP BY ALL",
+    "extraction_graphs": "SELECT p_partkey AS key, p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 10 <> 0 AS valid, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 10 <> 0 THEN p_name ELSE '' END AS title, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 10 <> 0 THEN p_retailprice ELSE 0.0 END AS weight FROM part",
+    "extraction_points": "WITH e AS (SELECT event_id AS key, event_type, CAST(floor(value) AS INT) AS s FROM events) SELECT key, 0::BIGINT AS point, CASE WHEN event_type = 'signup' OR s > 999 THEN -1 ELSE s END AS score, CASE WHEN event_type = 'signup' THEN 'no points' WHEN s > 100 THEN 'score' WHEN event_type = 'error' THEN 'description' ELSE '' END AS error FROM e",
     "extraction_title_resolution": "WITH t AS (SELECT p_brand AS unit, p_name AS title, count(DISTINCT p_type) AS types, min(p_type) AS type FROM part GROUP BY ALL) SELECT unit, title, CASE WHEN types > 1 THEN 'ambiguous' ELSE 'resolved' END AS outcome, CASE WHEN types = 1 THEN type ELSE '' END AS type FROM t UNION ALL SELECT DISTINCT p_brand, 'no ' || p_type, 'unknown', '' FROM part",
     "evidence_union": "WITH e AS (SELECT user_id, event_type, CAST(floor(value) AS BIGINT) % 20 AS v FROM events WHERE event_type IN ('view', 'click')), d AS (SELECT DISTINCT user_id, v FROM e), k AS (SELECT user_id FROM e GROUP BY user_id HAVING count(DISTINCT event_type) = 2) SELECT user_id, string_agg(v::VARCHAR, ',' ORDER BY v) AS evidence FROM d JOIN k USING (user_id) GROUP BY user_id",
     "metadata_codec": "WITH d AS (SELECT user_id, CAST(floor(value) AS BIGINT) % 7 AS v, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, CAST(sum(n) AS BIGINT) AS frequency, string_agg(v::VARCHAR, ',' ORDER BY v) AS evidence FROM d GROUP BY user_id",
-    "provenance_relation": "SELECT l_suppkey AS source, l_partkey AS target, sum(l_quantity) AS weight, count(DISTINCT l_orderkey) AS sources FROM lineitem WHERE l_suppkey < 20 GROUP BY ALL",
+    "provenance_relation": "SELECT l_suppkey AS source, l_partkey AS target, sum(l_quantity) AS weight, count(DISTINCT l_orderkey) AS sources FROM lineitem GROUP BY ALL",
     "provenance_claim": "SELECT l_suppkey AS subject, count(*) AS n, sha256(string_agg(l_returnflag || '/' || l_linestatus, ',' ORDER BY l_orderkey * 10 + l_linenumber, l_returnflag, l_linestatus)) AS digest FROM lineitem GROUP BY l_suppkey",
     "claim_evidence_index": "SELECT l_suppkey AS subject, l_returnflag || '/' || l_linestatus AS record FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_returnflag, l_linestatus) = 8",
     "evidence_missing": f"WITH {_UNITS_SQL} SELECT doc_id AS subject, count(*) AS missing FROM units WHERE unit_id NOT IN (SELECT unit_id FROM units WHERE window_no < 3) GROUP BY doc_id",
-    "evidence_closure": "WITH l AS (SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS pos, l_suppkey % 3 = 0 AS m FROM lineitem WHERE l_orderkey < 100), b AS (SELECT 0 AS tier, pos, id FROM l WHERE m UNION ALL SELECT 1, pos, id FROM l), f AS (SELECT id, min((tier, pos)) AS at_ FROM b GROUP BY id) SELECT id, row_number() OVER (ORDER BY at_, id) AS place FROM f",
+    "evidence_closure": "WITH l AS (SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS pos, l_suppkey % 3 = 0 AS m FROM lineitem), b AS (SELECT 0 AS tier, pos, id FROM l WHERE m UNION ALL SELECT 1, pos, id FROM l), f AS (SELECT id, min((tier, pos)) AS at_ FROM b GROUP BY id) SELECT id, row_number() OVER (ORDER BY at_, id) AS place FROM f",
     "community_containment": "SELECT DISTINCT c_nationkey AS part FROM customer WHERE c_custkey % 97 = 5 AND c_nationkey <= 3",
-    "claim_subject_units": "WITH s AS (SELECT DISTINCT 'e' || l_partkey AS claim, l_orderkey AS u FROM lineitem WHERE l_orderkey < 300 UNION SELECT DISTINCT 'r' || (l_partkey * 1000 + l_suppkey), l_orderkey FROM lineitem WHERE l_orderkey < 300) SELECT claim, string_agg(u::VARCHAR, ',' ORDER BY u) AS units FROM s GROUP BY claim",
+    "claim_subject_units": "WITH s AS (SELECT DISTINCT 'e' || l_partkey AS claim, l_orderkey AS u FROM lineitem UNION SELECT DISTINCT 'r' || (l_partkey * 1000 + l_suppkey), l_orderkey FROM lineitem) SELECT claim, string_agg(u::VARCHAR, ',' ORDER BY u) AS units FROM s GROUP BY claim",
     "corpora_child_merge": f"WITH {_UNITS_SQL} SELECT unit_id, min(CASE WHEN doc_id % 4 = 0 THEN -1 ELSE doc_id % 4 END) AS from_zone FROM units GROUP BY unit_id",
     "corpora_boundaries": "SELECT user_id % 10 AS zone_id, max(event_id) AS boundary FROM events WHERE event_id % 3 = 0 OR (event_id % 3 = 1 AND user_id % 10 < 7) GROUP BY 1",
     "extraction_source_ids": "SELECT doc_id, 'source/extraction/' || sha256(coalesce(source, '') || chr(0) || doc_id) AS source_id FROM documents WHERE doc_id > 100",

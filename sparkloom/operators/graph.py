@@ -319,9 +319,7 @@ def graph_partition_stats(spark, sf_dir):
 
 
 def _community_edges(spark, sf_dir) -> DataFrame:
-    """A small dense graph: parts that two customers' nations order together would be all pairs, so deliveries of 40 suppliers and 200 parts."""
-    edges = domain.relations(spark, sf_dir, suppliers=40).where("substring(target, 2) < 200")
-    return undirected(edges)
+    return undirected(domain.relations(spark, sf_dir))
 
 
 def graph_leiden(spark, sf_dir):

@@ -165,8 +165,8 @@ def journal_stream_page(spark, sf_dir):
 
 
 def journal_boundary_match(spark, sf_dir):
-    journal = _journal(spark, sf_dir)
-    return boundary_matches(journal.where("event_type = 'signup' AND stream_id < 8"), journal.where("event_type = 'purchase' AND stream_id < 8"))
+    journal = _journal(spark, sf_dir).withColumn("body", F.concat_ws(":", "stream_id", "body"))
+    return boundary_matches(journal.where("event_type = 'signup'"), journal.where("event_type = 'purchase'"))
 
 
 def journal_causal_chains(spark, sf_dir):
@@ -209,7 +209,7 @@ UNION ALL SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'conflict' ELSE 'skip
     "journal_policy_change": f"WITH {_POLICY_SQL} SELECT event_type, mode, CASE WHEN mode = 'manual' THEN 2 ELSE minimum END AS minimum, CAST(CASE WHEN mode = 'manual' THEN 4 ELSE 3 END AS BIGINT) AS revision FROM pol",
     "journal_through": f"WITH {_J} SELECT zone_id, event_type, position AS events FROM p",
     "journal_stream_page": f"WITH {_J} SELECT event_id, stream_sequence, event_type FROM j WHERE stream_id = 8 AND stream_sequence > 10 ORDER BY stream_sequence LIMIT 20",
-    "journal_boundary_match": f"WITH {_J} SELECT a.zone_id, a.body, a.event_id AS left_event, b.event_id AS right_event FROM j a JOIN j b ON a.zone_id = b.zone_id AND a.body = b.body WHERE a.event_type = 'signup' AND b.event_type = 'purchase' AND a.stream_id < 8 AND b.stream_id < 8",
+    "journal_boundary_match": f"WITH {_J} SELECT a.zone_id, a.stream_id || ':' || a.body AS body, a.event_id AS left_event, b.event_id AS right_event FROM j a JOIN j b ON a.zone_id = b.zone_id AND a.stream_id = b.stream_id AND a.body = b.body WHERE a.event_type = 'signup' AND b.event_type = 'purchase'",
     "journal_causal_chains": f"WITH {_J}, n AS (SELECT event_id, event_type, lead(event_type) OVER w AS next_type, lead(event_id) OVER w AS next_event FROM j WINDOW w AS (PARTITION BY zone_id, stream_id ORDER BY stream_sequence)) SELECT event_id, next_event FROM n WHERE event_type = 'view' AND next_type = 'purchase'",
     "journal_position_advance": f"WITH {_J} SELECT zone_id, event_type, CASE WHEN zone_id = 2 THEN position ELSE position + 5 END AS position, zone_id <> 2 AS moved FROM p",
     "journal_event_ids": "SELECT event_id, sha256(event_id || chr(0) || event_type) AS derived_id FROM events",

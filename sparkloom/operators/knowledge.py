@@ -138,14 +138,14 @@ def _v(spark, sf_dir):
 
 
 def _offered(versions: DataFrame) -> DataFrame:
-    """Every 50th content, offered for its own identity, for a new one, and for another with a changed content."""
-    some = versions.where("source_id % 50 = 0").select("id", "content_hash")
+    """Every content, offered for its own identity, for a new one, and for another with a changed content."""
+    some = versions.select("id", "content_hash")
     new = some.select(F.concat(F.lit("new-"), "id").alias("id"), "content_hash")
     other = some.select("id", F.sha2(F.concat("content_hash", F.lit("?")), 256).alias("content_hash"))
     return some.unionByName(new).unionByName(other).distinct()
 
 
-_OFFERED_SQL = "some_ AS (SELECT id, content_hash FROM versions WHERE source_id % 50 = 0), offered AS (SELECT * FROM some_ UNION SELECT 'new-' || id, content_hash FROM some_ UNION SELECT id, sha256(content_hash || '?') FROM some_)"
+_OFFERED_SQL = "some_ AS (SELECT id, content_hash FROM versions), offered AS (SELECT * FROM some_ UNION SELECT 'new-' || id, content_hash FROM some_ UNION SELECT id, sha256(content_hash || '?') FROM some_)"
 _LATEST_SQL = f"{VERSIONS_SQL}, latest AS (SELECT * FROM versions WHERE candidate_number = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1)"
 
 

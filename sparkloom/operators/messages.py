@@ -66,7 +66,7 @@ def recent_user_turns(spark, sf_dir):
 
 def message_append_check(spark, sf_dir):
     log = _log(spark, sf_dir)
-    offered = log.where("turn < 2").withColumn("text", F.when(F.col("conv_id") % 2 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    offered = log.withColumn("text", F.when(F.col("conv_id") % 2 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return append_conflicts(log, offered)
 
 
@@ -80,5 +80,5 @@ ORACLE_SQL = {
     "conversation_last_exchanges": f"WITH {_EXCHANGES} SELECT conv_id, turn, exchange_no FROM e WHERE exchange_no > of_ - 2",
     "conversation_first_exchanges": f"WITH {_EXCHANGES} SELECT conv_id, turn, exchange_no FROM e WHERE exchange_no <= 2",
     "recent_user_turns": "WITH b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role = 'user') SELECT conv_id, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY back)) AS digest FROM b WHERE back <= 3 GROUP BY conv_id",
-    "message_append_check": "SELECT conv_id, turn, conv_id % 2 <> 0 OR text IS NULL AS same FROM conversations WHERE turn < 2",
+    "message_append_check": "SELECT conv_id, turn, conv_id % 2 <> 0 OR text IS NULL AS same FROM conversations",
 }

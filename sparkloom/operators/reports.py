@@ -126,13 +126,13 @@ def report_fragment_coverage(spark, sf_dir):
 
 
 def report_assembly(spark, sf_dir):
-    ranked = members_in_order(_members(spark, sf_dir), domain.relations(spark, sf_dir)).where("place <= 5")
+    ranked = members_in_order(_members(spark, sf_dir), domain.relations(spark, sf_dir))
     reports = ranked.groupBy("part").agg(F.concat(F.lit("Report on "), F.first("part")).alias("title"))
     return assemble(reports, ranked.select("part", (F.col("place") - 1 + (F.col("part") == "Brand#7").cast("int")).alias("ordinal"), F.col("node").alias("ref")))
 
 
 def report_markdown(spark, sf_dir):
-    ranked = members_in_order(_members(spark, sf_dir), domain.relations(spark, sf_dir)).where("place <= 2")
+    ranked = members_in_order(_members(spark, sf_dir), domain.relations(spark, sf_dir))
     findings = F.array_sort(F.collect_list(F.struct(F.col("node").alias("summary"), F.concat(F.lit("degree "), F.col("degree").cast("string")).alias("explanation"))))
     return ranked.groupBy("part").agg(markdown(F.first("part"), F.lit("Leading members."), findings).alias("text"))
 
@@ -147,6 +147,6 @@ ORACLE_SQL = {
     "report_occurrence_weights": f"WITH {_MEMBERS}, u AS (SELECT part, count(DISTINCT pos % 1000) AS units FROM relations JOIN members ON target = node GROUP BY part) SELECT part, units, round(units / max(units) OVER (), 6) AS weight FROM u",
     "report_child_counts": "SELECT 'r' || n_regionkey AS part, count(*) AS children FROM nation GROUP BY n_regionkey",
     "report_fragment_coverage": f"WITH {_MEMBERS} SELECT part, place, 'missing' AS fault FROM ranked WHERE place % 50 = 0",
-    "report_assembly": f"WITH {_MEMBERS} SELECT part, 'Report on ' || part AS title, string_agg(node, ',' ORDER BY place) AS refs, part <> 'Brand#7' AS dense FROM ranked WHERE place <= 5 GROUP BY part",
-    "report_markdown": f"WITH {_MEMBERS} SELECT part, '# ' || part || chr(10) || chr(10) || 'Leading members.' || chr(10) || chr(10) || string_agg('## ' || node || chr(10) || chr(10) || 'degree ' || degree, chr(10) || chr(10) ORDER BY node) AS text FROM ranked WHERE place <= 2 GROUP BY part",
+    "report_assembly": f"WITH {_MEMBERS} SELECT part, 'Report on ' || part AS title, string_agg(node, ',' ORDER BY place) AS refs, part <> 'Brand#7' AS dense FROM ranked GROUP BY part",
+    "report_markdown": f"WITH {_MEMBERS} SELECT part, '# ' || part || chr(10) || chr(10) || 'Leading members.' || chr(10) || chr(10) || string_agg('## ' || node || chr(10) || chr(10) || 'degree ' || degree, chr(10) || chr(10) ORDER BY node) AS text FROM ranked GROUP BY part",
 }

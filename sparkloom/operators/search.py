@@ -242,7 +242,7 @@ def global_map(spark, sf_dir):
 
 
 def drift_branches(spark, sf_dir):
-    edges = domain.relations(spark, sf_dir).where("weight > 49")
+    edges = domain.relations(spark, sf_dir)
     follow = edges.select(F.col("source").alias("question"), F.col("target").alias("next")).unionByName(edges.select(F.col("target").alias("question"), F.col("source").alias("next")))
     return branch(spark.createDataFrame([("s1",), ("s2",)], "question string"), follow)
 
@@ -283,7 +283,7 @@ SELECT t.source, t.target, t.weight, t.combined_degree, l.links, 1 AS tier FROM
 good AS (SELECT part, parent FROM tree WHERE CAST(substr(part, 2) AS INT) * 7 % 5 >= 2), kept AS (SELECT part, parent FROM good WHERE parent IS NULL UNION ALL SELECT g.part, g.parent FROM good g JOIN kept k ON g.parent = k.part)
 SELECT part FROM kept WHERE part NOT IN (SELECT parent FROM kept WHERE parent IS NOT NULL)""",
     "global_map": "SELECT DISTINCT p_partkey % 8 AS key, 19 AS chars FROM part",
-    "drift_branches": f"""WITH RECURSIVE {domain.RELATIONS_SQL}, e AS (SELECT source AS a, target AS b FROM relations WHERE weight > 49 UNION SELECT target, source FROM relations WHERE weight > 49),
+    "drift_branches": f"""WITH RECURSIVE {domain.RELATIONS_SQL}, e AS (SELECT source AS a, target AS b FROM relations UNION SELECT target, source FROM relations),
 w AS (SELECT unnest(['s1', 's2']) AS question, 0 AS depth UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON w.question = e.a WHERE w.depth < 3) SELECT question, min(depth) AS depth FROM w GROUP BY question ORDER BY depth, question LIMIT 60""",
     "memory_search_exact": "WITH f AS (SELECT 'p' || p_partkey AS id, p_name AS title, p_type AS type, row_number() OVER (ORDER BY p_type, 'p' || p_partkey) AS place, count(*) OVER () > 10 AS more FROM part WHERE p_name = 'red widget') SELECT id, title, type, more FROM f WHERE place <= 10",
     "memory_search_text": "SELECT 'p' || p_partkey AS id, p_name AS title FROM part WHERE contains(lower(p_name || ' ' || p_brand), 'brand#2') AND p_type = 'ECONOMY'",

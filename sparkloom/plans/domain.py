@@ -45,11 +45,9 @@ versions AS (
   FROM ev WHERE version > 0)"""
 
 
-def relations(spark: SparkSession, sf_dir: str, suppliers: int | None = None) -> DataFrame:
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, source, target, weight: deliveries in the order of their first line."""
     lines = table(spark, sf_dir, "lineitem")
-    if suppliers is not None:
-        lines = lines.where(F.col("l_suppkey") < suppliers)
     pairs = lines.groupBy("l_suppkey", "l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("first"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("weight"))
     pos = F.col("first.l_orderkey") * 16 + F.col("first.l_linenumber")
     return pairs.select(pos.alias("pos"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), "weight")
@@ -65,10 +63,10 @@ relations AS (
 def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sparse graph with several components: customers and suppliers of a nation, in pairs by balance."""
     customers = table(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) AS source", "concat('n', c_nationkey) AS target", "c_custkey AS pos", "c_acctbal AS weight")
-    return customers.where("pos % 3 <> 0")
+    return customers
 
 
-REGION_EDGES_SQL = "edges AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target, c_custkey AS pos, c_acctbal AS weight FROM customer WHERE c_custkey % 3 <> 0)"
+REGION_EDGES_SQL = "edges AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target, c_custkey AS pos, c_acctbal AS weight FROM customer)"
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
