@@ -319,10 +319,8 @@ def graph_partition_stats(spark, sf_dir):
 
 
 def _community_edges(spark, sf_dir) -> DataFrame:
-    """Suppliers and the brands they deliver, over all deliveries, weighted by quantity."""
-    brands = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("target"), "p_brand")
-    pairs = domain.relations(spark, sf_dir).join(brands, "target").groupBy("source", F.col("p_brand").alias("target"))
-    return undirected(pairs.agg(F.min("pos").alias("pos"), F.sum("weight").alias("weight")))
+    """All customers and their nations, each link once."""
+    return undirected(domain.region_edges(spark, sf_dir).withColumn("weight", F.lit(1.0)))
 
 
 def graph_leiden(spark, sf_dir):
