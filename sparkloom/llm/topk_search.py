@@ -69,7 +69,6 @@ class SortedLists:
             at, step = to, max(64, n // 24)
             low[own] = -np.inf
             best = np.argpartition(low, n - k)[n - k :]
-            certain = np.sort(np.concatenate([certain, low[best[~resolved[best]]]]))[-k:] if at == n else certain
             fresh = best[~resolved[best] & ~own[best]]
             scores = self.rows[fresh] @ query  # an exact score is the best lower bound
             resolved[fresh] = True

@@ -37,6 +37,17 @@ def test_topk_against_brute_force(spark, block_rows):
     assert sorted(tuple(x) for x in got.collect()) == brute_topk(rows, 10, 10)
 
 
+@pytest.mark.parametrize("n", [2, 6, 11, 40, 64, 65])
+def test_topk_of_a_block_read_to_its_end(n):
+    rows = np.floor(1024 * np.random.default_rng(n).normal(0, 0.2, (n, 12)))
+    lists = topk_search.SortedLists(np.arange(n), rows)
+    for i in range(n):
+        scores = rows @ rows[i]
+        ids, found = lists.top_k(i, rows[i], 10)
+        want = sorted((-s, j) for j, s in enumerate(scores.tolist()) if j != i)[:10]
+        assert [(-s, j) for s, j in zip(found.tolist(), ids.tolist(), strict=True)] == want
+
+
 def test_topk_of_few_and_none(spark):
     kind = "vec_id long, embedding array<float>"
     two = topk_search.top_k_search(spark.createDataFrame([(0, [1.0]), (1, [-1.0])], kind), F.col("vec_id") == 0)
