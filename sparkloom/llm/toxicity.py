@@ -55,7 +55,7 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             n.update(found)
             if label:
                 toxic.update(found)
-        kept = list(toxic)  # what no toxic document holds is never chosen
+        kept = list(n)  # also what no toxic document of this batch holds: one of another batch may
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([n[x] for x in kept], pa.int64()), pa.array([toxic[x] for x in kept], pa.int64())], names=["feature", "n", "toxic"])
 
 

@@ -184,6 +184,13 @@ def test_toxicity_learns_and_generalises(spark, tricky, empty):
     assert toxicity.score_toxicity(empty, marks).count() == 0
 
 
+def test_toxicity_vocabulary_whatever_the_partitions(spark):
+    rows, labels = toxic_rows(400)
+    labelled = spark.createDataFrame([(x[1], y[2]) for x, y in zip(rows, labels, strict=True)], "text string, toxic int")
+    one, many = (toxicity.choose_vocabulary(labelled.repartition(n)) for n in (1, 50))
+    assert one == many and "vilest" in one[0]
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(6)
     idf = rng.uniform(1, 5, 60)
