@@ -5,14 +5,19 @@ from __future__ import annotations
 import csv
 import io
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators import graph
 from sparkloom.session import table
 
 
@@ -22,21 +27,115 @@ def budget_prefix(rows: DataFrame, key: str, order: str, budget: int, header_tok
     return rows.withColumn("used", used).where(F.col("used") <= budget)
 
 
-def next_fit(rows: DataFrame, key: str, order: str, budget: int, header_tokens: int = 0) -> DataFrame:
-    """(key, order, tokens, batch): rows in order; a batch closes when the next row would exceed the budget, and an oversized row has a batch of its own."""
+_UNBOUNDED = 1 << 62
+
+
+class _Run:
+    """Rows of one key in order: where batches begin if one begins at a given row. tokens: non-negative."""
+
+    def __init__(self, tokens: np.ndarray, budget: int, header_tokens: int, most_items: int | None):
+        self.n, self.budget, self.header, self.most_items = len(tokens), budget, header_tokens, most_items or _UNBOUNDED
+        self.sums = np.concatenate([[0], np.cumsum(tokens)])
+        first = np.arange(self.n)
+        over = np.searchsorted(self.sums[1:], budget - header_tokens + self.sums[:-1], side="right")
+        self.next = np.minimum(np.maximum(first + 1, np.minimum(over, first + self.most_items)), self.n).tolist()
+
+    def close(self, items: int, used: int) -> int:
+        """The row before which an open batch of so many items and tokens closes; n if none."""
+        over = int(np.searchsorted(self.sums[1:], self.budget - used, side="right"))
+        return 0 if items == 0 else min(over, max(0, self.most_items - items), self.n)
+
+    def closing(self) -> list[int]:
+        """Every row before which an open batch may close: at most most_items, or one more than the budget."""
+        last = self.close(1, self.header)
+        grows = range(last) if self.most_items < _UNBOUNDED else np.flatnonzero(np.diff(self.sums[: last + 1]) > 0).tolist()
+        return sorted({0, *grows, last} - {self.n})
+
+    def ends(self) -> tuple[list[int], list[int]]:
+        """For a batch that begins at each row: how many batches follow it, and the last one's first row."""
+        later, last = [0] * self.n, list(range(self.n))
+        for i in range(self.n - 1, -1, -1):
+            if (after := self.next[i]) < self.n:
+                later[i], last[i] = later[after] + 1, last[after]
+        return later, last
+
+    def batches(self, batch: int, items: int, used: int) -> np.ndarray:
+        """The batch of each row, if one of so many items and tokens is open before the first; none is if items is 0."""
+        starts = np.zeros(self.n, np.int64)
+        at = self.close(items, used)
+        while at < self.n:
+            starts[at] = 1
+            at = self.next[at]
+        return np.cumsum(starts) + batch - (items == 0)
+
+
+def packed(rows: DataFrame, key: str, order: str, budget: int, header_tokens: int = 0, most_items: int | None = None) -> DataFrame:
+    """Adds `batch` to (key, order, tokens): rows of a key in order; a batch closes when the next row would exceed the items or
+    the budget, and an oversized row has a batch of its own.
+
+    Rows are dealt by ranges of (key, order), so a key's rows may lie in many partitions. A first pass tells for each partition
+    how the batch that is open at its border may close and what is open at its end then; the driver follows these few
+    numbers from border to border, and a second pass numbers the batches.
+    """
+    rows = rows.select(key, order, F.col("tokens").cast("long").alias("tokens"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = graph._checkpointed(rows.repartitionByRange(parts, key, order).sortWithinPartitions(key, order))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table | None, list[tuple[int, int]]]:
+        held = [x for x in batches if x.num_rows]
+        if not held:
+            return None, []
+        data = pa.Table.from_batches(held)
+        keys = data[key].to_pylist()
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        return data, list(pairwise(cuts))
+
+    def run(data: pa.Table, begin: int, end: int) -> _Run:
+        return _Run(data["tokens"].slice(begin, end - begin).to_numpy(), budget, header_tokens, most_items)
+
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, cuts = runs(batches)
+        if data is None:
+            return
+        first, last = run(data, *cuts[0]), run(data, *cuts[-1])
+        closing, (later, of) = first.closing(), first.ends()
+        ends = [(int(first.sums[i]), i, later[i], first.n - of[i], int(header_tokens + first.sums[-1] - first.sums[of[i]])) for i in closing]
+        later, of = last.ends()
+        found = {"part": TaskContext.get().partitionId(), "first": data[key][0].as_py(), "last": data[key][-1].as_py(), "one": len(cuts) == 1, "n": first.n, "total": int(first.sums[-1])}
+        found |= {"tokens": [int(first.sums[i + 1] - first.sums[i]) for i in closing], "ends": [x for end in ends for x in end], "open": [later[0], last.n - of[0], int(header_tokens + last.sums[-1] - last.sums[of[0]])]}
+        yield pa.RecordBatch.from_pylist([found], schema=pa.schema([("part", pa.int32()), ("first", data.schema.field(key).type), ("last", data.schema.field(key).type), ("one", pa.bool_()), ("n", pa.int64()), ("total", pa.int64()), *((x, pa.list_(pa.int64())) for x in ("tokens", "ends", "open"))]))
+
+    kind = dict(rows.dtypes)[key]
+    seen = dealt.mapInArrow(borders, f"part int, first {kind}, last {kind}, one boolean, n long, total long, tokens array<long>, ends array<long>, open array<long>").collect()  # a row per partition
+    entering: dict[int, tuple[int, int, int]] = {}
+    open_key, state = None, (0, 0, header_tokens)
+    for x in sorted(seen, key=lambda x: x["part"]):
+        batch, items, used = entering[x["part"]] = state if x["first"] == open_key else (0, 0, header_tokens)
+        if not x["one"]:
+            state = tuple(x["open"])
+        else:
+            state = (batch, items + x["n"], used + x["total"])
+            for at, n in enumerate(x["tokens"]):
+                before, i, later, left, tokens = x["ends"][5 * at : 5 * at + 5]
+                if items == 0 or used + before + n > budget or (most_items and items + i >= most_items):
+                    state = (batch + (items > 0) + later, left, tokens)
+                    break
+        open_key = x["last"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, cuts = runs(batches)
+        if data is None:
+            return
+        states = [entering[TaskContext.get().partitionId()], *[(0, 0, header_tokens)] * (len(cuts) - 1)]
+        batch = np.concatenate([run(data, *cut).batches(*state) for cut, state in zip(cuts, states, strict=True)])
+        yield from data.append_column("batch", pa.array(batch, pa.int64())).to_batches()
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        batch, used, out, empty = 0, header_tokens, [], True
-        for n in group["tokens"]:
-            if used + n > budget:
-                batch, used = batch + (not empty), header_tokens
-            used, empty = used + n, False
-            out.append(batch)
-        return group.assign(batch=out)
+    return dealt.mapInArrow(number, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", batch long")
 
-    kinds = dict(rows.dtypes)
-    return rows.select(key, order, "tokens").groupBy(key).applyInPandas(pack, f"{key} {kinds[key]}, {order} {kinds[order]}, tokens long, batch long")
+
+def next_fit(rows: DataFrame, key: str, order: str, budget: int, header_tokens: int = 0) -> DataFrame:
+    """(key, order, tokens, batch): rows in order; a batch closes when the next row would exceed the budget, and an oversized row has a batch of its own."""
+    return packed(rows, key, order, budget, header_tokens)
 
 
 def render_table(rows: pd.DataFrame, columns: list[str], budget: int, count: Callable[[str], int], delimiter: str = ",", prefix: str = "") -> tuple[str, int]:
@@ -66,7 +165,11 @@ def rendered(rows: DataFrame, key: str, order: str, columns: list[str], budget:
         text, taken = render_table(group.sort_values(order), columns, budget, lambda x: len(x.split()))
         return pd.DataFrame({key: [group_key[0]], "rows": [taken], "context": [text]})
 
-    return rows.groupBy(key).applyInPandas(build, f"{key} {dict(rows.dtypes)[key]}, rows long, context string")
+    # each row takes a token at least (its id): no more than `budget` rows
+    # can be in a table, and each task keeps so many of a key (Spark does so up to spark.sql.optimizer.windowGroupLimitThreshold)
+    place = F.row_number().over(W.partitionBy(key).orderBy(order))
+    first = rows.withColumn("_place", place).where(F.col("_place") <= budget).drop("_place")
+    return first.groupBy(key).applyInPandas(build, f"{key} {dict(rows.dtypes)[key]}, rows long, context string")
 
 
 def batch_order(batches: DataFrame, key: str) -> DataFrame:

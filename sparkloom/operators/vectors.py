@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators import context
 from sparkloom.session import table
 
 
@@ -66,19 +66,17 @@ def request_batches(inputs: DataFrame, most_items: int = 16, most_tokens: int =
     """Greedy sequential batches per stream (stream, place, tokens): adds `batch`; a batch closes when the next
     input would exceed items or tokens. An input beyond the limit by itself is an error."""
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
-        batch, items, tokens, out = 0, 0, 0, []
-        for n in group["tokens"]:
-            if n > most_tokens:
-                raise ValueError(f"an input has {n} tokens; a batch may have {most_tokens}")
-            if items and (items >= most_items or tokens + n > most_tokens):
-                batch, items, tokens = batch + 1, 0, 0
-            items, tokens = items + 1, tokens + n
-            out.append(batch)
-        return group.assign(batch=out)
+    too_long = F.raise_error(F.concat(F.lit("an input has "), F.col("tokens").cast("string"), F.lit(f" tokens; a batch may have {most_tokens}")))
+    checked = inputs.withColumn("tokens", F.when(F.col("tokens") > most_tokens, too_long.cast("long")).otherwise(F.col("tokens")))
+    return context.packed(checked, "stream", "place", most_tokens, 0, most_items)
 
-    return inputs.groupBy("stream").applyInPandas(pack, "stream string, place long, tokens long, batch long")
+
+def input_windows(texts: DataFrame, most_tokens: int = 8191) -> DataFrame:
+    """Inputs of a batch from texts (stream, doc_id, n): (stream, place, tokens), windows of at most most_tokens, so that none of a long text's tokens is lost; place is (doc_id, window)."""
+    last = F.greatest(F.lit(0).cast("long"), F.ceil(F.col("n") / most_tokens).cast("long") - 1)
+    windows = texts.select("stream", "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("window"))
+    tokens = F.least(F.lit(most_tokens).cast("long"), F.col("n") - F.col("window") * most_tokens)
+    return windows.select("stream", F.struct("doc_id", "window").alias("place"), tokens.alias("tokens"))
 
 
 def _query(spark, sf_dir) -> list[float]:
@@ -139,8 +137,8 @@ def vector_namespace_key(spark, sf_dir):
 
 
 def embedding_batches(spark, sf_dir):
-    inputs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("stream"), F.col("doc_id").alias("place"), F.least(T.token_count(F.coalesce("text", F.lit(""))), F.lit(8000)).alias("tokens"))
-    return request_batches(inputs).groupBy("stream", "batch").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
+    texts = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("stream"), "doc_id", T.token_count(F.coalesce("text", F.lit(""))).alias("n"))
+    return request_batches(input_windows(texts)).groupBy("stream", "batch").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
 
 
 QUERIES = {

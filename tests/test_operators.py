@@ -170,6 +170,41 @@ def test_vectors(spark):
     assert [x.batch for x in vectors.request_batches(inputs, 2, 10).orderBy("place").collect()] == [0, 0, 1, 2, 2]
 
 
+def test_packing_over_partitions(spark):
+    rng = random.Random(8)
+    data = [(None if k == 2 else f"k{k}", i, rng.choice([0, 0, 1, 3, 7, 30])) for k in range(5) for i in range(700 if k == 1 else 9)]
+
+    def fold(budget, header, most):
+        want, state = {}, {}
+        for k, i, n in data:
+            batch, items, used = state.get(k, (0, 0, header))
+            if items and (used + n > budget or items >= most):
+                batch, items, used = batch + 1, 0, header
+            state[k], want[k, i] = (batch, items + 1, used + n), batch
+        return want
+
+    r = spark.createDataFrame(data, "key string, pos long, tokens long").repartition(3)
+    for budget, header, most in ((20, 5, 10**9), (31, 0, 3), (1000, 2, 10**9), (60, 0, 16)):
+        for parts in (4, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = context.packed(r, "key", "pos", budget, header, None if most == 10**9 else most)
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            assert {(x.key, x.pos): x.batch for x in got.collect()} == fold(budget, header, most)
+    hot = context.next_fit(r.where("key = 'k1'"), "key", "pos", 20, 5)
+    assert hot.select(F.spark_partition_id()).distinct().count() > 1
+    tables = context.rendered(r, "key", "pos", ["tokens"], 20)
+    assert "WindowGroupLimit" in tables._jdf.queryExecution().toString()
+    assert {x.key: x.rows for x in tables.collect()} == {k: 19 if k == "k1" else 9 for k in {x[0] for x in data}}
+
+
+def test_long_texts_are_batched_whole(spark):
+    texts = spark.createDataFrame([("s", 1, 20_000), ("s", 2, 0), ("s", 3, 8191)], "stream string, doc_id long, n long")
+    got = vectors.request_batches(vectors.input_windows(texts)).collect()
+    assert [(x.place.doc_id, x.place.window, x.tokens, x.batch) for x in sorted(got, key=lambda x: x.place)] == [(1, 0, 8191, 0), (1, 1, 8191, 1), (1, 2, 3618, 2), (2, 0, 0, 2), (3, 0, 8191, 3)]
+    with pytest.raises(Exception, match="an input has 9 tokens"):
+        vectors.request_batches(spark.createDataFrame([("s", 1, 9)], "stream string, place long, tokens long"), 2, 8).collect()
+
+
 def test_budgets(spark):
     r = spark.createDataFrame([("k", i, n) for i, n in enumerate([4, 4, 9, 1, 12, 1])], "key string, pos long, tokens long")
     assert rows(context.budget_prefix(r, "key", "pos", 10), "pos") == [(0,), (1,)]
