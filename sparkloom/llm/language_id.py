@@ -125,7 +125,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, kept: int = KEPT) -> La
     """Learns the filters from documents' text and lang (rows where either is null are left out).
 
     Of a language with more than train_docs documents, a part is drawn by a hash of the text, so
-    that about so many are read: a bound on what the classifier is fitted on.
+    that about so many are read: a bound on what the classifier is fitted on. Copies of a text count once.
     """
     usable = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
     sizes = {lang: n for lang, n in usable.groupBy("lang").count().collect()}  # one row per language
@@ -133,6 +133,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, kept: int = KEPT) -> La
         return LanguageFilters.build([])
     part = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_docs / n))]), F.col("lang"))
     drawn = usable.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < part * 1_000_000)
+    drawn = drawn.withColumn("of", F.xxhash64("text")).dropDuplicates(["lang", "of"]).drop("of")  # all copies of a text are drawn or none
     counts = drawn.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     shares = checkpointed(counts).withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("lang")))
     most = F.max("share").over(W.partitionBy("gram"))

@@ -219,6 +219,13 @@ def test_isotonic_is_monotone():
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all()
 
 
+def test_copies_of_a_text_teach_a_language_once(spark):
+    rng = random.Random(11)
+    rows = [(prose(rng, lang, 60), lang) for lang in ("en", "de") * 40]
+    once, often = (language_id.train(spark.createDataFrame(rows + [(rows[0][0] + " zzyzx", "en")] * n, "text string, lang string")) for n in (1, 2000))
+    assert once.languages == often.languages and (once.table == often.table).all()
+
+
 def test_fold_functions_agree(spark):
     import zlib
 
