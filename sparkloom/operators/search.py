@@ -93,19 +93,23 @@ def global_reports(reports: DataFrame, level: int, least_rank: float) -> DataFra
     return reports.where((F.col("level") <= level) & (F.col("rank") >= least_rank))
 
 
-def dynamic_selection(tree: DataFrame, ratings: DataFrame, threshold: int, keep_parent: bool = False, most_levels: int = 10) -> DataFrame:
-    """Walks a community tree (part, parent, level) from its roots: communities rated at least `threshold` are kept, and
-    their children are rated in turn; a kept parent of kept children goes unless keep_parent. One step of joins per level."""
-    frontier = tree.where("parent IS NULL").select("part")
+def dynamic_selection(tree: DataFrame, ratings: DataFrame, threshold: int, keep_parent: bool = False, fallback_levels: int = 2) -> DataFrame:
+    """Walks a community tree (part, parent) from its roots: communities rated at least `threshold` are kept, and
+    their children are rated in turn; a kept parent of kept children goes unless keep_parent. Where no community of a level
+    is kept, the whole next level is tried, down to fallback_levels. One step of joins per level, until none is kept."""
+    level = tree.where("parent IS NULL").select("part")
     kept = None
-    for _ in range(most_levels):
-        good = graph._checkpointed(frontier.join(ratings, "part").where(F.col("rating") >= threshold).select("part"))
-        if good.isEmpty():
+    for number in range(fallback_levels + 1):
+        if number:
+            level = graph._checkpointed(tree.join(level.withColumnRenamed("part", "parent"), "parent").select("part"))
+        frontier = level
+        while not (good := graph._checkpointed(frontier.join(ratings, "part").where(F.col("rating") >= threshold).select("part"))).isEmpty():
+            kept = good if kept is None else kept.unionByName(good)
+            frontier = tree.join(good.withColumnRenamed("part", "parent"), "parent").select("part")
+        if kept is not None:
             break
-        kept = good if kept is None else kept.unionByName(good)
-        frontier = tree.join(good.withColumnRenamed("part", "parent"), "parent").select("part")
     if kept is None:
-        return frontier.limit(0)
+        return level.limit(0)
     if keep_parent:
         return kept
     replaced = tree.join(kept, "part").select(F.col("parent").alias("part")).where("part IS NOT NULL").distinct()

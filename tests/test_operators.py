@@ -319,3 +319,14 @@ def test_search_plans(spark):
     assert budget.reserve(5, 5) and not budget.reserve(1, 1)
     budget.settle((5, 5), (2, 1))
     assert budget.left == {"calls": 0, "prompt": 8, "output": 9}
+
+
+def test_dynamic_selection_falls_back_and_goes_deep(spark):
+    tree = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("c", "b")], "part string, parent string")
+    rated = lambda **x: spark.createDataFrame([(k, x.get(k, 0)) for k in "rabc"], "part string, rating long")
+    assert rows(search.dynamic_selection(tree, rated(a=3), 2)) == [("a",)]
+    assert rows(search.dynamic_selection(tree, rated(b=3, c=3), 2)) == [("c",)]
+    assert rows(search.dynamic_selection(tree, rated(c=3), 2)) == []
+    assert rows(search.dynamic_selection(tree, rated(c=3), 2, fallback_levels=3)) == [("c",)]
+    chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(13)], "part string, parent string")
+    assert rows(search.dynamic_selection(chain, chain.select("part", F.lit(5).alias("rating")), 2)) == [("n12",)]
