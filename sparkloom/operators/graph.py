@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -170,6 +172,7 @@ def _settle(edges: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
 def cluster(edges: DataFrame, groups: DataFrame, gamma: float = 1.0, seed: int = 42, modular: bool = True) -> DataFrame:
     """(node, part): communities inside each group (node, grp), all groups at once; edges: source, target, weight.
 
+    This is Louvain with connected parts: Leiden's refinement is missing, and moves end after ROUNDS even if they haven't settled.
     Levels of moves and aggregation by joins and sums, for modularity (a node's mass is its degree, the resolution
     gamma over the group's total degree) or the constant Potts model (mass 1, resolution gamma). Communities are connected: in the
     end each is split into its components.
@@ -209,16 +212,16 @@ def communities(edges: DataFrame, gamma: float = 1.0, seed: int = 42, modular: b
     return cluster(edges, nodes.withColumn("grp", F.lit("")), gamma, seed, modular)
 
 
-def hierarchical_communities(edges: DataFrame, largest: int = 10, gamma: float = 1.0, seed: int = 42, most_levels: int = 6) -> DataFrame:
-    """(level, part, parent, node, final): communities of more than `largest` nodes are clustered again, all of a level at once, until they no longer split."""
+def hierarchical_communities(edges: DataFrame, largest: int = 10, gamma: float = 1.0, seed: int = 42, most_levels: int | None = None) -> DataFrame:
+    """(level, part, parent, node, final): communities of more than `largest` nodes are clustered again, all of a level at once, until they no longer split or, if it is given, most_levels is met."""
     label = lambda parent: F.concat_ws("/", parent, F.col("part"))
     now = communities(edges, gamma, seed).select(F.lit("-1").alias("parent"), F.col("part"), "node")
     now, out = _checkpointed(now), None
-    for level in range(most_levels):
+    for level in itertools.count():
         large = now.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > largest)
         groups = _checkpointed(now.join(large, "part").select("node", F.col("part").alias("grp")))
         deeper = groups.limit(0).select("node", F.col("grp").alias("parent"), F.col("grp").alias("part"))
-        if level + 1 < most_levels and not groups.isEmpty():
+        if (most_levels is None or level + 1 < most_levels) and not groups.isEmpty():
             found = cluster(edges, groups, gamma, seed + level + 1).join(groups, "node").select("node", F.col("grp").alias("parent"), "part")
             split = found.groupBy("parent").agg(F.count_distinct("part").alias("n")).where("n > 1")
             deeper = _checkpointed(found.join(split, "parent", "left_semi").select("node", "parent", label(F.col("parent")).alias("part")))

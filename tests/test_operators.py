@@ -330,3 +330,15 @@ def test_dynamic_selection_falls_back_and_goes_deep(spark):
     assert rows(search.dynamic_selection(tree, rated(c=3), 2, fallback_levels=3)) == [("c",)]
     chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(13)], "part string, parent string")
     assert rows(search.dynamic_selection(chain, chain.select("part", F.lit(5).alias("rating")), 2)) == [("n12",)]
+
+
+def test_hierarchy_goes_on_until_nothing_is_too_large(spark, monkeypatch):
+    def peel(edges, groups, *_):
+        least = groups.groupBy("grp").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+        return groups.join(least, "grp").select("node", F.when(F.col("node") == F.col("least"), F.col("least")).otherwise(F.col("most")).alias("part"))
+
+    monkeypatch.setattr(graph, "cluster", peel)
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0) for i in range(9)], "source string, target string, weight double")
+    tree = graph.hierarchical_communities(edges, largest=1)
+    assert tree.where("final").groupBy("level", "part").count().where("count > 1").isEmpty()
+    assert tree.agg(F.max("level")).first()[0] == 8
