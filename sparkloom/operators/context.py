@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import graph
-from sparkloom.session import table
+from sparkloom.session import checkpointed, table
 
 
 def budget_prefix(rows: DataFrame, key: str, order: str, budget: int, header_tokens: int = 0) -> DataFrame:
@@ -79,7 +79,7 @@ def packed(rows: DataFrame, key: str, order: str, budget: int, header_tokens: in
     """
     rows = rows.select(key, order, F.col("tokens").cast("long").alias("tokens"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = graph._checkpointed(rows.repartitionByRange(parts, key, order).sortWithinPartitions(key, order))
+    dealt = checkpointed(rows.repartitionByRange(parts, key, order).sortWithinPartitions(key, order))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table | None, list[tuple[int, int]]]:
         held = [x for x in batches if x.num_rows]

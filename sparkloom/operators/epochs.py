@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import knowledge
 from sparkloom.plans import domain
 from sparkloom.plans.domain import VERSIONS_SQL
-from sparkloom.session import table
+from sparkloom.session import checkpointed, table
 
 
 def publish(snapshot: DataFrame, folder: str, number: int, expected: int) -> int:
@@ -63,10 +63,8 @@ def epoch_rebuild(spark, sf_dir):
 
 def epoch_snapshot(spark, sf_dir):
     """Two epochs published one after the other: the first one can still be read."""
-    from sparkloom.operators.graph import _checkpointed
-
     refs = knowledge.active(domain.versions(spark, sf_dir)).select("zone_id", "id", "version")
-    _checkpointed(spark.range(1))  # names the shared folder
+    checkpointed(spark.range(1))  # names the shared folder
     import uuid
 
     folder = f"{spark.sparkContext.getCheckpointDir()}/epochs-{uuid.uuid4().hex}"

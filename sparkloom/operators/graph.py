@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.plans import domain
 from sparkloom.plans.domain import REGION_EDGES_SQL, RELATIONS_SQL
-from sparkloom.session import table
+from sparkloom.session import checkpointed, dropped, table, written
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -69,32 +67,52 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().join(nodes, "node", "left_anti")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if named is None and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
+def _star_round(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step over edges (u, v) with u > v."""
+    both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
+    least = both.groupBy("u").agg(F.min("v").alias("w")).selectExpr("u", "least(u, w) AS m")
+    large = both.join(least, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").where("v <> m").selectExpr("v AS u", "m AS v")
+    return small.unionByName(least.selectExpr("u", "m AS v")).distinct()
+
+
+def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of the edges (u, v): root is the least node it is connected with.
+
+    Rows with a null end, loops and repeated edges do nothing. Each round replaces an edge by edges to the
+    least neighbour, until all are stars; rounds are logarithmic in practice, and each is written to the
+    shared folder. Nodes that many edges meet are aggregated before the shuffle and split in the joins.
+    """
+    now = written(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct())
+    mark = None
+    for number in range(most_rounds):
+        was, mark = mark, now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if was == mark or not mark[0]:
+            break
+        now, before = (written if number % 3 == 2 else checkpointed)(_star_round(now)), now  # estimates multiply through checkpoints, not through tables
+        dropped(before)
+    else:
+        raise RuntimeError("the components have not settled")
+    return now.selectExpr("u AS node", "v AS root").unionByName(now.selectExpr("v AS node", "v AS root").distinct())
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node reachable, for every end of the edges (source, target)."""
+    roots = star_components(edges.selectExpr("source AS u", "target AS v"))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("node")).where("node IS NOT NULL").distinct()
+    return ends.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
-    return df.checkpoint()
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds `place`, numbers from 0 in the order of columns that tell all rows apart, without bringing all rows to one task.
 
-def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, component): the least node reachable. Labels spread along edges and then jump to their label's label, until none changes."""
-    both = edges.select("source", "target").unionByName(edges.selectExpr("target AS source", "source AS target")).distinct()
-    labels = _checkpointed(both.groupBy("source").agg(F.min("target").alias("least")).select(F.col("source").alias("node"), F.least("source", "least").alias("component")))
-    both = _checkpointed(both)
-    for _ in range(most_rounds):
-        near = both.join(labels.toDF("target", "label"), "target").groupBy("source").agg(F.min("label").alias("label"))
-        spread = labels.join(near.withColumnRenamed("source", "node"), "node").select("node", "component", F.least("component", "label").alias("least"))
-        jump = spread.select(F.col("node").alias("least"), F.col("least").alias("next"))
-        new = _checkpointed(spread.join(jump, "least").select("node", "component", "next"))
-        if new.where("next <> component").isEmpty():
-            return labels
-        labels = new.select("node", F.col("next").alias("component"))
-    raise RuntimeError("the components have not settled")
+    Range partitions are counted, and only their counts, a row per partition, are put in line.
+    """
+    parts = checkpointed(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    base = parts.groupBy("_part").count().select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_base"))
+    within = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_within", within).join(base, "_part").withColumn("place", F.col("_base") + F.col("_within") - 1).drop("_part", "_within", "_base")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
@@ -132,118 +150,6 @@ def community_ids(members: DataFrame) -> DataFrame:
     return members.groupBy("part").agg(F.count("*").alias("size"), F.sha2(joined, 256).alias("community_id"))
 
 
-# --- communities ----------------------------------------------------------------------------------
-
-#: Rounds of moves on one level, and levels of aggregation, at most.
-ROUNDS, LEVELS = 16, 10
-
-
-def _move(edges: DataFrame, nodes: DataFrame, number: int) -> DataFrame:
-    """One round of moves. nodes: u, mass, resolution, part; edges: u, v, w, both ways, without loops.
-
-    A node goes to the neighbouring part of most gain, w(u, part) - resolution * mass(u) * mass(part without u), if that
-    exceeds its own. A hash of node and round lets about half of the nodes move, so that neighbours don't swap for ever.
-    """
-    masses = nodes.groupBy("part").agg(F.sum("mass").alias("part_mass"))
-    near = edges.join(nodes.select(F.col("u").alias("v"), "part"), "v").groupBy("u", "part").agg(F.sum("w").alias("w"))
-    options = near.unionByName(nodes.select("u", "part", F.lit(0.0).alias("w"))).groupBy("u", "part").agg(F.sum("w").alias("w"))
-    scored = options.join(masses, "part").join(nodes.withColumnRenamed("part", "own"), "u")
-    own = F.col("part") == F.col("own")
-    others = F.col("part_mass") - F.when(own, F.col("mass")).otherwise(0.0)
-    scored = scored.withColumn("gain", F.round(F.col("w") - F.col("resolution") * F.col("mass") * others, 9)).withColumn("is_own", own)
-    best = scored.groupBy("u").agg(F.max(F.struct("gain", "is_own", F.xxhash64("part").alias("tie"), "part")).alias("best"))
-    free = F.pmod(F.xxhash64("u", F.lit(number)), F.lit(2)) == 0
-    moved = nodes.join(best, "u").withColumn("new", F.when(free, F.col("best.part")).otherwise(F.col("part")))
-    return moved.select("u", "mass", "resolution", F.col("new").alias("part"), (F.col("new") != F.col("part")).alias("moved"))
-
-
-def _settle(edges: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """Rounds of moves until two in a row move nothing."""
-    still = 0
-    for number in range(ROUNDS):
-        after = _checkpointed(_move(edges, nodes, seed * 1000 + number))
-        nodes = after.drop("moved")
-        still = still + 1 if after.where("moved").isEmpty() else 0
-        if still == 2:
-            break
-    return nodes
-
-
-def cluster(edges: DataFrame, groups: DataFrame, gamma: float = 1.0, seed: int = 42, modular: bool = True) -> DataFrame:
-    """(node, part): communities inside each group (node, grp), all groups at once; edges: source, target, weight.
-
-    This is Louvain with connected parts: Leiden's refinement is missing, and moves end after ROUNDS even if they haven't settled.
-    Levels of moves and aggregation by joins and sums, for modularity (a node's mass is its degree, the resolution
-    gamma over the group's total degree) or the constant Potts model (mass 1, resolution gamma). Communities are connected: in the
-    end each is split into its components.
-    """
-    side = lambda end: groups.select(F.col("node").alias(end), F.col("grp").alias(f"{end}_grp"))
-    inside = edges.where("source <> target").join(side("source"), "source").join(side("target"), "target").where("source_grp = target_grp")
-    inside = inside.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"), F.col("weight").cast("double").alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
-    both = _checkpointed(inside.unionByName(inside.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
-    if modular:
-        degree = both.groupBy("u").agg(F.sum("w").alias("mass"))
-        nodes = groups.withColumnRenamed("node", "u").join(degree, "u", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
-        total = nodes.groupBy("grp").agg(F.sum("mass").alias("total"))
-        nodes = nodes.join(total, "grp").withColumn("resolution", F.when(F.col("total") > 0, gamma / F.col("total")).otherwise(0.0))
-    else:
-        nodes = groups.withColumnRenamed("node", "u").withColumn("mass", F.lit(1.0)).withColumn("resolution", F.lit(float(gamma)))
-    nodes = _checkpointed(nodes.select("u", "mass", "resolution", F.col("u").alias("part")))
-    of = nodes.select(F.col("u").alias("node"), "u")
-    level = both
-    for depth in range(LEVELS):
-        placed = _settle(level, nodes, seed + depth)
-        of = _checkpointed(of.join(placed.select("u", "part"), "u").select("node", F.col("part").alias("u")))
-        nodes = _checkpointed(placed.groupBy("part").agg(F.sum("mass").alias("mass"), F.first("resolution").alias("resolution")).select(F.col("part").alias("u"), "mass", "resolution", "part"))
-        if nodes.count() == placed.count():
-            break
-        name = placed.select(F.col("u"), F.col("part").alias("pu"))
-        level = level.join(name, "u").join(name.toDF("v", "pv"), "v").where("pu <> pv")
-        level = _checkpointed(level.groupBy(F.col("pu").alias("u"), F.col("pv").alias("v")).agg(F.sum("w").alias("w")))
-    # connected communities: the least member of each component names it
-    within = both.join(of.select(F.col("node").alias("u"), F.col("u").alias("pu")), "u").join(of.select(F.col("node").alias("v"), F.col("u").alias("pv")), "v").where("pu = pv")
-    parts = connected_components(within.select(F.col("u").alias("source"), F.col("v").alias("target")))
-    return groups.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
-
-
-def communities(edges: DataFrame, gamma: float = 1.0, seed: int = 42, modular: bool = True) -> DataFrame:
-    """(node, part) of a whole graph; part is the least member's name."""
-    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    return cluster(edges, nodes.withColumn("grp", F.lit("")), gamma, seed, modular)
-
-
-def hierarchical_communities(edges: DataFrame, largest: int = 10, gamma: float = 1.0, seed: int = 42, most_levels: int | None = None) -> DataFrame:
-    """(level, part, parent, node, final): communities of more than `largest` nodes are clustered again, all of a level at once, until they no longer split or, if it is given, most_levels is met."""
-    label = lambda parent: F.concat_ws("/", parent, F.col("part"))
-    now = communities(edges, gamma, seed).select(F.lit("-1").alias("parent"), F.col("part"), "node")
-    now, out = _checkpointed(now), None
-    for level in itertools.count():
-        large = now.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > largest)
-        groups = _checkpointed(now.join(large, "part").select("node", F.col("part").alias("grp")))
-        deeper = groups.limit(0).select("node", F.col("grp").alias("parent"), F.col("grp").alias("part"))
-        if (most_levels is None or level + 1 < most_levels) and not groups.isEmpty():
-            found = cluster(edges, groups, gamma, seed + level + 1).join(groups, "node").select("node", F.col("grp").alias("parent"), "part")
-            split = found.groupBy("parent").agg(F.count_distinct("part").alias("n")).where("n > 1")
-            deeper = _checkpointed(found.join(split, "parent", "left_semi").select("node", "parent", label(F.col("parent")).alias("part")))
-        parents = deeper.select(F.col("parent").alias("part")).distinct().withColumn("has_children", F.lit(True))
-        rows = now.join(parents, "part", "left").select(F.lit(level).alias("level"), "part", "parent", "node", F.col("has_children").isNull().alias("final"))
-        out = rows if out is None else out.unionByName(rows)
-        if deeper.isEmpty():
-            break
-        now = deeper.select("parent", "part", "node")
-    return out
-
-
-def hierarchy_faults(rows: DataFrame) -> DataFrame:
-    """Breaches of a hierarchy's rules (level, part, parent, node, final): members outside the parent, roots with a parent, nodes final twice."""
-    child = rows.where("parent <> '-1'").select("part", "parent", "node")
-    inside = rows.select(F.col("part").alias("parent"), "node")
-    outside = child.join(inside, ["parent", "node"], "left_anti").select(F.lit("outside parent").alias("fault"), "part", "node")
-    roots = rows.where("(level = 0) <> (parent = '-1')").select(F.lit("root").alias("fault"), "part", "node")
-    finals = rows.where("final").groupBy("node").count().where("count <> 1").select(F.lit("final").alias("fault"), F.lit("").alias("part"), "node")
-    return outside.unionByName(roots).unionByName(finals)
-
-
 def _relations(spark, sf_dir):
     return domain.relations(spark, sf_dir)
 
@@ -321,28 +227,11 @@ def graph_partition_stats(spark, sf_dir):
     return sizes.agg(F.count("*").alias("parts"), F.min("count").alias("least"), F.max("count").alias("most"), F.sum("count").alias("nodes"))
 
 
-def _community_edges(spark, sf_dir) -> DataFrame:
-    """All customers and their nations, each link once."""
-    return undirected(domain.region_edges(spark, sf_dir).withColumn("weight", F.lit(1.0)))
-
-
-def graph_leiden(spark, sf_dir):
-    return communities(_community_edges(spark, sf_dir))
-
-
-def graph_hierarchical_leiden(spark, sf_dir):
-    return hierarchical_communities(_community_edges(spark, sf_dir))
-
-
-def graph_hierarchy_faults(spark, sf_dir):
-    return hierarchy_faults(hierarchical_communities(_community_edges(spark, sf_dir)))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         graph_edge_normalize, graph_degree, graph_combined_degree, graph_entity_browse, graph_relation_rank, graph_neighborhood, graph_touching, graph_induced, graph_dangling, graph_components,
-        graph_largest_component, graph_modularity, graph_cpm_quality, graph_community_identity, graph_partition_stats, graph_leiden, graph_hierarchical_leiden, graph_hierarchy_faults,
+        graph_largest_component, graph_modularity, graph_cpm_quality, graph_community_identity, graph_partition_stats,
     )
 }
 
@@ -367,5 +256,4 @@ ORACLE_SQL = {
     "graph_modularity": f"WITH {_PLACED}, m AS (SELECT sum(weight) AS m, sum(weight) FILTER (a = b) AS inside FROM placed), k AS (SELECT sum(mass * mass) AS squares FROM (SELECT sum(weight) AS mass FROM (SELECT a AS part, weight FROM placed UNION ALL SELECT b, weight FROM placed) GROUP BY part)) SELECT round(inside / m - squares / (4 * m * m), 6) AS modularity FROM m, k",
     "graph_cpm_quality": f"WITH {_PLACED}, i AS (SELECT sum(weight) FILTER (a = b) AS inside FROM placed), q AS (SELECT sum(n * n) AS squares FROM (SELECT count(*) AS n FROM parts GROUP BY part)) SELECT round(inside - 0.025 * squares, 3) AS quality FROM i, q",
     "graph_partition_stats": f"WITH {_PARTS}, s AS (SELECT count(*) AS n FROM parts GROUP BY part) SELECT count(*) AS parts, min(n) AS least, max(n) AS most, CAST(sum(n) AS BIGINT) AS nodes FROM s",
-    "graph_hierarchy_faults": "SELECT '' AS fault, '' AS part, '' AS node WHERE false",
 }

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import context, corpus, graph, vectors
 from sparkloom.plans import domain
-from sparkloom.session import table
+from sparkloom.session import checkpointed, table
 
 Model = Callable[[str], str]
 
@@ -101,9 +101,9 @@ def dynamic_selection(tree: DataFrame, ratings: DataFrame, threshold: int, keep_
     kept = None
     for number in range(fallback_levels + 1):
         if number:
-            level = graph._checkpointed(tree.join(level.withColumnRenamed("part", "parent"), "parent").select("part"))
+            level = checkpointed(tree.join(level.withColumnRenamed("part", "parent"), "parent").select("part"))
         frontier = level
-        while not (good := graph._checkpointed(frontier.join(ratings, "part").where(F.col("rating") >= threshold).select("part"))).isEmpty():
+        while not (good := checkpointed(frontier.join(ratings, "part").where(F.col("rating") >= threshold).select("part"))).isEmpty():
             kept = good if kept is None else kept.unionByName(good)
             frontier = tree.join(good.withColumnRenamed("part", "parent"), "parent").select("part")
         if kept is not None:
@@ -126,11 +126,11 @@ def map_reduce(reports: DataFrame, question: str, budget: int, model: Model = st
 def branch(roots: DataFrame, follow_ups: DataFrame, depth: int = 3, most: int = 60) -> DataFrame:
     """Breadth-first branching over questions: follow_ups (question, next). (question, depth), each question once, where it
     is met first; at most `most` in the order of depth and question."""
-    seen = graph._checkpointed(roots.select("question").distinct().withColumn("depth", F.lit(0)))
+    seen = checkpointed(roots.select("question").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for level in range(1, depth + 1):
         near = follow_ups.join(frontier, "question").select(F.col("next").alias("question")).distinct()
-        frontier = graph._checkpointed(near.join(seen, "question", "left_anti").withColumn("depth", F.lit(level)))
+        frontier = checkpointed(near.join(seen, "question", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen.orderBy("depth", "question").limit(most)
 

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.operators import activation, citation, context, corpus, epochs, extraction, graph, journal, knowledge, messages, reports, responses, search, snapshots, vectors
+from sparkloom.operators import activation, citation, communities, context, corpus, epochs, extraction, graph, journal, knowledge, messages, reports, responses, search, snapshots, vectors
 from sparkloom.sources import documents
 from sparkloom.streaming import consumer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [corpus, messages, knowledge, graph, vectors, journal, context, citation, activation, reports, search, epochs, extraction, responses, snapshots, documents, consumer]
+MODULES: list = [corpus, messages, knowledge, graph, communities, vectors, journal, context, citation, activation, reports, search, epochs, extraction, responses, snapshots, documents, consumer]
 
 
 def queries() -> dict[str, Query]:

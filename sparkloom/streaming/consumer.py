@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import activation
-from sparkloom.operators.graph import _checkpointed
+from sparkloom.session import checkpointed
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -62,7 +62,7 @@ def memory_states(observations: DataFrame) -> DataFrame:
 
 def _split_journal(spark, sf_dir) -> tuple[str, str, object]:
     """The driver's events, dealt into files by event_id as appends, in the shared folder."""
-    _checkpointed(spark.range(1))
+    checkpointed(spark.range(1))
     folder = f"{spark.sparkContext.getCheckpointDir()}/journal-{uuid.uuid4().hex}"
     rows = activation.observations(spark, sf_dir)
     rows.repartitionByRange(4, "submitted").write.parquet(f"{folder}/events")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import activation, citation, context, corpus, epochs, graph, journal, knowledge, messages, reports, search, vectors
+from sparkloom.operators import activation, citation, communities, context, corpus, epochs, graph, journal, knowledge, messages, reports, search, vectors
 from sparkloom.sources import documents
 
 
@@ -125,16 +125,16 @@ def found_parts(frame):
 def test_communities_find_planted_partitions(spark):
     edges = edge_frame(spark, planted(4, 40, 0.6, 0.02, 1))
     truth = [i // 40 for i in range(160)]
-    assert adjusted_rand(found_parts(graph.communities(edges)), truth) >= 0.9
-    assert adjusted_rand(found_parts(graph.communities(edges, gamma=0.05, modular=False)), truth) >= 0.9
+    assert adjusted_rand(found_parts(communities.communities(edges)), truth) >= 0.9
+    assert adjusted_rand(found_parts(communities.communities(edges, gamma=0.05, modular=False)), truth) >= 0.9
 
 
 def test_communities_are_deterministic_connected_and_nested(spark):
     raw = planted(3, 20, 0.5, 0.02, 5)
     edges = edge_frame(spark, raw)
-    first = graph.communities(edges, seed=3)
+    first = communities.communities(edges, seed=3)
     parts = {x.node: x.part for x in first.collect()}
-    assert parts == {x.node: x.part for x in graph.communities(edges, seed=3).collect()}
+    assert parts == {x.node: x.part for x in communities.communities(edges, seed=3).collect()}
     assert graph.modularity(edges, first).first()["modularity"] > 0.4
     for part in set(parts.values()):
         members = {int(n[1:]) for n, c in parts.items() if c == part}
@@ -145,11 +145,21 @@ def test_communities_are_deterministic_connected_and_nested(spark):
                 reached.add(v)
                 todo += [b if a == v else a for a, b, _ in raw if v in (a, b) and {a, b} <= members]
         assert reached == members
-    tree = graph.hierarchical_communities(edges, largest=8, most_levels=3)
-    assert graph.hierarchy_faults(tree).isEmpty()
+    tree = communities.hierarchical_communities(edges, largest=8, most_levels=2)
+    assert communities.hierarchy_faults(tree).isEmpty()
     assert tree.where("level = 0").count() == len(parts)
 
 
+def test_coarsened_levels_and_relabelling(spark):
+    levels = communities.coarsened(edge_frame(spark, planted(3, 8, 0.9, 0.02, 4)))
+    last = levels.where(F.col("level") == levels.agg(F.max("level")).first()[0])
+    assert levels.groupBy("level").count().where("count <> 24").isEmpty()
+    numbers = {x.part: x.number for x in communities.relabel(last).select("part", "number").distinct().collect()}
+    assert sorted(numbers, key=numbers.get) == sorted(numbers) and sorted(numbers.values()) == list(range(len(numbers)))
+    fine = spark.createDataFrame([("a", "x"), ("b", "y")], "node string, part string")
+    assert rows(communities.merged(spark.createDataFrame([("x", "all"), ("y", "all")], "part string, into string"), fine)) == [("a", "all"), ("b", "all")]
+
+
 def test_neighborhood_and_semi_joins(spark):
     edges = spark.createDataFrame([(0, "a", "b", 3.0), (1, "c", "a", 2.0), (2, "b", "c", 1.0), (3, "d", "e", 1.0)], "pos long, source string, target string, weight double")
     assert rows(graph.neighborhood(edges, "a", 1), "place", "node") == [(0, "a"), (1, "b")]
@@ -335,10 +345,10 @@ def test_dynamic_selection_falls_back_and_goes_deep(spark):
 def test_hierarchy_goes_on_until_nothing_is_too_large(spark, monkeypatch):
     def peel(edges, groups, *_):
         least = groups.groupBy("grp").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-        return groups.join(least, "grp").select("node", F.when(F.col("node") == F.col("least"), F.col("least")).otherwise(F.col("most")).alias("part"))
+        return [groups.join(least, "grp").select("node", F.when(F.col("node") == F.col("least"), F.col("least")).otherwise(F.col("most")).alias("part"))]
 
-    monkeypatch.setattr(graph, "cluster", peel)
+    monkeypatch.setattr(communities, "cluster", peel)
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0) for i in range(9)], "source string, target string, weight double")
-    tree = graph.hierarchical_communities(edges, largest=1)
+    tree = communities.hierarchical_communities(edges, largest=1)
     assert tree.where("final").groupBy("level", "part").count().where("count > 1").isEmpty()
     assert tree.agg(F.max("level")).first()[0] == 8
