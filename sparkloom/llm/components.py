@@ -1,37 +1,7 @@
-"""Connected components of a graph too large for one machine, by alternating star operations."""
+"""Connected components of the links among fingerprints: the library's star operations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from sparkloom.operators.graph import star_components as components
 
-from sparkloom.llm.common import checkpointed
-
-
-def _round(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (u, v) with u > v."""
-    both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
-    least = both.groupBy("u").agg(F.min("v").alias("w")).selectExpr("u", "least(u, w) AS m")
-    large = both.join(least, "u").where("v > u").selectExpr("v AS u", "m AS v").distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").where("v <> m").selectExpr("v AS u", "m AS v")
-    return small.unionByName(least.selectExpr("u", "m AS v")).distinct()
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (u, v): root is the least node it is connected with.
-
-    Rows with a null end, loops and repeated edges do nothing. Each round replaces an edge by edges to the
-    least neighbour, until all are stars; rounds are logarithmic in practice, and each is written to the
-    shared folder. Nodes that many edges meet are aggregated before the shuffle and split in the joins.
-    """
-    now = checkpointed(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct())
-    mark = None
-    for _ in range(most_rounds):
-        was, mark = mark, now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if was == mark:
-            break
-        now = checkpointed(_round(now))
-    else:
-        raise RuntimeError("the components have not settled")
-    return now.selectExpr("u AS node", "v AS root").unionByName(now.selectExpr("v AS node", "v AS root").distinct())
+__all__ = ["components"]

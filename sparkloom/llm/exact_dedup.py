@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import SPACE, checkpointed, read, shuffle_partitions, text_of
+from sparkloom.llm.common import SPACE, checkpointed, keep_rows, read, shuffle_partitions, text_of
 
 #: Runs that meet in a round: 2^3, three binomial rounds in one shuffle.
 FAN_IN_BITS = 3
@@ -54,16 +54,8 @@ def merge_tree(entries: DataFrame, runs: int) -> DataFrame:
     return entries.drop("run")
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """Groups documents of equal text; one document of each group stays.
-
-    docs: doc_id, text; other columns are ignored.
-    Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-    Of a group, the row with the most code points in its original text stays, then the one with the
-    smallest doc_id; null text counts as empty, a null doc_id comes after all others. Rows that
-    repeat a doc_id are rows like any other: of equal ones just one is kept. Equal digests are
-    held to be equal texts only if the texts' lengths agree as well. An empty table gives no rows.
-    """
+def grouped(docs: DataFrame) -> DataFrame:
+    """One row per document: those of exact_dedup() and chars, the code points of its text."""
     runs = 1 << max(3, (shuffle_partitions(docs.sparkSession) - 1).bit_length())
     rows = checkpointed(digests(docs, runs))
     best = F.struct((-F.col("chars")).alias("neg_chars"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")
@@ -76,13 +68,37 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.col("size").alias("group_size"),
         (F.col("row_no") == F.col("best.row_no")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "chars",
     )
 
 
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """Groups documents of equal text; one document of each group stays.
+
+    docs: doc_id, text; other columns are ignored.
+    Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+    Of a group, the row with the most code points in its original text stays, then the one with the
+    smallest doc_id; null text counts as empty, a null doc_id comes after all others. Rows that
+    repeat a doc_id are rows like any other: of equal ones just one is kept. Equal digests are
+    held to be equal texts only if the texts' lengths agree as well. An empty table gives no rows.
+    """
+    return grouped(docs).drop("chars")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; doc_id is taken to identify a document."""
-    stays = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_stays"))
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_stays"]), "left_semi")
+    """Of each group of equal texts one row, with all its columns, whatever their names.
+
+    It is the row that exact_dedup() keeps; of rows that repeat its doc_id with as long a text, the one of least text. Null
+    texts are a group with the empty ones; long texts are read whole; an empty table stays empty.
+    """
+    mark = lambda sha256, chars: F.concat_ws(":", sha256, chars.cast("string"))
+    rows = grouped(docs).select("doc_id", mark(F.col("text_sha256"), F.col("chars")).alias("mark"), F.col("kept").alias("stays"))
+
+    def of(text):
+        text = F.coalesce(text, F.lit(""))
+        return mark(F.sha2(F.regexp_replace(text, SPACE, ""), 256), F.char_length(text))
+
+    return keep_rows(docs, rows, of)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

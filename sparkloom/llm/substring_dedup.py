@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,18 +142,20 @@ def _batch(kind: int, at: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> I
         yield pa.RecordBatch.from_pylist(rows[i : i + 1000], pa.schema([("kind", pa.int32()), ("at", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary())]))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk: int = CHUNK, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Removes each word that a window covers whose words also start in a document with a smaller doc_id.
 
     docs: doc_id (integer), text; other columns are ignored. Windows lie within one document and are judged on the
     input. Returns one row per document: doc_id, n_words, n_removed, kept (the words left, joined by a space),
     intervals (maximal runs of removed words as [first, end) word numbers).
     Null text has no words; texts of fewer words than a window lose none. Rows of a null doc_id lose
-    none and make others lose none; rows that repeat a doc_id are one document to every window, so they make
+    none and make others lose none, and are dealt by their texts; rows that repeat a doc_id are one document to every window, so they make
     each other lose nothing. An empty table gives no rows.
+
+    There is a bucket of hashes, a group of documents and a shuffle partition for every bucket_bytes of text, so a task's share doesn't grow.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = max(8, -(-size // BUCKET_BYTES))
+    parts = max(8, -(-size // bucket_bytes))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per chunk: entries of kind 0 for buckets; removable ones, known within the chunk, of kind 1 for groups."""
@@ -175,7 +178,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 hashes.append(found)
                 owners.append(np.full(len(found), doc_id, np.int64))
                 held += len(found)
-                if held >= CHUNK:
+                if held >= chunk:
                     yield from flush()
                     held = 0
         yield from flush()
@@ -194,7 +197,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def group_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            at = _group_of(ids.fill_null(0).to_numpy(zero_copy_only=False), parts)
+            of = ids.fill_null(0).to_numpy(zero_copy_only=False).copy()
+            for i in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)).tolist():
+                of[i] = xxhash.xxh64_intdigest((batch.column("text")[i].as_py() or "").encode("utf-8", "surrogatepass")) >> 1
+            at = _group_of(of, parts)
             yield pa.RecordBatch.from_arrays([pa.array(at), ids, batch.column("text")], names=["at", "doc_id", "text"])
 
     def apply(_: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
@@ -229,9 +235,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     texts = docs.select("doc_id", "text")
     sent = texts.where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(chunks, _PACKED)
-    marks = sent.groupBy("kind", "at").applyInArrow(resolve, "at long, hashes binary, docs binary")
+    marks = sent.repartition(parts, "kind", "at").groupBy("kind", "at").applyInArrow(resolve, "at long, hashes binary, docs binary")
     grouped = texts.mapInArrow(group_texts, "at long, doc_id long, text string")
-    return grouped.groupBy("at").cogroup(marks.groupBy("at")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept string, intervals array<array<long>>")
+    return grouped.repartition(parts, "at").groupBy("at").cogroup(marks.repartition(parts, "at").groupBy("at")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept string, intervals array<array<long>>")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -34,7 +35,18 @@ def test_keep_one_keeps_columns(tricky):
     docs, rows = tricky
     kept = exact_dedup.keep_one(docs)
     assert kept.columns == docs.columns
-    assert len({norm(x.text) for x in kept.collect()}) == len({norm(x[1]) for x in rows})
+    texts = [norm(x.text) for x in kept.collect()]
+    assert len(texts) == len(set(texts)) == len({norm(x[1]) for x in rows})
+    again = exact_dedup.keep_one(docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))))
+    assert sorted(norm(x.text) for x in again.collect()) == sorted(texts)
+    assert exact_dedup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_of_repeated_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "a b"), (1, "other text here"), (2, "ab"), (3, "c"), (None, "d"), (None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit("x")).withColumn("d", F.lit(1)).repartition(4)
+    assert sorted((x.doc_id or 0, x.text) for x in exact_dedup.keep_one(docs).collect()) == [(0, "d"), (1, "a b"), (1, "other text here"), (3, "c")]
+    assert sorted((x.doc_id or 0, x.text) for x in simhash.keep_one(docs).where("text <> 'ab'").collect()) == [(0, "d"), (1, "a b"), (1, "other text here"), (3, "c")]
 
 
 def test_many_rounds_of_the_merge_tree(spark):
@@ -84,9 +96,12 @@ def test_simhash_against_brute_force(tricky, empty):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
+    assert kept.count() == len(set(label)) == simhash.keep_one(docs.unionByName(docs)).count()
+    assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
-def test_links_of_clustered_fingerprints(spark):
+@pytest.mark.parametrize(("leaf", "fan"), [(256, 8), (16, 3)])
+def test_links_of_clustered_fingerprints(spark, leaf, fan):
     """Clusters of close fingerprints over many leaves: every link's ends stay connected, and no others."""
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 2**64, 40, np.uint64)
@@ -100,7 +115,7 @@ def test_links_of_clustered_fingerprints(spark):
     fps |= set(rng.integers(0, 2**64, 800, np.uint64).tolist())
     ordered = sorted(fps)
     signed = np.array(ordered, np.uint64).view(np.int64).tolist()
-    links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(5), 3)
+    links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(5), 3, leaf, fan)
     roots = {x.node: x.root for x in components.components(links).collect()}
     array = np.array(ordered, np.uint64)
     near = np.bitwise_count(array[:, None] ^ array[None, :]) <= 3
@@ -148,10 +163,10 @@ def test_substring_dedup_against_brute_force(tricky, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-def test_small_chunks_give_the_same(tricky, monkeypatch):
+def test_small_chunks_give_the_same(tricky):
     docs, _ = tricky
     want = {(x.doc_id, x.kept) for x in substring_dedup.remove_repeats(docs).collect()}
-    found = substring_dedup.remove_repeats(docs.repartition(11))
+    found = substring_dedup.remove_repeats(docs.repartition(2), chunk=90, bucket_bytes=4000)
     assert {(x.doc_id, x.kept) for x in found.collect()} == want
 
 
