@@ -146,16 +146,22 @@ def mix_sources(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
-    """The documents as mix_sources takes them, once per epoch, whole, with all their columns."""
+    """The documents as mix_sources takes them, once per epoch, with all their columns, whatever their names.
+
+    The document that a leaf's token-prefix ends in has the text of its tokens taken, joined by one space; all other texts are whole.
+    Nulls, repeated rows, ties and empty tables are as in mix_sources; a document of no tokens is taken with the epochs it lies in.
+    """
     rows = checkpointed(placed(docs))
     plan = checkpointed(mix_plan(rows, mix))
-    names = {level: f"_{level}" for level in LEVELS}
-    leaf = docs.withColumn("_lang", F.coalesce("lang", F.lit(""))).withColumn("_source", F.coalesce("source", F.lit("")))
-    leaf = leaf.withColumn("_domain", domain_of(F.col("_source")))
-    renamed = _sized(plan).withColumnsRenamed(names).select(*names.values(), F.col("epochs").alias("_epochs"), F.col("cut_key").alias("_cut"))
-    joined = leaf.join(renamed, list(names.values()))
-    times = F.col("_epochs") + F.coalesce((epoch_key(mix.seed, F.col("_epochs")) <= F.col("_cut")).cast("int"), F.lit(0))
-    return joined.withColumn("_epoch", F.explode(F.sequence(F.lit(0), times))).where(F.col("_epoch") < times).select(*docs.columns)
+    packed = docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("d"))
+    leaf = packed.select("d", F.col("d.doc_id").alias("doc_id"), F.coalesce("d.lang", F.lit("")).alias("lang"), F.coalesce("d.source", F.lit("")).alias("source")).withColumn("domain", domain_of(F.col("source")))
+    joined = leaf.join(_sized(plan.select(*LEVELS, "epochs", "cut_key", "cut_tokens")), LEVELS).withColumn("key", epoch_key(mix.seed, F.col("epochs")))
+    times = F.col("epochs") + F.coalesce((F.col("key") <= F.col("cut_key")).cast("int"), F.lit(0))
+    taken = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0), times))).where(F.col("epoch") < times)
+    ends = (F.col("epoch") == F.col("epochs")) & (F.col("key") == F.col("cut_key"))
+    words = F.regexp_extract_all(F.coalesce("d.text", F.lit("")), F.lit(WORD), F.lit(0))
+    cut = F.when(ends & (F.size(words) > F.col("cut_tokens")), F.array_join(F.slice(words, F.lit(1), F.col("cut_tokens").cast("int")), " ")).otherwise(F.col("d.text"))
+    return taken.select(*[cut.alias("text") if x == "text" else F.col("d")[x].alias(x) for x in docs.columns])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,31 @@
 """Exact top-k search by inner product with no-random-access aggregation (NRA).
 
-Rows are dealt into blocks and queries into chunks of bounded size; a co-grouped task meets each
-chunk with each block. A block keeps one list per dimension, sorted by component. For a query
+Rows are dealt into blocks; each goes to its block once, and every query goes to every block, in the
+order rows first, queries after them, so that a task builds a block's lists and then answers the queries as they stream by.
+A block keeps one list per dimension, sorted by component. For a query
 every list is read from the end that adds most to its score, all lists in step; what has been
 read of a row gives a lower bound of its score (unread components at their list's worst) and an
-upper one (unread components at their list's frontier). Reading stops when no unread row's upper
-bound reaches the k-th score that is certain. Rows whose upper bound still reaches it are
-resolved exactly, so a block's k best are right, ties included, and the k best of all blocks
-follow from a window.
+upper one (unread components at their list's frontier). Reading stops when no row outside the k best lower bounds
+has an upper bound that reaches the k-th of them. Only then are the scores of those k resolved, so a block's k best are right, ties included,
+and the k best of all blocks follow from a window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import read
+from sparkloom.llm.common import checkpointed, read
 
 SCALE = 1024
-BLOCK_ROWS = 32768
-CHUNK_QUERIES = 512
+BLOCK_ROWS = 8192
+#: Parts of the lists that are read between two tests of the bounds.
+STEPS = 12
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -32,8 +35,8 @@ def quantised(vectors: DataFrame) -> DataFrame:
     return vectors.where(usable & F.col("vec_id").isNotNull()).select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+def _matrix(values: np.ndarray, dim: int) -> np.ndarray:
+    values = values.reshape(-1, dim) if dim else values.reshape(0, 0)
     top = float(np.abs(values.astype(np.float64)).max(initial=0))
     if top * top * max(dim, 1) < 2**53:
         return values.astype(np.float64)  # sums of products are exact in doubles
@@ -45,45 +48,39 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable").T.copy().astype(np.int32)
-        self.values = np.take_along_axis(rows.T, self.order.astype(np.int64), axis=1)
+        self.order = np.argsort(rows, axis=0, kind="stable").T.copy()
+        self.values = np.take_along_axis(rows.T, self.order, axis=1)
 
     def top_k(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (ids, scores) of the block, best first, ties by id; the query's own row is left out."""
         n = len(self.ids)
-        k = min(k, n)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        sides = [(self.order[up, ::-1], self.values[up, ::-1], query[up]), (self.order[down], self.values[down], query[down])]
-        worst = [values[:, -1] * q for _, values, q in sides]
-        partial, low = np.zeros(n), np.full(n, float(sum(w.sum() for w in worst)))
-        own = self.ids == query_id
-        certain = np.full(k, -np.inf)
-        resolved = np.zeros(n, bool)
-        at, step = 0, max(64, n // 24)
-        while at < n:
+        weights = np.concatenate([query[up], query[down]])[:, None]
+        order = np.concatenate([self.order[up, ::-1], self.order[down]])
+        adds = np.concatenate([self.values[up, ::-1], self.values[down]]) * weights  # what each entry of a list adds, falling
+        lists = np.arange(len(weights))[:, None]
+        partial, unread = np.zeros(n), np.ones((n, len(weights)))
+        out = self.ids == query_id
+        k = min(k, n - int(out.sum()))
+        best, at, step = np.flatnonzero(~out), 0, max(16, -(-n // STEPS))
+        while at < n and k and len(lists):
             to = min(n, at + step)
-            for (rows, values, q), w in zip(sides, worst, strict=True):
-                index, part = rows[:, at:to].ravel(), values[:, at:to] * q[:, None]
-                partial += np.bincount(index, part.ravel(), n)
-                low += np.bincount(index, (part - w[:, None]).ravel(), n)
-            at, step = to, max(64, n // 24)
-            low[own] = -np.inf
+            index = order[:, at:to]
+            partial += np.bincount(index.ravel(), adds[:, at:to].ravel(), n)
+            unread[index, lists] = 0.0
+            at = to
+            low, high = partial + unread @ adds[:, -1], partial + unread @ adds[:, at - 1]
+            low[out], high[out] = -np.inf, -np.inf
             best = np.argpartition(low, n - k)[n - k :]
-            fresh = best[~resolved[best] & ~own[best]]
-            scores = self.rows[fresh] @ query  # an exact score is the best lower bound
-            resolved[fresh] = True
-            certain = np.sort(np.concatenate([certain, scores]))[-k:]
-            frontier = [values[:, at - 1] * q for _, values, q in sides]
-            if sum(f.sum() for f in frontier) < certain[0]:
+            outside = high.copy()
+            outside[best] = -np.inf
+            if outside.max() < low[best].min():
                 break
-        total = sum(f.sum() for f in frontier)
-        high = partial + total
-        for (rows, _, _), f in zip(sides, frontier, strict=True):
-            high -= np.bincount(rows[:, :at].ravel(), np.repeat(f, at), n)
-        left = np.flatnonzero((high >= certain[0]) & ~own)
-        scores = self.rows[left] @ query
-        first = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left[first]], scores[first]
+        else:  # read to the end: bounds are scores, and ties at the k-th are still open
+            best = np.flatnonzero(~out)
+        scores = self.rows[best] @ query
+        first = np.lexsort((self.ids[best], -scores))[:k]
+        return self.ids[best[first]], scores[first]
 
 
 def _plain(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +90,7 @@ def _plain(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray,
     return ids[first], np.array([scores[i] for i in first], np.int64)
 
 
-def top_k_search(vectors: DataFrame, is_query, k: int = 10, block_rows: int = BLOCK_ROWS, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
+def top_k_search(vectors: DataFrame, is_query, k: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each query's k best other rows by integer inner product, ties to the smaller vec_id.
 
     vectors: vec_id, embedding; other columns are ignored. is_query: a condition on vec_id.
@@ -101,39 +98,64 @@ def top_k_search(vectors: DataFrame, is_query, k: int = 10, block_rows: int = BL
     candidates. Null vectors and those with a null or non-finite component take no part, nor do rows
     of a null vec_id; of rows that repeat a vec_id the smallest vector counts. Scores beyond 64 bits
     count as the limit. Vectors of different dimensions don't meet; those of dimension 0 all score 0. An empty table gives no rows.
+
+    Of n rows each is sent to one block and each query to all, n / block_rows copies of it; a task holds one block, not the queries.
     """
-    v = quantised(vectors).withColumn("dim", F.size("v"))
-    n = v.count()
-    blocks = max(1, -(-n // block_rows))
-    chunks = max(1, -(-v.where(is_query).count() // chunk_queries))
-    deal = lambda parts, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    rows = v.withColumn("block", deal(blocks, 1)).withColumn("chunk", every(chunks))
-    queries = v.where(is_query).withColumn("chunk", deal(chunks, 2)).withColumn("block", every(blocks))
-
-    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            dim = key[0].as_py()
-            ids, qids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-            data, asked = _matrix(left["v"], dim), _matrix(right["v"], dim)
-            exact = data.dtype == asked.dtype == np.float64 and np.abs(data).max(initial=0) * np.abs(asked).max(initial=0) * max(dim, 1) < 2**53
-            lists = SortedLists(ids, data) if exact and dim else None
-            for query_id, query in zip(qids.tolist(), asked, strict=True):
-                if lists is None:
-                    found, scores = _plain(ids, data.astype(object), query_id, query.astype(object), k)
-                else:
-                    found, scores = lists.top_k(query_id, query, k)
-                out += [(query_id, int(a), int(s)) for a, s in zip(found, scores, strict=True)]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
-
-    keys = ["dim", "block", "chunk"]
-    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
+    v = checkpointed(quantised(vectors).withColumn("dim", F.size("v")).withColumn("asks", is_query))
+    blocks = max(1, -(-v.count() // block_rows))
+    rows = v.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
+    queries = v.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = rows.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "dim", "asks").select("block", "dim", "asks", "vec_id", "v")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        block = None
+        for batch in batches:
+            ids = batch.column("vec_id").to_numpy()
+            key = np.stack([batch.column("block").to_numpy(), batch.column("dim").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False).astype(np.int64)])
+            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            out: list[tuple] = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                (number, dim, asks), values = key[:, a].tolist(), batch.column("v").slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
+                if (number, dim) != now:
+                    now, held, block = (number, dim), [], None
+                if not asks:
+                    held.append((ids[a:b], values))
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    block = _Block(np.concatenate([x for x, _ in held]), _matrix(np.concatenate([x for _, x in held]), dim), dim)
+                for query_id, query in zip(ids[a:b].tolist(), _matrix(values, dim) if dim else [np.empty(0)] * (b - a), strict=True):
+                    found, scores = block.top_k(query_id, query, k)
+                    out += [(query_id, int(x), int(s)) for x, s in zip(found, scores, strict=True)]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class _Block:
+    """A block of one dimension; its lists are sorted when a query first needs them."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, dim: int):
+        self.ids, self.rows, self.dim, self.lists = ids, rows if dim else np.empty((len(ids), 0)), dim, None
+        self.top = float(np.abs(self.rows.astype(np.float64)).max(initial=0))
+
+    def top_k(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        top = float(np.abs(query.astype(np.float64)).max(initial=0))
+        if not self.dim or self.rows.dtype == object or query.dtype == object or self.top * top * self.dim >= 2**53:
+            return _plain(self.ids, self.rows.astype(object), query_id, query.astype(object), k)
+        if self.lists is None:
+            self.lists = SortedLists(self.ids, self.rows)
+        return self.lists.top_k(query_id, query, k)
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -32,7 +33,7 @@ def test_topk_against_brute_force(spark, block_rows):
     rows += [(500, None), (501, [None] * 12), (502, [float("nan")] * 12), (503, [float("inf")] * 12), (None, [0.2] * 12), (510, [0.0] * 12), (520, [0.3] * 5), (600, [0.1] * 5), (30, [9.0] * 12), (700, []), (710, [])]
     rows += [(800, [3e12] * 12), (801, [-3e12] * 12)]
     df = spark.createDataFrame([(*x, 1, "clash") for x in rows], "vec_id long, embedding array<float>, block int, v string").repartition(5)
-    got = topk_search.top_k_search(df, F.col("vec_id") % 10 == 0, 10, block_rows, 16)
+    got = topk_search.top_k_search(df, F.col("vec_id") % 10 == 0, 10, block_rows)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
     assert sorted(tuple(x) for x in got.collect()) == brute_topk(rows, 10, 10)
 
@@ -145,11 +146,38 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     near = seen["near_dedup"]
     want = sorted(x.doc_id for x in mixing.mix_sources(near).collect())
     assert sorted(x.doc_id for x in seen["mixing"].collect()) == want
-    texts = {x.doc_id: x.text for x in near.collect()}
     own = bpe.Bpe(bpe.default_path())
-    for x in seen["bpe"].collect():
-        assert x.ids == own.encode_batch([texts[x.doc_id]], {})[0]
+    encoded = lambda x: (x.doc_id, bytes(own.encode_batch([x.text], {})[0]))
+    assert sorted((x.doc_id, bytes(x.ids)) for x in seen["bpe"].collect()) == sorted(map(encoded, seen["mixing"].collect()))
+    count = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    taken = sorted((x.doc_id, x.tokens_taken) for x in mixing.mix_sources(near).collect())
+    assert sorted((x.doc_id, count(x.text)) for x in seen["mixing"].collect()) == taken
     total = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(x.doc_id for x in total.collect()) == want
     assert before.count() == len(want) and exact_dedup.exact_dedup(near).where("NOT kept").count() == 0
     assert language_id.identify(near, language_id.train(near)).count() == near.count()
+
+
+def test_pipeline_of_tricky_rows(spark, tricky, tmp_path):
+    """Repeated rows, a long text, nulls and clashing columns: one row a group stays, and columns pass through."""
+    docs, rows = tricky
+    docs.unionByName(docs.where("doc_id = 60")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "bpe" or out.columns == columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "exact_dedup":
+            texts = ["".join(re.split(r"[\x20\x09-\x0D]+", x.text)) for x in docs.collect()]
+            assert len(texts) == len(set(texts)) and max(map(len, texts)) > 200_000
+        if name == "near_dedup":
+            label = [simhash.fingerprint(x.text) for x in docs.collect()]
+            assert all((a ^ b).bit_count() > 3 for i, a in enumerate(label) for b in label[:i])
+    assert docs.count() > 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
