@@ -7,7 +7,8 @@ ANDed, are the set of all languages that contain it, so one probe asks all of th
 score in a language is the popcount of its column over all n-grams, corrected for the false
 positives that the filter's density predicts.
 
-The table of words is the whole model: TABLE_BITS and the number of languages bound its size.
+The table of words is the whole model. It grows with the n-grams that the languages keep, up to 2^MOST_BITS words per 64 languages; beyond
+that filters get denser, which the correction takes into account: no n-gram is left out for room.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,21 +27,20 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import checkpointed, read
 
 HASHES = 3
-TABLE_BITS = 20
-#: Most n-grams kept for a language: the densest filter stays below HASHES * KEPT / 2^TABLE_BITS.
-KEPT = 40_000
+#: Least and most bits of a position in the table, and the density of the densest filter that they are chosen for.
+LEAST_BITS, MOST_BITS, DENSITY = 20, 24, 0.12
 #: Documents of each language, in expectation, that the filters are trained on.
 TRAIN_DOCS = 10_000
-#: An n-gram is typical of a language if its share there is at least this part of its share in any other.
+#: An n-gram is typical of a language if it was seen there at least twice and its share there is at least this part of its share in any other.
 TYPICAL = 0.5
 LANGUAGES_PER_WORD = 64
 #: N-grams that a task holds, besides one text's, before it counts them.
 HELD = 1 << 22
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def grams(text: str) -> np.ndarray:
-    """Keys of the trigrams of the lower-cased text; what isn't a letter counts as a space, runs as one."""
+    """Keys of the trigrams of the lower-cased text; runs of other than letters (and number signs such as ½) count as one space."""
     words = " ".join(_WORDS.findall(text.lower()))
     points = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if len(points) < 3:
@@ -69,7 +70,10 @@ class LanguageFilters:
     false_positive: np.ndarray
 
     @classmethod
-    def build(cls, kept: list[tuple[str, np.ndarray]], bits: int = TABLE_BITS) -> LanguageFilters:
+    def build(cls, kept: list[tuple[str, np.ndarray]], bits: int | None = None) -> LanguageFilters:
+        if bits is None:
+            needed = HASHES * max((len(keys) for _, keys in kept), default=0) / DENSITY
+            bits = min(MOST_BITS, max(LEAST_BITS, int(needed).bit_length()))
         table = np.zeros((1 << bits, max(1, -(-len(kept) // LANGUAGES_PER_WORD))), np.uint64)
         density = []
         for number, (_, keys) in enumerate(kept):
@@ -121,11 +125,12 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_lang, held = {}, 0
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, kept: int = KEPT) -> LanguageFilters:
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageFilters:
     """Learns the filters from documents' text and lang (rows where either is null are left out).
 
     Of a language with more than train_docs documents, a part is drawn by a hash of the text, so
-    that about so many are read: a bound on what the classifier is fitted on. Copies of a text count once.
+    that about so many are read: a bound on what the classifier is fitted on. Copies of a text count once. Long texts
+    are read whole, empty ones add nothing, and no documents, or none with a language, give filters that know none.
     """
     usable = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
     sizes = {lang: n for lang, n in usable.groupBy("lang").count().collect()}  # one row per language
@@ -138,8 +143,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, kept: int = KEPT) -> La
     shares = checkpointed(counts).withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("lang")))
     most = F.max("share").over(W.partitionBy("gram"))
     typical = shares.withColumn("most", most).where((F.col("share") >= TYPICAL * F.col("most")) & (F.col("n") > 1))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.col("share").desc(), "gram"))
-    rows = typical.withColumn("rank", rank).where(F.col("rank") <= kept).groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()
+    rows = typical.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # n-grams of a bounded draw
     return LanguageFilters.build(sorted((lang, np.array(found, np.int64).view(np.uint64)) for lang, found in rows))
 
 
@@ -170,7 +174,10 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
 
 def identified(docs: DataFrame, filters: LanguageFilters, least_known: float) -> DataFrame:
     """The documents, with all their columns and lang set to the language found, that the filters don't reject:
-    those with a letter and at least the part least_known of their n-grams in that language."""
+    those with a letter and at least the part least_known of their n-grams in that language.
+
+    Null and empty texts go; long texts are read whole; repeated rows and ties (the first language in order) are treated alike each
+    time; columns of any names pass as they are, and an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
