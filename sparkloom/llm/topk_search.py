@@ -25,7 +25,9 @@ from sparkloom.llm.common import checkpointed, read
 SCALE = 1024
 BLOCK_ROWS = 8192
 #: Parts of the lists that are read between two tests of the bounds.
-STEPS = 12
+STEPS = 6
+#: Queries that a block answers together.
+ASKED = 128
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -44,43 +46,58 @@ def _matrix(values: np.ndarray, dim: int) -> np.ndarray:
 
 
 class SortedLists:
-    """A block of rows with one list per dimension, ascending."""
+    """A block of rows with one list per dimension, ascending; `place` is each component's place in its list, [dimension, row]."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(rows.T, self.order, axis=1)
-
-    def top_k(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (ids, scores) of the block, best first, ties by id; the query's own row is left out."""
-        n = len(self.ids)
-        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        weights = np.concatenate([query[up], query[down]])[:, None]
-        order = np.concatenate([self.order[up, ::-1], self.order[down]])
-        adds = np.concatenate([self.values[up, ::-1], self.values[down]]) * weights  # what each entry of a list adds, falling
-        lists = np.arange(len(weights))[:, None]
-        partial, unread = np.zeros(n), np.ones((n, len(weights)))
-        out = self.ids == query_id
-        k = min(k, n - int(out.sum()))
-        best, at, step = np.flatnonzero(~out), 0, max(16, -(-n // STEPS))
-        while at < n and k and len(lists):
+        self.ids, self.columns = ids, np.ascontiguousarray(rows.T)
+        order = np.argsort(self.columns, axis=1, kind="stable")
+        self.values = np.take_along_axis(self.columns, order, axis=1)
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=np.int32)[None, :], axis=1)
+
+    def top_k(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (a row of `queries`) the k best (ids, scores) of the block, best first, ties by id; its own row is left out.
+
+        Lists are read in slices, for all queries at once: from the top where a query's component is positive, from the
+        bottom where it is negative. Bounds are sums over what is read and what isn't; a query that has stopped reads no more.
+        """
+        n, found = len(self.ids), [(self.ids[:0], np.empty(0))] * len(query_ids)
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        partial, going = np.zeros((len(queries), n)), np.arange(len(queries))
+        own = [np.flatnonzero(self.ids == x) for x in query_ids]
+        from_top, at, step = n - 1 - self.place, 0, max(16, -(-n // STEPS))
+        while len(going):
             to = min(n, at + step)
-            index = order[:, at:to]
-            partial += np.bincount(index.ravel(), adds[:, at:to].ravel(), n)
-            unread[index, lists] = 0.0
-            at = to
-            low, high = partial + unread @ adds[:, -1], partial + unread @ adds[:, at - 1]
-            low[out], high[out] = -np.inf, -np.inf
-            best = np.argpartition(low, n - k)[n - k :]
-            outside = high.copy()
-            outside[best] = -np.inf
-            if outside.max() < low[best].min():
-                break
-        else:  # read to the end: bounds are scores, and ties at the k-th are still open
-            best = np.flatnonzero(~out)
-        scores = self.rows[best] @ query
-        first = np.lexsort((self.ids[best], -scores))[:k]
-        return self.ids[best[first]], scores[first]
+            new_up = self.columns * ((from_top >= at) & (from_top < to))
+            new_down = self.columns * ((self.place >= at) & (self.place < to))
+            partial = partial + up[going] @ new_up + down[going] @ new_down
+            at, open_ = to, np.zeros(len(going), bool)
+            if at < n:
+                left_up, left_down = (from_top >= at).astype(np.float64), (self.place >= at).astype(np.float64)
+                low = partial + (up[going] * self.values[:, 0]) @ left_up + (down[going] * self.values[:, -1]) @ left_down
+                high = partial + (up[going] * self.values[:, n - at]) @ left_up + (down[going] * self.values[:, at - 1]) @ left_down
+            else:  # read to the end: the bounds are the scores
+                low = high = partial
+            for j, query in enumerate(going.tolist()):
+                most = min(k, n - len(own[query]))
+                if not most:
+                    continue
+                low[j, own[query]] = high[j, own[query]] = -np.inf
+                best = np.argpartition(low[j], n - most)[n - most :]
+                least = low[j, best].min()
+                if at < n:
+                    outside = high[j].copy()
+                    outside[best] = -np.inf
+                    if outside.max() >= least:
+                        open_[j] = True
+                        continue
+                else:
+                    best = np.flatnonzero(low[j] >= least)  # with all ties at the k-th
+                scores = queries[query] @ self.columns[:, best]  # of the rows that are left, resolved
+                first = np.lexsort((self.ids[best], -scores))[:most]
+                found[query] = self.ids[best[first]], scores[first]
+            going, partial = going[open_], partial[open_]
+        return found
 
 
 def _plain(ids: np.ndarray, rows: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +146,11 @@ def top_k_search(vectors: DataFrame, is_query, k: int = 10, block_rows: int = BL
                     continue
                 if block is None:
                     block = _Block(np.concatenate([x for x, _ in held]), _matrix(np.concatenate([x for _, x in held]), dim), dim)
-                for query_id, query in zip(ids[a:b].tolist(), _matrix(values, dim) if dim else [np.empty(0)] * (b - a), strict=True):
-                    found, scores = block.top_k(query_id, query, k)
-                    out += [(query_id, int(x), int(s)) for x, s in zip(found, scores, strict=True)]
+                asked = _matrix(values, dim) if dim else np.empty((b - a, 0))
+                for i in range(a, b, ASKED):
+                    part = ids[i : min(b, i + ASKED)]
+                    for query_id, (found, scores) in zip(part.tolist(), block.top_k(part, asked[i - a : i - a + len(part)], k), strict=True):
+                        out += [(query_id, int(x), int(s)) for x, s in zip(found, scores, strict=True)]
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
@@ -147,13 +166,13 @@ class _Block:
         self.ids, self.rows, self.dim, self.lists = ids, rows if dim else np.empty((len(ids), 0)), dim, None
         self.top = float(np.abs(self.rows.astype(np.float64)).max(initial=0))
 
-    def top_k(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        top = float(np.abs(query.astype(np.float64)).max(initial=0))
-        if not self.dim or self.rows.dtype == object or query.dtype == object or self.top * top * self.dim >= 2**53:
-            return _plain(self.ids, self.rows.astype(object), query_id, query.astype(object), k)
+    def top_k(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        top = float(np.abs(queries.astype(np.float64)).max(initial=0))
+        if not self.dim or self.rows.dtype == object or queries.dtype == object or self.top * top * self.dim >= 2**53:
+            return [_plain(self.ids, self.rows.astype(object), i, q.astype(object), k) for i, q in zip(query_ids.tolist(), queries, strict=True)]
         if self.lists is None:
             self.lists = SortedLists(self.ids, self.rows)
-        return self.lists.top_k(query_id, query, k)
+        return self.lists.top_k(query_ids, queries, k)
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
