@@ -1,24 +1,24 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fitting reads a bounded draw of labelled documents. It selects as vocabulary the words and word
-beginnings that go with label 1, and keeps up to EXAMPLES labelled documents that hold any. All
-documents are then turned into sparse vectors over that vocabulary; inverse document frequencies
-are counted over all of them. The index lists each feature's examples in blocks of BLOCK with the
-largest weight of every block, so a query bounds its cosine with any example of a block, takes
-the blocks in the order of their bounds and stops when no block can hold a nearer example: the
+Every word of a text takes part: words are hashed to 2^BITS terms, whose document frequencies are counted over all
+documents. A term weighs (1 + ln tf) * idf * (BASE + relevance), where relevance is 0 for most terms and rises to 1
+for those that go with label 1 beyond chance among a bounded draw of labelled documents: without it rare words, which say nothing of
+toxicity, would decide who is near. The index holds up to EXAMPLES labelled documents with all their terms: each term's
+examples in blocks of BLOCK with the largest weight of every block, so a query bounds its cosine with any example of a block,
+takes the blocks in the order of their bounds and stops when no block can hold a nearer example: the
 nearest are exact. They vote with weights that fall with distance, beside a prior for the base
 rate; votes become probabilities by isotonic regression over the examples, each left out in turn.
 
-The vocabulary, the index and the calibration are bounded by FEATURES and EXAMPLES, whatever the corpus.
+Terms' weights, the index and the calibration are bounded by BITS and EXAMPLES, whatever the corpus.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,124 +27,143 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import checkpointed, read
 
-#: Labelled documents, in expectation, that the vocabulary is chosen on; a bound on the fit.
+#: Labelled documents, in expectation, that relevance is learned on; a bound on the fit.
 FIT_DOCS = 12_000
-EXAMPLES = 4096
-FEATURES = 512
+EXAMPLES = 2048
+#: Words are hashed to 2^BITS terms.
+BITS = 20
 BLOCK = 128
 NEAREST = 16
 #: Weight of the base rate among the votes.
 PRIOR = 1.0
-#: Least deviation from the base rate, in standard deviations, and least toxic documents of a feature.
-LEAST_Z, LEAST_DOCS = 5.0, 4
-PREFIXES = range(3, 8)
+#: A term's part in the weights without relevance, and the deviation from the base rate, in standard deviations, that relevance starts at.
+BASE, LEAST_Z = 0.02, 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_features(word: str) -> list[str]:
-    """The word itself and its beginnings, which carry the meaning of compounds."""
-    return [word, *(f"{word[:n]}-" for n in PREFIXES if n < len(word))]
+def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of a text's words, ascending, and their counts."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    found = np.fromiter((crc32(x.encode("utf-8", "surrogatepass")) for x in words), np.int64, len(words)) & ((1 << BITS) - 1)
+    distinct, at = np.unique(found, return_inverse=True)
+    return distinct, np.bincount(at, np.fromiter(words.values(), float, len(words)), len(distinct))
 
 
-def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, n, toxic) over each batch of labelled documents."""
-    for batch in batches:
-        n, toxic = Counter(), Counter()
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            found = {x for word in set(_WORD.findall(text.lower())) for x in word_features(word)}
-            n.update(found)
-            if label:
-                toxic.update(found)
-        kept = list(n)  # also what no toxic document of this batch holds: one of another batch may
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([n[x] for x in kept], pa.int64()), pa.array([toxic[x] for x in kept], pa.int64())], names=["feature", "n", "toxic"])
+def _rows(n: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    held = np.flatnonzero(n)
+    columns = {"term": held, "n": n[held], **{name: x[held] for name, x in more.items()}}
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
 
-def choose_vocabulary(labelled: DataFrame) -> tuple[list[str], float]:
-    """The features that go with label 1 beyond chance, at most FEATURES, and the base rate."""
-    totals = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    rate = totals["toxic"] / totals["n"] if totals["n"] else 0.0
-    if not 0 < rate < 1:
-        return [], rate
-    counts = labelled.select("text", "toxic").mapInArrow(_count_features, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    z = (F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    best = counts.withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("toxic") >= LEAST_DOCS))
-    return [x["feature"] for x in best.orderBy(F.col("z").desc(), "feature").limit(FEATURES).collect()], rate
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, n): in how many documents a term is; each task counts in one table of all terms."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                words = set(_WORD.findall((text.as_py() or "").lower()))
+                n[np.unique(np.fromiter((crc32(x.encode("utf-8", "surrogatepass")) for x in words), np.int64, len(words)) & ((1 << BITS) - 1))] += 1
+        yield _rows(n)
+
+    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-def vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Adds to doc_id: `features` (numbers in the vocabulary, ascending) and `tf` (their counts)."""
-    number = {x: i for i, x in enumerate(vocabulary)}
+
+def relevance(labelled: DataFrame) -> tuple[np.ndarray, float]:
+    """Each term's relevance, 0 to 1, and the base rate. labelled: text, toxic."""
+    totals = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    rate, out = totals["toxic"] / totals["n"] if totals["n"] else 0.0, np.zeros(1 << BITS)
+    if not 0 < rate < 1:
+        return out, rate
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        n, toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            features, tf = [], []
-            for text in batch.column("text"):
-                found: Counter = Counter()
-                for word in _WORD.findall((text.as_py() or "").lower()):
-                    ids = known.get(word)
-                    if ids is None:
-                        if len(known) > 1 << 19:
-                            known.clear()
-                        ids = known[word] = [number[x] for x in word_features(word) if x in number]
-                    if ids:
-                        found.update(ids)
-                features.append(sorted(found))
-                tf.append([found[x] for x in features[-1]])
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(features, kind), pa.array(tf, kind)], names=["doc_id", "features", "tf"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, features array<int>, tf array<int>")
+            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                found = terms(text.as_py())[0]
+                n[found] += 1
+                toxic[found] += label
+        yield _rows(n, toxic=toxic)
+
+    counts = labelled.select("text", "toxic").mapInArrow(run, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    z = (F.col("toxic") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
+    beyond = counts.select("term", z.alias("z")).where(F.col("z") > LEAST_Z).toPandas()
+    if len(beyond):
+        out[beyond["term"].to_numpy()] = (beyond["z"].to_numpy() - LEAST_Z) / (beyond["z"].max() - LEAST_Z)
+    return out, rate
+
+
+def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and the range of each."""
+    sizes = ends - starts
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(of)) + (starts - np.cumsum(sizes) + sizes)[of], of
 
 
 @dataclass
 class BlockMaxIndex:
-    """Examples by feature: per block of BLOCK examples the postings (example, weight), and each feature's largest weight in it."""
+    """Examples by term. Entries are pairs of a term and a block that has it: term t's are first[t] to first[t + 1]; an entry
+    has the largest weight in its block and the range of its postings (example, weight)."""
 
     ids: np.ndarray
     labels: np.ndarray
-    idf: np.ndarray
-    block_max: np.ndarray  # [feature, block]
-    postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    weights: np.ndarray  # of every term: idf * (BASE + relevance)
+    first: np.ndarray
+    block: np.ndarray
+    largest: np.ndarray
+    bounds: np.ndarray
+    example: np.ndarray
+    weight: np.ndarray
 
     @classmethod
-    def build(cls, examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray) -> BlockMaxIndex:
-        """examples: (doc_id, label, features, tf). Those with the same leading feature come together, so that blocks differ."""
-        weight = lambda f, tf: unit((1 + np.log(np.array(tf, float))) * idf[f])
-        placed = sorted(((f[int(np.argmax(w))], f, doc_id, label, w) for doc_id, label, f, tf in examples for w in [weight(f, tf)]), key=lambda x: (x[0], x[1], x[2]))
-        index = cls(np.array([x[2] for x in placed], np.int64), np.array([x[3] for x in placed], float), idf, np.zeros((len(idf), max(1, -(-len(placed) // BLOCK)))))
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for at, (_, features, _, _, weights) in enumerate(placed):
-            for f, w in zip(features, weights, strict=True):
-                lists.setdefault((f, at // BLOCK), []).append((at % BLOCK, w))
-        for (f, block), found in lists.items():
-            where, weights = zip(*found, strict=True)
-            index.postings[f, block] = np.array(where), np.array(weights)
-            index.block_max[f, block] = max(weights)
-        return index
-
-    def nearest(self, features: list[int], tf: list[int], k: int = NEAREST, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def build(cls, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: np.ndarray) -> BlockMaxIndex:
+        """examples: (doc_id, label, terms, tf). Those with the same leading term come together, so that blocks differ."""
+        vectors = [(doc_id, label, t, unit((1 + np.log(tf)) * weights[t])) for doc_id, label, t, tf in examples]
+        vectors.sort(key=lambda x: (-x[3].max(initial=0.0), x[0]))
+        vectors.sort(key=lambda x: int(x[2][np.argmax(x[3])]) if len(x[2]) else -1)
+        of = np.repeat(np.arange(len(vectors)), [len(x[2]) for x in vectors]).astype(np.int64)
+        term = np.concatenate([x[2] for x in vectors]) if vectors else np.empty(0, np.int64)
+        weight = np.concatenate([x[3] for x in vectors]) if vectors else np.empty(0)
+        order = np.lexsort((of, term))
+        term, of, weight = term[order], of[order], weight[order]
+        key = term * (len(vectors) // BLOCK + 1) + of // BLOCK
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        largest = np.maximum.reduceat(weight, starts) if len(starts) else np.empty(0)
+        first = np.searchsorted(term[starts], np.arange((1 << BITS) + 1)).astype(np.int32)
+        bounds = np.append(starts, len(key))
+        return cls(np.array([x[0] for x in vectors], np.int64), np.array([x[1] for x in vectors], float), weights, first, of[starts] // BLOCK, largest, bounds, of, weight)
+
+    def nearest(self, found: np.ndarray, tf: np.ndarray, k: int = NEAREST, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, ties to the smaller doc_id; `but` is left out."""
-        query = unit((1 + np.log(np.array(tf, float))) * self.idf[features])
-        bounds = query @ self.block_max[features]
-        places, cosines, least = np.empty(0, int), np.empty(0), 0.0
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or (len(places) >= k and bounds[block] < least - 1e-9):
+        query = unit((1 + np.log(tf)) * self.weights[found])
+        entry, of = _spread(self.first[found].astype(np.int64), self.first[found + 1].astype(np.int64))
+        block, q = self.block[entry], query[of]
+        bounds = np.bincount(block, q * self.largest[entry], -(-len(self.ids) // BLOCK))
+        by_bound = np.argsort(-bounds, kind="stable")
+        rank = np.empty(len(by_bound), np.int64)
+        rank[by_bound] = np.arange(len(by_bound))
+        turn = rank[block]
+        order = np.argsort(turn, kind="stable")
+        entry, q, turn = entry[order], q[order], turn[order]
+        places, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
+        at, take = 0, 2
+        while at < len(by_bound):
+            top = bounds[by_bound[at]]
+            if top <= 0 or (len(places) >= k and top < least - 1e-9):
                 break
-            scores = np.zeros(min(BLOCK, len(self.ids) - block * BLOCK))
-            for f, q in zip(features, query.tolist(), strict=True):
-                if (found := self.postings.get((f, block))) is not None:
-                    scores[found[0]] += q * found[1]
+            a, b = np.searchsorted(turn, (at, at + take))
+            posting, of = _spread(self.bounds[entry[a:b]], self.bounds[entry[a:b] + 1])
+            scores = np.bincount(self.example[posting], q[a:b][of] * self.weight[posting], len(self.ids))
             near = np.flatnonzero(scores > max(0.0, least - 1e-9))
-            places, cosines = np.concatenate([places, near + block * BLOCK]), np.concatenate([cosines, scores[near]])
             if but is not None:
-                own = self.ids[places] != but
-                places, cosines = places[own], cosines[own]
+                near = near[self.ids[near] != but]
+            places, cosines = np.concatenate([places, near]), np.concatenate([cosines, scores[near]])
             if len(places) > k:
                 first = np.lexsort((self.ids[places], -np.round(cosines, 9)))[:k]
                 places, cosines = places[first], cosines[first]
             if len(places) >= k:
                 least = cosines.min()
+            at, take = at + take, 2 * take
         order = np.lexsort((self.ids[places], -np.round(cosines, 9)))[:k]
         return places[order], np.minimum(1.0, cosines[order])
 
@@ -177,11 +196,12 @@ class Model:
     bare_rate: float
     knots: tuple[np.ndarray, np.ndarray]
 
-    def score(self, features: list[int], tf: list[int]) -> tuple[float, list[tuple[int, float, int]]]:
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
         """The probability of label 1 and the examples it rests on: (doc_id, cosine, label)."""
-        if not features or not len(self.index.ids):
+        found, tf = terms(text)
+        if not len(found) or not len(self.index.ids):
             return self.bare_rate, []
-        places, cosines = self.index.nearest(features, tf)
+        places, cosines = self.index.nearest(found, tf)
         vote = self.index.vote(places, cosines, self.rate)
         score = float(np.interp(vote, *self.knots)) if len(self.knots[0]) else vote
         return score, [(int(i), float(c), int(y)) for i, c, y in zip(self.index.ids[places], cosines, self.index.labels[places], strict=True)]
@@ -191,54 +211,65 @@ def _drawn(id_column: str, share: float):
     return F.pmod(F.xxhash64(id_column, F.lit(3)), F.lit(1_000_000)) < share * 1_000_000
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """Scores every whole text of docs (doc_id, text) from labels (doc_id, toxic 0 or 1); other columns are ignored.
-
-    Returns one row per row of docs: doc_id, score (0 to 1), predicted (1 if score >= 0.5), evidence
-    (nearest examples: doc_id, cosine, toxic; nearest first).
-    Null and empty texts, and those without a chosen feature, get the rate of such texts among the
-    examples and no evidence; without labels the score is 0. Labels that are null or have no document don't count;
-    of several labels of a document the largest counts. An empty table of docs gives no rows.
-    """
+def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, most_examples: int = EXAMPLES) -> Model:
+    """The model of docs (doc_id, text) and labels (doc_id, toxic): see score_toxicity()."""
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, fit_docs / max(1, usable.count()))
     drawn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(_drawn("doc_id", share)).join(usable.where(_drawn("doc_id", share)), "doc_id")
     labelled = checkpointed(drawn.groupBy(F.xxhash64("text").alias("of")).agg(F.min_by(F.struct("doc_id", "text", "toxic"), "doc_id").alias("x")).select("x.*"))  # one of each text
-    vocabulary, rate = choose_vocabulary(labelled)
-
-    rows = checkpointed(vectors(docs, vocabulary))
-    total = rows.count()
-    df = {x["f"]: x["n"] for x in rows.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).collect()}  # FEATURES rows at most
-    idf = np.array([math.log((total + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(vocabulary))])
-
-    known = checkpointed(vectors(labelled, vocabulary).join(labelled.select("doc_id", "toxic"), "doc_id"))
-    bare = known.where("size(features) = 0").agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    weights, rate = relevance(labelled)
+    counted = document_frequencies(docs).toPandas()  # 2^BITS rows at most
+    n = np.zeros(1 << BITS)
+    n[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    weights = (np.log((docs.count() + 1) / (n + 1)) + 1) * (BASE + weights)
+
+    wordless = ~F.col("text").rlike(r"\p{L}")
+    bare = labelled.where(wordless).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     bare_rate = (bare["toxic"] + 0.5 * rate) / (bare["n"] + 0.5) if rate else 0.0
-    spread = known.where("size(features) > 0")
-    first = spread.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(EXAMPLES)
-    examples = [(x["doc_id"], x["toxic"], x["features"], x["tf"]) for x in first.collect()]
-    index = BlockMaxIndex.build(examples, idf)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [terms(x.as_py()) for x in batch.column("text")]
+            columns = [batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "terms", "tf"])
+
+    first = labelled.where(~wordless).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(most_examples)
+    table = checkpointed(first.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, tf array<double>"))
+    examples = [(x["doc_id"], x["toxic"], np.array(x["terms"], np.int64), np.array(x["tf"])) for x in table.collect()]
+    index = BlockMaxIndex.build(examples, weights)
     context = docs.sparkSession.sparkContext
-    shared_index = context.broadcast(index)
+    shared = context.broadcast(index)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared_index.value
         for batch in batches:
-            votes = [index.vote(*index.nearest(f, tf, but=i), rate) for i, f, tf in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "features", "tf")), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic").cast(pa.int32())], names=["vote", "toxic"])
+            rows = zip(*(batch.column(x).to_pylist() for x in ("doc_id", "terms", "tf")), strict=True)
+            votes = [shared.value.vote(*shared.value.nearest(np.array(t, np.int64), np.array(tf), but=i), rate) for i, t, tf in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], names=["vote", "toxic"])
 
-    tried = first.repartition(12).mapInArrow(left_out, "vote double, toxic int").toPandas()
-    model = context.broadcast(Model(index, rate, bare_rate, isotonic(tried["vote"].to_numpy(float), tried["toxic"].to_numpy(float))))
+    tried = table.repartition(max(1, context.defaultParallelism), "doc_id").mapInArrow(left_out, "vote double, toxic int").toPandas()
+    return Model(index, rate, bare_rate, isotonic(tried["vote"].to_numpy(float), tried["toxic"].to_numpy(float)))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, most_examples: int = EXAMPLES) -> DataFrame:
+    """Scores every whole text of docs (doc_id, text) from labels (doc_id, toxic 0 or 1); other columns are ignored.
+
+    Returns one row per row of docs: doc_id, score (0 to 1), predicted (1 if score >= 0.5), evidence
+    (nearest examples: doc_id, cosine, toxic; nearest first).
+    Null and empty texts, and those without a letter, get the rate of such texts among the labelled
+    and no evidence; without labels the score is 0. Labels that are null or have no document don't count;
+    of several labels of a document the largest counts. An empty table of docs gives no rows.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_docs, most_examples))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
-            found = [model.value.score(f, tf) for f, tf in zip(batch.column("features").to_pylist(), batch.column("tf").to_pylist(), strict=True)]
+            found = [model.value.score(x.as_py()) for x in batch.column("text")]
             evidence = [[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in near] for _, near in found]
             scores = np.array([x for x, _ in found], float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
 
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -184,25 +186,27 @@ def test_toxicity_learns_and_generalises(spark, tricky, empty):
     assert toxicity.score_toxicity(empty, marks).count() == 0
 
 
-def test_toxicity_vocabulary_whatever_the_partitions(spark):
+def test_toxicity_relevance_whatever_the_partitions(spark):
     rows, labels = toxic_rows(400)
     labelled = spark.createDataFrame([(x[1], y[2]) for x, y in zip(rows, labels, strict=True)], "text string, toxic int")
-    one, many = (toxicity.choose_vocabulary(labelled.repartition(n)) for n in (1, 50))
-    assert one == many and "vilest" in one[0]
+    (one, rate), (many, _) = (toxicity.relevance(labelled.repartition(n)) for n in (1, 50))
+    assert (one == many).all() and rate == 0.2 and one.max() == 1.0
+    assert all(one[toxicity.terms(x)[0][0]] > 0.3 for x in ("vilest", "grotty", "nastyish")) and one[toxicity.terms("xyzzy")[0][0]] == 0
 
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(6)
-    idf = rng.uniform(1, 5, 60)
+    weights = np.zeros(1 << toxicity.BITS)
+    weights[:60] = rng.uniform(1, 5, 60)
     examples = []
     for i in range(1000):
-        f = sorted(rng.choice(60, rng.integers(1, 8), replace=False).tolist())
-        examples.append((i, int(rng.integers(0, 2)), f, rng.integers(1, 9, len(f)).tolist()))
-    index = toxicity.BlockMaxIndex.build(examples, idf)
+        f = np.sort(rng.choice(60, rng.integers(1, 8), replace=False))
+        examples.append((i, int(rng.integers(0, 2)), f, rng.integers(1, 9, len(f)).astype(float)))
+    index = toxicity.BlockMaxIndex.build(examples, weights)
 
     def dense(f, tf):
         v = np.zeros(60)
-        v[f] = (1 + np.log(np.array(tf, float))) * idf[f]
+        v[f] = (1 + np.log(tf)) * weights[f]
         return v / math.sqrt(v @ v)
 
     matrix = np.array([dense(f, tf) for _, _, f, tf in examples])
@@ -214,6 +218,39 @@ def test_block_max_search_is_exact():
             assert [(-round(min(c, 1.0), 9), int(n)) for c, n in zip(cosines, index.ids[places], strict=True)] == sorted(want)[:16]
 
 
+def test_toxicity_query_against_brute_force(spark):
+    """The query on sf0.001: cosines over all words of all labelled examples, nearest, votes and scores."""
+    folder = "/root/testdata/sf0.001"
+    docs = [(x.doc_id, x.text or "") for x in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    labels = {x.doc_id: x.toxic for x in spark.read.parquet(f"{folder}/labels.parquet").collect() if zlib.crc32(str(x.doc_id).encode()) % 5 and x.toxic is not None}
+    got = {x.doc_id: x for x in toxicity.op3_toxicity(spark, folder).collect()}
+    assert len(got) == len(docs)
+    count = lambda text: Counter(zlib.crc32(w.encode()) % 2**toxicity.BITS for w in re.findall(r"[^\W\d_]+", text.lower()))
+    bags = {i: count(text) for i, text in docs}
+    texts = dict(docs)
+    first = {}
+    for i in sorted(labels):
+        first.setdefault(texts.get(i), i)
+    fitted = [i for text, i in first.items() if text is not None]
+    rate = sum(labels[i] for i in fitted) / len(fitted)
+    df, n, toxic = (Counter(x for i in ids for x in bags[i]) for ids in (bags, fitted, [i for i in fitted if labels[i]]))
+    z = {x: (toxic[x] - n[x] * rate) / math.sqrt(n[x] * rate * (1 - rate)) - toxicity.LEAST_Z for x in n}
+    top = max(max(z.values()), 1e-12)
+    weight = {x: (math.log((len(docs) + 1) / (df[x] + 1)) + 1) * (toxicity.BASE + max(0.0, z.get(x, 0.0)) / top) for x in df}
+
+    def vector(bag):
+        v = {x: (1 + math.log(c)) * weight[x] for x, c in bag.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {x: w / size for x, w in v.items()}
+
+    examples = {i: vector(bags[i]) for i in fitted if bags[i]}
+    for i, text in docs:
+        query = vector(bags[i]) if bags[i] else {}
+        near = sorted((-round(s, 9), j) for j, e in examples.items() if (s := sum(w * e.get(x, 0.0) for x, w in query.items())) > 1e-12)[: toxicity.NEAREST]
+        assert [(x.doc_id, round(x.cosine, 6)) for x in got[i].evidence] == [(j, round(-s, 6)) for s, j in near], text[:80]
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i].predicted == int(got[i].score >= 0.5)
+
+
 def test_isotonic_is_monotone():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.9]), np.array([0.0, 1, 0, 1, 1]))
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all()
@@ -227,7 +264,6 @@ def test_copies_of_a_text_teach_a_language_once(spark):
 
 
 def test_fold_functions_agree(spark):
-    import zlib
 
     rows = spark.range(50).selectExpr("id AS doc_id").withColumn("in", language_id.in_fold(4, 2)).collect()
     assert all(x["in"] == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in rows)
