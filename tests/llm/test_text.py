@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -156,6 +157,50 @@ def test_patterns_discover_new_identifiers(spark, tricky, empty):
     assert pii.find_personal_data(empty).count() == 0
 
 
+def masked_rows(n, seed=8):
+    """Documents with an identifier in one of several contexts; of every kind a fifth is written so that no base pattern matches. Slots also hold plain words, and numbers stand elsewhere."""
+    rng = random.Random(seed)
+    number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randint(4, 8)))
+
+    def card():
+        digits = number(15)
+        check = next(d for d in "0123456789" if pii.luhn(digits + d))
+        return digits + check
+
+    plain = [lambda: f"{name()}{number(2)}@{name()}.example.com", lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), card, lambda: f"+{number(2)} {number(3)} {number(3)} {number(4)}"]
+    masked = [lambda: f"{name()}{number(2)}(at){name()}(dot)example(dot)com", lambda: "-".join(str(rng.randrange(256)) for _ in range(4)), lambda: "/".join(number(4) for _ in range(4)), lambda: f"00{number(2)} {number(3)}-{number(3)}-{number(4)}"]
+    contexts = [[("please write to", "for the forms"), ("her mailbox", "is always full")], [("logged in from", "at night"), ("the host", "did not answer")], [("charged the card", "twice"), ("card number", "has expired")], [("call us on", "before noon"), ("his phone", "was off")]]
+    rows, hidden = [], {}
+    for i in range(n):
+        kind = rng.randrange(4)
+        left, right = rng.choice(contexts[kind])
+        filler = prose(rng, "en", rng.randint(10, 40)).split()
+        at, what = rng.randrange(len(filler)), rng.random()
+        inner = name() if what < 0.03 else masked[kind]() if what < 0.2 else plain[kind]()
+        before = " ".join([*filler[:at], left]) + " "
+        rows.append((i, f"{before}{inner} {right} " + " ".join(filler[at:]) + f" in {1900 + i % 100}, lot {number(6)}"))
+        if 0.03 <= what < 0.2:
+            hidden[i] = (len(before), kind, len(before) + len(inner))
+    return rows, hidden
+
+
+def test_masked_identifiers_are_discovered(spark):
+    rows, hidden = masked_rows(3000)
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    found = {(x.doc_id, *s) for x in got for s in x.discovered}
+    want = {(i, *s) for i, s in hidden.items()}
+    assert len(found & want) / len(want) >= 0.9, len(found & want) / len(want)
+    assert len(found - want) <= 0.02 * len(want), sorted(found - want)[:10]
+
+
+def test_long_runs_are_found_in_linear_time():
+    for text in ("1" * 3_000_000 + ".", "1.2" * 500_000, "+1 " * 300_000, "a@" * 300_000, "(" * 2_000_000):
+        began = time.time()
+        pii.candidates(text, pii.base_spans(text))
+        assert time.time() - began < 30
+
+
 def toxic_rows(n):
     rng = random.Random(4)
     rows, labels = [], []
