@@ -29,9 +29,9 @@ from sparkloom.llm.common import checkpointed, read
 
 #: Labelled documents, in expectation, that relevance is learned on; a bound on the fit.
 FIT_DOCS = 12_000
-EXAMPLES = 2048
-#: Words are hashed to 2^BITS terms.
-BITS = 20
+EXAMPLES = 1536
+#: Words are hashed to 2^BITS terms; counts reach the driver in slabs of 2^SLAB_BITS terms.
+BITS, SLAB_BITS = 20, 12
 BLOCK = 128
 NEAREST = 16
 #: Weight of the base rate among the votes.
@@ -69,6 +69,20 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def _table(counts: DataFrame) -> np.ndarray:
+    """The counts (term, n) as one array over all terms: a few packed rows reach the driver, not one for every term."""
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        slab = np.zeros(1 << SLAB_BITS, np.int64)
+        slab[table["term"].to_numpy() & ((1 << SLAB_BITS) - 1)] = table["n"].to_numpy()
+        return pa.table({"slab": [key[0].as_py()], "n": [slab.tobytes()]})
+
+    out = np.zeros((1 << (BITS - SLAB_BITS), 1 << SLAB_BITS), np.int64)
+    for row in counts.groupBy(F.shiftright("term", SLAB_BITS).alias("slab")).applyInArrow(pack, "slab long, n binary").toLocalIterator():
+        out[row["slab"]] = np.frombuffer(row["n"], np.int64)
+    return out.ravel()
+
+
 def relevance(labelled: DataFrame) -> tuple[np.ndarray, float]:
     """Each term's relevance, 0 to 1, and the base rate. labelled: text, toxic."""
     totals = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
@@ -146,7 +160,7 @@ class BlockMaxIndex:
         order = np.argsort(turn, kind="stable")
         entry, q, turn = entry[order], q[order], turn[order]
         places, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
-        at, take = 0, 2
+        at, take = 0, 4
         while at < len(by_bound):
             top = bounds[by_bound[at]]
             if top <= 0 or (len(places) >= k and top < least - 1e-9):
@@ -218,10 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, most_examp
     drawn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(_drawn("doc_id", share)).join(usable.where(_drawn("doc_id", share)), "doc_id")
     labelled = checkpointed(drawn.groupBy(F.xxhash64("text").alias("of")).agg(F.min_by(F.struct("doc_id", "text", "toxic"), "doc_id").alias("x")).select("x.*"))  # one of each text
     weights, rate = relevance(labelled)
-    counted = document_frequencies(docs).toPandas()  # 2^BITS rows at most
-    n = np.zeros(1 << BITS)
-    n[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    weights = (np.log((docs.count() + 1) / (n + 1)) + 1) * (BASE + weights)
+    weights = (np.log((docs.count() + 1) / (_table(document_frequencies(docs)) + 1)) + 1) * (BASE + weights)
 
     wordless = ~F.col("text").rlike(r"\p{L}")
     bare = labelled.where(wordless).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
@@ -230,12 +241,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, most_examp
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [terms(x.as_py()) for x in batch.column("text")]
-            columns = [batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))]
+            packed = [pa.array([x[part].astype(np.int32).tobytes() for x in found], pa.binary()) for part in (0, 1)]
+            columns = [batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), *packed]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "terms", "tf"])
 
     first = labelled.where(~wordless).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(most_examples)
-    table = checkpointed(first.mapInArrow(vectors, "doc_id long, toxic int, terms array<long>, tf array<double>"))
-    examples = [(x["doc_id"], x["toxic"], np.array(x["terms"], np.int64), np.array(x["tf"])) for x in table.collect()]
+    table = checkpointed(first.mapInArrow(vectors, "doc_id long, toxic int, terms binary, tf binary"))
+    unpacked = lambda t, tf: (np.frombuffer(t, np.int32).astype(np.int64), np.frombuffer(tf, np.int32).astype(float))
+    examples = [(x["doc_id"], x["toxic"], *unpacked(x["terms"], x["tf"])) for x in table.collect()]
     index = BlockMaxIndex.build(examples, weights)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(index)
@@ -243,10 +256,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, most_examp
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(x).to_pylist() for x in ("doc_id", "terms", "tf")), strict=True)
-            votes = [shared.value.vote(*shared.value.nearest(np.array(t, np.int64), np.array(tf), but=i), rate) for i, t, tf in rows]
+            votes = [shared.value.vote(*shared.value.nearest(*unpacked(t, tf), but=i), rate) for i, t, tf in rows]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], names=["vote", "toxic"])
 
     tried = table.repartition(max(1, context.defaultParallelism), "doc_id").mapInArrow(left_out, "vote double, toxic int").toPandas()
+    shared.unpersist()
     return Model(index, rate, bare_rate, isotonic(tried["vote"].to_numpy(float), tried["toxic"].to_numpy(float)))
 
 
