@@ -115,6 +115,13 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return parts.withColumn("_within", within).join(base, "_part").withColumn("place", F.col("_base") + F.col("_within") - 1).drop("_part", "_within", "_base")
 
 
+def numbered_within(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds `place`, numbers from 0 within each key in an order that tells its rows apart; the rows of a key lie in many partitions."""
+    placed = numbered(rows, *keys, *order)
+    first = placed.groupBy(*keys).agg(F.min("place").alias("_first"))
+    return placed.join(first, keys).withColumn("place", F.col("place") - F.col("_first")).drop("_first")
+
+
 def largest_component(edges: DataFrame) -> DataFrame:
     """Nodes of the largest component; of equally large ones, that of the node met first (sources in edge order, then targets)."""
     labels = connected_components(edges)

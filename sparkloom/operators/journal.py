@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators import graph
 from sparkloom.plans import domain
 from sparkloom.plans.domain import JOURNAL_SQL
 
@@ -14,9 +15,8 @@ from sparkloom.plans.domain import JOURNAL_SQL
 def sequenced(proposed: DataFrame) -> DataFrame:
     """Adds stream_sequence (dense from 1 in each zone and stream) and event_sequence (dense from 0 in each zone and type)."""
     order = ["occurred_at", "event_id"]
-    return proposed.withColumn("stream_sequence", F.row_number().over(W.partitionBy("zone_id", "stream_id").orderBy(*order)).cast("long")).withColumn(
-        "event_sequence", F.row_number().over(W.partitionBy("zone_id", "event_type").orderBy(*order)).cast("long") - 1
-    )
+    typed = graph.numbered_within(proposed, ["zone_id", "event_type"], order).withColumnRenamed("place", "event_sequence")  # a type may hold most of a journal
+    return typed.withColumn("stream_sequence", F.row_number().over(W.partitionBy("zone_id", "stream_id").orderBy(*order)).cast("long")).select(*proposed.columns, "stream_sequence", "event_sequence")
 
 
 def append(stored: DataFrame, proposed: DataFrame) -> DataFrame:

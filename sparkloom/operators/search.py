@@ -41,9 +41,11 @@ def ask(prompts: DataFrame, model: Model = stub_model) -> DataFrame:
 
 
 def basic_context(units: DataFrame, unit_vectors: DataFrame, query: list[float], k: int = 10, budget: int = 12_000) -> DataFrame:
-    """The k nearest units in corpus order, as many as the budget holds. units: vec_id, doc_id, window_no, unit, token_count."""
+    """The k nearest units in corpus order, as many as the budget holds. units: doc_id, window_no, unit, token_count; vector v is that of unit
+    number v in corpus order, over all windows of all documents."""
     near = vectors.top_k(unit_vectors, query, k)
-    rows = units.join(near, "vec_id").withColumn("one", F.lit(0)).withColumn("tokens", F.col("token_count"))
+    numbers = graph.numbered(units.select("doc_id", "window_no"), "doc_id", "window_no").withColumnRenamed("place", "vec_id").join(F.broadcast(near), "vec_id")  # k rows
+    rows = units.join(F.broadcast(numbers), ["doc_id", "window_no"]).withColumn("one", F.lit(0)).withColumn("tokens", F.col("token_count"))
     ordered = rows.withColumn("place", F.row_number().over(W.partitionBy("one").orderBy("doc_id", "window_no")))  # k rows
     return context.budget_prefix(ordered, "one", "place", budget, 2).drop("one", "tokens")
 
@@ -117,9 +119,10 @@ def dynamic_selection(tree: DataFrame, ratings: DataFrame, threshold: int, keep_
 
 
 def map_reduce(reports: DataFrame, question: str, budget: int, model: Model = stub_model) -> DataFrame:
-    """Map step of the global strategy over report batches (batch, part, text, tokens): one answer per batch."""
+    """Map step of the global strategy: reports (place, text, tokens) in order in batches under the budget, one answer per batch."""
+    batches = context.packed(reports.withColumn("question", F.lit(0)), "question", "place", budget).select("place", "batch")
     ordered = F.array_sort(F.collect_list(F.struct("place", "text")))
-    prompts = reports.groupBy("batch").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("rows"))
+    prompts = reports.join(batches, "place").groupBy("batch").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("rows"))
     return ask(prompts.select(F.col("batch").alias("key"), F.concat(F.lit(question + "\n"), "rows").alias("prompt")), model)
 
 
@@ -200,8 +203,8 @@ def _members(spark, sf_dir) -> DataFrame:
 
 
 def basic_search(spark, sf_dir):
-    """Vector k of the table stands for the first window of document k."""
-    units = corpus.token_windows(corpus.prepared_texts(table(spark, sf_dir, "documents"))).where("window_no = 0").withColumn("vec_id", F.col("doc_id"))
+    """Vector v of the table stands for the v-th window of all documents."""
+    units = corpus.token_windows(corpus.prepared_texts(table(spark, sf_dir, "documents")))
     found = basic_context(units, table(spark, sf_dir, "embeddings").where("vec_id > 0"), _query(spark, sf_dir), 10, 500)
     return found.select("doc_id", "window_no", "token_count", F.round("score", 5).alias("score"), "used", F.sha2("unit", 256).alias("digest"))
 
@@ -241,8 +244,8 @@ def global_dynamic_selection(spark, sf_dir):
 
 
 def global_map(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 8).alias("batch"), F.col("p_partkey").alias("place"), F.col("p_name").alias("text"))
-    return map_reduce(rows, "What is made?", 1000).select("key", F.char_length("answer").alias("chars"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("place"), F.col("p_name").alias("text"), F.size(F.split("p_name", " ")).cast("long").alias("tokens"))
+    return map_reduce(rows, "What is made?", 1000)
 
 
 def drift_branches(spark, sf_dir):
@@ -277,7 +280,7 @@ _NEAR = "q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
 _COMBINED = graph._COMBINED
 
 ORACLE_SQL = {
-    "basic_search": f"WITH {corpus._UNITS_SQL}, {_NEAR}, r AS (SELECT doc_id, window_no, token_count, round(score, 5) AS score, CAST(sum(token_count) OVER (ORDER BY doc_id) AS BIGINT) + 2 AS used, unit_id AS digest FROM units JOIN near ON vec_id = doc_id WHERE window_no = 0) SELECT * FROM r WHERE used <= 500",
+    "basic_search": f"WITH {corpus._UNITS_SQL}, {_NEAR}, n AS (SELECT *, row_number() OVER (ORDER BY doc_id, window_no) - 1 AS number FROM units), r AS (SELECT doc_id, window_no, token_count, round(score, 5) AS score, CAST(sum(token_count) OVER (ORDER BY doc_id, window_no) AS BIGINT) + 2 AS used, unit_id AS digest FROM n JOIN near ON vec_id = number) SELECT * FROM r WHERE used <= 500",
     "local_select_relationships": f"""WITH {_COMBINED}, {_NEAR}, t AS (SELECT * FROM combined WHERE target IN (SELECT node FROM sel)), l AS (SELECT source, count(DISTINCT target) AS links FROM t GROUP BY source)
 SELECT t.source, t.target, t.weight, t.combined_degree, l.links, 1 AS tier FROM t JOIN l ON t.source = l.source ORDER BY links DESC, combined_degree DESC, weight DESC, t.source, t.target LIMIT 50""",
     "local_select_reports": f"WITH {_NEAR}, m AS (SELECT p_brand AS part, count(*) AS matches FROM part JOIN near ON vec_id = p_partkey GROUP BY p_brand), r AS (SELECT p_brand AS part, CAST(max(p_size) AS BIGINT) AS rank FROM part GROUP BY p_brand) SELECT part, rank, matches, row_number() OVER (ORDER BY matches DESC, rank DESC, part) AS place FROM r JOIN m USING (part)",
@@ -286,7 +289,9 @@ SELECT t.source, t.target, t.weight, t.combined_degree, l.links, 1 AS tier FROM
     "global_dynamic_selection": """WITH RECURSIVE tree AS (SELECT 'r' || r_regionkey AS part, NULL AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
 good AS (SELECT part, parent FROM tree WHERE CAST(substr(part, 2) AS INT) * 7 % 5 >= 2), kept AS (SELECT part, parent FROM good WHERE parent IS NULL UNION ALL SELECT g.part, g.parent FROM good g JOIN kept k ON g.parent = k.part)
 SELECT part FROM kept WHERE part NOT IN (SELECT parent FROM kept WHERE parent IS NOT NULL)""",
-    "global_map": "SELECT DISTINCT p_partkey % 8 AS key, 19 AS chars FROM part",
+    "global_map": """WITH RECURSIVE n AS (SELECT p_name AS text, len(string_split(p_name, ' ')) AS tokens, row_number() OVER (ORDER BY p_partkey) AS i FROM part),
+f AS (SELECT i, text, 0 AS batch, tokens AS used FROM n WHERE i = 1 UNION ALL SELECT n.i, n.text, CASE WHEN f.used + n.tokens > 1000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.used + n.tokens > 1000 THEN n.tokens ELSE f.used + n.tokens END FROM f JOIN n ON n.i = f.i + 1)
+SELECT CAST(batch AS BIGINT) AS key, 'answer ' || substr(sha256('What is made?' || chr(10) || string_agg(text, chr(10) ORDER BY i)), 1, 12) AS answer FROM f GROUP BY batch""",
     "drift_branches": f"""WITH RECURSIVE {domain.RELATIONS_SQL}, e AS (SELECT source AS a, target AS b FROM relations UNION SELECT target, source FROM relations),
 w AS (SELECT unnest(['s1', 's2']) AS question, 0 AS depth UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON w.question = e.a WHERE w.depth < 3) SELECT question, min(depth) AS depth FROM w GROUP BY question ORDER BY depth, question LIMIT 60""",
     "memory_search_exact": "WITH f AS (SELECT 'p' || p_partkey AS id, p_name AS title, p_type AS type, row_number() OVER (ORDER BY p_type, 'p' || p_partkey) AS place, count(*) OVER () > 10 AS more FROM part WHERE p_name = 'red widget') SELECT id, title, type, more FROM f WHERE place <= 10",

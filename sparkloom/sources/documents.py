@@ -17,9 +17,10 @@ MOST_CHARS = 8_000_000
 
 
 def read_files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Files as (path, digest, size, content): whatever Spark's file systems reach; larger ones are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= most_bytes)
-    return files.select("path", F.sha2("content", 256).alias("digest"), F.col("length").alias("size"), "content")
+    """Files as (path, digest, size, content): whatever Spark's file systems reach. A file of more than most_bytes is an error that names it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    refused = F.raise_error(F.concat("path", F.lit(" has "), F.col("length").cast("string"), F.lit(f" bytes, more than {most_bytes}"))).cast("long")
+    return files.select("path", F.sha2("content", 256).alias("digest"), F.when(F.col("length") > most_bytes, refused).otherwise(F.col("length")).alias("size"), "content")
 
 
 def plain_texts(files: DataFrame) -> DataFrame:
@@ -127,12 +128,15 @@ class _Markdown(HTMLParser):
 
 
 def html_to_markdown(page: str) -> tuple[str | None, str]:
-    """(title, Markdown) of an HTML page."""
+    """(title, Markdown) of an HTML page; more than MOST_CHARS characters of Markdown are refused, not cut."""
     parser = _Markdown()
     parser.feed(page)
     parser.close()
     parser.flush()
-    return " ".join("".join(parser.title).split()) or None, "\n\n".join(parser.lines)[:MOST_CHARS]
+    text = "\n\n".join(parser.lines)
+    if len(text) > MOST_CHARS:
+        raise ValueError(f"a page gives {len(text)} characters, more than {MOST_CHARS}")
+    return " ".join("".join(parser.title).split()) or None, text
 
 
 def html_texts(pages: DataFrame) -> DataFrame:

@@ -31,17 +31,22 @@ def journal_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 _OUT = "subject long, observation_id long, stability double, difficulty double, accepted boolean"
-_STATE = "stability double, difficulty double, last long, seen long"
+_STATE = "stability double, difficulty double, last long, applied array<long>"
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Folds a subject's new observations, in order of submission, into its state; earlier ones than the last accepted are rejected."""
+    """Folds a subject's new observations, in order of submission, into its state; earlier ones than the last accepted are rejected.
+
+    The state holds the ids it has applied: an observation that comes again, in this pull or a later one, changes nothing.
+    """
     model = activation.Model()
-    stability, difficulty, last, seen = state.get if state.exists else (None, None, None, -1)
+    stability, difficulty, last, applied = state.get if state.exists else (None, None, None, [])
+    applied = list(applied)
+    known = set(applied)
     rows = []
     new = pd.concat(list(batches)).sort_values("submitted").drop_duplicates("observation_id")
     for row in new.itertuples(index=False):
-        if row.submitted <= seen:
+        if row.observation_id in known:
             continue
         at = pd.Timestamp(row.occurred_at).value // 1000
         accepted = last is None or at >= last
@@ -49,9 +54,9 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.D
             days = 0 if last is None else (at - last) // 86_400_000_000
             stability, difficulty = model.step(None if last is None else (stability, difficulty), int(row.grade), days)
             last = at
-        seen = int(row.submitted)
+        applied.append(int(row.observation_id))
         rows.append((key[0], row.observation_id, stability, difficulty, accepted))
-    state.update((stability, difficulty, last, seen))
+    state.update((stability, difficulty, last, applied))
     yield pd.DataFrame(rows, columns=["subject", "observation_id", "stability", "difficulty", "accepted"])
 
 

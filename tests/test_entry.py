@@ -35,7 +35,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - {"pipeline"}))
 def test_other_queries_run(spark, name):
-    assert entry.queries()[name](spark, FOLDER).columns
+    entry.queries()[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
 
 
 def test_entry(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import activation, citation, communities, context, corpus, epochs, graph, journal, knowledge, messages, reports, search, vectors
 from sparkloom.sources import documents
+from sparkloom.streaming import consumer
 
 
 def rows(df, *columns):
@@ -352,3 +353,28 @@ def test_hierarchy_goes_on_until_nothing_is_too_large(spark, monkeypatch):
     tree = communities.hierarchical_communities(edges, largest=1)
     assert tree.where("final").groupBy("level", "part").count().where("count > 1").isEmpty()
     assert tree.agg(F.max("level")).first()[0] == 8
+
+
+def test_an_observation_that_comes_again_changes_nothing(spark, tmp_path):
+    """In one pull and in a later one, with a later place of submission."""
+    kind = "subject long, observation_id long, occurred_at timestamp_ntz, grade long, submitted long"
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    pulls = [[(1, 10, day(0), 3, 0), (1, 11, day(5), 3, 1), (1, 11, day(5), 3, 2)], [(1, 10, day(0), 3, 3), (1, 12, day(9), 4, 4), (1, 11, day(5), 3, 5)]]
+    out = []
+    for pull in pulls:
+        spark.createDataFrame(pull, kind).write.mode("append").parquet(f"{tmp_path}/events")
+        states = consumer.memory_states(spark.readStream.schema(kind).parquet(f"{tmp_path}/events"))
+        consumer.consume(states, lambda batch, _: out.extend(tuple(x) for x in batch.collect()), f"{tmp_path}/position")
+    assert [(x[1], x[4]) for x in out] == [(10, True), (11, True), (12, True)]
+    once = activation.current_states(activation.states(spark.createDataFrame([*pulls[0][:2], pulls[1][1]], kind))).first()
+    assert (out[-1][2], out[-1][3]) == pytest.approx((once["stability"], once["difficulty"]))
+
+
+def test_what_is_too_large_is_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_bytes(b"123456")
+    assert documents.read_files(spark, str(tmp_path), 6).count() == 1
+    with pytest.raises(Exception, match="more than 5"):
+        documents.read_files(spark, str(tmp_path), 5).collect()
+    monkeypatch.setattr(documents, "MOST_CHARS", 3)
+    with pytest.raises(ValueError):
+        documents.html_to_markdown("<p>four</p>")
