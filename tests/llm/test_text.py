@@ -70,6 +70,21 @@ def test_chat_round_trip(spark):
     assert chat_format.chat_format(rows.limit(0)).count() == 0
 
 
+def test_conversations_over_many_batches(spark):
+    """Batches of 7 turns: conversations of up to 40 turns run over their borders."""
+    rng = random.Random(3)
+    turns = [(c, i, "user" if i % 2 == 0 else "assistant", f"text {c} {i} é</s>") for c in [None, *range(60)] for i in range(rng.choice([1, 2, 7, 8, 14, 40]))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = chat_format.chat_format(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 61
+    for x in got:
+        assert chat_format.read_turns(x.formatted) == [(role, text) for c, _, role, text in turns if c == x.conv_id]
+
+
 def test_read_turns_rejects_other_text():
     for text in ["", "<s>", "hello", "<s><|turn|>user\nhi<|end|>\n", "<s>x</s>"]:
         with pytest.raises(ValueError):
@@ -105,6 +120,47 @@ def test_language_id(spark, tricky, empty):
     assert kept.columns == docs.columns and 42 not in {x.doc_id for x in kept.collect()}
 
 
+def test_language_query_against_exact_sets(spark):
+    """The query on sf0.001, with sets of n-grams in place of the filters: the same languages, and shares but for false positives."""
+    folder = "/root/testdata/sf0.001"
+    docs = [(x.doc_id, x.text, x.lang) for x in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+
+    def grams(text):
+        s = f" {' '.join(re.findall(r'[^\W\d_]+', text.lower()))} "
+        return [s[i : i + 3] for i in range(len(s) - 2)]
+
+    counts = {}
+    for lang, text in {(lang, text) for i, text, lang in docs if not held(i) and lang is not None and text is not None}:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    shares = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = Counter()
+    for s in shares.values():
+        for g, x in s.items():
+            top[g] = max(top[g], x)
+    sets = {lang: {g for g, x in s.items() if counts[lang][g] > 1 and x >= language_id.TYPICAL * top[g]} for lang, s in shares.items()}
+    got = {x.doc_id: x for x in language_id.op9_language_id(spark, folder).collect()}
+    assert len(got) == len(docs)
+    right = []
+    for i, text, lang in docs:
+        assert got[i].held_out == held(i)
+        if text is None or not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        found = {x: sum(g in s for g in grams(text)) for x, s in sets.items()}
+        best = sorted(found.values())
+        if best[-1] - best[-2] > 0.01 * len(text):  # else a false positive may decide
+            assert got[i].lang_pred == max(found, key=found.get)
+            assert got[i].score == pytest.approx(best[-1] / sum(best), abs=0.02)
+        right += [got[i].lang_pred == lang] if held(i) and lang is not None else []
+    assert sum(right) / len(right) >= 0.95
+
+
+def test_number_signs_are_no_letters(spark):
+    filters = language_id.train(spark.createDataFrame(labelled(60), DOCS))
+    assert filters.predict("½ ² Ⅷ 12")[0] == "und" and filters.predict("½ a")[0] != "und"
+
+
 def test_filters_have_no_false_negatives_and_few_false_positives():
     rng = np.random.default_rng(2)
     sets = [(f"l{i:03}", rng.integers(0, 2**63, 3000, np.uint64)) for i in range(70)]  # more languages than bits in a word
