@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import math
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -106,8 +107,9 @@ def plain_float(value: float) -> str:
     """Shortest decimal that reads back the same, always with a point."""
     if math.isnan(value) or math.isinf(value):
         raise ValueError("not a finite number")
-    text = format(value, ".17g") if float(format(value, ".15g")) != value else format(value, ".15g")
-    text = repr(value) if "e" not in repr(value) else format(float(text), "f").rstrip("0")
+    text = repr(value)
+    if "e" in text:
+        text = format(Decimal(text), "f")
     return text if "." in text else f"{text}.0"
 
 

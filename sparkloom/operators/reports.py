@@ -27,7 +27,8 @@ def internal_relations(members: DataFrame, edges: DataFrame) -> DataFrame:
 def occurrence_weights(report_units: DataFrame) -> DataFrame:
     """(part, units, weight): distinct text units behind each community, and their part of the largest number."""
     counts = report_units.groupBy("part").agg(F.count_distinct("unit").alias("units"))
-    return counts.withColumn("weight", F.col("units") / F.max("units").over(W.partitionBy(F.lit(0))))  # one row per community
+    most = counts.agg(F.max("units").alias("most"))
+    return counts.join(F.broadcast(most), how="cross").select("part", "units", (F.col("units") / F.col("most")).alias("weight"))  # with a single row
 
 
 def child_counts(hierarchy: DataFrame) -> DataFrame:

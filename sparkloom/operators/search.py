@@ -71,8 +71,8 @@ def select_relationships(edges: DataFrame, selected: DataFrame, per_entity: int)
 def select_reports(members: DataFrame, reports: DataFrame, selected: DataFrame) -> DataFrame:
     """Reports (part, rank) of communities with selected members, by matches, rank and name; communities without a match are dropped."""
     matches = members.join(selected.select("node").distinct(), "node").groupBy("part").agg(F.count("*").alias("matches"))
-    ranked = reports.join(matches, "part")
-    return ranked.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("matches").desc(), F.col("rank").desc(), "part")).cast("long"))  # one row per community
+    ranked = reports.join(matches, "part").withColumns({"_fewer": -F.col("matches"), "_lower": -F.col("rank")})
+    return graph.numbered(ranked, "_fewer", "_lower", "part").withColumn("place", F.col("place") + 1).drop("_fewer", "_lower")
 
 
 def claims_for(claims: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:

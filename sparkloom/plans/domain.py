@@ -61,7 +61,7 @@ relations AS (
 
 
 def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph with several components: customers and suppliers of a nation, in pairs by balance."""
+    """A sparse graph with several components: every customer linked with its nation."""
     customers = table(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) AS source", "concat('n', c_nationkey) AS target", "c_custkey AS pos", "c_acctbal AS weight")
     return customers
 
