@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.operators import context, extraction, graph, search, vectors
+from sparkloom.operators import context, extraction, graph, knowledge, messages, search, vectors
 from sparkloom.plans import domain
 from sparkloom.session import checkpointed, table
 
@@ -112,6 +112,29 @@ def branch_context(answers: DataFrame, budget: int) -> DataFrame:
     return kept.join(cites, ["question", "place"], "left").select("question", "place", "answer_id", "tokens", "used", F.coalesce("cites", F.lit("")).alias("cites"))
 
 
+# --- reports --------------------------------------------------------------------------------------
+
+
+def reduce_tree(fragments: DataFrame, budget: int, model: Callable[[str], str] = search.stub_model) -> DataFrame:
+    """One answer for each part from its fragments (part, place, text): neighbours that fit the budget are joined and answered together, round by
+    round, until each part has one. (part, text, rounds). Parts of one fragment keep it; an answer that can't be joined with any other is an error."""
+    now = checkpointed(fragments.select("part", F.col("place").cast("long").alias("place"), "text", F.lit(0).alias("rounds")))
+    while True:
+        sizes = now.groupBy("part").agg(F.count("*").alias("n"))
+        several = now.join(sizes.where("n > 1").select("part"), "part", "left_semi").withColumn("tokens", words("text"))
+        if several.isEmpty():
+            return now.select("part", "text", "rounds")
+        batches = context.packed(several, "part", "place", budget).select("part", "place", "batch")
+        lines = several.join(batches, ["part", "place"]).groupBy("part", "batch").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("lines"), F.max("rounds").alias("rounds"))
+        joined = graph.numbered(lines, "part", "batch").withColumnRenamed("place", "key")
+        shrinks = joined.groupBy("part").agg((F.count("*") < F.sum(F.size("lines"))).alias("shrinks")).where("NOT shrinks")
+        if not shrinks.isEmpty():
+            raise ValueError("a budget must hold two answers")
+        prompts = joined.select("key", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("prompt"))
+        answers = joined.join(search.ask(prompts, model), "key").select("part", F.col("batch").alias("place"), F.col("answer").alias("text"), (F.col("rounds") + 1).alias("rounds"))
+        now = checkpointed(now.join(sizes.where("n = 1").select("part"), "part", "left_semi").unionByName(answers))
+
+
 # --- memory ---------------------------------------------------------------------------------------
 
 
@@ -132,6 +155,20 @@ def memory_search(entities: DataFrame, entity_vectors: DataFrame, edges: DataFra
     return hits.select(F.lit("entity").alias("item_kind"), F.col("id").alias("entity"), F.col("id").alias("item"), "place", F.col("more").alias("truncated")).unionByName(relations)
 
 
+def memory_add(log: DataFrame, offered: DataFrame, items: DataFrame, versions: DataFrame) -> DataFrame:
+    """Recording memories: messages (conv_id, turn, role, text) are appended and what they are evidence of (conv_id, id, content_hash) is submitted, for
+    conversations none of whose messages conflicts with the log. (conv_id, appended, repeated, rejected, created, confirmed, candidates)."""
+    taken = messages.append_conflicts(log, offered)
+    checked = offered.select("conv_id", "turn").join(taken, ["conv_id", "turn"], "left").groupBy("conv_id").agg(F.count_if(F.col("same").isNull()).alias("new"), F.count_if("same").alias("repeated"), F.count_if(~F.col("same")).alias("rejected"))
+    sound = checked.where("rejected = 0").select("conv_id")
+    accepted = items.join(sound, "conv_id", "left_semi").distinct()
+    outcomes = accepted.join(knowledge.submission(accepted.select("id", "content_hash").distinct(), versions), ["id", "content_hash"]).groupBy("conv_id").agg(
+        F.count_if(F.col("outcome") == "create").alias("created"), F.count_if(F.col("outcome") == "confirm").alias("confirmed"), F.count_if(F.col("outcome").isin("candidate", "reuse")).alias("candidates")
+    )
+    none = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    return checked.join(outcomes, "conv_id", "left").select("conv_id", F.when(F.col("rejected") == 0, F.col("new")).otherwise(0).alias("appended"), "repeated", "rejected", none("created"), none("confirmed"), none("candidates"))
+
+
 # --- over the driver tables -------------------------------------------------------------------------
 
 
@@ -168,6 +205,24 @@ def drift_reduce(spark, sf_dir):
     return branch_context(answers, 24)
 
 
+def memory_record(spark, sf_dir):
+    """Conversations offered again: with a changed text where the number is divisible by 4, with one more turn elsewhere; each speaks of a user."""
+    log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    changed = log.withColumn("text", F.when((F.col("conv_id") % 4 == 0) & (F.col("turn") == 0), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    more = log.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).select("conv_id", "turn", F.lit("user").alias("role"), F.lit("more").alias("text"))
+    versions = domain.versions(spark, sf_dir)
+    current = knowledge.latest(versions).select("id", "content_hash")
+    of = log.select("conv_id").distinct().withColumn("id", F.concat(F.lit("u"), (F.col("conv_id") % 2000).cast("string")))
+    items = of.join(current, "id", "left").select("conv_id", "id", F.when(F.col("conv_id") % 3 == 0, F.lit("other")).otherwise(F.coalesce("content_hash", F.lit("first"))).alias("content_hash"))
+    return memory_add(log, changed.unionByName(more), items, versions)
+
+
+def report_reduce(spark, sf_dir):
+    """Brands' reports from their parts, 40 tokens at a time."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("part"), F.col("p_partkey").alias("place"), F.col("p_name").alias("text"))
+    return reduce_tree(parts, 40)
+
+
 def memory_search_all(spark, sf_dir):
     """A title that exists and one that doesn't."""
     entities, edges = search._entities(spark, sf_dir), domain.relations(spark, sf_dir)
@@ -177,7 +232,7 @@ def memory_search_all(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
-QUERIES = {f.__name__: f for f in (local_context, global_search_points, global_search_answer, drift_reduce, memory_search_all)}
+QUERIES = {f.__name__: f for f in (local_context, global_search_points, global_search_answer, drift_reduce, memory_record, report_reduce, memory_search_all)}
 
 _SUBJECT = "'s' || l_suppkey || '>p' || l_partkey"
 _POINTS = """
@@ -212,6 +267,12 @@ c AS (SELECT DISTINCT question, place, l_suppkey AS ref FROM k JOIN lineitem ON
 l AS (SELECT question, ref, row_number() OVER (PARTITION BY question ORDER BY place, ref) AS number FROM (SELECT question, ref, min(place) AS place FROM c GROUP BY ALL)),
 s AS (SELECT question, place, string_agg(number, ',' ORDER BY number) AS cites FROM c JOIN l USING (question, ref) GROUP BY ALL)
 SELECT question, place, answer_id, tokens, used, coalesce(cites, '') AS cites FROM k LEFT JOIN s USING (question, place)""",
+    "memory_record": f"""WITH {domain.VERSIONS_SQL}, latest AS (SELECT * FROM versions WHERE candidate_number = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1),
+c AS (SELECT conv_id, count(*) AS n, CAST(count(*) FILTER (conv_id % 4 = 0 AND turn = 0) AS BIGINT) AS rejected, 'u' || conv_id % 2000 AS id FROM conversations GROUP BY conv_id),
+i AS (SELECT c.*, l.deleted, l.id IS NULL AS fresh, CASE WHEN conv_id % 3 = 0 THEN 'other' ELSE coalesce(l.content_hash, 'first') END = l.content_hash AS same FROM c LEFT JOIN latest l ON c.id = l.id)
+SELECT conv_id, CASE WHEN rejected = 0 THEN 1 ELSE 0 END::BIGINT AS appended, n - rejected AS repeated, rejected,
+  CAST(rejected = 0 AND fresh AS BIGINT) AS created, CAST(rejected = 0 AND NOT fresh AND same AND NOT deleted AS BIGINT) AS confirmed,
+  CAST(rejected = 0 AND NOT fresh AND NOT (same AND NOT deleted) AS BIGINT) AS candidates FROM i""",
     "memory_search_all": f"""WITH {domain.RELATIONS_SQL}, {search._NEAR},
 exact_ AS (SELECT 'p' || p_partkey AS id, row_number() OVER (ORDER BY p_type, 'p' || p_partkey) AS i, count(*) OVER () > 10 AS more FROM part WHERE p_name = 'red widget'),
 found AS (SELECT 'red widget' AS title, id, more FROM exact_ WHERE i <= 10 UNION ALL SELECT 'no such title', node, false FROM sel),

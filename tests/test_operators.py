@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import activation, citation, communities, context, corpus, epochs, graph, journal, knowledge, messages, reports, search, vectors
+from sparkloom.operators import activation, citation, communities, context, corpus, epochs, graph, journal, knowledge, messages, reports, search, strategies, vectors
 from sparkloom.sources import documents
 from sparkloom.streaming import consumer
 
@@ -378,3 +378,23 @@ def test_what_is_too_large_is_refused(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(documents, "MOST_CHARS", 3)
     with pytest.raises(ValueError):
         documents.html_to_markdown("<p>four</p>")
+
+
+def test_reduce_tree_against_a_fold(spark):
+    texts = {"a": [f"text {i} of a" for i in range(11)], "b": ["only one"], "c": ["x y", "z"]}
+    frame = spark.createDataFrame([(p, i, x) for p, xs in texts.items() for i, x in enumerate(xs)], "part string, place long, text string")
+
+    def fold(now, rounds=0):
+        if len(now) == 1:
+            return now[0], rounds
+        batches = [[]]
+        for x in now:
+            if batches[-1] and sum(len(y.split(" ")) for y in [*batches[-1], x]) > 9:
+                batches.append([])
+            batches[-1].append(x)
+        return fold([search.stub_model("\n".join(b)) for b in batches], rounds + 1)
+
+    got = {x.part: (x.text, x.rounds) for x in strategies.reduce_tree(frame, 9).collect()}
+    assert got == {p: fold(xs) for p, xs in texts.items()}
+    with pytest.raises(ValueError):
+        strategies.reduce_tree(frame, 2)
