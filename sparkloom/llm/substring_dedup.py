@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,6 +131,16 @@ def _group_of(docs: np.ndarray, groups: int) -> np.ndarray:
     return (_mix(docs.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
+def partition_keys(spark: SparkSession, parts: int) -> np.ndarray:
+    """A key for each of `parts` shuffle partitions that a hash of it leads to, so that no two of the keys meet in one."""
+    tried = int(parts * (25 + np.log(parts)))  # that one is missing has a chance of e^-25
+    place = F.pmod(F.hash("id"), F.lit(parts)).alias("place")
+    found = spark.range(tried).select("id", place).groupBy("place").agg(F.min("id").alias("key")).collect()  # a row per partition
+    keys = np.arange(parts, dtype=np.int64)
+    keys[[x["place"] for x in found]] = [x["key"] for x in found]
+    return keys
+
+
 _PACKED = "kind int, at long, hashes binary, docs binary"
 
 
@@ -156,6 +167,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk: int = CHUNK, bu
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(8, -(-size // bucket_bytes))
+    keys = partition_keys(docs.sparkSession, parts)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per chunk: entries of kind 0 for buckets; removable ones, known within the chunk, of kind 1 for groups."""
@@ -166,8 +178,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk: int = CHUNK, bu
             if hashes:
                 h, d = _sorted_pairs(np.concatenate(hashes), np.concatenate(owners))
                 first = _firsts(h)
-                yield from _batch(0, (h[first] % np.uint64(parts)).astype(np.int64), h[first], d[first])
-                yield from _batch(1, _group_of(d[~first], parts), h[~first], d[~first])
+                yield from _batch(0, keys[(h[first] % np.uint64(parts)).astype(np.int64)], h[first], d[first])
+                yield from _batch(1, keys[_group_of(d[~first], parts)], h[~first], d[~first])
                 hashes.clear()
                 owners.clear()
 
@@ -183,16 +195,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk: int = CHUNK, bu
                     held = 0
         yield from flush()
 
-    def resolve(key: tuple, table: pa.Table) -> pa.Table:
-        """Kind 0: the entries of a bucket that aren't the smallest of their hash. Kind 1 passes."""
-        if key[0].as_py() == 1:
-            return table.select(["at", "hashes", "docs"])
-        pairs = [_unpack(row) for row in table.to_pylist()]
+    def resolve(table: pa.Table) -> pa.Table:
+        """Of rows of kind 0 the entries of their bucket that aren't the smallest of their hash. Kind 1 passes."""
+        known = table.filter(pc.equal(table["kind"], 1)).select(["at", "hashes", "docs"])
+        pairs = [_unpack(row) for row in table.filter(pc.equal(table["kind"], 0)).to_pylist()]
+        if not pairs:
+            return known
         h, d = _sorted_pairs(np.concatenate([x for x, _ in pairs]), np.concatenate([x for _, x in pairs]))
         again = ~_firsts(h)
-        found = list(_batch(1, _group_of(d[again], parts), h[again], d[again]))
+        found = list(_batch(1, keys[_group_of(d[again], parts)], h[again], d[again]))
         schema = pa.schema([("kind", pa.int32()), ("at", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary())])
-        return pa.Table.from_batches(found, schema).select(["at", "hashes", "docs"])
+        return pa.concat_tables([known, pa.Table.from_batches(found, schema).select(["at", "hashes", "docs"])])
 
     def group_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +213,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk: int = CHUNK, bu
             of = ids.fill_null(0).to_numpy(zero_copy_only=False).copy()
             for i in np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False)).tolist():
                 of[i] = xxhash.xxh64_intdigest((batch.column("text")[i].as_py() or "").encode("utf-8", "surrogatepass")) >> 1
-            at = _group_of(of, parts)
+            at = keys[_group_of(of, parts)]
             yield pa.RecordBatch.from_arrays([pa.array(at), ids, batch.column("text")], names=["at", "doc_id", "text"])
 
     def apply(_: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
@@ -235,7 +248,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk: int = CHUNK, bu
 
     texts = docs.select("doc_id", "text")
     sent = texts.where("text IS NOT NULL AND doc_id IS NOT NULL").mapInArrow(chunks, _PACKED)
-    marks = sent.repartition(parts, "kind", "at").groupBy("kind", "at").applyInArrow(resolve, "at long, hashes binary, docs binary")
+    marks = sent.repartition(parts, "at").groupBy("at").applyInArrow(resolve, "at long, hashes binary, docs binary")
     grouped = texts.mapInArrow(group_texts, "at long, doc_id long, text string")
     return grouped.repartition(parts, "at").groupBy("at").cogroup(marks.repartition(parts, "at").groupBy("at")).applyInArrow(apply, "doc_id long, n_words long, n_removed long, kept string, intervals array<array<long>>")
 

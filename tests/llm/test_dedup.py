@@ -170,6 +170,13 @@ def test_small_chunks_give_the_same(tricky):
     assert {(x.doc_id, x.kept) for x in found.collect()} == want
 
 
+def test_each_key_has_a_partition_of_its_own(spark):
+    for parts in (8, 57, 400):
+        keys = substring_dedup.partition_keys(spark, parts)
+        rows = spark.createDataFrame([(int(x),) for x in keys], "at long").repartition(parts, "at")
+        assert rows.groupBy(F.spark_partition_id()).count().count() == parts
+
+
 def test_word_hashes_over_slices(monkeypatch):
     data = np.frombuffer(b"one two  three\tone " * 50, np.uint8)
     starts, ends = substring_dedup.word_bounds(data)
