@@ -131,6 +131,10 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         run.clear()
 
     for m in _TOKEN.finditer(text):
+        if m[0].strip(_EDGES).isalpha():  # most tokens are plain at a glance
+            if run:
+                close()
+            continue
         a, b = m.span()
         outside = bisect_left(starts, b) == bisect_right(ends, a)  # no base match reaches into the token
         start, end = _inner(text, a, b) if b - a <= MOST_CHARS else (a, b)
@@ -203,11 +207,22 @@ def pattern_bits(patterns: DataFrame) -> np.ndarray:
     return np.unpackbits(np.bitwise_or.reduce([np.frombuffer(x["bits"], np.uint8) for x in parts])).astype(bool)
 
 
+class _Checksums(dict):
+    """CRC-32 of words, remembered up to a number of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        found = self[word] = crc32(_word(word).encode("utf-8", "surrogatepass"))
+        return found
+
+
 def plain_fills(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(pattern, plain): how often a plain word fills the slot of a pattern that the bits let through; each task adds up its own."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Checksums()
         for batch in batches:
             counts: Counter = Counter()
             for text in batch.column("text"):
@@ -215,7 +230,7 @@ def plain_fills(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 if not words:
                     continue
                 padded = ["^", "^", *words, "$", "$"]
-                sums = np.fromiter((crc32(_word(w).encode("utf-8", "surrogatepass")) for w in padded), np.int64, len(padded))
+                sums = np.fromiter(map(known.__getitem__, padded), np.int64, len(padded))
                 sides = [(sums[1:-3], sums[3:-1], 1, 3), (sums[:-4], sums[1:-3], 0, 1), (sums[3:-1], sums[4:], 3, 4)]
                 for form, (a, b, x, y) in enumerate(sides):
                     for i in np.flatnonzero(shared.value[_mixed(form, a, b)]).tolist():
