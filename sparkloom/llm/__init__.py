@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, chat_format, exact_dedup, language_id, mixing, pii, simhash, substring_dedup, topk_search, toxicity
+from sparkloom.llm import bpe, chat_format, exact_dedup, language_id, mixing, pii, simhash, source_divergence, substring_dedup, topk_search, toxicity
 
-MODULES = [mixing, substring_dedup, toxicity, simhash, chat_format, exact_dedup, pii, bpe, language_id, topk_search]
+MODULES = [mixing, substring_dedup, toxicity, simhash, chat_format, exact_dedup, pii, bpe, language_id, topk_search, source_divergence]
 
 
 def queries() -> dict:
