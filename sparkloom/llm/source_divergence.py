@@ -29,7 +29,7 @@ MOST_TERMS = 10
 #: Shares are counted in parts of this.
 SCALE = 1_000_000_000
 #: Cells of a tile (groups times terms), and of the band of pairs that is held at a time.
-TILE, BAND = 1 << 20, 1 << 21
+TILE, BAND = 1 << 16, 1 << 20
 #: Entries that a task counts before it sends them on.
 HELD = 1 << 19
 #: Lower-cases A-Z and turns all other ASCII characters into spaces.
