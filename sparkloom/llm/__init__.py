@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import bpe, chat_format, exact_dedup, language_id, mixing, phrase_mining, pii, simhash, source_divergence, substring_dedup, topk_search, toxicity
+from sparkloom.llm import bpe, chat_format, exact_dedup, language_id, mixing, phrase_mining, pii, sentencepieces, simhash, source_divergence, substring_dedup, topk_search, toxicity
 
-MODULES = [mixing, substring_dedup, toxicity, simhash, chat_format, exact_dedup, pii, bpe, language_id, topk_search, source_divergence, phrase_mining]
+MODULES = [mixing, substring_dedup, toxicity, simhash, chat_format, exact_dedup, pii, bpe, language_id, topk_search, source_divergence, sentencepieces, phrase_mining]
 
 
 def queries() -> dict:
