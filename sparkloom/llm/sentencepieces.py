@@ -13,9 +13,10 @@ import codecs
 import heapq
 import re
 import struct
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +25,21 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm.common import read
 
 SPACE = "▁"
-#: Segments that a task remembers before it starts anew, and the longest that is remembered.
-REMEMBERED, LONGEST = 1 << 17, 64
+#: Segments in each of the two generations that a worker remembers, and the longest that is remembered.
+REMEMBERED, LONGEST = 1 << 18, 64
 #: Symbols up to which the best pair is found by looking at all pairs, instead of a heap.
 FEW = 128
 #: Bytes of text that a task encodes before it hands on what it has.
-SLICE = 16 << 20
+SLICE = 4 << 20
 #: Numbers of fields in a model file and kinds of pieces: fixed values of the format.
 PIECES, TRAINER, NORMALIZER, DENORMALIZER = 1, 2, 3, 5
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE, MODEL_TYPE, UNK_SURFACE, SUFFIX, BYTE_FALLBACK = 2, 3, 44, 24, 35
 CHARSMAP, DUMMY_PREFIX, EXTRA_WHITESPACES, ESCAPE_WHITESPACES = 2, 3, 4, 5
 
+#: Spaces and what follows them up to the next ones.
+_SEGMENTS = re.compile(" *[^ ]+| +")
+
 # each byte that belongs to no character becomes a replacement character of its own
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -121,27 +125,27 @@ class SentencePiece:
             raise ValueError("only BPE models with byte fallback, without pieces of the user's own, unused ones, spaces as suffixes or a denormaliser")
         self.map = CharacterMap(normalizer.get(CHARSMAP, b""))
         self.prefix, self.squeeze, self.escape = (bool(normalizer.get(x, 1)) for x in (DUMMY_PREFIX, EXTRA_WHITESPACES, ESCAPE_WHITESPACES))
-        self.space = SPACE if self.escape else " "
+        if not self.escape:
+            raise ValueError("only models that escape spaces")
         self.bos, self.eos = (next((i for i, x in enumerate(rows) if x[0] == name), None) for name in ("<s>", "</s>"))
-        self.ids = {piece: i for i, (piece, _, kind) in enumerate(rows) if kind == NORMAL}
+        # within, a plain space stands for the mark of spaces, of which it has the width: texts stay ASCII if they are
+        self.ids = {piece.replace(SPACE, " "): i.to_bytes(4, "little") for i, (piece, _, kind) in enumerate(rows) if kind == NORMAL}
         byte_ids = {int(piece[3:5], 16): i for i, (piece, _, kind) in enumerate(rows) if kind == BYTE}
-        self.byte_ids = [byte_ids[x] for x in range(256)]
+        self.byte_ids = [byte_ids[x].to_bytes(4, "little") for x in range(256)]
         order = {score: rank for rank, score in enumerate(sorted({score for _, score, _ in rows}, reverse=True))}
         #: Pieces that a merge may make, by the order of merges.
-        self.rank = {piece: order[score] for piece, score, kind in rows if kind == NORMAL}
+        self.rank = {piece.replace(SPACE, " "): order[score] for piece, score, kind in rows if kind == NORMAL}
         #: Whether no piece runs on over the border before a space, so that segments are encoded by themselves.
-        self.segmented = not any(self.space in piece.lstrip(self.space) for piece in self.ids)
+        self.segmented = not any(" " in piece.lstrip(" ") for piece in self.ids)
         self.width = np.array([1 if kind == BYTE else len(piece.encode()) if kind == NORMAL else 0 for piece, _, kind in rows], np.int64)
         unknown = trainer.get(UNK_SURFACE, " ⁇ ".encode())
         told = {NORMAL: lambda x: x.replace(SPACE, " ").encode(), UNKNOWN: lambda x: unknown, CONTROL: lambda x: None, BYTE: lambda x: bytes([int(x[3:5], 16)])}
         #: What an id is in a decoded text; None for control pieces.
         self.bytes_of: list[bytes | None] = [told[kind](piece) for piece, _, kind in rows]
         self.spaced = {i for i, (piece, _, kind) in enumerate(rows) if kind == NORMAL and piece.startswith(SPACE)}
-        space = re.escape(self.space)
-        self._segments = re.compile(f"{space}*[^{space}]+|{space}+")
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
-        """The normalised text, and for each of its bytes (and its end) the byte of the source it comes from."""
+        """The normalised text, with plain spaces for their marks, and for each byte that it has with marks (and its end) the byte of the source it comes from."""
         if not self.squeeze and not any(map(self.map.starts, set(text))):
             return self._plain(text)
         raw = text.encode()
@@ -154,7 +158,7 @@ class SentencePiece:
                 at = end
         if at == len(raw):
             return "", np.zeros(1, np.int64) + at
-        space = self.space.encode()
+        space = SPACE.encode()
 
         def add(data: bytes, source: int) -> None:
             out.append(data)
@@ -178,7 +182,7 @@ class SentencePiece:
         while self.squeeze and whole.endswith(space):  # so do those at the end
             whole = whole[: -len(space)]
             align = align[: len(whole) + 1]
-        return whole.decode(), align
+        return whole.decode().replace(SPACE, " "), align
 
     def _step(self, raw: bytes, at: int) -> tuple[int, bytes]:
         found = self.map.longest(raw, at) if self.map.units else None
@@ -193,29 +197,28 @@ class SentencePiece:
         if not text:
             return "", np.zeros(1, np.int64)
         raw = np.frombuffer(text.encode(), np.uint8)
-        width = len(self.space.encode())
-        at = np.arange(len(raw))
+        at = np.arange(len(raw), dtype=np.int32)
         if not text.isascii():  # all bytes of a character come from where it starts
             at = np.maximum.accumulate(np.where(raw & 0xC0 != 0x80, at, 0))
-        align = np.repeat(at, np.where(raw == 32, width, 1)) if width > 1 else at
-        align = np.concatenate([np.zeros(width * self.prefix, np.int64), align, [len(raw)]])
-        return self.space * self.prefix + text.replace(" ", self.space), align
+        width = len(SPACE.encode())
+        align = np.concatenate([np.zeros(width * self.prefix, np.int32), np.repeat(at, np.where(raw == 32, width, 1)), np.array([len(raw)], np.int32)])
+        return " " * self.prefix + text.replace(SPACE, " "), align
 
     def _merged(self, segment: str) -> list[str]:
         """The pieces of a segment: of all neighbours that a piece joins the best are joined, the first of equals, until there are none."""
-        parts, rank = list(segment), self.rank
+        parts = list(segment)
         if len(parts) > FEW:
             return self._merged_by_heap(parts)
-        none = len(rank)
-        ranks = [rank.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-        while ranks and (best := min(ranks)) < none:
+        rank, none = self.rank.get, len(self.rank)
+        ranks = [*map(rank, map(add, parts, parts[1:]), repeat(none)), none]
+        while (best := min(ranks)) < none:
             i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] = joined = parts[i] + parts.pop(i + 1)
             del ranks[i]
             if i:
-                ranks[i - 1] = rank.get(parts[i - 1] + parts[i], none)
-            if i < len(ranks):
-                ranks[i] = rank.get(parts[i] + parts[i + 1], none)
+                ranks[i - 1] = rank(parts[i - 1] + joined, none)
+            if i + 1 < len(parts):
+                ranks[i] = rank(joined + parts[i + 1], none)
         return parts
 
     def _merged_by_heap(self, parts: list[str]) -> list[str]:
@@ -241,26 +244,25 @@ class SentencePiece:
         return [x for x in parts if x]
 
     def encode_segment(self, segment: str) -> bytes:
-        """The ids of a segment; a character without a piece becomes its bytes."""
-        ids, found = self.ids, []
-        for piece in self._merged(segment):
-            if (i := ids.get(piece)) is not None:
-                found.append(i)
-            else:
-                found += [self.byte_ids[x] for x in piece.encode()]
-        return array("I", found).tobytes()
+        """The ids of a segment as 32-bit integers; a character without a piece becomes its bytes."""
+        ids, parts = self.ids, self._merged(segment)
+        try:
+            return b"".join([ids[x] for x in parts])
+        except KeyError:
+            return b"".join([ids.get(x) or b"".join([self.byte_ids[y] for y in x.encode()]) for x in parts])
 
     def encode(self, text: str, known: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids with begin and end ids, and the first byte and the end of each one's span in the source."""
         whole, align = self.normalise(text)
         known.trim()
-        segments = self._segments.findall(whole) if self.segmented else [whole] if whole else []
-        ids = np.frombuffer(b"".join(map(known.__getitem__, segments)), np.uint32)
-        ends = np.cumsum(self.width[ids])
-        begins = np.append(np.zeros(1, np.int64), ends)[:-1] if len(ends) else ends
-        first, last = [self.bos], [self.eos]
-        size = len(text.encode())
-        return np.concatenate([first, ids, last]).astype("<u4"), np.concatenate([[0], align[begins], [size]]), np.concatenate([[0], align[ends], [size]])
+        segments = _SEGMENTS.findall(whole) if self.segmented else [whole] if whole else []
+        ids = np.frombuffer(b"".join(map(known.__getitem__, segments)), "<u4")
+        bounds = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.width[ids], out=bounds[1:])
+        at = align[bounds].astype("<i4")
+        begin, end = (np.array([x], "<u4") for x in (self.bos, self.eos))
+        none, size = np.zeros(1, "<i4"), np.array([len(text.encode())], "<i4")
+        return np.concatenate([begin, ids, end]), np.concatenate([none, at[:-1], size]), np.concatenate([none, at[1:], size])
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of any ids: control pieces are nothing, but bytes on their two sides don't make one character."""
@@ -287,20 +289,22 @@ class SentencePiece:
 
 
 class Segments(dict):
-    """The ids of segments, found when first asked for."""
+    """The ids of segments, found when first asked for. When they are many, those that aren't asked for again are forgotten."""
 
     def __init__(self, model: SentencePiece):
         super().__init__()
         self.model = model
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, segment: str) -> bytes:
-        found = self.model.encode_segment(segment)
+        found = self.before.get(segment) or self.model.encode_segment(segment)
         if len(segment) <= LONGEST:
             self[segment] = found
         return found
 
     def trim(self) -> None:
         if len(self) > REMEMBERED:
+            self.before = dict(self)
             self.clear()
 
 
@@ -310,6 +314,12 @@ def model(path: str) -> SentencePiece:
         return SentencePiece(file.read())
 
 
+@cache
+def segments(path: str) -> Segments:
+    """What a worker remembers from task to task."""
+    return Segments(model(path))
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -335,12 +345,11 @@ _ENCODED = "doc_id long, n_tokens long, ids binary, begins binary, ends binary"
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str | None, decoded: bool) -> Iterator[pa.RecordBatch]:
-    pieces = model(path or default_path())
-    known = Segments(pieces)
+    pieces, known = model(path or default_path()), segments(path or default_path())
     for doc_ids, texts in _slices(batches):
         found = [pieces.encode(text, known) for text in texts]
         columns = [pa.array(doc_ids, pa.int64()), pa.array([len(x[0]) for x in found], pa.int64()), pa.array([x[0].tobytes() for x in found], pa.binary())]
-        columns += [pa.array([x[k].astype("<i4").tobytes() for x in found], pa.binary()) for k in (1, 2)]
+        columns += [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (1, 2)]
         names = ["doc_id", "n_tokens", "ids", "begins", "ends"]
         if decoded:
             columns.append(pa.array([pieces.decode(x[0].tolist()) for x in found], pa.string()))
