@@ -11,7 +11,6 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,7 +78,8 @@ def packed(rows: DataFrame, key: str, order: str, budget: int, header_tokens: in
     """
     rows = rows.select(key, order, F.col("tokens").cast("long").alias("tokens"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = checkpointed(rows.repartitionByRange(parts, key, order).sortWithinPartitions(key, order))
+    # a row tells its partition itself: where the result is part of a union, tasks have other numbers
+    dealt = checkpointed(rows.repartitionByRange(parts, key, order).sortWithinPartitions(key, order).withColumn("_part", F.spark_partition_id()))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table | None, list[tuple[int, int]]]:
         held = [x for x in batches if x.num_rows]
@@ -101,7 +101,7 @@ def packed(rows: DataFrame, key: str, order: str, budget: int, header_tokens: in
         closing, (later, of) = first.closing(), first.ends()
         ends = [(int(first.sums[i]), i, later[i], first.n - of[i], int(header_tokens + first.sums[-1] - first.sums[of[i]])) for i in closing]
         later, of = last.ends()
-        found = {"part": TaskContext.get().partitionId(), "first": data[key][0].as_py(), "last": data[key][-1].as_py(), "one": len(cuts) == 1, "n": first.n, "total": int(first.sums[-1])}
+        found = {"part": data["_part"][0].as_py(), "first": data[key][0].as_py(), "last": data[key][-1].as_py(), "one": len(cuts) == 1, "n": first.n, "total": int(first.sums[-1])}
         found |= {"tokens": [int(first.sums[i + 1] - first.sums[i]) for i in closing], "ends": [x for end in ends for x in end], "open": [later[0], last.n - of[0], int(header_tokens + last.sums[-1] - last.sums[of[0]])]}
         yield pa.RecordBatch.from_pylist([found], schema=pa.schema([("part", pa.int32()), ("first", data.schema.field(key).type), ("last", data.schema.field(key).type), ("one", pa.bool_()), ("n", pa.int64()), ("total", pa.int64()), *((x, pa.list_(pa.int64())) for x in ("tokens", "ends", "open"))]))
 
@@ -126,13 +126,23 @@ def packed(rows: DataFrame, key: str, order: str, budget: int, header_tokens: in
         data, cuts = runs(batches)
         if data is None:
             return
-        states = [entering[TaskContext.get().partitionId()], *[(0, 0, header_tokens)] * (len(cuts) - 1)]
+        states = [entering[data["_part"][0].as_py()], *[(0, 0, header_tokens)] * (len(cuts) - 1)]
         batch = np.concatenate([run(data, *cut).batches(*state) for cut, state in zip(cuts, states, strict=True)])
-        yield from data.append_column("batch", pa.array(batch, pa.int64())).to_batches()
+        yield from data.drop_columns("_part").append_column("batch", pa.array(batch, pa.int64())).to_batches()
 
     return dealt.mapInArrow(number, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", batch long")
 
 
+def packed_sql(name: str, rows: str, key: str, order: str, header: int, budget: int) -> str:
+    """CTEs that pack `rows` (key, order, tokens): `name` has them with their batch. Running sums tell where the next batch begins."""
+    return f"""
+{name}_l AS (SELECT *, row_number() OVER w AS i, CAST(sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM ({rows}) WINDOW w AS (PARTITION BY {key} ORDER BY {order})),
+{name}_s AS (
+  SELECT DISTINCT {key}, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS base, CAST(0 AS BIGINT) AS batch FROM {name}_l
+  UNION ALL SELECT s.{key}, min(l.i), arg_min(l.cum - l.tokens, l.i), s.batch + 1 FROM {name}_s s JOIN {name}_l l ON l.{key} = s.{key} AND l.i > s.i AND l.cum - s.base + {header} > {budget} GROUP BY s.{key}, s.batch),
+{name} AS (SELECT l.*, s.batch FROM {name}_l l ASOF JOIN {name}_s s ON l.{key} = s.{key} AND l.i >= s.i)"""
+
+
 def next_fit(rows: DataFrame, key: str, order: str, budget: int, header_tokens: int = 0) -> DataFrame:
     """(key, order, tokens, batch): rows in order; a batch closes when the next row would exceed the budget, and an oversized row has a batch of its own."""
     return packed(rows, key, order, budget, header_tokens)

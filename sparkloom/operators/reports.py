@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graph
+from sparkloom.operators import context, graph
 from sparkloom.plans import domain
 from sparkloom.session import table
 
@@ -37,26 +36,9 @@ def child_counts(hierarchy: DataFrame) -> DataFrame:
 
 
 def fragment_plan(atoms: DataFrame, budget: int) -> DataFrame:
-    """(part, place, tokens, fragment): a community's evidence rows packed in order into fragments that fit the
-    budget; afterwards neighbouring fragments that fit together are combined. A row over the budget is a fragment of its own."""
-
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
-        fragments: list[int] = []  # tokens of each
-        of = []
-        for n in group["tokens"]:
-            if not fragments or fragments[-1] + n > budget:
-                fragments.append(0)
-            fragments[-1] += n
-            of.append(len(fragments) - 1)
-        joined, total = [], 0
-        for number, n in enumerate(fragments):
-            total = total + n if number and total + n <= budget else n
-            joined.append(joined[-1] if number and total != n else number)
-        names = {x: i for i, x in enumerate(dict.fromkeys(joined))}
-        return group.assign(fragment=[names[joined[x]] for x in of])
-
-    return atoms.groupBy("part").applyInPandas(plan, "part string, place long, tokens long, fragment long")
+    """(part, place, tokens, fragment): a community's evidence rows (part, place, tokens) packed in order into fragments that fit the
+    budget. A row over the budget is a fragment of its own. `fragments` plans along a tree of communities."""
+    return context.packed(atoms, "part", "place", budget).withColumnRenamed("batch", "fragment")
 
 
 def reduce_rounds(fragments: int, width: int) -> int:
@@ -147,6 +129,7 @@ ORACLE_SQL = {
     "report_relations": f"WITH {_MEMBERS} SELECT a.part, count(*) AS relations, sum(weight) AS weight FROM relations r JOIN members a ON r.source = a.node JOIN members b ON r.target = b.node WHERE a.part = b.part GROUP BY a.part",
     "report_occurrence_weights": f"WITH {_MEMBERS}, u AS (SELECT part, count(DISTINCT pos % 1000) AS units FROM relations JOIN members ON target = node GROUP BY part) SELECT part, units, round(units / max(units) OVER (), 6) AS weight FROM u",
     "report_child_counts": "SELECT 'r' || n_regionkey AS part, count(*) AS children FROM nation GROUP BY n_regionkey",
+    "report_fragment_plan": f"WITH RECURSIVE {_MEMBERS},{context.packed_sql('pk', 'SELECT part, place, degree % 17 + 3 AS tokens FROM ranked', 'part', 'place', 0, 100)} SELECT part, place, tokens, batch AS fragment FROM pk",
     "report_fragment_coverage": f"WITH {_MEMBERS} SELECT part, place, 'missing' AS fault FROM ranked WHERE place % 50 = 0",
     "report_assembly": f"WITH {_MEMBERS} SELECT part, 'Report on ' || part AS title, string_agg(node, ',' ORDER BY place) AS refs, part <> 'Brand#7' AS dense FROM ranked GROUP BY part",
     "report_markdown": f"WITH {_MEMBERS} SELECT part, '# ' || part || chr(10) || chr(10) || 'Leading members.' || chr(10) || chr(10) || string_agg('## ' || node || chr(10) || chr(10) || 'degree ' || degree, chr(10) || chr(10) ORDER BY node) AS text FROM ranked GROUP BY part",

@@ -37,6 +37,42 @@ def ask(prompts: DataFrame, model: Model = stub_model) -> DataFrame:
     return prompts.select("key", "prompt").mapInPandas(run, "key long, answer string")
 
 
+OUTCOMES = "key long, answer string, outcome string, reason string, calls int"
+Check = Callable[[str], str | None]
+Corrector = Callable[[str, str, str], str]
+
+
+def ask_outcomes(prompts: DataFrame, model: Model = stub_model, check: Check | None = None, corrector: Corrector | None = None) -> DataFrame:
+    """(key, answer, outcome, reason, calls) for prompts (key, prompt): what became of each, whatever the model does.
+
+    check gives the reason why an answer isn't valid, or None. An invalid answer is corrected once: corrector gets the prompt, the rejected answer and the reason,
+    and what it says is checked again. outcome is `succeeded`, `model failure` (the model or its corrector raised; reason says what) or `invalid response` (reason is that of the last
+    check); only the first has an answer. A failing call costs its row, not the job.
+    """
+
+    def outcome(prompt: str) -> tuple[str | None, str, str | None, int]:
+        calls, answer, reason = 0, None, None
+        for call in (lambda: model(prompt), lambda: corrector(prompt, answer, reason)):
+            if calls and corrector is None:
+                break
+            calls += 1
+            try:
+                answer = call()
+            except Exception as e:  # a user's model may raise anything
+                return None, "model failure", f"{type(e).__name__}: {e}", calls
+            reason = check(answer) if check else None
+            if reason is None:
+                return answer, "succeeded", None, calls
+        return None, "invalid response", reason, calls
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [outcome(x) for x in batch["prompt"]]
+            yield pd.DataFrame({"key": batch["key"], **{name: [x[i] for x in found] for i, name in enumerate(("answer", "outcome", "reason", "calls"))}})
+
+    return prompts.select("key", "prompt").mapInPandas(run, OUTCOMES)
+
+
 # --- basic --------------------------------------------------------------------------------------
 
 
