@@ -1,24 +1,23 @@
 """Phrase collocation mining by hierarchical pair naming.
 
-Texts become sequences of word codes, in chunks of about CHUNK words that hold their own dictionary.
-A word that is frequent in its language gets an id. From there each level replaces pairs: where two frequent
+Texts become sequences of ids of the words that are frequent in their language, in chunks of about CHUNK words. From there each level replaces pairs: where two frequent
 (k-1)-grams stand one word apart, they form a k-gram, named by the pair of their ids. Chunks send one
-row for each distinct pair, Spark sums these, gives the frequent ones an id of their own, and a join takes
-the ids back to the chunks, which keep the positions of frequent k-grams only. The pair of a k-gram is
+row for each distinct pair, Spark sums these, gives the frequent ones an id of their own, and the
+ids go back to the chunks (all of them to all tasks while they are few, else by a join), which keep the positions of frequent k-grams only. The pair of a k-gram is
 its pointer to two parents, all but its last and all but its first word; counts for the cuts, phrases and
 longer phrases that swallow a shorter one are found along these pointers.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import read
@@ -31,9 +30,12 @@ MOST_WORDS, LEAST, MOST_PHRASES = 4, 30, 2000
 SWALLOWED = 80
 SCALE = 2_000_000
 #: Words of a chunk, about.
-CHUNK = 1_000_000
-#: Frequent pairs that are broadcast to the chunks' pairs (32 bytes each); more of them are joined by a shuffle.
+CHUNK = 500_000
+#: Frequent words or grams of a level that are sent to all tasks, which then name what they read themselves (24 bytes each, for words their letters more). Of
+#: more, chunks get those that they hold by a join.
 BROADCAST_ROWS = 500_000
+#: Distinct words that a task counts before it sends them on.
+HELD = 1 << 19
 #: Lower-cases A-Z; piece ends become a period, tabs spaces.
 _TABLE = bytes(ord(".") if chr(x) in ".,;:!?\n\x0b\x0c\r" else 32 if x == 9 else x + 32 if 65 <= x <= 90 else x for x in range(256))
 _END = b"."
@@ -44,11 +46,32 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).replace(_END, b" . ").split()
 
 
-_CODED = pa.schema([("chunk", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of every HELD distinct words or, at its end, of the task."""
+    counted: dict[str, Counter] = defaultdict(Counter)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, found in counted.items():
+            found.pop(_END, None)
+            words, n = list(found), list(found.values())
+            for i in range(0, len(words), 1 << 16):
+                texts = pa.array(words[i : i + (1 << 16)], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(texts), pa.string()), texts, pa.array(n[i : i + (1 << 16)], pa.int64())], names=["lang", "word", "n"])
+        counted.clear()
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            counted[lang].update(words_of(text.as_py()))
+        if sum(map(len, counted.values())) >= HELD:
+            yield from flush()
+    yield from flush()
+
+
+_CODED = pa.schema([("chunk", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("lang", pa.string()), ("word", pa.string())])
 
 
 def _coded(chunk_words: int):
-    """Chunks as rows of two kinds: one with the codes of all words in order, and one for each distinct (lang, word) with its code and count."""
+    """Chunks as rows of two kinds: one with the codes of all words in order, and one for each distinct (lang, word) with its code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -70,7 +93,6 @@ def _coded(chunk_words: int):
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal total, held, number
             codes = np.concatenate(parts)
-            counts = np.bincount(codes, minlength=total)
             empty = [None]
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([codes.tobytes()], pa.binary()), *(pa.array(empty, field.type) for field in list(_CODED)[2:])], schema=_CODED)
             for lang, of in vocabulary.items():
@@ -79,7 +101,7 @@ def _coded(chunk_words: int):
                 for i in range(0, len(words), 1 << 16):
                     texts = pa.array(words[i : i + (1 << 16)], pa.binary()).cast(pa.string())
                     some = at[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.nulls(len(some), pa.binary()), pa.array(some), pa.array([lang] * len(some), pa.string()), texts, pa.array(counts[some])], schema=_CODED)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.nulls(len(some), pa.binary()), pa.array(some), pa.array([lang] * len(some), pa.string()), texts], schema=_CODED)
             vocabulary.clear()
             parts.clear()
             number, total, held = number + 1, 1, 0
@@ -99,14 +121,16 @@ def _coded(chunk_words: int):
     return run
 
 
-# A chunk's level: `at` and `codes` (int32) say that at a position a frequent gram starts, and which of `ids` (int64, ascending) it is.
-_LEVEL = "chunk long, at binary, codes binary, ids binary"
-_LEVEL_SCHEMA = pa.schema([("chunk", pa.int64()), ("at", pa.binary()), ("codes", pa.binary()), ("ids", pa.binary())])
+# A chunk's level: the frequent grams that start in it, in order. `codes` (int32) has which of `ids` (int64, ascending) each is, times two, plus one if the next
+# one starts a single word later; gaps between others don't matter any more.
+_LEVEL = "chunk long, codes binary, ids binary"
+_LEVEL_SCHEMA = pa.schema([("chunk", pa.int64()), ("codes", pa.binary()), ("ids", pa.binary())])
 
 
-def _level_row(chunk: int, at: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    binary = [pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), codes.astype(np.int32), ids.astype(np.int64))]
-    return pa.RecordBatch.from_arrays([pa.array([chunk]), *binary], schema=_LEVEL_SCHEMA)
+def _level_row(chunk: pa.Scalar, at: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    codes = codes.astype(np.int32) << 1
+    codes[:-1] |= at[1:] == at[:-1] + 1
+    return pa.RecordBatch.from_arrays([pa.array([chunk.as_py()]), pa.array([codes.tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())], schema=_LEVEL_SCHEMA)
 
 
 def _fields(column: pa.Array, row: int) -> list[np.ndarray]:
@@ -119,21 +143,21 @@ def _name_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Level 1 of chunks from their codes and the (code, id) of their frequent words."""
     for batch in batches:
         for row in range(batch.num_rows):
-            codes = np.frombuffer(batch.column("codes")[row].as_py(), np.int32)
+            codes = np.frombuffer(batch.column("codes")[row].as_buffer(), np.int32)
             of, ids = _fields(batch.column("named"), row)
             order = np.argsort(ids)
             rank = np.full(max(int(codes.max()), int(of.max())) + 1, -1, np.int32)
             rank[of[order]] = np.arange(len(ids))
             at = np.flatnonzero(rank[codes] >= 0)
-            yield _level_row(batch.column("chunk")[row].as_py(), at, rank[codes[at]], ids[order])
+            yield _level_row(batch.column("chunk")[row], at, rank[codes[at]], ids[order])
 
 
 def _chunk_pairs(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk at some level its ids, the positions where a pair starts, and the pairs as left code << 32 | right code."""
-    at, codes = (np.frombuffer(batch.column(x)[row].as_py(), np.int32) for x in ("at", "codes"))
-    ids = np.frombuffer(batch.column("ids")[row].as_py(), np.int64)
-    together = np.flatnonzero(at[1:] == at[:-1] + 1)
-    return ids, at[together], codes[together].astype(np.int64) << 32 | codes[together + 1]
+    """Of a chunk at some level its ids, the numbers of the grams that make a pair with the next one, and the pairs as left code << 32 | right code."""
+    codes = np.frombuffer(batch.column("codes")[row].as_buffer(), np.int32)
+    ids = np.frombuffer(batch.column("ids")[row].as_buffer(), np.int64)
+    together = np.flatnonzero(codes & 1)
+    return ids, together, (codes[together] >> 1).astype(np.int64) << 32 | codes[together + 1] >> 1
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +184,75 @@ def _name_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.minimum(np.searchsorted(keys, pairs, sorter=by_key), len(keys) - 1)
             rank = by_key[place]
             frequent = keys[rank] == pairs
-            yield _level_row(batch.column("chunk")[row].as_py(), at[frequent], rank[frequent], named[order])
+            yield _level_row(batch.column("chunk")[row], at[frequent], rank[frequent], named[order])
+
+
+def _name_texts(shared, chunk_words: int):
+    """Level 1 straight from texts, by the ids of all frequent words (shared: lang -> sorted words, their ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {lang: dict(zip(words, ids.tolist(), strict=True)) for lang, (words, ids) in shared.value.items()}
+        number = TaskContext.get().partitionId() << 32
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            found = np.concatenate(parts)
+            at = np.flatnonzero(found >= 0)
+            ids, codes = np.unique(found[at], return_inverse=True)
+            return _level_row(pa.scalar(number), at, codes, ids)
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                words = words_of(text.as_py())
+                parts += [np.fromiter(map(known.get(lang, {}).get, words, repeat(-1)), np.int64, len(words)), np.full(1, -1)]
+                held += len(words)
+                if held >= chunk_words:
+                    yield flush()
+                    parts.clear()
+                    number, held = number + 1, 0
+        if parts:
+            yield flush()
+
+    return run
+
+
+def _name_pairs_shared(shared):
+    """The next level of chunks, by all frequent pairs (shared: ids that occur in them, and the pairs' keys, sorted, with their ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, keys, named = shared.value
+        if not len(keys):
+            return
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, at, pairs = _chunk_pairs(batch, row)
+                place = np.minimum(np.searchsorted(parts, ids), len(parts) - 1)
+                place[parts[place] != ids] = len(parts)  # in no frequent pair
+                wanted = place[pairs >> 32] * (len(parts) + 1) + place[pairs & 0xFFFFFFFF]
+                found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                frequent = keys[found] == wanted
+                of, codes = np.unique(named[found[frequent]], return_inverse=True)
+                yield _level_row(batch.column("chunk")[row], at[frequent], codes, of)
+
+    return run
+
+
+def _pairs_to_share(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most BROADCAST_ROWS pairs (left, right, id) as arrays."""
+    rows = counted.select("left", "right", "id").toArrow()
+    left, right, named = (rows[x].to_numpy() for x in ("left", "right", "id"))
+    parts = np.unique(np.concatenate([left, right]))
+    keys = np.searchsorted(parts, left) * (len(parts) + 1) + np.searchsorted(parts, right)
+    order = np.argsort(keys)
+    return parts, keys[order], named[order]
+
+
+def _words_to_share(counted: DataFrame) -> dict[str, tuple[list[bytes], np.ndarray]]:
+    """At most BROADCAST_ROWS words (lang, word, id) by language."""
+    rows = counted.select("lang", F.col("word").cast("binary").alias("word"), "id").toArrow()
+    langs, words, ids = rows["lang"].to_numpy(), rows["word"].to_pylist(), rows["id"].to_numpy()
+    return {str(lang): ([words[i] for i in np.flatnonzero(langs == lang)], ids[langs == lang]) for lang in set(langs.tolist())}
 
 
 def _numbered(grams: DataFrame) -> DataFrame:
@@ -182,15 +274,20 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     docs: text, lang; other columns are ignored. See mine_phrases for texts, nulls and scores.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    coded = written(texts.mapInArrow(_coded(chunk_words), "chunk long, codes binary, code int, lang string, word string, n long"))
-    dictionary = coded.where("codes IS NULL").drop("codes")
-    totals = dictionary.groupBy("lang").agg(F.sum("n").alias("n"))
-    counted = _numbered(dictionary.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    share = docs.sparkSession.sparkContext.broadcast
+    words = written(texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    counted = _numbered(words.where(F.col("n") >= least))
     none = F.array().cast("array<long>")
     shorter = counted.select("id", "n", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))
-    named = dictionary.select("chunk", "code", "lang", "word").join(_sized(counted.select("lang", "word", "id")), ["lang", "word"])
-    named = named.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("named"))
-    level = written(coded.where("codes IS NOT NULL").select("chunk", "codes").join(named, "chunk").mapInArrow(_name_words, _LEVEL))
+    if counted.count() <= BROADCAST_ROWS:
+        level = written(texts.mapInArrow(_name_texts(share(_words_to_share(counted)), chunk_words), _LEVEL))
+    else:
+        coded = written(texts.mapInArrow(_coded(chunk_words), "chunk long, codes binary, code int, lang string, word string"))
+        named = coded.where("codes IS NULL").select("chunk", "code", "lang", "word").join(counted.select("lang", "word", "id"), ["lang", "word"])
+        named = named.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("named"))
+        level = written(coded.where("codes IS NOT NULL").select("chunk", "codes").join(named, "chunk").mapInArrow(_name_words, _LEVEL))
+        dropped(coded)
     done = []
     for words in range(2, most_words + 1):
         pairs = level.mapInArrow(_count_pairs, "chunk long, left long, right long, n long")
@@ -200,9 +297,12 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
         if words > 2:
             done.append(shorter.withColumn("words", F.lit(words - 1)).join(within, "id", "left"))
         if words < most_words:
-            named = pairs.select("chunk", "left", "right").join(_sized(counted.select("left", "right", "id")), ["left", "right"])
-            named = named.groupBy("chunk").agg(F.collect_list(F.struct("left", "right", "id")).alias("named"))
-            following = written(level.join(named, "chunk").mapInArrow(_name_pairs, _LEVEL))
+            if counted.count() <= BROADCAST_ROWS:
+                following = written(level.mapInArrow(_name_pairs_shared(share(_pairs_to_share(counted))), _LEVEL))
+            else:
+                named = pairs.select("chunk", "left", "right").join(counted.select("left", "right", "id"), ["left", "right"])
+                named = named.groupBy("chunk").agg(F.collect_list(F.struct("left", "right", "id")).alias("named"))
+                following = written(level.join(named, "chunk").mapInArrow(_name_pairs, _LEVEL))
             dropped(level)
             level = following
         shorter = longer
@@ -216,11 +316,6 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     return found.select("lang", "phrase", "words", F.col("n").alias("a"), "cut.l", "cut.r", "cut.score", "swallowed"), totals
 
 
-def _sized(grams: DataFrame) -> DataFrame:
-    """Broadcast only if they are few; otherwise a shuffle joins them."""
-    return F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams
-
-
 def mine_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, most_phrases: int = MOST_PHRASES, chunk_words: int = CHUNK) -> DataFrame:
     """The strongest collocations of each language.
 
