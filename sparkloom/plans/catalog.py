@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.operators import activation, citation, communities, context, corpus, epochs, extraction, fragments, graph, journal, knowledge, messages, reports, responses, search, snapshots, strategies, upkeep, vectors
+from sparkloom.operators import activation, branching, citation, communities, context, corpus, epochs, extraction, fragments, graph, journal, knowledge, messages, reports, responses, search, snapshots, strategies, upkeep, vectors
 from sparkloom.sources import documents
 from sparkloom.streaming import consumer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [corpus, messages, knowledge, graph, communities, vectors, journal, context, citation, activation, reports, fragments, search, epochs, extraction, responses, snapshots, strategies, upkeep, documents, consumer]
+MODULES: list = [corpus, messages, knowledge, graph, communities, vectors, journal, context, citation, activation, reports, fragments, search, branching, epochs, extraction, responses, snapshots, strategies, upkeep, documents, consumer]
 
 
 def queries() -> dict[str, Query]:
