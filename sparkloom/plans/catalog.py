@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.operators import activation, branching, citation, communities, context, corpus, epochs, extraction, fragments, graph, journal, knowledge, messages, reports, responses, search, sentences, snapshots, strategies, upkeep, vectors
 from sparkloom.sources import documents
-from sparkloom.streaming import consumer
+from sparkloom.streaming import consumer, dispatch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [corpus, sentences, messages, knowledge, graph, communities, vectors, journal, context, citation, activation, reports, fragments, search, branching, epochs, extraction, responses, snapshots, strategies, upkeep, documents, consumer]
+MODULES: list = [corpus, sentences, messages, knowledge, graph, communities, vectors, journal, context, citation, activation, reports, fragments, search, branching, epochs, extraction, responses, snapshots, strategies, upkeep, documents, consumer, dispatch]
 
 
 def queries() -> dict[str, Query]:

@@ -4,15 +4,29 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sparkloom.operators import activation
 from sparkloom.session import checkpointed
 
 Handler = Callable[[DataFrame, int], None]
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB, which the processors here need; the session's own setting comes back afterwards."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 def consume(events: DataFrame, handler: Handler, checkpoint: str) -> None:
@@ -21,8 +35,9 @@ def consume(events: DataFrame, handler: Handler, checkpoint: str) -> None:
     events: a streaming DataFrame. The checkpoint is the consumer's position; a pull that fails is repeated with the same
     events, so a handler has to be idempotent by (batch) or by event_id.
     """
-    query = events.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with keyed_state(events.sparkSession):
+        query = events.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
 
 
 def journal_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -30,39 +45,47 @@ def journal_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
-_OUT = "subject long, observation_id long, stability double, difficulty double, accepted boolean"
-_STATE = "stability double, difficulty double, last long, applied array<long>"
+_OUT = "subject long, observation_id long, stability double, difficulty double, accepted boolean, submitted long"
 
 
-def _update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+class Memory(StatefulProcessor):
     """Folds a subject's new observations, in order of submission, into its state; earlier ones than the last accepted are rejected.
 
-    The state holds the ids it has applied: an observation that comes again, in this pull or a later one, changes nothing.
+    What was applied is a map by observation, of which a pull reads and writes only the entries of its own rows: an observation that comes again, in this pull or
+    a later one, changes nothing.
     """
-    model = activation.Model()
-    stability, difficulty, last, applied = state.get if state.exists else (None, None, None, [])
-    applied = list(applied)
-    known = set(applied)
-    rows = []
-    new = pd.concat(list(batches)).sort_values("submitted").drop_duplicates("observation_id")
-    for row in new.itertuples(index=False):
-        if row.observation_id in known:
-            continue
-        at = pd.Timestamp(row.occurred_at).value // 1000
-        accepted = last is None or at >= last
-        if accepted:
-            days = 0 if last is None else (at - last) // 86_400_000_000
-            stability, difficulty = model.step(None if last is None else (stability, difficulty), int(row.grade), days)
-            last = at
-        applied.append(int(row.observation_id))
-        rows.append((key[0], row.observation_id, stability, difficulty, accepted))
-    state.update((stability, difficulty, last, applied))
-    yield pd.DataFrame(rows, columns=["subject", "observation_id", "stability", "difficulty", "accepted"])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.model = activation.Model()
+        self.state = handle.getValueState("state", "stability double, difficulty double, last long")
+        self.applied = handle.getMapState("applied", "observation_id long", "accepted boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stability, difficulty, last = self.state.get() if self.state.exists() else (None, None, None)
+        out = []
+        new = pd.concat(list(rows)).sort_values("submitted").drop_duplicates("observation_id")
+        for row in new.itertuples(index=False):
+            if self.applied.containsKey((int(row.observation_id),)):
+                continue
+            at = pd.Timestamp(row.occurred_at).value // 1000
+            accepted = last is None or at >= last
+            if accepted:
+                days = 0 if last is None else (at - last) // 86_400_000_000
+                stability, difficulty = self.model.step(None if last is None else (stability, difficulty), int(row.grade), days)
+                last = at
+            self.applied.updateValue((int(row.observation_id),), (accepted,))
+            out.append((key[0], row.observation_id, stability, difficulty, accepted, int(row.submitted)))
+        if last is not None:
+            self.state.update((stability, difficulty, last))
+        yield pd.DataFrame(out, columns=["subject", "observation_id", "stability", "difficulty", "accepted", "submitted"])
+
+    def close(self) -> None:
+        pass
 
 
 def memory_states(observations: DataFrame) -> DataFrame:
     """A stream of observations (subject, observation_id, occurred_at, grade, submitted) as a stream of states after each."""
-    return observations.groupBy("subject").applyInPandasWithState(_update, _OUT, _STATE, "append", "NoTimeout")
+    return observations.groupBy("subject").transformWithStateInPandas(Memory(), _OUT, "Append", "None")
 
 
 def _split_journal(spark, sf_dir) -> tuple[str, str, object]:
@@ -93,7 +116,7 @@ def stream_memory_states(spark, sf_dir):
     ordered = spark.readStream.schema(schema).parquet(path)
     consume(memory_states(ordered), lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}"), f"{folder}/position")
     found = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out/*").where("accepted")
-    last = found.groupBy("subject").agg(F.max_by(F.struct("stability", "difficulty"), "observation_id").alias("x"), F.count("*").alias("reviews"))
+    last = found.groupBy("subject").agg(F.max_by(F.struct("stability", "difficulty"), "submitted").alias("x"), F.count("*").alias("reviews"))
     return last.select("subject", "reviews", F.round("x.stability", 4).alias("stability"), F.round("x.difficulty", 4).alias("difficulty"))
 
 
