@@ -173,7 +173,7 @@ def _asked(requests: DataFrame, model: Model, decode: Callable[[DataFrame], Data
     again = checkpointed(_reserved(again, limits).select("key", "prompt", "output", "error", F.col("prompt_tokens").alias("more_prompt")))
     # the correction's prompt carries three texts; the corrector gets them apart
     told = again.select("key", F.to_json(F.struct("prompt", "output", "error")).alias("prompt"))
-    second = checkpointed(search.ask_outcomes(told, _Corrected(corrector)).withColumnRenamed("answer", "output"))
+    second = checkpointed(search.ask_outcomes(told, search.Corrected(corrector)).withColumnRenamed("answer", "output"))
     fixed = decode(second.select("key", F.coalesce("output", F.lit("")).alias("output"))).join(second.select("key", "output", "outcome", F.col("reason").alias("failure")), "key")
     fixed = fixed.withColumn("more_output", F.when(F.col("outcome") == "succeeded", tokens("output")).otherwise(F.lit(0)).cast("long"))
     failed = F.when(F.col("outcome") != "succeeded", F.concat(F.lit("model failure: "), F.coalesce("failure", F.lit("")))).when(F.col("more_output") > limits.answer_tokens, F.lit("too long")).otherwise(F.col("error"))
@@ -186,17 +186,6 @@ def _asked(requests: DataFrame, model: Model, decode: Callable[[DataFrame], Data
     return both.withColumns(only_good).select(*[x for x in settled.columns if x != "key"])
 
 
-class _Corrected:
-    """A corrector as a model of prompts that carry its three texts."""
-
-    def __init__(self, corrector: search.Corrector):
-        self.corrector = corrector
-
-    def __call__(self, prompt: str) -> str:
-        parts = json.loads(prompt)
-        return self.corrector(parts["prompt"], parts["output"], parts["error"])
-
-
 # --- primer -----------------------------------------------------------------------------------------
 
 def primed(searches: DataFrame, reports: DataFrame, report_vectors: DataFrame, embed: Embedder, hypothetical_model: Model, model: Model, limits: Limits, corrector: search.Corrector | None = None) -> DataFrame:

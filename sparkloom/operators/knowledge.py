@@ -71,13 +71,20 @@ def submission(offered: DataFrame, versions: DataFrame) -> DataFrame:
     return joined.withColumn("outcome", outcome).withColumn("order", order).select("id", "content_hash", "outcome", F.coalesce("base", F.lit(1)).cast("long").alias("version"), number.cast("long").alias("number"))
 
 
-def resolve(expected: DataFrame, versions: DataFrame) -> DataFrame:
-    """Optimistic resolution of expected (id, base, candidates, content_hash): `stale` if base or number of candidates
-    has changed (version 0), `appended` a next version if the content differs or the current one is a tombstone, else `confirmed`."""
+def resolve(expected: DataFrame, candidates: DataFrame, versions: DataFrame) -> DataFrame:
+    """Optimistic resolution of expected (id, base, content_hash) that was decided in view of candidates (id, content_hash, source_id): `stale`
+    (version 0) if the base or the set of open candidates, contents and sources, is no longer the same, `appended` a next version if the content differs or the
+    current one is a tombstone, else `confirmed`."""
     current = latest(versions).select("id", "version", F.col("content_hash").alias("current_hash"), "deleted")
-    now = versions.where("candidate_number > 0").groupBy("id", "version").agg(F.count("*").alias("open"))
-    joined = expected.join(current, "id", "left").join(now, ["id", "version"], "left")
-    fresh = F.col("base").eqNullSafe(F.col("version")) & (F.coalesce("open", F.lit(0)) == F.col("candidates"))
+    columns = ["id", "version", "content_hash", "source_id"]
+    bases = expected.select("id", F.col("base").alias("version"))
+    seen = candidates.join(bases, "id").select(*columns).distinct().withColumn("seen", F.lit(1))
+    open_ = versions.where("candidate_number > 0").join(bases, ["id", "version"], "left_semi").select(*columns).distinct().withColumn("open", F.lit(1))
+    same = [F.col(f"seen_.{x}").eqNullSafe(F.col(f"open_.{x}")) for x in columns]
+    both = seen.alias("seen_").join(open_.alias("open_"), same, "full")
+    moved = both.where("seen IS NULL OR open IS NULL").select(F.coalesce("seen_.id", "open_.id").alias("id")).distinct().withColumn("moved", F.lit(True))
+    joined = expected.join(current, "id", "left").join(moved, "id", "left")
+    fresh = F.col("base").eqNullSafe(F.col("version")) & F.col("moved").isNull()
     changed = F.col("deleted") | (F.col("content_hash") != F.col("current_hash"))
     outcome = F.when(~fresh, "stale").when(changed, "appended").otherwise("confirmed")
     return joined.select("id", outcome.alias("outcome"), F.when(fresh, F.col("version") + changed.cast("int")).otherwise(0).cast("long").alias("version"))
@@ -185,11 +192,14 @@ def submission_normalize(spark, sf_dir):
 
 
 def conflict_resolve(spark, sf_dir):
+    """Every conflict is resolved with its first candidate; where the user's number is divisible by 5, one more candidate was seen than is open."""
     versions = _v(spark, sf_dir)
     view = conflict_view(versions)
     content = versions.where("candidate_number = 1").select("id", "version", "content_hash")
-    expected = view.join(content, ["id", "version"]).select("id", F.col("version").alias("base"), (F.col("candidates") + (F.substring("id", 2, 9).cast("int") % 5 == 0).cast("int")).alias("candidates"), "content_hash")
-    return resolve(expected, versions)
+    expected = view.join(content, ["id", "version"]).select("id", F.col("version").alias("base"), "content_hash")
+    seen = versions.where("candidate_number > 0").join(view.select("id", "version"), ["id", "version"], "left_semi").select("id", "content_hash", "source_id")
+    more = expected.where(F.substring("id", 2, 9).cast("int") % 5 == 0).select("id", F.lit("another").alias("content_hash"), F.lit(0).cast("long").alias("source_id"))
+    return resolve(expected, seen.unionByName(more), versions)
 
 
 def provenance_entity(spark, sf_dir):

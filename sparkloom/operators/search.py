@@ -7,6 +7,7 @@ how much of them fits. Models come in as callables (text -> text); the defaults
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -73,6 +74,17 @@ def ask_outcomes(prompts: DataFrame, model: Model = stub_model, check: Check | N
     return prompts.select("key", "prompt").mapInPandas(run, OUTCOMES)
 
 
+class Corrected:
+    """A corrector as a model whose prompts carry its three texts as JSON (prompt, output, error)."""
+
+    def __init__(self, corrector: Corrector):
+        self.corrector = corrector
+
+    def __call__(self, prompt: str) -> str:
+        parts = json.loads(prompt)
+        return self.corrector(parts["prompt"], parts["output"], parts["error"])
+
+
 # --- basic --------------------------------------------------------------------------------------
 
 

@@ -84,8 +84,19 @@ def test_provenance_counts_accepted_candidates(spark):
 
 
 def test_resolution(spark):
-    expected = spark.createDataFrame([("c", 1, 1, "h5"), ("c", 1, 2, "h5"), ("c", 1, 1, "h4")], "id string, base long, candidates long, content_hash string")
-    assert sorted(x.outcome for x in knowledge.resolve(expected, versions(spark)).collect()) == ["appended", "confirmed", "stale"]
+    v = versions(spark)
+    seen = [("c", x.content_hash, x.source_id) for x in v.where("id = 'c' AND candidate_number > 0").collect()]
+    assert len(seen) == 1
+
+    def outcome(content_hash, candidates, base=1):
+        expected = spark.createDataFrame([("c", base, content_hash)], "id string, base long, content_hash string")
+        return [tuple(x) for x in knowledge.resolve(expected, spark.createDataFrame(candidates, "id string, content_hash string, source_id long"), v).collect()]
+
+    assert outcome("h5", seen) == [("c", "appended", 2)] and outcome("h4", seen) == [("c", "confirmed", 1)]
+    assert outcome("h5", []) == outcome("h5", seen, 2) == [("c", "stale", 0)]
+    # as many as are open, but one was resolved and another opened, or comes from another source
+    assert outcome("h5", [("c", "h9", seen[0][2])]) == outcome("h5", [("c", seen[0][1], 99)]) == [("c", "stale", 0)]
+    assert outcome("h5", [*seen, *seen]) == [("c", "appended", 2)]
 
 
 def test_undirected_keeps_the_last(spark):
