@@ -34,7 +34,7 @@ def quantised(vectors: DataFrame) -> DataFrame:
     """vec_id, v (floor(1024 * x) of every component as array<bigint>); unusable vectors left out."""
     usable = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("bigint"))
-    return vectors.where(usable & F.col("vec_id").isNotNull()).select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.where(usable & F.col("vec_id").isNotNull()).select("vec_id", v.alias("v"))
 
 
 def _matrix(values: np.ndarray, dim: int) -> np.ndarray:
@@ -113,14 +113,15 @@ def top_k_search(vectors: DataFrame, is_query, k: int = 10, block_rows: int = BL
     vectors: vec_id, embedding; other columns are ignored. is_query: a condition on vec_id.
     Returns query_id, rank (from 1), vec_id, score; fewer than k rows where there are fewer
     candidates. Null vectors and those with a null or non-finite component take no part, nor do rows
-    of a null vec_id; of rows that repeat a vec_id the smallest vector counts. Scores beyond 64 bits
+    of a null vec_id. Rows that repeat a vec_id are candidates of their own for queries of other vec_ids; those of a query share its ranks. Scores beyond 64 bits
     count as the limit. Vectors of different dimensions don't meet; those of dimension 0 all score 0. An empty table gives no rows.
 
     Of n rows each is sent to one block and each query to all, n / block_rows copies of it; a task holds one block, not the queries.
     """
     v = checkpointed(quantised(vectors).withColumn("dim", F.size("v")).withColumn("asks", is_query))
     blocks = max(1, -(-v.count() // block_rows))
-    rows = v.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
+    # the rows are written, so a number for each is the same for every task, and deals repeats of a vec_id out too
+    rows = v.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
     queries = v.where("asks").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = rows.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "dim", "asks").select("block", "dim", "asks", "vec_id", "v")
 

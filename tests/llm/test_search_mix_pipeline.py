@@ -12,19 +12,33 @@ from .conftest import DOCS, prose
 
 
 def brute_topk(rows, queries, k):
+    """Every usable row is a candidate for other ids; the rows of a query's id share its ranks."""
+    usable = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    usable = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(1024 * float(np.float32(x)))) for x in v]
-            usable[i] = min(usable.get(i, q), q)
-    for qid in sorted(usable):
-        if qid % queries == 0:
-            scores = sorted((-min(max(sum(a * b for a, b in zip(usable[qid], v, strict=True)), -(2**63)), 2**63 - 1), i) for i, v in usable.items() if i != qid and len(v) == len(usable[qid]))
-            out += [(qid, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
+    for qid in sorted({i for i, _ in usable if i % queries == 0}):
+        asked = [v for i, v in usable if i == qid]
+        scores = sorted((-min(max(sum(a * b for a, b in zip(q, v, strict=True)), -(2**63)), 2**63 - 1), i) for q in asked for i, v in usable if i != qid and len(v) == len(q))
+        out += [(qid, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 
 
+def test_topk_of_repeated_ids_equals_its_sql(spark, tmp_path):
+    """Ids that repeat, as queries and as a third of all candidates, in many blocks."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 0.2, 8).tolist()) for i in range(300)]
+    rows += [(7, rng.normal(0, 0.4, 8).tolist()) for _ in range(150)] + [rows[7]] * 20 + [(100, rng.normal(0, 0.2, 8).tolist()), rows[100], rows[200]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4).write.parquet(str(tmp_path / "embeddings.parquet"))
+    table = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    got = topk_search.top_k_search(table, F.col("vec_id") % 100 == 0, 10, 60)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(topk_search.ORACLE_SQL["op10_topk_search"]).fetchall()
+    assert sorted(want) == brute_topk(rows, 100, 10)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("block_rows", [64, 100_000])
 def test_topk_against_brute_force(spark, block_rows):
     rng = np.random.default_rng(3)
