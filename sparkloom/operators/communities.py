@@ -22,7 +22,7 @@ from sparkloom.session import checkpointed, dropped, table, written
 TOLERANCE, PATIENCE = 1e-5, 3
 #: A refinement ends when fewer than this part of the nodes could still merge: the others stay nodes of their own on the next level.
 LEFT_SINGLE = 0.05
-THETA = 0.01
+THETA = 0.001
 #: A checkpoint is the cheaper cut, but plans' size estimates multiply through it; every so many rounds a table is written, whose size is known.
 ROUNDS_A_TABLE = 6
 
@@ -63,13 +63,13 @@ def _moves(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _settle(edges: DataFrame, nodes: DataFrame, weight: float) -> tuple[DataFrame, bool]:
+def _settle(edges: DataFrame, nodes: DataFrame, weight: float, tolerance: float) -> tuple[DataFrame, bool]:
     """Rounds until no node wants to move or the quality stands still; the best state, and whether it differs from the first."""
     states, best, quality = [nodes], 0, None
     while True:
         after = _cut(_moves(edges, states[-1]), len(states))
         seen = after.agg(F.sum("worth").alias("quality"), F.count_if("wants").alias("wants")).first()
-        if quality is None or not seen["wants"] or (seen["quality"] or 0.0) > quality + TOLERANCE * weight:
+        if quality is None or not seen["wants"] or (seen["quality"] or 0.0) > quality + tolerance * weight:
             best, quality = len(states) - 1, seen["quality"] or 0.0
         if not seen["wants"] or len(states) - 1 - best == PATIENCE:
             dropped(after, *(x for i, x in enumerate(states) if i not in (0, best) and x is not None))
@@ -104,7 +104,7 @@ def _merges(inner: DataFrame, nodes: DataFrame, theta: float) -> DataFrame:
     return nodes.join(picked, "u", "left").select("u", "mass", "resolution", "part", "part_mass", "outward", *new)
 
 
-def _refine(edges: DataFrame, nodes: DataFrame, theta: float) -> DataFrame:
+def _refine(edges: DataFrame, nodes: DataFrame, theta: float, left_single: float) -> DataFrame:
     """nodes with `ref`, the refined part of each: connected, and inside one part."""
     side = nodes.select("u", "part")
     inner = edges.join(side, "u").join(side.toDF("v", "part_v"), "v").where("part = part_v").select("u", "v", "w")
@@ -118,18 +118,19 @@ def _refine(edges: DataFrame, nodes: DataFrame, theta: float) -> DataFrame:
         seen = after.agg(F.count_if("wants").alias("wants"), F.count("*").alias("n")).first()
         dropped(now)
         now = after.drop("wants")
-        if seen["wants"] <= LEFT_SINGLE * seen["n"]:
+        if seen["wants"] <= left_single * seen["n"]:
             dropped(inner)
             return now
 
 
-def cluster(edges: DataFrame, groups: DataFrame, gamma: float = 1.0, seed: int = 42, modular: bool = True, theta: float = THETA) -> list[DataFrame]:
+def cluster(edges: DataFrame, groups: DataFrame, gamma: float = 1.0, seed: int = 42, modular: bool = True, theta: float = THETA, tolerance: float = TOLERANCE, left_single: float = LEFT_SINGLE) -> list[DataFrame]:
     """Leiden inside each group (node, grp), all groups at once; edges: source, target, weight. Parallel edges add up, loops don't count.
 
     Returns a table (node, part) for every level, finest first: the parts of a level are unions of parts of the one before
     but for nodes that a later level moves with their refined part. The last is the result; its parts are connected and named by their least
     member. For modularity a node's mass is its degree, the resolution gamma over the group's total degree; for the constant
-    Potts model (modular=False) mass 1, resolution gamma.
+    Potts model (modular=False) mass 1, resolution gamma. With tolerance 0 rounds go on while the quality rises at all (and PATIENCE rounds
+    more), with left_single 0 a refinement until no node could merge.
     """
     side = lambda end: groups.select(F.col("node").alias(end), F.col("grp").alias(f"{end}_grp"))
     inside = edges.where("source <> target").join(side("source"), "source").join(side("target"), "target").where("source_grp = target_grp")
@@ -147,11 +148,11 @@ def cluster(edges: DataFrame, groups: DataFrame, gamma: float = 1.0, seed: int =
     of = nodes.select(F.col("u").alias("node"), "u")
     levels = []
     while True:
-        nodes, moved = _settle(level, nodes, weight)
+        nodes, moved = _settle(level, nodes, weight, tolerance)
         levels.append(of.join(nodes.select("u", "part"), "u").select("node", "part"))
         if not moved:
             break
-        refined = _refine(level, nodes, theta)
+        refined = _refine(level, nodes, theta, left_single)
         name = refined.select("u", "ref")
         of = written(of.join(name, "u").select("node", F.col("ref").alias("u")))
         nodes = refined.groupBy("ref").agg(F.sum("mass").alias("mass"), F.first("resolution").alias("resolution"), F.first("part").alias("part"), F.max("turn").alias("turn"))
@@ -202,12 +203,12 @@ def merged(coarse: DataFrame, fine: DataFrame) -> DataFrame:
 
 
 def hierarchical_communities(edges: DataFrame, largest: int = 10, gamma: float = 1.0, seed: int = 42, most_levels: int | None = None) -> DataFrame:
-    """(level, part, parent, node, final): communities of more than `largest` nodes are clustered again, all of a level at once, until they no longer split or, if it is given, most_levels is met."""
+    """(level, part, parent, node, final): communities of `largest` nodes or more are clustered again, all of a level at once, until they no longer split or, if it is given, most_levels is met."""
     label = lambda parent: F.concat_ws("/", parent, F.col("part"))
     now = communities(edges, gamma, seed).select(F.lit("-1").alias("parent"), F.col("part"), "node")
     now, out = written(now), None
     for level in itertools.count():
-        large = now.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > largest)
+        large = now.groupBy("part").agg(F.count("*").alias("n")).where((F.col("n") >= largest) & (F.col("n") > 1))
         groups = written(now.join(large, "part").select("node", F.col("part").alias("grp")))
         deeper = groups.limit(0).select("node", F.col("grp").alias("parent"), F.col("grp").alias("part"))
         if (most_levels is None or level + 1 < most_levels) and not groups.isEmpty():
@@ -223,6 +224,14 @@ def hierarchical_communities(edges: DataFrame, largest: int = 10, gamma: float =
     return out
 
 
+def detected(edges: DataFrame, largest: int = 10, seed: int = 42, largest_component: bool = True) -> DataFrame:
+    """The hierarchy of communities of a graph of relations (pos, source, target, weight), of its largest component only or of all of it."""
+    if largest_component:
+        kept = written(graph.largest_component(edges).select("node"))
+        edges = edges.join(kept.withColumnRenamed("node", "source"), "source", "left_semi").join(kept.withColumnRenamed("node", "target"), "target", "left_semi")
+    return hierarchical_communities(edges, largest, seed=seed)
+
+
 def hierarchy_faults(rows: DataFrame) -> DataFrame:
     """Breaches of a hierarchy's rules (level, part, parent, node, final): members outside the parent, roots with a parent, nodes final twice."""
     child = rows.where("parent <> '-1'").select("part", "parent", "node")
@@ -246,6 +255,28 @@ def graph_hierarchical_leiden(spark, sf_dir):
     return hierarchical_communities(_community_edges(spark, sf_dir))
 
 
+def _linked_cliques(spark, sf_dir) -> DataFrame:
+    """Customers in cliques of five; four cliques make a ring, but in every third group of twenty customers two and two make a pair."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"), F.floor(F.col("c_custkey") / 5).alias("clique"), (F.floor(F.col("c_custkey") / 20) % 3 != 0).alias("ring"))
+    other = customers.select(F.col("n").alias("m"), F.col("clique").alias("clique_m"))
+    within = customers.join(other, (F.col("clique") == F.col("clique_m")) & (F.col("n") < F.col("m")))  # ten pairs of a clique
+    next_ = customers.where((F.col("n") % 5 == 4) & (F.col("n") % F.when(F.col("ring"), 20).otherwise(10) < F.when(F.col("ring"), 19).otherwise(9))).join(other, F.col("m") == F.col("n") + 1)
+    closing = customers.where("ring AND n % 20 = 0").join(other, F.col("m") == F.col("n") + 19)
+    links = [x.select("n", "m") for x in (within, next_, closing)]
+    name = lambda x: F.concat(F.lit("c"), F.col(x).cast("string"))
+    return links[0].unionByName(links[1]).unionByName(links[2]).select(name("n").alias("source"), name("m").alias("target"), F.lit(1.0).alias("weight"))
+
+
+def graph_leiden_cliques(spark, sf_dir):
+    """Constant Potts model over linked cliques: each clique is a community, though it is linked with others."""
+    return communities(_linked_cliques(spark, sf_dir), 0.5, modular=False)
+
+
+def graph_hierarchical_split(spark, sf_dir):
+    """Linked cliques under modularity: rings and pairs first, which split into their cliques, also those of exactly ten nodes."""
+    return hierarchical_communities(_linked_cliques(spark, sf_dir), 10, 0.5)
+
+
 def graph_hierarchy_faults(spark, sf_dir):
     """Regions, nations and customers as a hierarchy with faults: some customers lie in a nation of another region, some end twice, one region has a parent."""
     nations = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "concat('r', n_regionkey) AS region")
@@ -255,7 +286,7 @@ def graph_hierarchy_faults(spark, sf_dir):
     return hierarchy_faults(roots.unionByName(leaves))
 
 
-QUERIES = {f.__name__: f for f in (graph_leiden, graph_hierarchical_leiden, graph_hierarchy_faults)}
+QUERIES = {f.__name__: f for f in (graph_leiden, graph_hierarchical_leiden, graph_leiden_cliques, graph_hierarchical_split, graph_hierarchy_faults)}
 
 #: Parting a star never raises the modularity, so each nation with its customers is one community.
 _STARS = "stars AS (SELECT n.node, 'n' || c_nationkey AS star FROM customer c, LATERAL (SELECT unnest(['c' || c.c_custkey, 'n' || c.c_nationkey]) AS node) n), named AS (SELECT DISTINCT node, min(node) OVER (PARTITION BY star) AS part FROM stars)"
@@ -264,7 +295,13 @@ c AS (SELECT c_custkey, 'c' || c_custkey AS node, 'n' || c_nationkey AS nation,
 h AS (SELECT 0 AS level, region AS part, CASE WHEN region = 'r4' THEN 'r0' ELSE '-1' END AS parent, node, c_custkey % 31 = 0 AS final FROM c
   UNION ALL SELECT 1, nation, CASE WHEN c_custkey % 17 = 0 THEN 'r0' ELSE region END, node, true FROM c)"""
 
+_CLIQUES = """
+k AS (SELECT 'c' || c_custkey AS node, c_custkey // 5 AS clique, CASE WHEN c_custkey // 20 % 3 = 0 THEN -(c_custkey // 10) - 1 ELSE c_custkey // 20 END AS ring FROM customer),
+l AS (SELECT node, min(node) OVER (PARTITION BY clique) AS clique, min(node) OVER (PARTITION BY ring) AS ring, count(*) OVER (PARTITION BY ring) AS n FROM k)"""
+
 ORACLE_SQL = {
+    "graph_leiden_cliques": f"WITH {_CLIQUES.strip()} SELECT node, clique AS part FROM l",
+    "graph_hierarchical_split": f"WITH {_CLIQUES.strip()} SELECT 0 AS level, ring AS part, '-1' AS parent, node, n < 10 AS final FROM l UNION ALL SELECT 1, ring || '/' || clique, ring, node, true FROM l WHERE n >= 10",
     "graph_leiden": f"WITH {_STARS} SELECT node, part FROM named",
     "graph_hierarchical_leiden": f"WITH {_STARS} SELECT 0 AS level, part, '-1' AS parent, node, true AS final FROM named",
     "graph_hierarchy_faults": f"""WITH {_FAULTY}

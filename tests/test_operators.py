@@ -162,6 +162,20 @@ def test_communities_are_deterministic_connected_and_nested(spark):
     assert tree.where("level = 0").count() == len(parts)
 
 
+def test_communities_of_exactly_the_limit_are_split(spark):
+    """Two cliques of five with one link, among many others: one community of ten, which is split at a limit of ten, not of eleven."""
+    clique = lambda name: [(f"{name}{a}", f"{name}{b}", 1.0) for a in range(5) for b in range(a + 1, 5)]
+    raw = [*clique("x"), *clique("y"), ("x4", "y0", 1.0), *(e for i in range(30) for e in clique(f"z{i:02}"))]
+    edges = spark.createDataFrame([(i, *x) for i, x in enumerate(raw)], "pos long, source string, target string, weight double")
+    both = {f"{c}{i}" for c in "xy" for i in range(5)}
+    for limit, children in ((10, {"x0/x0", "x0/y0"}), (11, set())):
+        tree = communities.detected(edges, limit, largest_component=False).collect()
+        assert {x.node for x in tree if x.part == "x0"} == both
+        assert {x.part for x in tree if x.level == 1} == children
+        assert all(x.final != (x.level == 0 and x.node in both and limit == 10) for x in tree)
+    assert {x.node for x in communities.detected(edges).collect()} == both
+
+
 def test_coarsened_levels_and_relabelling(spark):
     levels = communities.coarsened(edge_frame(spark, planted(3, 8, 0.9, 0.02, 4)))
     last = levels.where(F.col("level") == levels.agg(F.max("level")).first()[0])
