@@ -29,7 +29,7 @@ from sparkloom.llm.common import checkpointed, read
 
 #: Labelled documents, in expectation, that relevance is learned on; a bound on the fit.
 FIT_DOCS = 12_000
-EXAMPLES = 1536
+EXAMPLES = 4096
 #: Words are hashed to 2^BITS terms; counts reach the driver in slabs of 2^SLAB_BITS terms.
 BITS, SLAB_BITS = 20, 12
 BLOCK = 128
@@ -132,20 +132,24 @@ class BlockMaxIndex:
     @classmethod
     def build(cls, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: np.ndarray) -> BlockMaxIndex:
         """examples: (doc_id, label, terms, tf). Those with the same leading term come together, so that blocks differ."""
-        vectors = [(doc_id, label, t, unit((1 + np.log(tf)) * weights[t])) for doc_id, label, t, tf in examples]
-        vectors.sort(key=lambda x: (-x[3].max(initial=0.0), x[0]))
-        vectors.sort(key=lambda x: int(x[2][np.argmax(x[3])]) if len(x[2]) else -1)
-        of = np.repeat(np.arange(len(vectors)), [len(x[2]) for x in vectors]).astype(np.int64)
-        term = np.concatenate([x[2] for x in vectors]) if vectors else np.empty(0, np.int64)
-        weight = np.concatenate([x[3] for x in vectors]) if vectors else np.empty(0)
-        order = np.lexsort((of, term))
+        lead = []  # of each example its strongest term and that one's weight
+        parts = []
+        for _, _, t, tf in examples:
+            parts.append(unit((1 + np.log(tf)) * weights[t]))
+            lead.append((int(t[np.argmax(parts[-1])]) if len(t) else -1, -parts[-1].max(initial=0.0)))
+        by = sorted(range(len(examples)), key=lambda i: (*lead[i], examples[i][0]))
+        of = np.repeat(np.arange(len(by), dtype=np.int32), [len(examples[i][2]) for i in by])
+        term = np.concatenate([examples[i][2].astype(np.int32) for i in by]) if by else np.empty(0, np.int32)
+        weight = np.concatenate([parts[i] for i in by]) if by else np.empty(0)
+        ids, labels = np.array([examples[i][0] for i in by], np.int64), np.array([examples[i][1] for i in by], float)
+        del parts
+        order = np.argsort(term, kind="stable")  # examples of a term stay in order
         term, of, weight = term[order], of[order], weight[order]
-        key = term * (len(vectors) // BLOCK + 1) + of // BLOCK
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] // BLOCK != of[:-1] // BLOCK)]) if len(term) else np.empty(0, np.int64)
         largest = np.maximum.reduceat(weight, starts) if len(starts) else np.empty(0)
         first = np.searchsorted(term[starts], np.arange((1 << BITS) + 1)).astype(np.int32)
-        bounds = np.append(starts, len(key))
-        return cls(np.array([x[0] for x in vectors], np.int64), np.array([x[1] for x in vectors], float), weights, first, of[starts] // BLOCK, largest, bounds, of, weight)
+        bounds = np.append(starts, len(term)).astype(np.int32)
+        return cls(ids, labels, weights, first, of[starts] // BLOCK, largest, bounds, of, weight)
 
     def nearest(self, found: np.ndarray, tf: np.ndarray, k: int = NEAREST, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples, ties to the smaller doc_id; `but` is left out."""
@@ -166,7 +170,7 @@ class BlockMaxIndex:
             if top <= 0 or (len(places) >= k and top < least - 1e-9):
                 break
             a, b = np.searchsorted(turn, (at, at + take))
-            posting, of = _spread(self.bounds[entry[a:b]], self.bounds[entry[a:b] + 1])
+            posting, of = _spread(self.bounds[entry[a:b]].astype(np.int64), self.bounds[entry[a:b] + 1].astype(np.int64))
             scores = np.bincount(self.example[posting], q[a:b][of] * self.weight[posting], len(self.ids))
             near = np.flatnonzero(scores > max(0.0, least - 1e-9))
             if but is not None:
@@ -250,6 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, most_examp
     unpacked = lambda t, tf: (np.frombuffer(t, np.int32).astype(np.int64), np.frombuffer(tf, np.int32).astype(float))
     examples = [(x["doc_id"], x["toxic"], *unpacked(x["terms"], x["tf"])) for x in table.collect()]
     index = BlockMaxIndex.build(examples, weights)
+    del examples
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(index)
 
