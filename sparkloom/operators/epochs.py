@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators import knowledge
+from sparkloom.operators import knowledge, publication
 from sparkloom.plans import domain
 from sparkloom.plans.domain import VERSIONS_SQL
 from sparkloom.session import checkpointed, table
@@ -14,23 +14,26 @@ from sparkloom.session import checkpointed, table
 def publish(snapshot: DataFrame, folder: str, number: int, expected: int) -> int:
     """Writes a snapshot as epoch `number` and moves the pointer, if the current epoch is `expected` (0: none).
 
-    The data are written first; readers see them only when the pointer's row exists. An equal epoch isn't overwritten.
+    The data are written first; readers see them only when the pointer has moved, which one writer alone can do from where it stands. The data
+    of one that comes too late are deleted. An equal epoch isn't overwritten.
     """
     spark = snapshot.sparkSession
     now = current(spark, folder)
     if now != expected:
-        raise ValueError(f"epoch {now} is current, not {expected}")
+        raise publication.Conflict(f"epoch {now} is current, not {expected}")
     snapshot.withColumn("epoch_id", F.lit(number).cast("long")).write.mode("errorifexists").parquet(f"{folder}/epoch={number}")
-    spark.range(1).select(F.lit(number).cast("long").alias("epoch_id")).write.mode("append").parquet(f"{folder}/pointer")
+    if not publication.create_once(spark, f"{folder}/pointer/{expected}", {"next": number}):
+        publication.discard(spark, f"{folder}/epoch={number}")
+        raise publication.Conflict(f"epoch {current(spark, folder)} is current, not {expected}")
     return number
 
 
 def current(spark, folder: str) -> int:
-    """The current epoch's number, 0 if none is published."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/pointer")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return 0
-    return spark.read.parquet(f"{folder}/pointer").agg(F.max("epoch_id")).first()[0]
+    """The current epoch's number, 0 if none is published: the end of the pointer's moves, each a file named by where it starts."""
+    number = 0
+    while (step := publication.read_once(spark, f"{folder}/pointer/{number}")) is not None:
+        number = step["next"]
+    return number
 
 
 def read_epoch(spark, folder: str, number: int | None = None) -> DataFrame:
