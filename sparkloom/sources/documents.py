@@ -17,18 +17,29 @@ MOST_CHARS = 8_000_000
 
 
 def read_files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Files as (path, digest, size, content): whatever Spark's file systems reach. A file of more than most_bytes is an error that names it."""
+    """Files as (path, digest, size, content, error): whatever Spark's file systems reach. A file of more than most_bytes has no digest and no content but an
+    error that says so; the others are read all the same."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    refused = F.raise_error(F.concat("path", F.lit(" has "), F.col("length").cast("string"), F.lit(f" bytes, more than {most_bytes}"))).cast("long")
-    return files.select("path", F.sha2("content", 256).alias("digest"), F.when(F.col("length") > most_bytes, refused).otherwise(F.col("length")).alias("size"), "content")
+    refused = F.when(F.col("length") > most_bytes, F.concat(F.col("length").cast("string"), F.lit(f" bytes, more than {most_bytes}")))
+    # by length first, so that the content of large files isn't read
+    large = files.where(F.col("length") > most_bytes).select("path", F.lit(None).cast("string").alias("digest"), F.col("length").alias("size"), F.lit(None).cast("binary").alias("content"), refused.alias("error"))
+    sound = files.where(F.col("length") <= most_bytes).select("path", F.sha2("content", 256).alias("digest"), F.col("length").alias("size"), "content", F.lit(None).cast("string").alias("error"))
+    return sound.unionByName(large)
 
 
 def plain_texts(files: DataFrame) -> DataFrame:
-    """(path, digest, text) of the files that are valid UTF-8."""
+    """(path, digest, text) of the files that are valid UTF-8 and not blank."""
     text = F.try_validate_utf8(F.col("content").cast("string"))
     return files.select("path", "digest", T.normalize_text(text).alias("text")).where("text IS NOT NULL")
 
 
+def text_faults(files: DataFrame) -> DataFrame:
+    """(path, error) of the files that plain_texts() leaves out: too large, not UTF-8, or without a text (blank or with a NUL)."""
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    error = F.coalesce("error", F.when(text.isNull(), F.lit("not UTF-8")).when(T.normalize_text(text).isNull(), F.lit("no text")))
+    return files.select("path", error.alias("error")).where("error IS NOT NULL")
+
+
 def first_locations(files: DataFrame) -> DataFrame:
     """One row per digest: the first path, the copies, and whether all agree in size (if not, the catalog is corrupt)."""
     return files.groupBy("digest").agg(F.min("path").alias("path"), F.count("*").alias("copies"), (F.count_distinct("size") == 1).alias("sound"))
@@ -127,27 +138,33 @@ class _Markdown(HTMLParser):
             self.now.append(data)
 
 
-def html_to_markdown(page: str) -> tuple[str | None, str]:
-    """(title, Markdown) of an HTML page; more than MOST_CHARS characters of Markdown are refused, not cut."""
+def html_to_markdown(page: str, most: int = MOST_CHARS) -> tuple[str | None, str]:
+    """(title, Markdown) of an HTML page; more than `most` characters of Markdown are refused, not cut."""
     parser = _Markdown()
     parser.feed(page)
     parser.close()
     parser.flush()
     text = "\n\n".join(parser.lines)
-    if len(text) > MOST_CHARS:
-        raise ValueError(f"a page gives {len(text)} characters, more than {MOST_CHARS}")
+    if len(text) > most:
+        raise ValueError(f"a page gives {len(text)} characters, more than {most}")
     return " ".join("".join(parser.title).split()) or None, text
 
 
-def html_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, title, markdown) of pages (page_id, html); null pages give an empty text."""
+def html_texts(pages: DataFrame, most: int = MOST_CHARS) -> DataFrame:
+    """(page_id, title, markdown, error) of pages (page_id, html); null pages give an empty text, a page that is refused no text but an error."""
+
+    def read(page: str | None) -> tuple[str | None, str | None, str | None]:
+        try:
+            return *html_to_markdown(page or "", most), None
+        except Exception as e:  # whatever a page does to the parser, the others go on
+            return None, None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [html_to_markdown(x or "") for x in batch["html"]]
-            yield pd.DataFrame({"page_id": batch["page_id"], "title": [x for x, _ in found], "markdown": [x for _, x in found]})
+            found = [read(x) for x in batch["html"]]
+            yield pd.DataFrame({"page_id": batch["page_id"], **{name: [x[i] for x in found] for i, name in enumerate(("title", "markdown", "error"))}})
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, title string, markdown string")
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, title string, markdown string, error string")
 
 
 def with_cache(texts: DataFrame, cache: DataFrame, capability: str, version: str) -> DataFrame:

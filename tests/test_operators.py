@@ -395,14 +395,21 @@ def test_an_observation_that_comes_again_changes_nothing(spark, tmp_path):
     assert (out[-1][2], out[-1][3]) == pytest.approx((once["stability"], once["difficulty"]))
 
 
-def test_what_is_too_large_is_refused(spark, tmp_path, monkeypatch):
+def test_what_is_too_large_is_an_error_of_its_own(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"123456")
-    assert documents.read_files(spark, str(tmp_path), 6).count() == 1
-    with pytest.raises(Exception, match="more than 5"):
-        documents.read_files(spark, str(tmp_path), 5).collect()
-    monkeypatch.setattr(documents, "MOST_CHARS", 3)
+    (tmp_path / "b.txt").write_bytes(b"12345")
+    (tmp_path / "c.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "d.txt").write_bytes(b" \n")
+    files = {x.path.rsplit("/", 1)[1]: x for x in documents.read_files(spark, str(tmp_path), 5).collect()}
+    assert (files["a.txt"].error, files["a.txt"].content, files["a.txt"].digest, files["a.txt"].size) == ("6 bytes, more than 5", None, None, 6)
+    assert files["b.txt"].error is None and bytes(files["b.txt"].content) == b"12345"
+    assert [x.text for x in documents.plain_texts(documents.read_files(spark, str(tmp_path), 5)).collect()] == ["12345"]
+    faults = {x.path.rsplit("/", 1)[1]: x.error for x in documents.text_faults(documents.read_files(spark, str(tmp_path), 5)).collect()}
+    assert faults == {"a.txt": "6 bytes, more than 5", "c.txt": "not UTF-8", "d.txt": "no text"}
     with pytest.raises(ValueError):
-        documents.html_to_markdown("<p>four</p>")
+        documents.html_to_markdown("<p>four</p>", 3)
+    texts = documents.html_texts(spark.createDataFrame([(1, "<p>four</p>"), (2, "<p>two</p>"), (3, None)], "page_id long, html string"), 3)
+    assert rows(texts, "page_id", "markdown", "error") == [(1, None, "ValueError: a page gives 4 characters, more than 3"), (2, "two", None), (3, "", None)]
 
 
 def test_reduce_tree_against_a_fold(spark):
