@@ -133,13 +133,13 @@ def packed(rows: DataFrame, key: str, order: str, budget: int, header_tokens: in
     return dealt.mapInArrow(number, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", batch long")
 
 
-def packed_sql(name: str, rows: str, key: str, order: str, header: int, budget: int) -> str:
+def packed_sql(name: str, rows: str, key: str, order: str, header: int, budget: int, most_items: int | None = None) -> str:
     """CTEs that pack `rows` (key, order, tokens): `name` has them with their batch. Running sums tell where the next batch begins."""
     return f"""
 {name}_l AS (SELECT *, row_number() OVER w AS i, CAST(sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM ({rows}) WINDOW w AS (PARTITION BY {key} ORDER BY {order})),
 {name}_s AS (
   SELECT DISTINCT {key}, CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS base, CAST(0 AS BIGINT) AS batch FROM {name}_l
-  UNION ALL SELECT s.{key}, min(l.i), arg_min(l.cum - l.tokens, l.i), s.batch + 1 FROM {name}_s s JOIN {name}_l l ON l.{key} = s.{key} AND l.i > s.i AND l.cum - s.base + {header} > {budget} GROUP BY s.{key}, s.batch),
+  UNION ALL SELECT s.{key}, min(l.i), arg_min(l.cum - l.tokens, l.i), s.batch + 1 FROM {name}_s s JOIN {name}_l l ON l.{key} = s.{key} AND l.i > s.i AND (l.cum - s.base + {header} > {budget} OR l.i - s.i >= {most_items or _UNBOUNDED}) GROUP BY s.{key}, s.batch),
 {name} AS (SELECT l.*, s.batch FROM {name}_l l ASOF JOIN {name}_s s ON l.{key} = s.{key} AND l.i >= s.i)"""
 
 
@@ -333,6 +333,13 @@ ORACLE_SQL = {
 f AS (SELECT source, doc_id, tokens, i, CAST(0 AS BIGINT) AS batch, 5 + tokens AS used FROM n WHERE i = 1
   UNION ALL SELECT n.source, n.doc_id, n.tokens, n.i, CASE WHEN f.used + n.tokens > 1000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.used + n.tokens > 1000 THEN 5 + n.tokens ELSE f.used + n.tokens END FROM f JOIN n ON n.source = f.source AND n.i = f.i + 1)
 SELECT source, doc_id, tokens, batch FROM f""",
+    "context_rendered_tables": f"""WITH {_ROWS}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM r QUALIFY i < 50)
+SELECT source, count(*) AS rows, sha256('id,lang,tokens' || chr(10) || string_agg((i - 1) || ',' || coalesce(lang, '') || ',' || tokens || chr(10), '' ORDER BY i)) AS digest FROM n GROUP BY source""",
+    "suggested_questions": r"""WITH l AS (SELECT conv_id AS key, '- ' || coalesce(split_part(text, '.', 1), '') AS text, turn FROM conversations),
+t AS (SELECT key, string_split(string_agg(text, chr(10) ORDER BY turn, text), chr(10)) AS lines FROM l GROUP BY key),
+q AS (SELECT key, pos, trim(regexp_replace(line, '^\s*[-*]\s*', ''), ' ') AS question FROM (SELECT key, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM t)),
+f AS (SELECT key, question, min(pos) AS pos FROM q WHERE question <> '' GROUP BY key, question)
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY pos) AS place, sha256(question) AS digest FROM f QUALIFY place <= 20""",
     "context_batch_order": f"WITH {_ROWS}, b AS (SELECT source, doc_id % 7 AS batch, tokens % 10 AS weight, doc_id % 3 AS rank, doc_id AS pos FROM r) SELECT *, row_number() OVER (PARTITION BY source, batch ORDER BY weight DESC, rank DESC, pos) AS place FROM b",
     "ranked_map_points": f"WITH {_POINTS}, k AS (SELECT *, row_number() OVER w AS place, CAST(sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM points WHERE score > 0 WINDOW w AS (PARTITION BY question ORDER BY score DESC, batch, point)) SELECT question, place, point, score, used FROM k WHERE used <= 300",
     "map_statistics": f"WITH {_POINTS} SELECT question, count(DISTINCT batch) AS batches, count(*) AS points, count(*) FILTER (score <= 0) AS dropped, CAST(sum(tokens) AS BIGINT) AS tokens FROM points GROUP BY question",

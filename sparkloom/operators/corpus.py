@@ -220,6 +220,7 @@ ORACLE_SQL = {
     "corpus_text_normalize": f"WITH {_TEXTS_SQL} SELECT doc_id, sha256(text) AS digest, length(text) AS chars FROM texts",
     "corpus_text_units": f"WITH {_UNITS_SQL} SELECT doc_id, window_no, token_count, unit_id AS digest FROM units",
     "corpus_unit_dedup": f"WITH {_UNITS_SQL} SELECT unit_id, count(*) AS spans, min(doc_id) AS first_doc FROM units GROUP BY unit_id",
+    "corpus_span_windows": f"WITH {_UNITS_SQL} SELECT doc_id, count(*) AS windows, any_value(length(text)) AS end_char, true AS exact FROM units JOIN texts USING (doc_id) GROUP BY doc_id",
     "corpus_statistics": f"WITH {_UNITS_SQL} SELECT count(DISTINCT doc_id) AS texts, count(DISTINCT unit_id) AS units, count(*) AS spans FROM units",
     "corpus_generation_copy": f"WITH {_SPANS_SQL} SELECT CAST(2 AS BIGINT) AS corpora_id, doc_id, count(*) AS spans FROM spans WHERE corpora_id = 1 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY doc_id",
     "corpus_earlier_units": f"WITH {_SPANS_SQL} SELECT DISTINCT unit_id FROM spans WHERE corpora_id = 2 AND unit_id IN (SELECT unit_id FROM spans WHERE corpora_id = 1)",

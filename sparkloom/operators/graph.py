@@ -249,6 +249,7 @@ _PLACED = f"{RELATIONS_SQL}, {_PARTS}, placed AS (SELECT r.weight, a.part AS a,
 _COMPONENTS = f"WITH RECURSIVE {REGION_EDGES_SQL}, both_ AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), reach AS (SELECT source AS node, source AS label FROM both_ UNION SELECT b.target, r.label FROM reach r JOIN both_ b ON b.source = r.node), labels AS (SELECT node, min(label) AS component FROM reach GROUP BY node)"
 
 ORACLE_SQL = {
+    "graph_community_identity": f"WITH {_PARTS} SELECT part, count(*) AS size, sha256(unhex(string_agg(printf('%016x', octet_length(encode(node))) || hex(encode(node)), '' ORDER BY node))) AS community_id FROM parts GROUP BY part",
     "graph_edge_normalize": f"WITH {RELATIONS_SQL}, both_ AS (SELECT * FROM relations UNION ALL SELECT pos + 1000000000, target, source, weight + 1 FROM relations WHERE weight + 1 > 30) SELECT least(source, target) AS source, greatest(source, target) AS target, max_by(weight, pos) AS weight FROM both_ GROUP BY 1, 2",
     "graph_degree": f"WITH {_DEGREES} SELECT * FROM degrees",
     "graph_combined_degree": f"WITH {_COMBINED} SELECT * FROM combined",

@@ -150,6 +150,9 @@ _SCORES = "q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id =
 _TOP = lambda k, more="": f"(SELECT vec_id, score, label FROM s {more} ORDER BY score DESC, vec_id LIMIT {k})"
 
 ORACLE_SQL = {
+    "embedding_batches": rf"""WITH RECURSIVE t AS (SELECT coalesce(source, '') AS stream, doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
+i AS (SELECT stream, doc_id, n, unnest(range(0, greatest(1, CAST(ceil(n / 8191.0) AS BIGINT)))) AS w FROM t),{context.packed_sql("pk", "SELECT stream, [doc_id, w] AS place, least(8191, n - w * 8191) AS tokens FROM i", "stream", "place", 0, 8191, 16)}
+SELECT stream, batch, count(*) AS items, CAST(sum(tokens) AS BIGINT) AS tokens FROM pk GROUP BY stream, batch""",
     "vector_topk": f"WITH {_SCORES} SELECT vec_id, round(score, 5) AS score FROM {_TOP(10)}",
     "vector_topk_namespace": f"WITH {_SCORES} SELECT vec_id, round(score, 5) AS score FROM {_TOP(10, 'WHERE label = 3')}",
     "vector_topk_filtered": f"WITH {_SCORES} SELECT vec_id, round(score, 5) AS score FROM {_TOP(20)} WHERE label % 2 = 0",
