@@ -88,12 +88,26 @@ class Corrected:
 # --- basic --------------------------------------------------------------------------------------
 
 
-def basic_context(units: DataFrame, unit_vectors: DataFrame, query: list[float], k: int = 10, budget: int = 12_000) -> DataFrame:
-    """The k nearest units in corpus order, as many as the budget holds. units: doc_id, window_no, unit, token_count; vector v is that of unit
-    number v in corpus order, over all windows of all documents."""
-    near = vectors.top_k(unit_vectors, query, k)
-    numbers = graph.numbered(units.select("doc_id", "window_no"), "doc_id", "window_no").withColumnRenamed("place", "vec_id").join(F.broadcast(near), "vec_id")  # k rows
-    rows = units.join(F.broadcast(numbers), ["doc_id", "window_no"]).withColumn("one", F.lit(0)).withColumn("tokens", F.col("token_count"))
+def window_numbers(texts: DataFrame, size: int = corpus.SIZE, overlap: int = corpus.OVERLAP) -> DataFrame:
+    """(doc_id, first, windows): how many windows each text (doc_id, text) has, and the number of its first one in corpus order. Texts are read once, only
+    to count their tokens; sums run over range partitions of the counts."""
+    n = T.token_count(F.col("text"))
+    windows = F.when(n > 0, F.greatest(F.lit(0), F.ceil((n - size) / (size - overlap))).cast("long") + 1).otherwise(0)
+    dealt = checkpointed(texts.select("doc_id", windows.alias("windows")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy("part").agg(F.sum("windows").alias("n"))
+    before = sums.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
+    within = F.sum("windows").over(W.partitionBy("part").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("windows")
+    return dealt.withColumn("within", within).join(before, "part").select("doc_id", (F.col("before") + F.col("within")).alias("first"), "windows")
+
+
+def basic_context(texts: DataFrame, unit_vectors: DataFrame, query: list[float], k: int = 10, budget: int = 12_000) -> DataFrame:
+    """The k nearest units of texts (doc_id, text) in corpus order, as many as the budget holds. Vector v is that of unit number v in corpus order, over all
+    windows of all texts; only texts with one of the k are cut."""
+    near = checkpointed(vectors.top_k(unit_vectors, query, k))
+    numbers = window_numbers(texts).join(F.broadcast(near), (F.col("vec_id") >= F.col("first")) & (F.col("vec_id") < F.col("first") + F.col("windows")))  # k rows
+    chosen = checkpointed(numbers.select("doc_id", (F.col("vec_id") - F.col("first")).alias("window_no"), "score", "vec_id"))
+    few = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    rows = corpus.token_windows(few).join(F.broadcast(chosen), ["doc_id", "window_no"]).withColumn("one", F.lit(0)).withColumn("tokens", F.col("token_count"))
     ordered = rows.withColumn("place", F.row_number().over(W.partitionBy("one").orderBy("doc_id", "window_no")))  # k rows
     return context.budget_prefix(ordered, "one", "place", budget, 2).drop("one", "tokens")
 
@@ -252,8 +266,8 @@ def _members(spark, sf_dir) -> DataFrame:
 
 def basic_search(spark, sf_dir):
     """Vector v of the table stands for the v-th window of all documents."""
-    units = corpus.token_windows(corpus.prepared_texts(table(spark, sf_dir, "documents")))
-    found = basic_context(units, table(spark, sf_dir, "embeddings").where("vec_id > 0"), _query(spark, sf_dir), 10, 500)
+    texts = corpus.prepared_texts(table(spark, sf_dir, "documents"))
+    found = basic_context(texts, table(spark, sf_dir, "embeddings").where("vec_id > 0"), _query(spark, sf_dir), 10, 500)
     return found.select("doc_id", "window_no", "token_count", F.round("score", 5).alias("score"), "used", F.sha2("unit", 256).alias("digest"))
 
 
