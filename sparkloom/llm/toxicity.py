@@ -6,7 +6,8 @@ for those that go with label 1 beyond chance among a bounded draw of labelled do
 toxicity, would decide who is near. The index holds up to EXAMPLES labelled documents with all their terms: each term's
 examples in blocks of BLOCK with the largest weight of every block, so a query bounds its cosine with any example of a block,
 takes the blocks in the order of their bounds and stops when no block can hold a nearer example: the
-nearest are exact. They vote with weights that fall with distance, beside a prior for the base
+nearest are exact. Terms of a sixteenth of the examples or more are kept as whole rows instead: what they add to all cosines is one product for many
+queries, known before any bound. They vote with weights that fall with distance, beside a prior for the base
 rate; votes become probabilities by isotonic regression over the examples, each left out in turn.
 
 Terms' weights, the index and the calibration are bounded by BITS and EXAMPLES, whatever the corpus.
@@ -32,7 +33,9 @@ FIT_DOCS = 12_000
 EXAMPLES = 4096
 #: Words are hashed to 2^BITS terms; counts reach the driver in slabs of 2^SLAB_BITS terms.
 BITS, SLAB_BITS = 20, 12
-BLOCK = 128
+BLOCK = 512
+#: A term is kept as a whole row if one in so many examples has it; queries that meet these rows in one product.
+DENSE, TOGETHER = 16, 64
 NEAREST = 16
 #: Weight of the base rate among the votes.
 PRIOR = 1.0
@@ -128,6 +131,8 @@ class BlockMaxIndex:
     bounds: np.ndarray
     example: np.ndarray
     weight: np.ndarray
+    row: np.ndarray  # of every term: its row in `dense`, or -1
+    dense: np.ndarray
 
     @classmethod
     def build(cls, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: np.ndarray) -> BlockMaxIndex:
@@ -145,18 +150,39 @@ class BlockMaxIndex:
         del parts
         order = np.argsort(term, kind="stable")  # examples of a term stay in order
         term, of, weight = term[order], of[order], weight[order]
+        held = np.bincount(term, minlength=1 << BITS)
+        row = np.full(1 << BITS, -1, np.int32)
+        often = np.flatnonzero(held * DENSE >= max(len(by), 1))
+        row[often] = np.arange(len(often))
+        dense, whole = np.zeros((len(often), len(by))), row[term] >= 0
+        dense[row[term[whole]], of[whole]] = weight[whole]
+        term, of, weight = term[~whole], of[~whole], weight[~whole]
         starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] // BLOCK != of[:-1] // BLOCK)]) if len(term) else np.empty(0, np.int64)
         largest = np.maximum.reduceat(weight, starts) if len(starts) else np.empty(0)
         first = np.searchsorted(term[starts], np.arange((1 << BITS) + 1)).astype(np.int32)
         bounds = np.append(starts, len(term)).astype(np.int32)
-        return cls(ids, labels, weights, first, of[starts] // BLOCK, largest, bounds, of, weight)
-
-    def nearest(self, found: np.ndarray, tf: np.ndarray, k: int = NEAREST, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest examples, ties to the smaller doc_id; `but` is left out."""
-        query = unit((1 + np.log(tf)) * self.weights[found])
+        return cls(ids, labels, weights, first, of[starts] // BLOCK, largest, bounds, of, weight, row, dense)
+
+    def queries(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each query (terms, tf) the terms that aren't whole rows, their weights, and what the others add to the cosines with all examples."""
+        for at in range(0, len(vectors), TOGETHER):
+            asked = [(found, unit((1 + np.log(tf)) * self.weights[found])) for found, tf in vectors[at : at + TOGETHER]]
+            matrix = np.zeros((len(asked), len(self.dense)))
+            for i, (found, weight) in enumerate(asked):
+                rows = self.row[found]
+                matrix[i, rows[rows >= 0]] = weight[rows >= 0]
+            for (found, weight), known in zip(asked, matrix @ self.dense, strict=True):
+                rare = self.row[found] < 0
+                yield found[rare], weight[rare], known
+
+    def nearest(self, found: np.ndarray, weight: np.ndarray, known: np.ndarray, k: int = NEAREST, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the k nearest examples to a query as queries() gives it, ties to the smaller doc_id; `but` is left out."""
+        if not len(self.ids):
+            return np.empty(0, np.int64), np.empty(0)
         entry, of = _spread(self.first[found].astype(np.int64), self.first[found + 1].astype(np.int64))
-        block, q = self.block[entry], query[of]
-        bounds = np.bincount(block, q * self.largest[entry], -(-len(self.ids) // BLOCK))
+        block, q = self.block[entry], weight[of]
+        starts = np.arange(0, len(self.ids), BLOCK)
+        bounds = np.bincount(block, q * self.largest[entry], len(starts)) + np.maximum.reduceat(known, starts)
         by_bound = np.argsort(-bounds, kind="stable")
         rank = np.empty(len(by_bound), np.int64)
         rank[by_bound] = np.arange(len(by_bound))
@@ -171,8 +197,10 @@ class BlockMaxIndex:
                 break
             a, b = np.searchsorted(turn, (at, at + take))
             posting, of = _spread(self.bounds[entry[a:b]].astype(np.int64), self.bounds[entry[a:b] + 1].astype(np.int64))
-            scores = np.bincount(self.example[posting], q[a:b][of] * self.weight[posting], len(self.ids))
-            near = np.flatnonzero(scores > max(0.0, least - 1e-9))
+            scores = known + np.bincount(self.example[posting], q[a:b][of] * self.weight[posting], len(self.ids))
+            now = starts[by_bound[at : at + take]]
+            members = _spread(now, np.minimum(now + BLOCK, len(self.ids)))[0]
+            near = members[scores[members] > max(0.0, least - 1e-9)]
             if but is not None:
                 near = near[self.ids[near] != but]
             places, cosines = np.concatenate([places, near]), np.concatenate([cosines, scores[near]])
@@ -214,15 +242,17 @@ class Model:
     bare_rate: float
     knots: tuple[np.ndarray, np.ndarray]
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
-        """The probability of label 1 and the examples it rests on: (doc_id, cosine, label)."""
-        found, tf = terms(text)
-        if not len(found) or not len(self.index.ids):
-            return self.bare_rate, []
-        places, cosines = self.index.nearest(found, tf)
-        vote = self.index.vote(places, cosines, self.rate)
-        score = float(np.interp(vote, *self.knots)) if len(self.knots[0]) else vote
-        return score, [(int(i), float(c), int(y)) for i, c, y in zip(self.index.ids[places], cosines, self.index.labels[places], strict=True)]
+    def score(self, texts: list[str | None]) -> Iterator[tuple[float, list[tuple[int, float, int]]]]:
+        """For each text the probability of label 1 and the examples it rests on: (doc_id, cosine, label)."""
+        vectors = [terms(x) for x in texts]
+        for (found, _), query in zip(vectors, self.index.queries(vectors), strict=True):
+            if not len(found) or not len(self.index.ids):
+                yield self.bare_rate, []
+                continue
+            places, cosines = self.index.nearest(*query)
+            vote = self.index.vote(places, cosines, self.rate)
+            score = float(np.interp(vote, *self.knots)) if len(self.knots[0]) else vote
+            yield score, [(int(i), float(c), int(y)) for i, c, y in zip(self.index.ids[places], cosines, self.index.labels[places], strict=True)]
 
 
 def _drawn(id_column: str, share: float):
@@ -260,8 +290,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, most_examp
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(x).to_pylist() for x in ("doc_id", "terms", "tf")), strict=True)
-            votes = [shared.value.vote(*shared.value.nearest(*unpacked(t, tf), but=i), rate) for i, t, tf in rows]
+            ids, vectors = batch.column("doc_id").to_pylist(), [unpacked(t, tf) for t, tf in zip(*(batch.column(x).to_pylist() for x in ("terms", "tf")), strict=True)]
+            votes = [shared.value.vote(*shared.value.nearest(*query, but=i), rate) for i, query in zip(ids, shared.value.queries(vectors), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), batch.column("toxic")], names=["vote", "toxic"])
 
     tried = table.repartition(max(1, context.defaultParallelism), "doc_id").mapInArrow(left_out, "vote double, toxic int").toPandas()
@@ -283,7 +313,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
-            found = [model.value.score(x.as_py()) for x in batch.column("text")]
+            found = [y for at in range(0, batch.num_rows, TOGETHER) for y in model.value.score([x.as_py() for x in batch.column("text").slice(at, TOGETHER)])]
             evidence = [[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in near] for _, near in found]
             scores = np.array([x for x, _ in found], float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])

@@ -295,7 +295,11 @@ def test_toxicity_relevance_whatever_the_partitions(spark):
     assert all(one[toxicity.terms(x)[0][0]] > 0.3 for x in ("vilest", "grotty", "nastyish")) and one[toxicity.terms("xyzzy")[0][0]] == 0
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize(("block", "dense"), [(512, 16), (64, 4), (7, 1000), (64, 0)])
+def test_block_max_search_is_exact(block, dense, monkeypatch):
+    """With most terms as whole rows, some, all, or none."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "DENSE", dense)
     rng = np.random.default_rng(6)
     weights = np.zeros(1 << toxicity.BITS)
     weights[:60] = rng.uniform(1, 5, 60)
@@ -315,7 +319,7 @@ def test_block_max_search_is_exact():
         for but in (None, i):
             scores = matrix @ dense(f, tf)
             want = [(-round(s, 9), n) for n, s in enumerate(scores.tolist()) if s > 1e-12 and n != but]
-            places, cosines = index.nearest(f, tf, 16, but)
+            places, cosines = index.nearest(*next(index.queries([(f, tf)])), 16, but)
             assert [(-round(min(c, 1.0), 9), int(n)) for c, n in zip(cosines, index.ids[places], strict=True)] == sorted(want)[:16]
 
 
