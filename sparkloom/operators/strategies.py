@@ -140,11 +140,11 @@ def reduce_tree(fragments: DataFrame, budget: int, model: Callable[[str], str] =
 
 def memory_search(entities: DataFrame, entity_vectors: DataFrame, edges: DataFrame, title: str, query: list[float], most: int = 10, most_relations: int = 20) -> DataFrame:
     """Entities of the title, else the nearest to the query; each one's first relations by their ends. `truncated` tells that there are more.
-    (item_kind, entity, item, place, truncated)."""
+    entity_vectors: (vec_id, id, embedding). (item_kind, entity, item, place, truncated)."""
     exact = search.memory_exact(entities, title, most=most).select("id", "more")
     found = checkpointed(exact)
     if found.isEmpty():
-        near = vectors.top_k(entity_vectors, query, most).withColumn("id", F.concat(F.lit("p"), F.col("vec_id").cast("string")))
+        near = vectors.top_k(entity_vectors.select("vec_id", "embedding"), query, most).join(entity_vectors.select("vec_id", "id"), "vec_id")
         found = checkpointed(near.select("id", F.lit(False).alias("more")))
     hits = found.withColumn("place", F.row_number().over(_one().orderBy("id")).cast("long"))  # a page
     either = edges.withColumn("entity", F.explode(F.array("source", "target"))).join(F.broadcast(found.select(F.col("id").alias("entity"))), "entity")  # at most `most` ids
@@ -226,7 +226,7 @@ def report_reduce(spark, sf_dir):
 def memory_search_all(spark, sf_dir):
     """A title that exists and one that doesn't."""
     entities, edges = search._entities(spark, sf_dir), domain.relations(spark, sf_dir)
-    known = table(spark, sf_dir, "embeddings").where("vec_id > 0")
+    known = table(spark, sf_dir, "embeddings").where("vec_id > 0").withColumn("id", F.concat(F.lit("p"), F.col("vec_id").cast("string")))
     query = search._query(spark, sf_dir)
     found = [memory_search(entities, known, edges, title, query).withColumn("title", F.lit(title)) for title in ("red widget", "no such title")]
     return found[0].unionByName(found[1])

@@ -11,7 +11,7 @@ from sparkloom.functions import text as T
 from sparkloom.operators import graph, knowledge
 from sparkloom.plans import domain
 from sparkloom.plans.domain import VERSIONS_SQL
-from sparkloom.session import table
+from sparkloom.session import checkpointed, table
 
 # --- knowledge ------------------------------------------------------------------------------------
 
@@ -70,9 +70,12 @@ def candidate_results(candidates: DataFrame) -> DataFrame:
 
 
 def manifest_order_faults(references: DataFrame) -> DataFrame:
-    """References (zone_id, pos, id) whose id doesn't come after the one before it in their manifest."""
-    before = F.lag("id").over(W.partitionBy("zone_id").orderBy("pos"))
-    return references.withColumn("before", before).where("before >= id").select("zone_id", "pos", "id", "before")
+    """References (zone_id, pos, id) whose id doesn't come after the one before it in their manifest; pos tells a zone's references apart.
+
+    They are numbered over range partitions and met with the one before by its number, so that a zone lies in many tasks."""
+    placed = checkpointed(graph.numbered_within(references.select("zone_id", "pos", "id"), ["zone_id"], ["pos"]))
+    before = placed.select("zone_id", (F.col("place") + 1).alias("place"), F.col("id").alias("before"))
+    return placed.join(before, ["zone_id", "place"]).where("before >= id").select("zone_id", "pos", "id", "before")
 
 
 # --- corpus ---------------------------------------------------------------------------------------
@@ -104,7 +107,7 @@ def subtracted(batch: DataFrame, owned: DataFrame) -> DataFrame:
 def merged_batches(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two evidence batches as one: each row once, numbered in the order of kind and row within its community."""
     both = left.select("part", "kind", "row").unionByName(right.select("part", "kind", "row")).distinct()
-    return graph.numbered(both, "part", "kind", "row").select("part", "kind", "row", (F.col("place") - F.min("place").over(W.partitionBy("part"))).alias("place"))
+    return graph.numbered_within(both, ["part"], ["kind", "row"]).select("part", "kind", "row", "place")
 
 
 def report_projection(reports: DataFrame, tree: DataFrame) -> DataFrame:
