@@ -28,20 +28,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, white space apart: the one with most code points, then the smallest doc_id; of rows that repeat it, one.
+
+    Null and empty texts are equal; long texts are digested whole; columns of any names pass, and an empty table stays empty."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose fingerprints link, the one with the smallest doc_id; of rows that repeat it, one.
+
+    Null and empty texts have fingerprint zero and link like any other; long texts are read whole; columns of any names pass, and an empty table
+    stays empty."""
     return simhash.keep_one(docs)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the epochs take them."""
+    """Documents as often as the epochs take them, each time with all its columns; the last one of a leaf is cut where its token-prefix ends.
+
+    Null and empty texts have no tokens and take no part; a long text counts with all its tokens; rows that repeat a doc_id are documents of their own in an
+    order that their texts decide; null lang and source are leaves like any other, and an empty table stays empty."""
     return mixing.mixed_documents(docs, mixing.PRODUCTION)
 
 
 def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (32-bit little-endian) and the text decoded from them."""
+    """doc_id, n_tokens, ids (32-bit little-endian) and the text decoded from them, a row for each row: repeated ones too, null and empty texts without
+    ids; long texts whole. Other columns don't pass; an empty table gives no rows."""
     return bpe.encode_decode(docs)
 
 

@@ -232,18 +232,21 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     docs: doc_id, text; other columns are ignored. path: a tokenizers file that every executor has
     (default: the installed public word vocabulary). Returns one row per input row: doc_id, ids
     (binary, little-endian unsigned 32-bit integers). Null text is empty and has no ids; special
-    tokens' strings in a text become their ids, and none are added. An empty table gives no rows.
+    tokens' strings in a text become their ids, and none are added. Long texts are encoded whole, rows that
+    repeat a doc_id each by themselves. An empty table gives no rows.
     """
     return docs.select("doc_id", "text").mapInArrow(lambda batches: encode_batches(batches, path), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """The inverse for encode()'s rows: doc_id, n_tokens, ids, decoded (null ids: null)."""
+    """The inverse for encode()'s rows: doc_id, n_tokens, ids, decoded (null ids: null); one row per row, repeated ones too, other columns ignored. Long ids are
+    decoded whole; an empty table gives no rows."""
     return encoded.select("doc_id", "ids").mapInArrow(lambda batches: decode_batches(batches, path), _DECODED)
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """decode(encode(docs)) in one pass of each task, so that ids don't leave its Python worker in between."""
+    """decode(encode(docs)) in one pass of each task, so that ids don't leave its Python worker in between. Null and empty texts have no ids and decode to
+    an empty text; the rest is as there."""
     return docs.select("doc_id", "text").mapInArrow(lambda batches: decode_batches(encode_batches(batches, path), path), _DECODED)
 
 

@@ -162,7 +162,7 @@ def chat_format(turns: DataFrame) -> DataFrame:
     loss_ends (ends exclusive), one for each assistant turn, in order.
     Turns go by turn (null first), then role and text, so repeated rows stay turns of their own; null role or
     text is empty; turns of a null conv_id form one conversation. An empty table gives no rows.
-    A conversation is one row of the result, so its turns meet in one task, batch by batch.
+    A conversation is one row of the result, so its turns meet in one task, batch by batch; long texts are whole.
     """
     rows = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "role", "text").mapInArrow(_whole_conversations, SCHEMA)

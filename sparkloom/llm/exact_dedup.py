@@ -80,7 +80,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Of a group, the row with the most code points in its original text stays, then the one with the
     smallest doc_id; null text counts as empty, a null doc_id comes after all others. Rows that
     repeat a doc_id are rows like any other: of equal ones just one is kept. Equal digests are
-    held to be equal texts only if the texts' lengths agree as well. An empty table gives no rows.
+    held to be equal texts only if the texts' lengths agree as well; long texts are digested whole. An empty table gives no rows.
     """
     return grouped(docs).drop("chars")
 

@@ -158,7 +158,8 @@ def identify(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     docs: doc_id, text; other columns are ignored. Returns one row per input row: doc_id, lang_pred,
     score (share of the language among all languages' corrected counts), known (share of the text's
     n-grams that the language contains). Null texts and those without a letter are 'und' with score 0;
-    so is every text if no language was learned. Ties go to the language first in order.
+    so is every text if no language was learned. Ties go to the language first in order. Long texts are read whole, rows that
+    repeat each by themselves; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # bounded by the table: see above
 

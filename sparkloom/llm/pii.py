@@ -271,7 +271,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     docs: doc_id, text; other columns are ignored. Returns one row per input row: doc_id, base and
     discovered, arrays of (start, kind, end) in code points, ends exclusive, in order; kind numbers KINDS.
     Null text is empty and has no spans. Rows that repeat a doc_id have the spans of each row's own text. An instance that
-    fits several kinds equally is of the first. An empty table gives no rows.
+    fits several kinds equally is of the first. Long texts are read whole, by one task each. An empty table gives no rows.
     """
     rows = checkpointed(docs.select("doc_id", "text").mapInArrow(_extract, _EXTRACTED).withColumn("row_no", F.monotonically_increasing_id()))
     seen = rows.select("row_no", F.explode("seen").alias("x")).select("row_no", "x.*")

@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     (16 lowercase hex digits), component_id (the smallest doc_id reachable, its own included), class_size.
     Null and empty texts have fingerprint zero and are linked like any other; equal texts are always together;
     a null doc_id never names a component unless all of its rows have none. Rows that repeat a doc_id
-    stay rows of their own. An empty table gives no rows.
+    stay rows of their own; a long text is read whole by one task. An empty table gives no rows.
     """
     return classes(docs, distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
 

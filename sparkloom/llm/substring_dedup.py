@@ -160,7 +160,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk: int = CHUNK, bu
     input. Returns one row per document: doc_id, n_words, n_removed, kept (the words left, joined by a space),
     intervals (maximal runs of removed words as [first, end) word numbers).
     Null text has no words; texts of fewer words than a window lose none. Rows of a null doc_id lose
-    none and make others lose none, and are dealt by their texts; rows that repeat a doc_id are one document to every window, so they make
+    none and make others lose none, and are dealt by their texts; long texts are read whole; rows that repeat a doc_id are one document to every window, so they make
     each other lose nothing. An empty table gives no rows.
 
     There is a bucket of hashes, a group of documents and a shuffle partition for every bucket_bytes of text, so a task's share doesn't grow.
