@@ -90,6 +90,26 @@ def missing_evidence(evidence: DataFrame, spans: DataFrame) -> DataFrame:
     return evidence.join(spans.select("unit_id").distinct(), "unit_id", "left_anti")
 
 
+def evidence_faults(evidence: DataFrame, spans: DataFrame, messages: DataFrame) -> DataFrame:
+    """(zone_id, kind, source, unit, fault) of the evidence (zone_id, kind, source, unit) that can't be accepted, each once.
+
+    spans: (zone_id, source, unit) of the zones' corpora; messages: (zone_id, source, unit), one row a message. Evidence of the kind `corpora` has to be a unit of that
+    corpus in its own zone; of the kind `message` a message of its zone, with that very unit, and a message stands for one unit in all
+    that is offered. Other kinds, and what lacks a zone, source or unit, aren't evidence.
+    """
+    offered = evidence.select("zone_id", "kind", "source", "unit").distinct()
+    known = offered.where(F.col("zone_id").isNotNull() & F.col("source").isNotNull() & F.col("unit").isNotNull() & F.col("kind").isin("corpora", "message"))
+    none = offered.where(F.coalesce(~F.col("kind").isin("corpora", "message"), F.lit(True)) | F.col("zone_id").isNull() | F.col("source").isNull() | F.col("unit").isNull()).withColumn("fault", F.lit("not evidence"))
+    units = spans.select("zone_id", "source", "unit").distinct()
+    lost = known.where("kind = 'corpora'").join(units, ["zone_id", "source", "unit"], "left_anti").withColumn("fault", F.lit("no such unit"))
+    said = known.where("kind = 'message'")
+    several = said.groupBy("zone_id", "source").agg((F.count("*") > 1).alias("several"))
+    met = said.join(several, ["zone_id", "source"]).join(messages.select("zone_id", "source", F.col("unit").alias("own")), ["zone_id", "source"], "left")
+    fault = F.when(F.col("several"), "message of several units").when(F.col("own").isNull(), "no such message").when(F.col("own") != F.col("unit"), "another unit of the message")
+    columns = ["zone_id", "kind", "source", "unit", "fault"]
+    return none.select(*columns).unionByName(lost.select(*columns)).unionByName(met.withColumn("fault", fault).where("fault IS NOT NULL").select(*columns))
+
+
 def closure(matched: DataFrame, referenced: DataFrame) -> DataFrame:
     """Ids of both lists (pos, id), matched ones first, each where it is seen first, numbered densely."""
     both = matched.select(F.lit(0).alias("tier"), "pos", "id").unionByName(referenced.select(F.lit(1).alias("tier"), "pos", "id"))
@@ -196,6 +216,19 @@ def evidence_missing(spark, sf_dir):
     return missing_evidence(units, units.where("window_no < 3").select("unit_id")).groupBy("subject").agg(F.count("*").alias("missing"))
 
 
+def evidence_checked(spark, sf_dir):
+    """Documents and turns as evidence for what is in the zones' corpora and logs, with wrong units, zones, messages and kinds among it; how many of each fault a zone has."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("source"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("unit"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("source"), F.sha2(F.concat_ws(":", "conv_id", "turn", F.coalesce("text", F.lit(""))), 256).alias("unit"))
+    spans = documents.select((F.col("doc_id") % 4).alias("zone_id"), "source", "unit")
+    log = turns.where("conv_id % 10 <> 7").select((F.col("conv_id") % 4).alias("zone_id"), "source", "unit")
+    wrong = lambda id_, n: F.when(F.col(id_) % n == 0, F.concat(F.lit("x"), "unit")).otherwise(F.col("unit")).alias("unit")
+    offered = documents.select((F.col("doc_id") % 4).alias("zone_id"), F.when(F.col("doc_id") % 13 == 0, F.lit("rumour")).otherwise(F.lit("corpora")).alias("kind"), "source", wrong("doc_id", 5))
+    offered = offered.unionByName(turns.select((F.col("conv_id") % 4).alias("zone_id"), F.lit("message").alias("kind"), "source", wrong("conv_id", 3)))
+    offered = offered.unionByName(turns.where("conv_id % 11 = 0").select((F.col("conv_id") % 4).alias("zone_id"), F.lit("message").alias("kind"), "source", F.lit("second").alias("unit")))
+    return evidence_faults(offered, spans, log).groupBy("zone_id", "fault").agg(F.count("*").alias("n"))
+
+
 def evidence_closure(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     matched = lines.where("l_suppkey % 3 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_partkey").alias("id"))
@@ -236,7 +269,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extraction_claims, extraction_graphs, extraction_points, extraction_title_resolution, evidence_union, metadata_codec, provenance_relation, provenance_claim, claim_evidence_index,
-        evidence_missing, evidence_closure, community_containment, claim_subject_units, corpora_child_merge, corpora_boundaries, extraction_source_ids,
+        evidence_missing, evidence_checked, evidence_closure, community_containment, claim_subject_units, corpora_child_merge, corpora_boundaries, extraction_source_ids,
     )
 }
 
@@ -253,6 +286,15 @@ ORACLE_SQL = {
     "provenance_claim": "SELECT l_suppkey AS subject, count(*) AS n, sha256(string_agg(l_returnflag || '/' || l_linestatus, ',' ORDER BY l_orderkey * 10 + l_linenumber, l_returnflag, l_linestatus)) AS digest FROM lineitem GROUP BY l_suppkey",
     "claim_evidence_index": "SELECT l_suppkey AS subject, l_returnflag || '/' || l_linestatus AS record FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber, l_returnflag, l_linestatus) = 8",
     "evidence_missing": f"WITH {_UNITS_SQL} SELECT doc_id AS subject, count(*) AS missing FROM units WHERE unit_id NOT IN (SELECT unit_id FROM units WHERE window_no < 3) GROUP BY doc_id",
+    "evidence_checked": """WITH d AS (SELECT doc_id, doc_id % 4 AS zone_id, coalesce(lang, '') AS source, sha256(coalesce(text, '')) AS unit FROM documents),
+t AS (SELECT conv_id, conv_id % 4 AS zone_id, conv_id || ':' || turn AS source, sha256(conv_id || ':' || turn || ':' || coalesce(text, '')) AS unit FROM conversations),
+o AS (SELECT DISTINCT zone_id, CASE WHEN doc_id % 13 = 0 THEN 'rumour' ELSE 'corpora' END AS kind, source, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END || unit AS unit FROM d
+  UNION SELECT zone_id, 'message', source, CASE WHEN conv_id % 3 = 0 THEN 'x' ELSE '' END || unit FROM t UNION SELECT zone_id, 'message', source, 'second' FROM t WHERE conv_id % 11 = 0),
+f AS (
+  SELECT zone_id, 'not evidence' AS fault FROM o WHERE kind = 'rumour'
+  UNION ALL SELECT zone_id, 'no such unit' FROM o WHERE kind = 'corpora' AND NOT EXISTS (SELECT 1 FROM d WHERE d.zone_id = o.zone_id AND d.source = o.source AND d.unit = o.unit)
+  UNION ALL SELECT o.zone_id, CASE WHEN conv_id % 11 = 0 THEN 'message of several units' WHEN conv_id % 10 = 7 THEN 'no such message' WHEN conv_id % 3 = 0 THEN 'another unit of the message' END FROM o JOIN t ON o.kind = 'message' AND o.source = t.source)
+SELECT zone_id, fault, count(*) AS n FROM f WHERE fault IS NOT NULL GROUP BY zone_id, fault""",
     "evidence_closure": "WITH l AS (SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS pos, l_suppkey % 3 = 0 AS m FROM lineitem), b AS (SELECT 0 AS tier, pos, id FROM l WHERE m UNION ALL SELECT 1, pos, id FROM l), f AS (SELECT id, min((tier, pos)) AS at_ FROM b GROUP BY id) SELECT id, row_number() OVER (ORDER BY at_, id) AS place FROM f",
     "community_containment": "SELECT DISTINCT c_nationkey AS part FROM customer WHERE c_custkey % 97 = 5 AND c_nationkey <= 3",
     "claim_subject_units": "WITH s AS (SELECT DISTINCT 'e' || l_partkey AS claim, l_orderkey AS u FROM lineitem UNION SELECT DISTINCT 'r' || (l_partkey * 1000 + l_suppkey), l_orderkey FROM lineitem) SELECT claim, string_agg(u::VARCHAR, ',' ORDER BY u) AS units FROM s GROUP BY claim",
