@@ -17,7 +17,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import read
@@ -31,9 +31,9 @@ SWALLOWED = 80
 SCALE = 2_000_000
 #: Words of a chunk, about.
 CHUNK = 500_000
-#: Frequent words or grams of a level that are sent to all tasks, which then name what they read themselves (24 bytes each, for words their letters more). Of
+#: Frequent words or grams of a level that are sent to all tasks, which then name what they read themselves (24 bytes each), and bytes of these words. Of
 #: more, chunks get those that they hold by a join.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 20 << 20
 #: Distinct words that a task counts before it sends them on.
 HELD = 1 << 19
 #: Lower-cases A-Z; piece ends become a period, tabs spaces.
@@ -238,6 +238,12 @@ def _name_pairs_shared(shared):
     return run
 
 
+def _few(grams: DataFrame, letters: Column | None = None) -> bool:
+    """Whether the grams of a level may be sent to all tasks."""
+    size = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.lit(0) if letters is None else letters), F.lit(0)).alias("bytes")).first()
+    return size["n"] <= BROADCAST_ROWS and size["bytes"] <= BROADCAST_BYTES
+
+
 def _pairs_to_share(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """At most BROADCAST_ROWS pairs (left, right, id) as arrays."""
     rows = counted.select("left", "right", "id").toArrow()
@@ -249,7 +255,7 @@ def _pairs_to_share(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _words_to_share(counted: DataFrame) -> dict[str, tuple[list[bytes], np.ndarray]]:
-    """At most BROADCAST_ROWS words (lang, word, id) by language."""
+    """At most BROADCAST_ROWS words (lang, word, id), of BROADCAST_BYTES together, by language."""
     rows = counted.select("lang", F.col("word").cast("binary").alias("word"), "id").toArrow()
     langs, words, ids = rows["lang"].to_numpy(), rows["word"].to_pylist(), rows["id"].to_numpy()
     return {str(lang): ([words[i] for i in np.flatnonzero(langs == lang)], ids[langs == lang]) for lang in set(langs.tolist())}
@@ -280,7 +286,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
     counted = _numbered(words.where(F.col("n") >= least))
     none = F.array().cast("array<long>")
     shorter = counted.select("id", "n", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("heads"), none.alias("tails"))
-    if counted.count() <= BROADCAST_ROWS:
+    if _few(counted, F.octet_length("word")):
         level = written(texts.mapInArrow(_name_texts(share(_words_to_share(counted)), chunk_words), _LEVEL))
     else:
         coded = written(texts.mapInArrow(_coded(chunk_words), "chunk long, codes binary, code int, lang string, word string"))
@@ -297,7 +303,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WOR
         if words > 2:
             done.append(shorter.withColumn("words", F.lit(words - 1)).join(within, "id", "left"))
         if words < most_words:
-            if counted.count() <= BROADCAST_ROWS:
+            if _few(counted):
                 following = written(level.mapInArrow(_name_pairs_shared(share(_pairs_to_share(counted))), _LEVEL))
             else:
                 named = pairs.select("chunk", "left", "right").join(counted.select("left", "right", "id"), ["left", "right"])
