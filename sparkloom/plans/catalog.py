@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.operators import activation, branching, citation, communities, context, corpus, dialogue, epochs, extraction, fragments, graph, journal, knowledge, mapping, messages, observations, publication, recall, reports, responses, search, sentences, snapshots, strategies, upkeep, vectors
+from sparkloom.operators import activation, branching, citation, communities, context, corpus, dialogue, epochs, extraction, fragments, graph, journal, knowledge, mapping, messages, observations, projection, publication, recall, reports, responses, search, sentences, snapshots, strategies, upkeep, vectors
 from sparkloom.sources import documents
 from sparkloom.streaming import consumer, dispatch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list = [corpus, sentences, messages, knowledge, graph, communities, vectors, journal, context, citation, activation, observations, reports, fragments, search, branching, mapping, publication, recall, epochs, extraction, dialogue, responses, snapshots, strategies, upkeep, documents, consumer, dispatch]
+MODULES: list = [corpus, sentences, messages, knowledge, graph, projection, communities, vectors, journal, context, citation, activation, observations, reports, fragments, search, branching, mapping, publication, recall, epochs, extraction, dialogue, responses, snapshots, strategies, upkeep, documents, consumer, dispatch]
 
 
 def queries() -> dict[str, Query]:
