@@ -113,9 +113,10 @@ def embedded(model: Callable[[str], list[float]]) -> Embedder:
 
 def local_evidence(embed: Embedder, entity_vectors: DataFrame, entities: DataFrame, edges: DataFrame, k: int, budget: int) -> Evidence:
     """Evidence for questions: the texts of the k nearest entities in order, then the relations that touch them, each entity's by combined
-    degree and weight; a line each, as many as fit the budget. entities: (node, text); entity_vectors: (item, vector) by node."""
+    degree and weight; a line each, as many as fit the budget. entities: (node, text); entity_vectors: (item, vector) by node. The degrees are
+    written once, not found anew for every round of questions."""
 
-    ranked = graph.combined_degrees(edges)
+    ranked = written(graph.combined_degrees(edges))
 
     def gather(questions: DataFrame) -> DataFrame:
         near = checkpointed(nearest_to_each(embed(questions), entity_vectors, k))
