@@ -8,9 +8,10 @@ tasks, after a check of its size.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +35,7 @@ _OPENERS, _CLOSERS, _AFTER = "\"'([{«“‘„", "\"')]}»”’", "\"')]}»”
 _NUMBER = re.compile(r"[+-]?\d[\d.,]*")
 
 
-@dataclass(slots=True)
+@dataclass(frozen=True, slots=True)
 class Token:
     """A token of a text: its type (lower case, without its period, numbers as one), whether a period ends it, what else does, and its case."""
 
@@ -47,23 +48,25 @@ class Token:
     upper: bool
     lower: bool
     initial: bool
-    end: int
+
+
+@lru_cache(1 << 17)
+def _token(raw: str) -> Token:
+    core = raw.lstrip(_OPENERS)
+    bare = core.rstrip(_AFTER)
+    tail = core[len(bare) :]
+    ends = not any(x in ",;:" for x in tail)  # a comma after a period says that the sentence goes on
+    ellipsis = bare.endswith("...") or bare.endswith("…")
+    period = bare.endswith(".") and not ellipsis
+    word = bare[:-1] if period else bare.rstrip(".…") if ellipsis else bare.rstrip("?!")
+    letter = word[:1]
+    type_ = NUMBER if _NUMBER.fullmatch(word) else word.lower()
+    return Token(type_, period, ends, bare.endswith(("?", "!")), ellipsis, letter.isupper(), letter.islower(), period and len(word) == 1 and word.isalpha())
 
 
 def tokens_of(text: str) -> list[Token]:
-    out = []
-    for m in _TOKEN.finditer(text):
-        core = m[0].lstrip(_OPENERS)
-        bare = core.rstrip(_AFTER)
-        tail = core[len(bare) :]
-        ends = not any(x in ",;:" for x in tail)  # a comma after a period says that the sentence goes on
-        ellipsis = bare.endswith("...") or bare.endswith("…")
-        period = bare.endswith(".") and not ellipsis
-        word = bare[:-1] if period else bare.rstrip(".…") if ellipsis else bare.rstrip("?!")
-        letter = word[:1]
-        type_ = NUMBER if _NUMBER.fullmatch(word) else word.lower()
-        out.append(Token(type_, period, ends, bare.endswith(("?", "!")), ellipsis, letter.isupper(), letter.islower(), period and len(word) == 1 and word.isalpha(), m.end()))
-    return out
+    """The tokens of a text, which their letters alone decide."""
+    return [_token(x) for x in _TOKEN.findall(text)]
 
 
 def _flushed(rows: dict, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +84,10 @@ def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shape = ["lang", "type", "dotted", "plain"], [pa.string(), pa.string(), pa.int64(), pa.int64()]
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            for token in tokens_of(text.as_py()):
+            for raw, n in Counter(_TOKEN.findall(text.as_py())).items():
+                token = _token(raw)
                 if token.type:
-                    found[lang, token.type][0 if token.period else 1] += 1
+                    found[lang, token.type][0 if token.period else 1] += n
             if len(found) >= HELD:
                 yield from _flushed(found, *shape)
     yield from _flushed(found, *shape)
@@ -217,9 +221,12 @@ def sentence_ends(text: str, lang: str | None, stops: Stops) -> list[int]:
     """Where the text's sentences end, the last one's end included."""
     abbreviations, starters, collocations, seen = (x.get(lang, y) for x, y in ((stops.abbreviations, set()), (stops.starters, set()), (stops.collocations, set()), (stops.seen, {})))
     out, found = [], tokens_of(text)
+    places = [m.end() for m in _TOKEN.finditer(text)]
     for n, token in enumerate(found):
+        if not (token.sure or token.period or token.ellipsis):
+            continue
         after = next((x for x in found[n + 1 : n + 3] if x.type), None)
-        if after is None or not token.ends or not (token.sure or token.period or token.ellipsis):
+        if after is None or not token.ends:
             continue
         stop = token.sure
         if not stop and (token.type, after.type) in collocations:
@@ -233,7 +240,7 @@ def sentence_ends(text: str, lang: str | None, stops: Stops) -> list[int]:
         elif not stop:
             stop = True
         if stop:
-            out.append(token.end)
+            out.append(places[n])
     return [*out, len(text)]
 
 
