@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pandas as pd
+
 from sparkloom.streaming import consumer, dispatch
 
 EVENTS = "zone_id long, event_id long, event_type string, event_sequence long, stream_id long, stream_sequence long, causation_id long, occurred_at timestamp, body string"
@@ -99,3 +101,61 @@ def test_boundaries_across_pulls(spark, tmp_path):
         consumer.consume(found, lambda batch, _: out.extend((x.event_id, x.corpus, x.digest) for x in batch.collect()), f"{tmp_path}/position")
     # 3 and 8 lie too far apart, a null is no boundary, 4 has no partner, 13 comes too late
     assert sorted(out) == [(1, "c", "x"), (6, "c", "y"), (14, "f", "f")]
+
+
+class Held:
+    """A state variable in memory that counts its requests."""
+
+    def __init__(self, requests):
+        self.requests, self.held = requests, {}
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.requests.append(name)
+            if name in ("exists", "containsKey"):
+                return (given[0] if given else ()) in self.held
+            if name in ("get", "getValue"):
+                return self.held.get(given[0] if given else ())
+            if name in ("update", "updateValue"):
+                self.held[given[0] if len(given) > 1 else ()] = given[-1]
+            elif name == "iterator":
+                return iter(list(self.held.items()))
+            elif name == "removeKey":
+                self.held.pop(given[0], None)
+
+        return call
+
+
+class Handle:
+    def __init__(self):
+        self.requests = []
+
+    def __getattr__(self, _):
+        return lambda *_: Held(self.requests)
+
+
+def test_a_zones_events_cost_no_state_requests_of_their_own():
+    n, handle = 30_000, Handle()
+    rows = pd.DataFrame({"zone_id": 1, "event_id": range(n), "event_type": ["a", "b"] * (n // 2), "event_sequence": [i // 2 for i in range(n)], "stream_id": [i % 100 for i in range(n)], "stream_sequence": [i // 100 for i in range(n)], "causation_id": [float(i - 100) if i >= 100 and i % 3 else None for i in range(n)], "occurred_at": pd.Timestamp("2024-01-01"), "body": "x"})
+    processor = dispatch.Dispatch(TYPES, lambda event, failed: None)
+    processor.init(handle)
+    out = [x for part in (rows[1:], rows[:1]) for frame in processor.handleInputRows((1,), iter([part]), None) for x in frame.itertuples(index=False)]
+    assert sorted(x.event_id for x in out) == list(range(n)) and [x.step for x in out] == list(range(n))
+    assert len(handle.requests) < 100
+
+
+def test_a_subjects_observations_cost_no_state_requests_of_their_own():
+    n, handle = 5000, Handle()
+    rows = pd.DataFrame({"subject": 1, "observation_id": range(n), "occurred_at": pd.Timestamp("2024-01-01"), "grade": 3, "submitted": range(n)})
+    memory = consumer.Memory()
+    memory.init(handle)
+    seen = [x for part in (rows[:3000], rows[2000:4000], rows[::2], rows[1::2]) for frame in memory.handleInputRows((1,), iter([part]), None) for x in frame["observation_id"]]
+    assert sorted(seen) == list(range(n))
+    assert len(handle.requests) < 100
+
+
+def test_a_pull_is_one_batch_however_many_files_it_has(spark, tmp_path):
+    spark.range(100).repartition(25).write.parquet(f"{tmp_path}/events")
+    numbers = []
+    consumer.consume(consumer.journal_stream(spark, f"{tmp_path}/events", "id long"), lambda batch, number: numbers.append((number, batch.count())), f"{tmp_path}/position")
+    assert numbers == [(0, 100)]
