@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,32 +41,67 @@ def consume(events: DataFrame, handler: Handler, checkpoint: str) -> None:
         query.awaitTermination()
 
 
+#: A batch of a pull is bounded by its files' bytes, not by their number, which grows with the tasks that write them.
+BATCH_BYTES = 256 * 1024 * 1024
+
+
 def journal_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """The journal's files as a stream; a file is an append."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(path)
 
 
 _OUT = "subject long, observation_id long, stability double, difficulty double, accepted boolean, submitted long"
 
 
+#: Ids of a run of applied observations, and runs of a subject before they are merged.
+RUN, MOST_RUNS = 4096, 64
+
+
 class Memory(StatefulProcessor):
     """Folds a subject's new observations, in order of submission, into its state; earlier ones than the last accepted are rejected.
 
-    What was applied is a map by observation, of which a pull reads and writes only the entries of its own rows: an observation that comes again, in this pull or
-    a later one, changes nothing.
+    What was applied is kept as sorted runs of ids with their least and greatest, of which a pull reads only those that its own rows can lie in and writes one run:
+    an observation that comes again, in this pull or a later one, changes nothing.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.model = activation.Model()
-        self.state = handle.getValueState("state", "stability double, difficulty double, last long")
-        self.applied = handle.getMapState("applied", "observation_id long", "accepted boolean")
+        self.state = handle.getValueState("state", "stability double, difficulty double, last long, lows array<long>, highs array<long>")
+        self.runs = handle.getMapState("runs", "number long", "ids binary")
+
+    def _run(self, number: int) -> np.ndarray:
+        return np.frombuffer(self.runs.getValue((number,))[0], np.int64)
+
+    def _applied(self, ids: np.ndarray, lows: list[int], highs: list[int]) -> set[int]:
+        """Those of the ids that were applied in earlier pulls."""
+        found: set[int] = set()
+        for number, (low, high) in enumerate(zip(lows, highs)):
+            near = ids[(ids >= low) & (ids <= high)]
+            if len(near):
+                found.update(near[np.isin(near, self._run(number))].tolist())
+        return found
+
+    def _keep(self, ids: list[int], lows: list[int], highs: list[int]) -> None:
+        ids = np.sort(np.array(ids, np.int64))
+        if len(lows) >= MOST_RUNS and len(lows) % MOST_RUNS == 0:
+            ids = np.sort(np.concatenate([ids, *(self._run(i) for i in range(len(lows)))]))
+            for i in range(-(-len(ids) // RUN), len(lows)):
+                self.runs.removeKey((i,))
+            lows.clear(), highs.clear()
+        for begin in range(0, len(ids), RUN):
+            part = ids[begin : begin + RUN]
+            self.runs.updateValue((len(lows),), (part.tobytes(),))
+            lows.append(int(part[0]))
+            highs.append(int(part[-1]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stability, difficulty, last = self.state.get() if self.state.exists() else (None, None, None)
-        out = []
+        stability, difficulty, last, lows, highs = self.state.get() if self.state.exists() else (None, None, None, [], [])
+        lows, highs = list(lows), list(highs)
+        out, ids = [], []
         new = pd.concat(list(rows)).sort_values("submitted").drop_duplicates("observation_id")
+        applied = self._applied(new["observation_id"].to_numpy(np.int64), lows, highs)
         for row in new.itertuples(index=False):
-            if self.applied.containsKey((int(row.observation_id),)):
+            if int(row.observation_id) in applied:
                 continue
             at = pd.Timestamp(row.occurred_at).value // 1000
             accepted = last is None or at >= last
@@ -73,10 +109,11 @@ class Memory(StatefulProcessor):
                 days = 0 if last is None else (at - last) // 86_400_000_000
                 stability, difficulty = self.model.step(None if last is None else (stability, difficulty), int(row.grade), days)
                 last = at
-            self.applied.updateValue((int(row.observation_id),), (accepted,))
+            ids.append(int(row.observation_id))
             out.append((key[0], row.observation_id, stability, difficulty, accepted, int(row.submitted)))
-        if last is not None:
-            self.state.update((stability, difficulty, last))
+        if ids:
+            self._keep(ids, lows, highs)
+            self.state.update((stability, difficulty, last, lows, highs))
         yield pd.DataFrame(out, columns=["subject", "observation_id", "stability", "difficulty", "accepted", "submitted"])
 
     def close(self) -> None:
