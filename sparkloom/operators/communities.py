@@ -80,6 +80,14 @@ def _settle(edges: DataFrame, nodes: DataFrame, weight: float, tolerance: float)
             states[1:best] = [None] * (best - 1)
 
 
+def _pendants(level: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, into): nodes with a single neighbour, and that neighbour; of two that only have each other the greater goes into the lesser. Its part can only gain by such a node
+    under modularity with gamma up to 1, so it lies with its neighbour in some best partition and need not move by itself."""
+    single = level.groupBy("u").agg(F.count("*").alias("n"), F.first("v").alias("into"), F.min("w").alias("w")).where("n = 1 AND w > 0").select("u", "into")
+    other = single.select(F.col("u").alias("into"), F.lit(True).alias("both"))
+    return single.join(other, "into", "left").where("both IS NULL OR u > into").select("u", "into").join(nodes.where("mass > 0").select("u"), "u", "left_semi")
+
+
 def _merges(inner: DataFrame, nodes: DataFrame, theta: float) -> DataFrame:
     """One round of refinement. nodes: u, mass, resolution, part_mass, outward (weight to the rest of the part), ref, turn; inner: edges within parts.
 
@@ -146,6 +154,14 @@ def cluster(edges: DataFrame, groups: DataFrame, gamma: float = 1.0, seed: int =
     nodes = written(nodes.select("u", "mass", "resolution", F.col("u").alias("part"), F.lit(seed * 1000).alias("turn")))
     weight = level.agg(F.sum("w")).first()[0] or 0.0
     of = nodes.select(F.col("u").alias("node"), "u")
+    if modular and gamma <= 1:
+        into = written(_pendants(level, nodes))
+        name = lambda u: F.coalesce("into", u)
+        of = written(of.join(into, "u", "left").select("node", name("u").alias("u")))
+        nodes = nodes.join(into, "u", "left").groupBy(name("u").alias("u")).agg(F.sum("mass").alias("mass"), F.first("resolution").alias("resolution"), F.max("turn").alias("turn"))
+        nodes = written(nodes.select("u", "mass", "resolution", F.col("u").alias("part"), "turn"))
+        # what is left of the edges: those without a pendant end
+        level = written(level.join(into.select("u"), "u", "left_anti").join(into.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v", "w"))
     levels = []
     while True:
         nodes, moved = _settle(level, nodes, weight, tolerance)

@@ -162,6 +162,12 @@ def test_communities_are_deterministic_connected_and_nested(spark):
     assert tree.where("level = 0").count() == len(parts)
 
 
+def test_nodes_with_one_neighbour_lie_with_it_however_little_it_adds(spark):
+    stars = spark.createDataFrame([(f"s{c}", f"{c}-{i}", 1.0) for c in range(3) for i in range(300)], "source string, target string, weight double")
+    last = communities.cluster(stars, communities._everyone(stars), tolerance=10.0)[-1].collect()
+    assert {x.node: x.part for x in last} == {f"{c}-{i}": f"{c}-0" for c in range(3) for i in range(300)} | {f"s{c}": f"{c}-0" for c in range(3)}
+
+
 def test_communities_of_exactly_the_limit_are_split(spark):
     """Two cliques of five with one link, among many others: one community of ten, which is split at a limit of ten, not of eleven."""
     clique = lambda name: [(f"{name}{a}", f"{name}{b}", 1.0) for a in range(5) for b in range(a + 1, 5)]
