@@ -27,7 +27,7 @@ Model = Callable[[str], str]
 #: Gets (key, question) and gives (key, vector), or (key, context) in one row for a key at most.
 Embedder = Callable[[DataFrame], DataFrame]
 Evidence = Callable[[DataFrame], DataFrame]
-#: Questions whose vectors are sent to all tasks at a time.
+#: Vectors in a block; each block of queries meets each block of items in some task.
 QUERY_BLOCK = 4096
 
 
@@ -57,45 +57,53 @@ def tokens(text: str | Column) -> Column:
 def nearest_to_each(queries: DataFrame, items: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(key, item, score, place): the k items (item, vector) nearest to each query (key, vector) by cosine, ties to the smaller item.
 
-    The queries go to all tasks, `block` of them at a time; each task keeps k items for a query before they meet. Rows without a valid
-    vector, and items of another length than the query, take no part.
+    Queries and items are packed into blocks of `block` vectors, and every pair of blocks meets in a task; a pair keeps k items for a query before they are ranked. Nothing
+    of them goes through the driver. Rows without a valid vector, and items of another length than the query, take no part.
     """
-    asked = checkpointed(queries.where(T.valid_vector(F.col("vector"))).select("key", F.col("vector").cast("array<double>").alias("vector")))
-    numbered = checkpointed(graph.numbered(asked, "key"))
     kind = dict(items.dtypes)["item"]
-    held = items.where(T.valid_vector(F.col("vector"))).select("item", F.col("vector").cast("array<double>").alias("vector"))
-    found = None
-    for begin in range(0, numbered.count(), block):
-        rows = numbered.where((F.col("place") >= begin) & (F.col("place") < begin + block)).toArrow()  # a block
-        sizes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        vectors = [np.array(x) for x in rows["vector"].to_pylist()]
-        for size in {len(x) for x in vectors}:
-            of = [i for i, x in enumerate(vectors) if len(x) == size]
-            matrix = np.stack([vectors[i] for i in of])
-            sizes[size] = rows["place"].to_numpy()[of], matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        near = held.mapInArrow(_near(items.sparkSession.sparkContext.broadcast(sizes), k), f"place long, item {kind}, score double")
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        return asked.limit(0).select("key", F.lit(None).cast(kind).alias("item"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("place"))
-    best = W.partitionBy("number").orderBy(F.col("score").desc(), "item")
-    ranked = found.withColumnRenamed("place", "number").withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= k)
-    return ranked.join(numbered.select("key", F.col("place").alias("number")), "number").select("key", "item", "score", "place")
-
-
-def _near(shared, k: int):
+    asked = _blocks(queries.select(F.col("key").cast("long").alias("key"), "vector"), "key", "long", block).toDF("size", "keys", "asked")
+    held = _blocks(items, "item", kind, block)
+    pairs = held.join(asked.hint("shuffle_replicate_nl"), "size")
+    found = pairs.mapInArrow(_near(k), f"key long, item {kind}, score double")
+    best = W.partitionBy("key").orderBy(F.col("score").desc(), "item")
+    return found.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= k)
+
+
+def _blocks(rows: DataFrame, name: str, kind: str, block: int) -> DataFrame:
+    """(size, names, vectors): valid vectors of one length, scaled to length 1, as rows of at most `block` of them; vectors are the bytes of their doubles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [np.array(x) for x in batch.column("vector").to_pylist()]
-            for size, (places, asked) in shared.value.items():
-                of = np.array([i for i, x in enumerate(vectors) if len(x) == size])
-                if not len(of):
-                    continue
-                matrix = np.stack([vectors[i] for i in of])
-                scores = np.clip(asked @ (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).T, -1.0, 1.0)
-                items = batch.column("item").take(pa.array(of))
-                least = np.partition(scores, -k, axis=1)[:, -k][:, None] if k < len(of) else np.full((len(asked), 1), -2.0)
-                row, column = np.nonzero(scores >= least)  # ties at the border go on
-                yield pa.RecordBatch.from_arrays([pa.array(places[row]), items.take(pa.array(column)), pa.array(scores[row, column])], names=["place", "item", "score"])
+            for size in sorted({len(x) for x in vectors}):
+                of = [i for i, x in enumerate(vectors) if len(x) == size]
+                for begin in range(0, len(of), block):
+                    part = of[begin : begin + block]
+                    matrix = np.stack([vectors[i] for i in part])
+                    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+                    names = batch.column(name).take(pa.array(part))
+                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([names.to_pylist()], pa.list_(names.type)), pa.array([matrix.tobytes()], pa.binary())], names=["size", "names", "vectors"])
+
+    valid = rows.where(T.valid_vector(F.col("vector"))).select(name, F.col("vector").cast("array<double>").alias("vector"))
+    return checkpointed(valid.mapInArrow(run, f"size int, names array<{kind}>, vectors binary"))
+
+
+#: Queries of a block scored at a time: 512 x 4,096 doubles are 16 MB.
+SCORED = 512
+
+
+def _near(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size = batch.column("size")[i].as_py()
+                items, keys = batch.column("names")[i].values, batch.column("keys")[i].values.to_numpy()
+                matrix, asked = (np.frombuffer(batch.column(x)[i].as_buffer(), np.float64).reshape(-1, size) for x in ("vectors", "asked"))
+                for begin in range(0, len(asked), SCORED):
+                    scores = np.clip(asked[begin : begin + SCORED] @ matrix.T, -1.0, 1.0)
+                    least = np.partition(scores, -k, axis=1)[:, -k][:, None] if k < len(items) else np.full((len(scores), 1), -2.0)
+                    row, column = np.nonzero(scores >= least)  # ties at the border go on
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[begin + row]), items.take(pa.array(column)), pa.array(scores[row, column])], names=["key", "item", "score"])
 
     return run
 
@@ -210,8 +218,10 @@ def primed(searches: DataFrame, reports: DataFrame, report_vectors: DataFrame, e
     start = questions.join(told.select("search", "answer", "prompt_tokens", "output_tokens", fault.alias("fault")), "search")
     start = checkpointed(start.withColumn("hypothetical", F.when(F.trim("answer") == "", F.col("question")).otherwise(F.col("answer"))).drop("answer"))
     eligible = report_vectors.join(reports.select("item"), "item", "left_semi")
-    asked = start.where("fault IS NULL").select(F.col("search").alias("key"), F.col("hypothetical").alias("question"))
-    near = checkpointed(nearest_to_each(embed(asked), eligible, limits.reports).withColumnRenamed("key", "question"))
+    asked = start.where("fault IS NULL").select("search", F.col("hypothetical").alias("asked"))
+    keyed = checkpointed(graph.numbered(asked.select("asked").distinct(), "asked").withColumnRenamed("place", "key"))
+    nearest = nearest_to_each(embed(keyed.select("key", F.col("asked").alias("question"))), eligible, limits.reports)
+    near = checkpointed(asked.join(keyed, "asked").join(nearest, "key").select(F.col("search").alias("question"), "item", "score", "place"))
     folds = context.folds(near, limits.folds).withColumnRenamed("question", "search").join(reports, "item")
     folds = folds.join(start.select("search", "question"), "search").withColumn("tokens", tokens("text"))
     used = F.sum("tokens").over(W.partitionBy("search", "fold").orderBy("place")) + tokens("question")
@@ -270,8 +280,8 @@ def explored(primers: DataFrame, evidence: Evidence, model: Model, limits: Limit
         chosen = checkpointed(state.where("status = 'pending'").select("search", "no", "question", "depth").withColumn("place", place).join(used, "search").where(F.col("place") <= F.col("room")))
         if chosen.isEmpty():
             return state
-        keyed = checkpointed(graph.numbered(chosen.select("search", "no", "question"), "search", "no").withColumnRenamed("place", "key"))
-        gathered = keyed.join(evidence(keyed.select("key", "question")), "key", "left").select("search", "no", F.coalesce("context", F.lit("")).alias("context"))
+        keyed = checkpointed(graph.numbered(chosen.select("question").distinct(), "question").withColumnRenamed("place", "key"))  # evidence for a question once, whoever asks it
+        gathered = chosen.select("search", "no", "question").join(keyed.join(evidence(keyed.select("key", "question")), "key", "left").select("question", "context"), "question", "left").select("search", "no", F.coalesce("context", F.lit("")).alias("context"))
         prompt = F.concat_ws("\n", "root", "question", F.when(F.col("context") != "", F.col("context")))
         requests = chosen.join(gathered, ["search", "no"]).withColumn("prompt", prompt).withColumn("prompt_tokens", tokens(F.regexp_replace("prompt", "\n", " ")))
         reserved = checkpointed(_reserved(requests.select("search", "no", "prompt", "prompt_tokens", "used_calls", "used_prompt", "used_output"), limits))

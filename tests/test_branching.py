@@ -193,3 +193,13 @@ def test_primer_of_each_search(spark):
     few = {x.search: x for x in branching.primed(searches.where("search < 3"), reports, stored, embed, hypothetical, answers, Limits(reports=3, folds=2, calls=2)).collect()}
     assert few[1].answer == "report a & report b" and few[1].calls == 2
     assert branching.primed(searches.where(F.lit(False)), reports, stored, embed, hypothetical, answers, limits).count() == 0
+
+
+def test_vectors_of_questions_stay_off_the_driver(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("rows sent to the driver")
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "key long, vector array<double>")
+    monkeypatch.setattr(type(vectors), "toArrow", refused)
+    got = branching.nearest_to_each(vectors, vectors.withColumnRenamed("key", "item"), 1).collect()
+    assert sorted((x.key, x.item, x.place) for x in got) == [(1, 1, 1), (2, 2, 1)]
