@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import math
+from collections.abc import Callable
 from decimal import Decimal
 
 import pandas as pd
@@ -12,17 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: White space that Unicode trimming removes at both ends of a text.
-UNICODE_SPACE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+UNICODE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def trim_unicode(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+$", "")
+    return F.btrim(text, F.lit(UNICODE_SPACE))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def normalize_text(text: Column) -> Column:
     """Line ends become line feeds, outer white space goes; empty texts and texts with NUL become null."""
-    clean = trim_unicode(F.regexp_replace(text, "\r\n?", "\n"))
-    return F.when((clean != "") & ~F.contains(clean, F.lit("\0")), clean)
+    ends = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return bound(trim_unicode(ends), lambda clean: F.when((clean != "") & ~F.contains(clean, F.lit("\0")), clean))
 
 
 def normalize_title(title: Column) -> Column:

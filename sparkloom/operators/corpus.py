@@ -11,15 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.session import table
+from sparkloom.session import table, written
 
 SIZE, OVERLAP = 64, 16
 _TOKEN = r"[^\x20\x09-\x0D]+"
 
 
 def prepared_texts(documents: DataFrame) -> DataFrame:
-    """doc_id and the normalised text; documents without one are left out."""
-    return documents.select("doc_id", T.normalize_text(F.col("text")).alias("text")).where("text IS NOT NULL")
+    """doc_id and the normalised text; documents without one are left out. A filter would normalise a second time, so a text is the one entry of an array or of none."""
+    return documents.select("doc_id", F.explode(F.array_compact(F.array(T.normalize_text(F.col("text"))))).alias("text"))
 
 
 def window_starts(n_tokens: Column, size: int, overlap: int) -> Column:
@@ -30,13 +30,19 @@ def window_starts(n_tokens: Column, size: int, overlap: int) -> Column:
 
 
 def token_windows(texts: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, window_no, unit): windows of `size` tokens that share `overlap`, tokens joined by a blank."""
+    """(doc_id, window_no, unit, token_count): windows of `size` tokens that share `overlap`, tokens joined by a blank. A text is cut before its windows become rows,
+    as rows that each hold all tokens would grow with the square of its length."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be smaller than the window")
-    tokens = texts.select("doc_id", F.regexp_extract_all("text", F.lit(_TOKEN), 0).alias("tokens"))
-    starts = tokens.select("doc_id", "tokens", F.posexplode(window_starts(F.size("tokens"), size, overlap)).alias("window_no", "start"))
-    unit = F.array_join(F.slice("tokens", F.col("start").cast("int") + 1, F.lit(size)), " ")
-    return starts.select("doc_id", F.col("window_no").cast("long").alias("window_no"), unit.alias("unit"), F.least(F.lit(size), F.size("tokens") - F.col("start")).cast("long").alias("token_count"))
+
+    def cut(tokens: Column) -> Column:
+        unit = lambda start: F.array_join(F.slice(tokens, start.cast("int") + 1, F.lit(size)), " ")
+        count = lambda start: F.least(F.lit(size), F.size(tokens) - start).cast("long")
+        return F.transform(window_starts(F.size(tokens), size, overlap), lambda start: F.struct(unit(start).alias("unit"), count(start).alias("token_count")))
+
+    windows = T.bound(F.regexp_extract_all("text", F.lit(_TOKEN), 0), cut)
+    rows = texts.select("doc_id", F.posexplode(windows).alias("window_no", "window"))
+    return rows.select("doc_id", F.col("window_no").cast("long").alias("window_no"), "window.unit", "window.token_count")
 
 
 def text_units(texts: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -111,15 +117,18 @@ def generation_copy(spans: DataFrame, local: DataFrame, previous: int) -> DataFr
 
 def earlier_units(spans: DataFrame, generation: int) -> DataFrame:
     """Units of a generation that an earlier one already had."""
-    now = spans.where(F.col("corpora_id") == generation).select("unit_id").distinct()
-    return now.join(spans.where(F.col("corpora_id") < generation), "unit_id", "left_semi")
+    met = spans.groupBy("unit_id").agg(F.bool_or(F.col("corpora_id") == generation).alias("now"), F.bool_or(F.col("corpora_id") < generation).alias("earlier"))
+    return met.where("now AND earlier AND unit_id IS NOT NULL").select("unit_id")
 
 
 def generation_ready(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """One row: texts without a span, spans, and whether the generation is complete."""
-    missing = texts.join(spans, "doc_id", "left_anti").agg(F.count("*").alias("missing"))
-    total = spans.agg(F.count("*").alias("spans"))
-    return missing.join(total, how="cross").withColumn("ready", (F.col("missing") == 0) & (F.col("spans") > 0))  # two single rows
+    counts = spans.groupBy("doc_id").agg(F.count("*").alias("spans"))
+    met = counts.select("doc_id", F.lit(0).alias("texts"), "spans").unionByName(texts.select("doc_id", F.lit(1).alias("texts"), F.lit(0).cast("long").alias("spans")))
+    of = met.groupBy("doc_id").agg(F.sum("texts").alias("texts"), F.sum("spans").alias("spans"))
+    without = F.sum(F.when((F.col("spans") == 0) | F.col("doc_id").isNull(), F.col("texts")))
+    counted = of.agg(F.coalesce(without, F.lit(0)).alias("missing"), F.coalesce(F.sum("spans"), F.lit(0)).alias("spans"))
+    return counted.withColumn("ready", (F.col("missing") == 0) & (F.col("spans") > 0))
 
 
 def locate_sources(spans: DataFrame, texts: DataFrame, units: DataFrame) -> DataFrame:
@@ -140,8 +149,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two generations: the first without documents of even id from one source, the second with all."""
     units = text_units(_texts(spark, sf_dir)).withColumn("unit_id", F.sha2("unit", 256)).drop("unit")
-    first = units.where("doc_id % 3 <> 0").withColumn("corpora_id", F.lit(1).cast("long"))
-    return first.unionByName(units.withColumn("corpora_id", F.lit(2).cast("long")))
+    first, second = (F.lit(x).cast("long") for x in (1, 2))
+    return units.select("*", F.explode(F.when(F.col("doc_id") % 3 != 0, F.array(first, second)).otherwise(F.array(second))).alias("corpora_id"))  # the units are cut once
 
 
 def corpus_text_normalize(spark, sf_dir):
@@ -178,7 +187,7 @@ def corpus_generation_ready(spark, sf_dir):
 
 
 def corpus_locate_sources(spark, sf_dir):
-    spans = _spans(spark, sf_dir).where("corpora_id = 2")
+    spans = written(_spans(spark, sf_dir).where("corpora_id = 2"))  # read twice
     asked = spans.where("window_no = 0").select("unit_id")
     return locate_sources(spans, table(spark, sf_dir, "documents"), asked).select("doc_id", "window_no", "unit_id", "source", "lang")
 
@@ -190,9 +199,11 @@ def corpus_document_dedup(spark, sf_dir):
 def corpus_span_windows(spark, sf_dir):
     """Spans whose slices rebuild the texts: per document the windows and whether each is its slice."""
     texts = _texts(spark, sf_dir)
-    spans = span_windows(texts).join(texts, "doc_id")
-    slice_ = F.substring("text", F.col("start_char").cast("int") + 1, (F.col("end_char") - F.col("start_char")).cast("int"))
-    return spans.groupBy("doc_id").agg(F.count("*").alias("windows"), F.max("end_char").alias("end_char"), F.bool_and(slice_ == F.col("unit")).alias("exact"))
+    spans = span_windows(texts).groupBy("doc_id").agg(F.collect_list(F.struct("start_char", "end_char", "unit")).alias("spans"))  # so that a text meets its spans once
+    slice_ = lambda x: F.substring("text", x["start_char"].cast("int") + 1, (x["end_char"] - x["start_char"]).cast("int"))
+    exact = F.forall("spans", lambda x: slice_(x) == x["unit"])
+    checked = spans.join(texts, "doc_id").select("doc_id", F.size("spans").alias("windows"), F.array_max(F.transform("spans", lambda x: x["end_char"])).alias("end_char"), exact.alias("exact"))
+    return checked.groupBy("doc_id").agg(F.sum("windows").alias("windows"), F.max("end_char").alias("end_char"), F.bool_and("exact").alias("exact"))
 
 
 def corpus_sentences(spark, sf_dir):
