@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import corpus
-from sparkloom.session import table
+from sparkloom.session import table, written
 
 # fixed values: the markers of claim tuples
 RECORD, FIELD, COMPLETE = "##", "<|>", "<|COMPLETE|>"
@@ -213,6 +213,7 @@ def claim_evidence_index(spark, sf_dir):
 
 def evidence_missing(spark, sf_dir):
     units = corpus.token_windows(corpus.prepared_texts(table(spark, sf_dir, "documents"))).select(F.sha2("unit", 256).alias("unit_id"), F.col("doc_id").alias("subject"), "window_no")
+    units = written(units)  # read twice
     return missing_evidence(units, units.where("window_no < 3").select("unit_id")).groupBy("subject").agg(F.count("*").alias("missing"))
 
 
