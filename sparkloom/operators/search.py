@@ -93,7 +93,8 @@ def window_numbers(texts: DataFrame, size: int = corpus.SIZE, overlap: int = cor
     to count their tokens; sums run over range partitions of the counts."""
     n = T.token_count(F.col("text"))
     windows = F.when(n > 0, F.greatest(F.lit(0), F.ceil((n - size) / (size - overlap))).cast("long") + 1).otherwise(0)
-    dealt = checkpointed(texts.select("doc_id", windows.alias("windows")).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
+    counts = checkpointed(texts.select("doc_id", windows.alias("windows")))  # before the range partitions, which read their rows twice
+    dealt = checkpointed(counts.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
     sums = dealt.groupBy("part").agg(F.sum("windows").alias("n"))
     before = sums.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row per partition
     within = F.sum("windows").over(W.partitionBy("part").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("windows")
@@ -106,7 +107,7 @@ def basic_context(texts: DataFrame, unit_vectors: DataFrame, query: list[float],
     near = checkpointed(vectors.top_k(unit_vectors, query, k))
     numbers = window_numbers(texts).join(F.broadcast(near), (F.col("vec_id") >= F.col("first")) & (F.col("vec_id") < F.col("first") + F.col("windows")))  # k rows
     chosen = checkpointed(numbers.select("doc_id", (F.col("vec_id") - F.col("first")).alias("window_no"), "score", "vec_id"))
-    few = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    few = texts.where(F.col("doc_id").isin([x["doc_id"] for x in chosen.select("doc_id").distinct().collect()]))  # at most k, and the scan can leave out the others
     rows = corpus.token_windows(few).join(F.broadcast(chosen), ["doc_id", "window_no"]).withColumn("one", F.lit(0)).withColumn("tokens", F.col("token_count"))
     ordered = rows.withColumn("place", F.row_number().over(W.partitionBy("one").orderBy("doc_id", "window_no")))  # k rows
     return context.budget_prefix(ordered, "one", "place", budget, 2).drop("one", "tokens")
