@@ -35,36 +35,80 @@ def _coin(node: str, turn: Column) -> Column:
     return F.pmod(F.xxhash64(node, turn), F.lit(4)) > 0
 
 
-def _moves(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round. nodes: u, mass, resolution, part, turn; edges: u, v, w, both ways, without loops.
+def _wishes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes: u, mass, resolution, part, turn; edges: u, v, w, both ways, without loops.
 
     A node wants the neighbouring part of most gain, w(u, part) - resolution * mass(u) * mass(part without u), if that
-    exceeds its own. Adds wants, and worth, the node's share of the quality before the round.
+    exceeds its own. Adds to, the best other part, and rise, by how much it is better than its own (null: there is none); waits, whether the node and `to`
+    are both single nodes of which the other one should move; and worth, the node's share of the quality.
     """
-    masses = nodes.groupBy("part").agg(F.sum("mass").alias("part_mass"))
+    masses = nodes.groupBy("part").agg(F.sum("mass").alias("part_mass"), (F.count("*") == 1).alias("alone"))
     placed = nodes.join(masses, "part")
-    ends = placed.select(F.col("u").alias("v"), F.col("part").alias("to"), F.col("part_mass").alias("to_mass"))
-    near = edges.join(ends, "v").groupBy("u", "to").agg(F.sum("w").alias("w"), F.first("to_mass").alias("to_mass"))
+    ends = placed.select(F.col("u").alias("v"), F.col("part").alias("to"), F.col("part_mass").alias("to_mass"), F.col("alone").alias("to_alone"))
+    near = edges.join(ends, "v").groupBy("u", "to").agg(F.sum("w").alias("w"), F.first("to_mass").alias("to_mass"), F.first("to_alone").alias("to_alone"))
     own = F.col("to") == F.col("part")
     gain = F.round(F.col("w") - F.col("resolution") * F.col("mass") * F.col("to_mass"), 9).alias("gain")
-    kept = ["mass", "resolution", "part", "turn", "part_mass"]
+    kept = ["mass", "resolution", "part", "turn", "part_mass", "alone"]
     best = placed.join(near, "u", "left").groupBy("u", *kept).agg(
         F.coalesce(F.max(F.when(own, F.col("w"))), F.lit(0.0)).alias("w_own"),
-        F.max(F.when(~own, F.struct(gain, F.xxhash64("to").alias("tie"), "to"))).alias("best"),
+        F.max(F.when(~own, F.struct(gain, F.xxhash64("to").alias("tie"), "to", "to_alone"))).alias("best"),
     )
     stay = F.round(F.col("w_own") - F.col("resolution") * F.col("mass") * (F.col("part_mass") - F.col("mass")), 9)
-    wants = F.coalesce(F.col("best.gain") > stay, F.lit(False))
     return best.select(
-        "u", "mass", "resolution",
-        F.when(wants & _coin("u", F.col("turn")), F.col("best.to")).otherwise(F.col("part")).alias("part"),
-        (F.col("turn") + 1).alias("turn"),
-        wants.alias("wants"),
+        "u", "mass", "resolution", "part", "turn",
+        F.col("best.to").alias("to"),
+        (F.col("best.gain") - stay).alias("rise"),
+        (F.col("alone") & F.col("best.to_alone") & (F.xxhash64("part") > F.col("best.tie"))).alias("waits"),
         (F.col("w_own") - F.col("resolution") * F.col("mass") * F.col("part_mass")).alias("worth"),
     )
 
 
+def _moves(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One round: nodes that want to move do so if their coin says so. Adds wants, and worth, the node's share of the quality before the round."""
+    wants = F.coalesce(F.col("rise") > 0, F.lit(False))
+    goes = wants & ~F.coalesce("waits", F.lit(False)) & _coin("u", F.col("turn"))
+    return _wishes(edges, nodes).select("u", "mass", "resolution", F.when(goes, F.col("to")).otherwise(F.col("part")).alias("part"), (F.col("turn") + 1).alias("turn"), wants.alias("wants"), "worth")
+
+
+def _apart(wishes: DataFrame) -> DataFrame:
+    """(u, to) of those wishes to move (u, part, to, turn) that a hash puts first at both of their parts: no two touch the same part, so that each gains all it expects."""
+    ends = wishes.select("u", "to", F.explode(F.array("part", "to")).alias("at"), F.struct(F.xxhash64("u", "turn"), "u").alias("rank"))
+    first = ends.groupBy("at").agg(F.min_by("u", "rank").alias("u"))
+    return ends.join(first, ["at", "u"]).groupBy("u").agg(F.first("to").alias("to"), F.count("*").alias("n")).where("n = 2").select("u", "to")
+
+
+def _finished(edges: DataFrame, nodes: DataFrame, tolerance: float) -> tuple[DataFrame, bool]:
+    """What is left to move once the whole graph stands still, and whether anything was: only the parts that a move would touch, with the edges among them, in rounds of moves that
+    keep apart, so that each round raises the quality. The tolerance is a part of their own weight, not of the graph's: light parts go on until no node of theirs wants to move."""
+    any_moved = False
+    while True:
+        parts = written(_wishes(edges, nodes).where("rise > 0").select(F.explode(F.array("part", "to")).alias("part")).distinct())
+        region = written(nodes.join(parts, "part", "left_semi").select(nodes.columns))
+        inner = written(edges.join(region.select("u"), "u", "left_semi").join(region.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v", "w"))
+        weight, total, idle = inner.agg(F.sum("w")).first()[0] or 0.0, 0.0, 0
+        for number in itertools.count(1):
+            wished = checkpointed(_wishes(inner, region).where("rise > 0").select("u", "part", "to", "turn", "rise"))
+            going = checkpointed(_apart(wished))
+            rise = wished.join(going, "u").agg(F.sum("rise")).first()[0]
+            if rise is None:
+                break
+            total, idle = total + 2 * rise, idle + 1 if 2 * rise <= tolerance * weight else 0
+            moved = region.join(going, "u", "left").select("u", "mass", "resolution", F.coalesce("to", "part").alias("part"), (F.col("turn") + 1).alias("turn"))
+            region, before = _cut(moved, number), region
+            dropped(wished, going, before)
+            if idle == PATIENCE:
+                break
+        if not total:
+            return nodes, any_moved
+        any_moved = True
+        nodes = written(nodes.join(parts, "part", "left_anti").select(nodes.columns).unionByName(region))
+        dropped(parts, inner, region)
+        if total <= tolerance * weight:
+            return nodes, True
+
+
 def _settle(edges: DataFrame, nodes: DataFrame, weight: float, tolerance: float) -> tuple[DataFrame, bool]:
-    """Rounds until no node wants to move or the quality stands still; the best state, and whether it differs from the first."""
+    """Rounds until no node wants to move or the quality stands still, and then what is left to move; the state, and whether it differs from the first."""
     states, best, quality = [nodes], 0, None
     while True:
         after = _cut(_moves(edges, states[-1]), len(states))
@@ -73,7 +117,10 @@ def _settle(edges: DataFrame, nodes: DataFrame, weight: float, tolerance: float)
             best, quality = len(states) - 1, seen["quality"] or 0.0
         if not seen["wants"] or len(states) - 1 - best == PATIENCE:
             dropped(after, *(x for i, x in enumerate(states) if i not in (0, best) and x is not None))
-            return states[best], best > 0
+            if not seen["wants"]:
+                return states[best], best > 0
+            settled, moved = _finished(edges, states[best], tolerance)
+            return settled, moved or best > 0
         states.append(after.drop("wants", "worth"))
         if best > 1:  # only the best state and those after it are still needed
             dropped(*(x for x in states[1:best] if x is not None))
