@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from sparkloom.session import table, written
 
 SIZE, OVERLAP = 64, 16
 _TOKEN = r"[^\x20\x09-\x0D]+"
+#: Texts whose sentences a task holds at once as Python objects.
+TEXTS_HELD = 200
 
 
 def prepared_texts(documents: DataFrame) -> DataFrame:
@@ -73,21 +76,25 @@ _SENTENCE_END = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
 def sentence_spans(texts: DataFrame) -> DataFrame:
     """(doc_id, sentence_no, start_char, end_char): sentences as code-point ranges, ends inclusive."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names, kinds = ["doc_id", "sentence_no", "start_char", "end_char"], [pa.int64()] * 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                begin, number = 0, 0
-                for end in [*(m.start() for m in _SENTENCE_END.finditer(text)), len(text)]:
-                    part = text[begin:end]
-                    if inner := part.strip():
-                        first = begin + len(part) - len(part.lstrip())
-                        rows.append((doc_id, number, first, first + len(inner) - 1))
-                        number += 1
-                    begin = end
-            yield pd.DataFrame(rows, columns=["doc_id", "sentence_no", "start_char", "end_char"])
-
-    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, sentence_no long, start_char long, end_char long")
+            for at in range(0, batch.num_rows, TEXTS_HELD):
+                rows, few = [], batch.slice(at, TEXTS_HELD)
+                for doc_id, text in zip(few.column("doc_id").to_pylist(), few.column("text").to_pylist(), strict=True):
+                    begin, number = 0, 0
+                    for end in [*(m.start() for m in _SENTENCE_END.finditer(text)), len(text)]:
+                        part = text[begin:end]
+                        if inner := part.strip():
+                            first = begin + len(part) - len(part.lstrip())
+                            rows.append((doc_id, number, first, first + len(inner) - 1))
+                            number += 1
+                        begin = end
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, sentence_no long, start_char long, end_char long")
 
 
 _PHRASE = re.compile(r"[A-Z][\w-]+(?:\s+[A-Z][\w-]+)+|\w+-\w+")

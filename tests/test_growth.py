@@ -55,3 +55,12 @@ def test_spans_meet_a_text_once(spark, documents):
     checked = corpus.corpus_span_windows(spark, folder)
     assert sorted(map(tuple, checked.collect())) == [(1, 1, 5, True), (5, 4, 689, True), (6, 1, 5, True)]
     assert "forall" in plan(checked)
+
+
+def test_a_task_holds_the_sentences_of_few_texts(spark):
+    texts = spark.createDataFrame([(n, f"One {n}. Two! Three" if n % 3 else " ") for n in range(1000)], "doc_id long, text string").coalesce(1)
+    assert corpus.TEXTS_HELD < 1000
+    spans = corpus.sentence_spans(texts)
+    assert "MapInArrow" in plan(spans)
+    assert spans.count() == 3 * 666
+    assert [tuple(x)[1:] for x in spans.where("doc_id = 998").orderBy("sentence_no").collect()] == [(0, 0, 7), (1, 9, 12), (2, 14, 18)]
