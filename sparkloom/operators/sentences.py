@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,12 +32,13 @@ START_UPPER, INSIDE_UPPER, UNSURE_UPPER, START_LOWER, INSIDE_LOWER, UNSURE_LOWER
 UPPER, LOWER = START_UPPER | INSIDE_UPPER | UNSURE_UPPER, START_LOWER | INSIDE_LOWER | UNSURE_LOWER
 
 _TOKEN = re.compile(r"\S+")
+#: From the first character of a word that may end a sentence to the word's end.
+_STOP = re.compile(r"[.?!…]\S*")
 _OPENERS, _CLOSERS, _AFTER = "\"'([{«“‘„", "\"')]}»”’", "\"')]}»”’,;:"
 _NUMBER = re.compile(r"[+-]?\d[\d.,]*")
 
 
-@dataclass(frozen=True, slots=True)
-class Token:
+class Token(NamedTuple):
     """A token of a text: its type (lower case, without its period, numbers as one), whether a period ends it, what else does, and its case."""
 
     type: str
@@ -52,6 +54,11 @@ class Token:
 
 @lru_cache(1 << 17)
 def _token(raw: str) -> Token:
+    letter = raw[:1]
+    if raw.isalpha():  # nearly all words are letters, with a period or without
+        return Token(raw.lower(), False, True, False, False, letter.isupper(), letter.islower(), False)
+    if raw.endswith(".") and raw[:-1].isalpha():
+        return Token(raw[:-1].lower(), True, True, False, False, letter.isupper(), letter.islower(), len(raw) == 2)
     core = raw.lstrip(_OPENERS)
     bare = core.rstrip(_AFTER)
     tail = core[len(bare) :]
@@ -69,63 +76,128 @@ def tokens_of(text: str) -> list[Token]:
     return [_token(x) for x in _TOKEN.findall(text)]
 
 
-def _flushed(rows: dict, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    keys = list(rows)
-    for at in range(0, len(keys), 1 << 16):
-        part = keys[at : at + (1 << 16)]
-        columns = list(zip(*[(*key, *rows[key]) for key in part], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names)
-    rows.clear()
+def _columns(names: list[str], columns: list) -> Iterator[pa.RecordBatch]:
+    """Columns as batches; one value stands for a whole column."""
+    rows = max(len(x) for x in columns if not isinstance(x, str | int))
+    arrays = [pa.repeat(pa.scalar(x, pa.string() if isinstance(x, str) else pa.int64()), rows) if isinstance(x, str | int) else x for x in columns]
+    yield from pa.Table.from_arrays(arrays, names=names).to_batches(1 << 16)
+
+
+def _strings(values) -> pa.Array:
+    return pa.array(list(values), pa.string())
+
+
+def _numbers(values) -> pa.Array:
+    return pa.array(list(values), pa.int64())
 
 
 def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, type, dotted, plain): how often a type is seen with and without a period."""
-    found: dict = defaultdict(lambda: [0, 0])
-    shape = ["lang", "type", "dotted", "plain"], [pa.string(), pa.string(), pa.int64(), pa.int64()]
+    """(lang, type, dotted, plain): how often a type is seen with and without a period. Words are counted as they are written; what they are is asked once for each of a task."""
+    found: dict[str, Counter] = defaultdict(Counter)
+    names = ["lang", "type", "dotted", "plain"]
+
+    def types() -> Iterator[pa.RecordBatch]:
+        for lang, words in found.items():
+            dotted, plain = {}, {}
+            for raw, n in words.items():
+                if raw.isalpha():
+                    type_ = raw.lower()
+                    plain[type_] = plain.get(type_, 0) + n
+                elif (token := _token(raw)).type:
+                    of = dotted if token.period else plain
+                    of[token.type] = of.get(token.type, 0) + n
+            yield from _columns(names, [lang, _strings(dotted), _numbers(dotted.values()), 0])
+            yield from _columns(names, [lang, _strings(plain), 0, _numbers(plain.values())])
+        found.clear()
+
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            for raw, n in Counter(_TOKEN.findall(text.as_py())).items():
-                token = _token(raw)
-                if token.type:
-                    found[lang, token.type][0 if token.period else 1] += n
-            if len(found) >= HELD:
-                yield from _flushed(found, *shape)
-    yield from _flushed(found, *shape)
+            found[lang].update(text.as_py().split())
+            if sum(map(len, found.values())) >= HELD:
+                yield from types()
+    yield from types()
+
+
+def _stops(text: str) -> Iterator[tuple[str, str, str, bool]]:
+    """(between, word, after, inside): each word of a text that has a type and a stop in it, what lies between it and the word before it that was given, the next word that has a type
+    (empty: none), and whether the word before has no stop; at last what is left, with an empty word. Words without a type do nothing."""
+    begin, at, inside = 0, 0, True
+    while stop := _STOP.search(text, at):
+        first, end = stop.start(), stop.end()
+        while first > at and not text[first - 1].isspace():
+            first -= 1
+        raw = text[first:end]
+        if not _token(raw).type:
+            at = end
+            continue
+        follows = _TOKEN.search(text, end)
+        while follows and not _token(follows[0]).type:
+            follows = _TOKEN.search(text, follows.end())
+        yield text[begin:first], raw, follows[0] if follows else "", inside
+        inside = not (follows and _STOP.search(follows[0]))
+        begin = at = len(text) if not follows else follows.end() if inside else follows.start()
+    yield text[begin:], "", "", True
 
 
 def _count_context(shared):
-    """(lang, kind, a, b, n, seen): `type` a with how it was `seen`; `start`, a begins a sentence; `pair`, b follows the number or initial a; `break`, ends of sentences."""
+    """(lang, kind, a, b, n, seen): `type` a with how it was `seen`; `start`, a begins a sentence; `pair`, b follows the number or initial a; `break`, ends of sentences.
+
+    Only a word with a stop in it and the next one tell more than that a type is seen inside. So the texts are cut at these, the words between go into a set, and what a
+    stop and the next word say is asked once for each two of a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, set[str]] = shared.value
-        found: dict = defaultdict(lambda: [0, 0])
-        shape = ["lang", "kind", "a", "b", "n", "seen"], [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                abbreviations, where, last = known.get(lang, set()), INSIDE_UPPER, None
-                for token in tokens_of(text.as_py()):
-                    if not token.type:
-                        continue
-                    seen = where * token.upper | (where << 3) * token.lower
-                    if seen:
-                        found[lang, "type", token.type, ""][1] |= seen
-                    if last is not None and last.ends and last.period:
-                        if last.initial or last.type == NUMBER:
-                            found[lang, "pair", last.type, token.type][0] += 1
-                        if last.type not in abbreviations and not last.initial and last.type != NUMBER:
-                            found[lang, "start", token.type, ""][0] += 1
-                    abbreviation = token.period and token.type in abbreviations
-                    if not token.ends:
-                        where = INSIDE_UPPER
-                    elif token.sure or token.period and not abbreviation:
-                        found[lang, "break", "", ""][0] += 1
+        inside: dict[str, set[str]] = defaultdict(set)
+        around: dict[str, Counter] = defaultdict(Counter)
+        names = ["lang", "kind", "a", "b", "n", "seen"]
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang in inside.keys() | around.keys():
+                seen: dict[str, int] = {}
+                for raw in inside[lang]:
+                    if raw.isalpha():
+                        type_, upper, lower = raw.lower(), raw[0].isupper(), raw[0].islower()
+                    else:
+                        type_, upper, lower = (token := _token(raw)).type, token.upper, token.lower
+                    if type_ and (upper or lower):
+                        seen[type_] = seen.get(type_, 0) | (INSIDE_UPPER if upper else INSIDE_LOWER)
+                counts: Counter = Counter()
+                abbreviations = known.get(lang, set())
+                for (raw, after), n in around[lang].items():
+                    token = _token(raw)
+                    if token.ends and (token.sure or token.period and token.type not in abbreviations):
+                        counts["break", "", ""] += n
                         where = UNSURE_UPPER if token.initial or token.type == NUMBER else START_UPPER
                     else:
-                        where = UNSURE_UPPER if abbreviation or token.ellipsis else INSIDE_UPPER
-                    last = token
-                if len(found) >= HELD:
-                    yield from _flushed(found, *shape)
-        yield from _flushed(found, *shape)
+                        where = UNSURE_UPPER if token.ends and (token.period or token.ellipsis) else INSIDE_UPPER
+                    if not after:
+                        continue
+                    follows = _token(after)
+                    if follows.upper or follows.lower:
+                        seen[follows.type] = seen.get(follows.type, 0) | (where if follows.upper else where << 3)
+                    if token.ends and token.period:
+                        if token.initial or token.type == NUMBER:
+                            counts["pair", token.type, follows.type] += n
+                        elif token.type not in abbreviations:
+                            counts["start", follows.type, ""] += n
+                yield from _columns(names, [lang, "type", _strings(seen), "", 0, _numbers(seen.values())])
+                yield from _columns(names, [lang, *(_strings(x[i] for x in counts) for i in range(3)), _numbers(counts.values()), 0])
+            inside.clear()
+            around.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                words, pairs = inside[lang], around[lang]
+                for between, raw, after, within in _stops(text.as_py()):
+                    words.update(between.split())
+                    if raw:
+                        pairs[raw, after] += 1
+                    if raw and within:
+                        words.add(raw)
+                if sum(map(len, inside.values())) + sum(map(len, around.values())) >= HELD:
+                    yield from told()
+        yield from told()
 
     return run
 
@@ -217,30 +289,43 @@ def _by_case(token: Token, seen: dict[str, int]) -> bool | None:
     return None
 
 
-def sentence_ends(text: str, lang: str | None, stops: Stops) -> list[int]:
-    """Where the text's sentences end, the last one's end included."""
+def _is_end(raw: str, following: str, lang: str | None, stops: Stops) -> bool:
+    """Whether a sentence ends with a word that another one follows, which has a type."""
     abbreviations, starters, collocations, seen = (x.get(lang, y) for x, y in ((stops.abbreviations, set()), (stops.starters, set()), (stops.collocations, set()), (stops.seen, {})))
-    out, found = [], tokens_of(text)
-    places = [m.end() for m in _TOKEN.finditer(text)]
-    for n, token in enumerate(found):
-        if not (token.sure or token.period or token.ellipsis):
-            continue
-        after = next((x for x in found[n + 1 : n + 3] if x.type), None)
-        if after is None or not token.ends:
-            continue
-        stop = token.sure
-        if not stop and (token.type, after.type) in collocations:
-            continue
-        case = _by_case(after, seen)
-        starts = case is True or after.upper and after.type in starters
-        if not stop and (token.ellipsis or token.period and token.type in abbreviations and not token.initial):
-            stop = starts
-        elif not stop and (token.initial or token.type == NUMBER):
-            stop = case is not False and not (case is None and token.initial and after.upper and not seen.get(after.type, 0) & LOWER)
-        elif not stop:
-            stop = True
-        if stop:
-            out.append(places[n])
+    token, after = _token(raw), _token(following)
+    if not (token.sure or token.period or token.ellipsis) or not token.ends:
+        return False
+    if token.sure:
+        return True
+    if (token.type, after.type) in collocations:
+        return False
+    case = _by_case(after, seen)
+    if token.ellipsis or token.period and token.type in abbreviations and not token.initial:
+        return case is True or after.upper and after.type in starters
+    if token.initial or token.type == NUMBER:
+        return case is not False and not (case is None and token.initial and after.upper and not seen.get(after.type, 0) & LOWER)
+    return True
+
+
+def decisions(stops: Stops):
+    """(word, following word, language) -> whether a sentence ends between them; what was asked before is remembered."""
+    return lru_cache(1 << 17)(lambda raw, following, lang: _is_end(raw, following, lang, stops))
+
+
+def sentence_ends(text: str, lang: str | None, stops: Stops, decide=None) -> list[int]:
+    """Where the text's sentences end, the last one's end included. decide: `decisions` of the stops, if there are many texts."""
+    decide = decide or decisions(stops)
+    out, last = [], 0
+    for stop in _STOP.finditer(text):
+        first, end = stop.start(), stop.end()
+        while first > last and not text[first - 1].isspace():
+            first -= 1
+        last = end
+        after = _TOKEN.search(text, end)
+        if after and not _token(after[0]).type:  # one word without a type may lie between
+            after = _TOKEN.search(text, after.end())
+        if after and _token(after[0]).type and decide(text[first:end], after[0], lang):
+            out.append(end)
     return [*out, len(text)]
 
 
@@ -253,13 +338,14 @@ def trained_spans(texts: DataFrame, stops: Stops) -> DataFrame:
     names, kinds = ["doc_id", "sentence_no", "start_char", "end_char"], [pa.int64()] * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = decisions(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 rows = []
                 part = batch.slice(at, 200)
                 for doc_id, lang, text in zip(*(part.column(x).to_pylist() for x in ("doc_id", "lang", "text")), strict=True):
                     begin, number = 0, 0
-                    for end in sentence_ends(text or "", lang, shared.value):
+                    for end in sentence_ends(text or "", lang, shared.value, decide):
                         piece = (text or "")[begin:end]
                         if inner := piece.strip():
                             first = begin + len(piece) - len(piece.lstrip())
@@ -275,6 +361,9 @@ def trained_spans(texts: DataFrame, stops: Stops) -> DataFrame:
 def corpus_trained_sentences(spark, sf_dir):
     """Sentences of all documents, by what all documents of their language teach."""
     documents = table(spark, sf_dir, "documents")
+    # a file may be one row group, which one task reads: texts are dealt once to all tasks, which read them three times
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    documents = checkpointed(documents.select("doc_id", "lang", "text").repartition(tasks, "doc_id"))
     return trained_spans(documents, train(documents))
 
 

@@ -1,10 +1,11 @@
 """Work that must not be done twice, or grow faster than its input."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
-from sparkloom.operators import corpus
+from sparkloom.operators import corpus, sentences
 
 UNICODE = "\x85\xa0   　"
 
@@ -64,3 +65,17 @@ def test_a_task_holds_the_sentences_of_few_texts(spark):
     assert "MapInArrow" in plan(spans)
     assert spans.count() == 3 * 666
     assert [tuple(x)[1:] for x in spans.where("doc_id = 998").orderBy("sentence_no").collect()] == [(0, 0, 7), (1, 9, 12), (2, 14, 18)]
+
+
+def test_a_word_is_asked_once_a_task(monkeypatch):
+    asked, parse = [], sentences._token
+    monkeypatch.setattr(sentences, "_token", lambda raw: asked.append(raw) or parse(raw))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 50, "text": ["3 (of) No. 3 (of) four"] * 50})
+    rows = [x for part in sentences._count_types(iter([batch])) for x in part.to_pylist()]
+    assert sorted(asked) == ["(of)", "3", "No."]  # not once a text
+    assert {(x["type"], x["dotted"], x["plain"]) for x in rows} == {("##number##", 0, 100), ("of", 0, 100), ("no", 50, 0), ("four", 0, 50)}
+
+
+def test_words_between_stops_and_around_them():
+    assert list(sentences._stops('A b. ... "C d.')) == [("A ", "b.", '"C', True), (" ", "d.", "", True), ("", "", "", True)]
+    assert list(sentences._stops("A. B. c ... d")) == [("", "A.", "B.", True), ("", "B.", "c", False), (" ... d", "", "", True)]
