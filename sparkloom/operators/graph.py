@@ -9,23 +9,27 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.plans import domain
 from sparkloom.plans.domain import REGION_EDGES_SQL, RELATIONS_SQL
-from sparkloom.session import checkpointed, dropped, table, written
+from sparkloom.session import checkpointed, dropped, table, tasks_for, written
 
 
-def undirected(edges: DataFrame) -> DataFrame:
-    """One row per pair of nodes, ends in order; of parallel edges the last by position stays, weights aren't added."""
+def undirected(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row per pair of nodes, ends in order; of parallel edges the last by position stays, weights aren't added. With `tasks` the edges are dealt to so many by their first end."""
     ordered = edges.select("pos", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "weight")
+    ordered = ordered.repartition(tasks, "source") if tasks else ordered
     return ordered.groupBy("source", "target").agg(F.max_by("weight", "pos").alias("weight"))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """Number of edge ends at each node; a loop counts twice."""
+def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Number of edge ends at each node, of those in `nodes` (node) if they are given; a loop counts twice."""
+    if nodes is not None:
+        ends = [edges.select(F.col(x).alias("node")).join(nodes, "node", "left_semi") for x in ("source", "target")]
+        return ends[0].unionByName(ends[1]).groupBy("node").agg(F.count("*").alias("degree"))
     return edges.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def combined_degrees(edges: DataFrame) -> DataFrame:
-    """Each edge with the sum of its ends' degrees."""
-    degree = degrees(edges)
+def combined_degrees(edges: DataFrame, degree: DataFrame | None = None) -> DataFrame:
+    """Each edge with the sum of its ends' degrees (node, degree), those among the edges if none are given."""
+    degree = degrees(edges) if degree is None else degree
     source, target = degree.toDF("source", "source_degree"), degree.toDF("target", "target_degree")
     return edges.join(source, "source").join(target, "target").withColumn("combined_degree", F.col("source_degree") + F.col("target_degree"))
 
@@ -131,21 +135,30 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return labels.join(best, "component", "left_semi").select("node", "component")
 
 
-def modularity(edges: DataFrame, parts: DataFrame, gamma: float = 1.0) -> DataFrame:
+def _between(edges: DataFrame, parts: DataFrame, tasks: int | None) -> DataFrame:
+    """(source_part, target_part, weight): the weight of all edges between two parts, in one pass over the edges. With `tasks` they are dealt to so many at either end."""
+    placed = edges
+    for end in ("source", "target"):
+        placed = (placed.repartition(tasks, end) if tasks else placed).join(parts.toDF(end, f"{end}_part"), end)
+    return checkpointed(placed.groupBy("source_part", "target_part").agg(F.sum("weight").alias("weight")))
+
+
+def _inside():
+    return F.sum(F.when(F.col("source_part") == F.col("target_part"), F.col("weight")).otherwise(0.0)).alias("inside")
+
+
+def modularity(edges: DataFrame, parts: DataFrame, gamma: float = 1.0, tasks: int | None = None) -> DataFrame:
     """One row: Newman modularity of a partition (node, part) of an undirected weighted graph (source, target, weight)."""
-    side = lambda end: parts.toDF(end, f"{end}_part")
-    placed = edges.join(side("source"), "source").join(side("target"), "target")
-    inside = placed.agg(F.sum(F.when(F.col("source_part") == F.col("target_part"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("m"))
-    mass = placed.select(F.explode(F.array("source_part", "target_part")).alias("part"), "weight").groupBy("part").agg(F.sum("weight").alias("mass"))
+    between = _between(edges, parts, tasks)
+    inside = between.agg(_inside(), F.sum("weight").alias("m"))
+    mass = between.select(F.explode(F.array("source_part", "target_part")).alias("part"), "weight").groupBy("part").agg(F.sum("weight").alias("mass"))
     squares = mass.agg(F.sum(F.col("mass") * F.col("mass")).alias("squares"))
     return inside.join(squares, how="cross").select((F.col("inside") / F.col("m") - gamma * F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("modularity"))  # two single rows
 
 
-def cpm_quality(edges: DataFrame, parts: DataFrame, gamma: float) -> DataFrame:
+def cpm_quality(edges: DataFrame, parts: DataFrame, gamma: float, tasks: int | None = None) -> DataFrame:
     """One row: weight inside the parts minus gamma / 2 times the squares of their sizes."""
-    side = lambda end: parts.toDF(end, f"{end}_part")
-    placed = edges.join(side("source"), "source").join(side("target"), "target")
-    inside = placed.agg(F.sum(F.when(F.col("source_part") == F.col("target_part"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    inside = _between(edges, parts, tasks).agg(_inside())
     squares = parts.groupBy("part").count().agg(F.sum(F.col("count") * F.col("count")).alias("squares"))
     return inside.join(squares, how="cross").select((F.col("inside") - gamma / 2 * F.col("squares")).alias("quality"))  # two single rows
 
@@ -218,11 +231,13 @@ def graph_largest_component(spark, sf_dir):
 
 
 def graph_modularity(spark, sf_dir):
-    return modularity(undirected(_relations(spark, sf_dir)), _parts_by_brand(spark, sf_dir)).select(F.round("modularity", 6).alias("modularity"))
+    tasks = tasks_for(table(spark, sf_dir, "lineitem"))
+    return modularity(undirected(_relations(spark, sf_dir), tasks), _parts_by_brand(spark, sf_dir), tasks=tasks).select(F.round("modularity", 6).alias("modularity"))
 
 
 def graph_cpm_quality(spark, sf_dir):
-    return cpm_quality(undirected(_relations(spark, sf_dir)), _parts_by_brand(spark, sf_dir), 0.05).select(F.round("quality", 3).alias("quality"))
+    tasks = tasks_for(table(spark, sf_dir, "lineitem"))
+    return cpm_quality(undirected(_relations(spark, sf_dir), tasks), _parts_by_brand(spark, sf_dir), 0.05, tasks).select(F.round("quality", 3).alias("quality"))
 
 
 def graph_community_identity(spark, sf_dir):

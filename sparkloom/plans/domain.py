@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.session import table
+from sparkloom.session import table, tasks_for
 
 ZONES = 4
 
@@ -48,9 +48,10 @@ versions AS (
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pos, source, target, weight: deliveries in the order of their first line."""
     lines = table(spark, sf_dir, "lineitem")
-    pairs = lines.groupBy("l_suppkey", "l_partkey").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("first"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("weight"))
-    pos = F.col("first.l_orderkey") * 16 + F.col("first.l_linenumber")
-    return pairs.select(pos.alias("pos"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), "weight")
+    # most pairs have one line, so nothing is summed before the shuffle: a scan would only hold its split's pairs
+    dealt = lines.select("l_suppkey", "l_partkey", (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("pos"), F.col("l_quantity").cast("decimal(18,2)").alias("weight")).repartition(tasks_for(lines), "l_suppkey", "l_partkey")
+    pairs = dealt.groupBy("l_suppkey", "l_partkey").agg(F.min("pos").alias("pos"), F.sum("weight").cast("double").alias("weight"))
+    return pairs.select("pos", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), "weight")
 
 
 RELATIONS_SQL = """

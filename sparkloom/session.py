@@ -31,6 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a shuffle for each task.
+ROWS_A_TASK = 1 << 19
+
+
+def tasks_for(df: DataFrame) -> int:
+    """So many tasks for the rows of a table that none gets more as the table grows; to count a Parquet table takes its footers only."""
+    return max(1, -(-df.count() // ROWS_A_TASK))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 

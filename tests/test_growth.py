@@ -4,8 +4,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import session
 from sparkloom.functions import text as T
-from sparkloom.operators import corpus, sentences
+from sparkloom.operators import corpus, graph, sentences
+from sparkloom.plans import domain
 
 UNICODE = "\x85\xa0   　"
 
@@ -79,3 +81,37 @@ def test_a_word_is_asked_once_a_task(monkeypatch):
 def test_words_between_stops_and_around_them():
     assert list(sentences._stops('A b. ... "C d.')) == [("A ", "b.", '"C', True), (" ", "d.", "", True), ("", "", "", True)]
     assert list(sentences._stops("A. B. c ... d")) == [("", "A.", "B.", True), ("", "B.", "c", False), (" ... d", "", "", True)]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_a_task_takes_no_more_relations_as_lines_grow(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 1000)
+    lines = session.table(spark, SMALL, "lineitem")
+    tasks = session.tasks_for(lines)
+    assert tasks == -(-lines.count() // 1000) > 5
+    relations = domain.relations(spark, SMALL)
+    found = plan(relations)
+    assert "RepartitionByExpression [l_suppkey#" in found and found.count("Aggregate") == 1
+    assert f"], {tasks}" in plan(graph.undirected(relations, tasks))
+    sizes = relations.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == tasks and max(x["count"] for x in sizes) < 2000
+
+
+def test_qualities_read_the_edges_once(spark):
+    edges = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 1.0), ("c", "d", 4.0), ("d", "x", 9.0)], "source string, target string, weight double")
+    parts = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("d", "2")], "node string, part string")
+    for tasks in (None, 3):
+        quality = graph.modularity(edges, parts, tasks=tasks)  # m 7, inside 6, masses 5 and 9
+        assert quality.first()[0] == pytest.approx(6 / 7 - (25 + 81) / (4 * 49))
+        assert plan(quality).count("weight#") and "Join Inner, (source" not in plan(quality)
+        assert graph.cpm_quality(edges, parts, 0.5, tasks).first()[0] == pytest.approx(6 - 0.25 * 8)
+
+
+def test_degrees_of_some_nodes(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "c"), (None, "c")], "source string, target string")
+    nodes = spark.createDataFrame([("c",), ("b",), ("z",)], "node string")
+    assert {tuple(x) for x in graph.degrees(edges, nodes).collect()} == {("b", 2), ("c", 4)}
+    some = graph.degrees(domain.relations(spark, SMALL), session.written(nodes))
+    assert plan(some).index("Join LeftSemi") > plan(some).index("Aggregate [l_suppkey")  # other pairs are not summed
