@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 from sparkloom.operators import context, corpus, graph, vectors
 from sparkloom.plans import domain
-from sparkloom.session import checkpointed, table
+from sparkloom.session import checkpointed, table, written
 
 Model = Callable[[str], str]
 
@@ -119,9 +119,12 @@ def basic_context(texts: DataFrame, unit_vectors: DataFrame, query: list[float],
 def select_relationships(edges: DataFrame, selected: DataFrame, per_entity: int) -> DataFrame:
     """Relations of selected entities (node): those among them all come first; of the others, those whose outside end
     has most links to the selection, then by combined degree and weight, up to per_entity times the selection."""
-    ranked = graph.combined_degrees(edges)
+    chosen = written(selected.select("node").distinct())
+    near = written(graph.touching(edges, chosen))  # few rows: only their ends' degrees are counted
+    ends = written(near.select(F.explode(F.array("source", "target")).alias("node")).distinct())
+    ranked = written(graph.combined_degrees(near, graph.degrees(edges, ends)))
     inside = graph.induced(ranked, selected).withColumn("tier", F.lit(0)).withColumn("links", F.lit(0).cast("long"))
-    outside = graph.touching(ranked, selected).join(inside.select("source", "target"), ["source", "target"], "left_anti")
+    outside = ranked.join(inside.select("source", "target"), ["source", "target"], "left_anti")
     chosen = selected.select(F.col("node").alias("source"), F.lit(True).alias("source_chosen")).distinct()
     outside = outside.join(chosen, "source", "left").withColumn("outer", F.when(F.col("source_chosen"), F.col("target")).otherwise(F.col("source"))).withColumn("inner", F.when(F.col("source_chosen"), F.col("source")).otherwise(F.col("target")))
     links = outside.groupBy("outer").agg(F.count_distinct("inner").alias("links"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import context, extraction, graph, knowledge, messages, search, vectors
 from sparkloom.plans import domain
-from sparkloom.session import checkpointed, table
+from sparkloom.session import checkpointed, table, written
 
 Order = list[Column | str]
 
@@ -52,7 +52,7 @@ def local_tables(near: DataFrame, entities: DataFrame, edges: DataFrame, members
     """The context of a local search from its nearest entities (node, score): reports of their communities, the entities, their relations and claims, and the
     text units (unit, subject_id, text) that speak of most of these relations."""
     selected = near.select("node")
-    relations = checkpointed(search.select_relationships(edges, selected, per_entity))
+    relations = written(search.select_relationships(edges, selected, per_entity))
     named = F.concat_ws(">", "source", "target")
     links = units.join(relations.select(named.alias("subject_id")), "subject_id").groupBy("unit").agg(F.count_distinct("subject_id").alias("links"), F.min("text").alias("text"))
     item = lambda column: F.col(column).cast("string").alias("item")
