@@ -3,35 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.session import table
+from sparkloom.session import table, tasks_for
 
 
-def _named(manifest: DataFrame, kind: str, versions: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """Rows dealt to so many tasks by their keys; as Spark deals them if no number is given."""
+    return rows.repartition(tasks, *keys) if tasks else rows
+
+
+def _named(manifest: DataFrame, kind: str, versions: DataFrame, tasks: int | None) -> DataFrame:
     """The references of a kind, with `found` where their exact version is there, and how often their id is referred to."""
-    references = manifest.where(F.col("kind") == kind).select("id", "version")
-    times = references.groupBy("id").agg(F.count("*").alias("times"))
-    return references.join(times, "id").join(versions.withColumn("found", F.lit(True)), ["id", "version"], "left")
+    references = _dealt(manifest.where((F.col("kind") == kind) & F.col("id").isNotNull()).select("id", "version"), tasks, "id")
+    counted = references.withColumn("times", F.count("*").over(W.partitionBy("id")))
+    return _dealt(counted, tasks, "id", "version").join(_dealt(versions.withColumn("found", F.lit(True)), tasks, "id", "version"), ["id", "version"], "left")
 
 
 def _referred(of: DataFrame):
     return F.coalesce(F.when(~F.coalesce(of["version"] > 0, F.lit(False)), "version"), F.when(of["times"] > 1, "repeated"), F.when(of["found"].isNull(), "no such version"), F.when(of["deleted"], "deleted"))
 
 
-def projection(manifest: DataFrame, entities: DataFrame, relations: DataFrame, weights: DataFrame) -> DataFrame:
+def projection(manifest: DataFrame, entities: DataFrame, relations: DataFrame, weights: DataFrame, tasks: int | None = None) -> DataFrame:
     """(kind, id, version, source, target, weight, fault): a row for each reference of a manifest (kind `entity` or `relation`, id, version).
 
     entities: (id, version, deleted); relations: (id, version, deleted, source, target); weights: (id, version, source_id, weight), what each source adds to a relation's
     version, counted once a source. `fault` says why a reference is no part of the graph: its version isn't positive, its id is referred to twice, there is no such
     version, it is deleted, an end isn't one of the graph's entities, or the weight isn't finite or is negative. A relation without weights weighs 0.
+    With `tasks` all rows are dealt to so many before they are counted, summed or joined.
     """
-    nodes = _named(manifest, "entity", entities)
+    nodes = _named(manifest, "entity", entities, tasks)
     nodes = nodes.select("id", "version", _referred(nodes).alias("fault"))
-    sums = weights.dropDuplicates(["id", "version", "source_id"]).groupBy("id", "version").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
-    links = _named(manifest, "relation", relations).join(sums, ["id", "version"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    sums = _dealt(weights, tasks, "id", "version").dropDuplicates(["id", "version", "source_id"]).groupBy("id", "version").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    links = _named(manifest, "relation", relations, tasks).join(sums, ["id", "version"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     sound = nodes.where("fault IS NULL").select("id")
-    links = links.join(sound.select(F.col("id").alias("source"), F.lit(True).alias("has_source")), "source", "left").join(sound.select(F.col("id").alias("target"), F.lit(True).alias("has_target")), "target", "left")
+    for end in ("source", "target"):
+        links = _dealt(links, tasks, end).join(sound.select(F.col("id").alias(end), F.lit(True).alias(f"has_{end}")), end, "left")
     finite = ~F.isnan("weight") & (F.abs("weight") < float("inf")) & (F.col("weight") >= 0)
     fault = F.coalesce(_referred(links), F.when(F.col("has_source").isNull(), "source absent"), F.when(F.col("has_target").isNull(), "target absent"), F.when(~finite, "weight"))
     none = F.lit(None).cast("string")
@@ -56,10 +64,12 @@ def graph_projection(spark, sf_dir):
     parts = part.select(name("p", "p_partkey").alias("id"), F.lit(1).alias("version"), (F.col("p_partkey") % 50 == 0).alias("deleted"))
     entities = parts.unionByName(supplier.select(name("s", "s_suppkey").alias("id"), F.lit(1).alias("version"), F.lit(False).alias("deleted")))
     pair = lines.select(F.concat_ws(">", name("s", "l_suppkey"), name("p", "l_partkey")).alias("id"), F.col("l_linenumber").cast("int").alias("version"), name("s", "l_suppkey").alias("source"), name("p", "l_partkey").alias("target"), F.col("l_orderkey").alias("source_id"), F.when(F.col("l_orderkey") % 97 == 0, F.lit(-1000)).otherwise(1).alias("weight"))
-    relations = pair.select("id", "version", (F.col("version") == 7).alias("deleted"), "source", "target").distinct()
-    last = pair.groupBy("id").agg(F.max("version").alias("version"))
+    tasks = 2 * tasks_for(lines)  # several sorts and sums in a task, over long ids
+    relations = pair.select("id", "version", (F.col("version") == 7).alias("deleted"), "source", "target")
+    relations = _dealt(relations, tasks, "id", "version").distinct()
+    last = _dealt(pair.select("id", "version"), tasks, "id").groupBy("id").agg(F.max("version").alias("version"))
     manifest = entities.select(F.lit("entity").alias("kind"), "id", F.when(F.col("id").rlike("^s[0-9]*9$"), 2).otherwise(F.col("version")).alias("version")).unionByName(last.select(F.lit("relation").alias("kind"), "id", "version"))
-    found = projection(manifest, entities, relations, pair.select("id", "version", "source_id", "weight"))
+    found = projection(manifest, entities, relations, pair.select("id", "version", "source_id", "weight"), tasks)
     return found.select("kind", "id", "version", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("fault", F.lit("")).alias("fault"))
 
 

@@ -1,7 +1,10 @@
 """The detection graph: exact versions, summed weights, and every fault."""
 
+import re
+
 import pytest
 
+from sparkloom import session
 from sparkloom.operators import projection as P
 
 
@@ -40,3 +43,11 @@ def test_faults(spark, more, weights, fault):
 def test_no_entity(spark):
     with pytest.raises(ValueError, match="an entity"):
         P.edges_of(P.projection(*frames(spark, [], [])))
+
+
+def test_tasks_do_not_take_more_as_lines_grow(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 1000)
+    found = P.graph_projection(spark, "/root/testdata/sf0.001")
+    shuffles = re.findall(r"RepartitionByExpression \[.*\], (\d+)", found._jdf.queryExecution().optimizedPlan().toString())
+    tasks = 2 * session.tasks_for(session.table(spark, "/root/testdata/sf0.001", "lineitem"))
+    assert tasks > 10 and len(shuffles) >= 8 and set(shuffles) == {str(tasks)}
