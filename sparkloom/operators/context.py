@@ -50,13 +50,20 @@ class _Run:
         grows = range(last) if self.most_items < _UNBOUNDED else np.flatnonzero(np.diff(self.sums[: last + 1]) > 0).tolist()
         return sorted({0, *grows, last} - {self.n})
 
-    def ends(self) -> tuple[list[int], list[int]]:
-        """For a batch that begins at each row: how many batches follow it, and the last one's first row."""
-        later, last = [0] * self.n, list(range(self.n))
-        for i in range(self.n - 1, -1, -1):
-            if (after := self.next[i]) < self.n:
-                later[i], last[i] = later[after] + 1, last[after]
-        return later, last
+    def ends(self, starts: list[int]) -> dict[int, tuple[int, int]]:
+        """For a batch that begins at each of `starts`: how many batches follow it, and the last one's first row. Batches that begin at different rows soon begin at the same
+        ones, so few rows are visited."""
+        found: dict[int, tuple[int, int]] = {}
+        for at in starts:
+            chain = []
+            while at < self.n and at not in found:
+                chain.append(at)
+                at = self.next[at]
+            later, last = found[at] if at < self.n else (-1, chain[-1])
+            for row in reversed(chain):
+                later += 1
+                found[row] = later, last
+        return found
 
     def batches(self, batch: int, items: int, used: int) -> np.ndarray:
         """The batch of each row, if one of so many items and tokens is open before the first; none is if items is 0."""
@@ -68,15 +75,15 @@ class _Run:
         return np.cumsum(starts) + batch - (items == 0)
 
 
-def packed(rows: DataFrame, key: str, order: str, budget: int, header_tokens: int = 0, most_items: int | None = None) -> DataFrame:
-    """Adds `batch` to (key, order, tokens): rows of a key in order; a batch closes when the next row would exceed the items or
+def packed(rows: DataFrame, key: str, order: str, budget: int, header_tokens: int = 0, most_items: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `batch` to (key, order, tokens) and the columns to carry: rows of a key in order; a batch closes when the next row would exceed the items or
     the budget, and an oversized row has a batch of its own.
 
     Rows are dealt by ranges of (key, order), so a key's rows may lie in many partitions. A first pass tells for each partition
     how the batch that is open at its border may close and what is open at its end then; the driver follows these few
     numbers from border to border, and a second pass numbers the batches.
     """
-    rows = rows.select(key, order, F.col("tokens").cast("long").alias("tokens"))
+    rows = rows.select(key, order, F.col("tokens").cast("long").alias("tokens"), *carry)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a row tells its partition itself: where the result is part of a union, tasks have other numbers
     dealt = checkpointed(rows.repartitionByRange(parts, key, order).sortWithinPartitions(key, order).withColumn("_part", F.spark_partition_id()))
@@ -86,9 +93,8 @@ def packed(rows: DataFrame, key: str, order: str, budget: int, header_tokens: in
         if not held:
             return None, []
         data = pa.Table.from_batches(held)
-        keys = data[key].to_pylist()
-        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
-        return data, list(pairwise(cuts))
+        codes = data[key].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        return data, list(pairwise([0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]))
 
     def run(data: pa.Table, begin: int, end: int) -> _Run:
         return _Run(data["tokens"].slice(begin, end - begin).to_numpy(), budget, header_tokens, most_items)
@@ -98,15 +104,16 @@ def packed(rows: DataFrame, key: str, order: str, budget: int, header_tokens: in
         if data is None:
             return
         first, last = run(data, *cuts[0]), run(data, *cuts[-1])
-        closing, (later, of) = first.closing(), first.ends()
-        ends = [(int(first.sums[i]), i, later[i], first.n - of[i], int(header_tokens + first.sums[-1] - first.sums[of[i]])) for i in closing]
-        later, of = last.ends()
+        closing = first.closing()
+        after = first.ends(closing)
+        ends = [(int(first.sums[i]), i, after[i][0], first.n - after[i][1], int(header_tokens + first.sums[-1] - first.sums[after[i][1]])) for i in closing]
+        later, of = last.ends([0])[0]
         found = {"part": data["_part"][0].as_py(), "first": data[key][0].as_py(), "last": data[key][-1].as_py(), "one": len(cuts) == 1, "n": first.n, "total": int(first.sums[-1])}
-        found |= {"tokens": [int(first.sums[i + 1] - first.sums[i]) for i in closing], "ends": [x for end in ends for x in end], "open": [later[0], last.n - of[0], int(header_tokens + last.sums[-1] - last.sums[of[0]])]}
+        found |= {"tokens": [int(first.sums[i + 1] - first.sums[i]) for i in closing], "ends": [x for end in ends for x in end], "open": [later, last.n - of, int(header_tokens + last.sums[-1] - last.sums[of])]}
         yield pa.RecordBatch.from_pylist([found], schema=pa.schema([("part", pa.int32()), ("first", data.schema.field(key).type), ("last", data.schema.field(key).type), ("one", pa.bool_()), ("n", pa.int64()), ("total", pa.int64()), *((x, pa.list_(pa.int64())) for x in ("tokens", "ends", "open"))]))
 
     kind = dict(rows.dtypes)[key]
-    seen = dealt.mapInArrow(borders, f"part int, first {kind}, last {kind}, one boolean, n long, total long, tokens array<long>, ends array<long>, open array<long>").collect()  # a row per partition
+    seen = dealt.select(key, "tokens", "_part").mapInArrow(borders, f"part int, first {kind}, last {kind}, one boolean, n long, total long, tokens array<long>, ends array<long>, open array<long>").collect()  # a row per partition
     entering: dict[int, tuple[int, int, int]] = {}
     open_key, state = None, (0, 0, header_tokens)
     for x in sorted(seen, key=lambda x: x["part"]):

@@ -42,21 +42,23 @@ def evidence_rows(paths: DataFrame, members: DataFrame, entities: DataFrame, rel
     each followed by its claims. Rows that no community holds are left out. Ids and places
     tell the rows of a kind apart.
     """
-    homes = members.join(paths, "part").select("node", "path", "numbers")
-    columns = ["kind", "id", "path", "numbers", "place", "tokens"]
+    homes = members.join(paths.select("part"), "part", "left_semi").select("node", "part")
+    columns = ["kind", "id", "part", "place", "tokens"]
     place = lambda group, at, claim: F.array(*[F.lit(x).cast("long") if isinstance(x, int) else F.col(x).cast("long") for x in (group, at, *claim)])
-    own = entities.join(homes.withColumnRenamed("node", "id"), "id").select(F.lit("entity").alias("kind"), "id", "path", "numbers", place(0, "place", (0, 0)).alias("place"), F.col("tokens").cast("long"))
-    one, other = homes.toDF("source", "path", "numbers"), homes.toDF("target", "other", "_")
+    own = entities.join(homes.withColumnRenamed("node", "id"), "id").select(F.lit("entity").alias("kind"), "id", "part", place(0, "place", (0, 0)).alias("place"), F.col("tokens").cast("long"))
+    # rows carry the community only; its path is looked up where it is needed
+    between = relations.join(homes.toDF("source", "one"), "source").join(homes.toDF("target", "two"), "target").select("id", "one", "two", "place", F.col("tokens").cast("long").alias("tokens"))
+    between = between.join(paths.select(F.col("part").alias("one"), "path"), "one").join(paths.select(F.col("part").alias("two"), F.col("path").alias("other")), "two")
     # paths of a tree that agree at a place agree before it
     shared = F.size(F.filter("path", lambda x, i: F.get("other", i) == x))
-    between = relations.join(one, "source").join(other, "target").withColumn("shared", shared).where("shared > 0")
-    between = between.select(F.lit("relation").alias("kind"), "id", F.slice("path", 1, F.col("shared")).alias("path"), F.slice("numbers", 1, F.col("shared")).alias("numbers"), place(1, "place", (0, 0)).alias("place"), F.col("tokens").cast("long"))
+    between = between.withColumn("shared", shared).where("shared > 0").withColumn("part", F.get("path", F.col("shared") - 1))
+    between = between.select(F.lit("relation").alias("kind"), "id", "part", place(1, "place", (0, 0)).alias("place"), "tokens")
     subjects = own.select(*columns).unionByName(between.select(*columns))
-    of = subjects.select(F.col("kind").alias("subject_kind"), F.col("id").alias("subject"), "path", "numbers", F.col("place").alias("at"))
+    of = subjects.select(F.col("kind").alias("subject_kind"), F.col("id").alias("subject"), "part", F.col("place").alias("at"))
     said = claims.withColumn("claim", F.col("place").cast("long")).join(of, ["subject_kind", "subject"])
-    said = said.select(F.lit("claim").alias("kind"), "id", "path", "numbers", F.concat(F.slice("at", 1, 2), F.array(F.lit(1).cast("long"), "claim")).alias("place"), F.col("tokens").cast("long"))
+    said = said.select(F.lit("claim").alias("kind"), "id", "part", F.concat(F.slice("at", 1, 2), F.array(F.lit(1).cast("long"), "claim")).alias("place"), F.col("tokens").cast("long"))
     rows = subjects.unionByName(said.select(*columns))
-    return rows.select("kind", "id", F.element_at("path", -1).alias("part"), "path", "numbers", "place", "tokens")
+    return rows.join(paths.select("part", "path", "numbers"), "part").select("kind", "id", "part", "path", "numbers", "place", "tokens")
 
 
 def fragment_plans(paths: DataFrame, rows: DataFrame, budget: int, header: int = 0) -> DataFrame:
@@ -69,24 +71,27 @@ def fragment_plans(paths: DataFrame, rows: DataFrame, budget: int, header: int =
 
     All of it is joins, aggregations and packing over range partitions; no community is gathered in one task.
     """
-    rows = checkpointed(rows)
+    rows = checkpointed(rows.select("kind", "id", "part", "place", "tokens"))  # what else a row says its community says too
     own = rows.groupBy("part").agg(F.sum("tokens").alias("own"))
     below = own.join(paths, "part").select(F.explode("path").alias("part"), "own").groupBy("part").agg(F.sum("own").alias("total"))
     sized = checkpointed(paths.join(below, "part", "left").select("part", "path", "numbers", (F.coalesce("total", F.lit(0)) + header <= budget).alias("whole"), F.coalesce("total", F.lit(0)).alias("total")))
     # where on a community's path the first region is that fits; all below it fit too
     steps = sized.select("part", F.posexplode("path").alias("i", "on")).join(sized.where("whole").select(F.col("part").alias("on")), "on")
-    cuts = checkpointed(sized.select("part").join(steps.groupBy("part").agg((F.min("i") + 1).alias("cut")), "part", "left"))
-    placed = checkpointed(rows.join(cuts, "part").where("cut IS NULL OR cut > 1").withColumn("above", F.when(F.col("cut").isNull(), F.col("path")).otherwise(F.slice("path", 1, F.coalesce("cut", F.lit(2)) - 1))))
-    loose = placed.where("cut IS NULL").select("part", "place", "tokens")
-    packs = checkpointed(context.packed(loose, "part", "place", budget, header)).withColumnRenamed("batch", "pack")
+    cuts = sized.select("part", "path", "numbers").join(steps.groupBy("part").agg((F.min("i") + 1).alias("cut")), "part", "left")
+    cuts = written(cuts.where("cut IS NULL OR cut > 1").withColumn("above", F.when(F.col("cut").isNull(), F.col("path")).otherwise(F.slice("path", 1, F.coalesce("cut", F.lit(2)) - 1))))
+    placed = rows.join(cuts.select("part", "cut", F.element_at("path", F.col("cut")).alias("region")), "part")
+    loose = placed.where("cut IS NULL").select("part", "place", "tokens", "kind", "id")
+    packs = context.packed(loose, "part", "place", budget, header, carry=("kind", "id"))
     # a unit: the region, or the pack of a region's own rows; `order` is that of a walk through the tree, children first
-    region = placed.where("cut IS NOT NULL").select("kind", "id", "tokens", "above", F.element_at("path", F.col("cut")).alias("unit"), F.lit(0).cast("long").alias("pack"), F.slice("numbers", 1, F.col("cut")).alias("order"))
-    rest = placed.where("cut IS NULL").join(packs.select("part", "place", "pack"), ["part", "place"])
-    rest = rest.select("kind", "id", "tokens", "above", F.col("part").alias("unit"), "pack", F.concat("numbers", F.array(F.lit(_LAST), "pack")).alias("order"))
+    region = placed.where("cut IS NOT NULL").select("kind", "id", "tokens", F.col("region").alias("unit"), F.lit(0).cast("long").alias("pack"), F.lit(False).alias("loose"))
+    rest = packs.select("kind", "id", "tokens", F.col("part").alias("unit"), F.col("batch").alias("pack"), F.lit(True).alias("loose"))
     units = checkpointed(region.unionByName(rest))
-    sums = units.groupBy("unit", "pack").agg(F.sum("tokens").alias("tokens"), F.first("above").alias("above"), F.first("order").alias("order"))
+    sums = units.groupBy("unit", "pack", "loose").agg(F.sum("tokens").alias("tokens")).join(paths.select(F.col("part").alias("unit"), "path", "numbers"), "unit")
+    above = F.when(F.col("loose"), F.col("path")).otherwise(F.slice("path", 1, F.size("path") - 1))
+    order = F.when(F.col("loose"), F.concat("numbers", F.array(F.lit(_LAST), "pack"))).otherwise(F.col("numbers"))
+    sums = sums.select("unit", "pack", "tokens", above.alias("above"), order.alias("order"))
     numbered = checkpointed(graph.numbered(sums.withColumn("_order", F.col("order")), "order").drop("_order", "order"))
-    large = written(placed.where(F.col("tokens") + header > budget).select("kind", "id", F.explode("above").alias("part")))
+    large = written(rows.where(F.col("tokens") + header > budget).join(cuts.select("part", "above"), "part").select("kind", "id", F.explode("above").alias("part")))
     unplanned = large.select("part").distinct()
     shared = numbered.select("unit", "pack", "place", "tokens", F.explode("above").alias("part")).join(unplanned, "part", "left_anti")
     combined = context.packed(shared, "part", "place", budget, header).withColumnRenamed("batch", "fragment")
@@ -160,7 +165,7 @@ def _tree(spark, sf_dir) -> DataFrame:
 def _evidence(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Paths and evidence: customers, some of them in a nation but no segment; orders as relations between customers, lines as claims on orders and on customers."""
     customer, orders, lines = (table(spark, sf_dir, x) for x in ("customer", "orders", "lineitem"))
-    paths = checkpointed(community_paths(_tree(spark, sf_dir)))
+    paths = written(community_paths(_tree(spark, sf_dir)))
     of = customer.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     members = of.select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 10 == 0, F.col("n_name")).otherwise(F.concat_ws("/", "n_name", "c_mktsegment")).alias("part"))
     entities = customer.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("place"), (F.col("c_custkey") % 7 + 4).alias("tokens"))

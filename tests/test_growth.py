@@ -1,12 +1,13 @@
 """Work that must not be done twice, or grow faster than its input."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import session
 from sparkloom.functions import text as T
-from sparkloom.operators import corpus, graph, sentences
+from sparkloom.operators import context, corpus, graph, sentences
 from sparkloom.plans import domain
 
 UNICODE = "\x85\xa0   　"
@@ -115,3 +116,16 @@ def test_degrees_of_some_nodes(spark):
     assert {tuple(x) for x in graph.degrees(edges, nodes).collect()} == {("b", 2), ("c", 4)}
     some = graph.degrees(domain.relations(spark, SMALL), session.written(nodes))
     assert plan(some).index("Join LeftSemi") > plan(some).index("Aggregate [l_suppkey")  # other pairs are not summed
+
+
+def test_packing_visits_few_rows():
+    run = context._Run(np.full(10_000, 6), 1500, 40, None)
+    found = run.ends(run.closing())
+    assert found[0] == (10_000 // 243, 10_000 // 243 * 243) and len(found) <= 10_000
+    assert len(run.ends([0])) == 42  # one row a batch
+
+
+def test_packing_carries_columns(spark):
+    rows = spark.createDataFrame([("a", 1, 5, "x"), ("a", 2, 5, "y"), ("a", 3, 5, "z"), (None, 1, 5, "n"), (None, 2, 5, "m")], "part string, place long, tokens long, id string")
+    packed = context.packed(rows, "part", "place", 10, carry=("id",))
+    assert {(x.part, x.id, x.batch) for x in packed.collect()} == {("a", "x", 0), ("a", "y", 0), ("a", "z", 1), (None, "n", 0), (None, "m", 0)}
