@@ -9,6 +9,7 @@ which starts from the parts they lie in. Levels end when no node wants to move.
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ from sparkloom.session import checkpointed, dropped, table, written
 TOLERANCE, PATIENCE = 1e-5, 3
 #: A refinement ends when fewer than this part of the nodes could still merge: the others stay nodes of their own on the next level.
 LEFT_SINGLE = 0.05
+#: Once no more than this part of the nodes wants to move, rounds go on in the parts that their moves would touch.
+FEW = 1 / 16
 THETA = 0.001
 #: A checkpoint is the cheaper cut, but plans' size estimates multiply through it; every so many rounds a table is written, whose size is known.
 ROUNDS_A_TABLE = 6
@@ -48,8 +51,8 @@ def _wishes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     near = edges.join(ends, "v").groupBy("u", "to").agg(F.sum("w").alias("w"), F.first("to_mass").alias("to_mass"), F.first("to_alone").alias("to_alone"))
     own = F.col("to") == F.col("part")
     gain = F.round(F.col("w") - F.col("resolution") * F.col("mass") * F.col("to_mass"), 9).alias("gain")
-    kept = ["mass", "resolution", "part", "turn", "part_mass", "alone"]
-    best = placed.join(near, "u", "left").groupBy("u", *kept).agg(
+    best = placed.join(near, "u", "left").groupBy("u").agg(
+        *(F.first(x).alias(x) for x in ("mass", "resolution", "part", "turn", "part_mass", "alone")),  # the same in all rows of a node, so that the join's order serves
         F.coalesce(F.max(F.when(own, F.col("w"))), F.lit(0.0)).alias("w_own"),
         F.max(F.when(~own, F.struct(gain, F.xxhash64("to").alias("tie"), "to", "to_alone"))).alias("best"),
     )
@@ -64,10 +67,11 @@ def _wishes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _moves(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: nodes that want to move do so if their coin says so. Adds wants, and worth, the node's share of the quality before the round."""
+    """One round: nodes that want to move do so if their coin says so. Adds ends, the parts that a node wants to leave and to join (null: it wants to stay), and worth, its share of the quality before the round."""
     wants = F.coalesce(F.col("rise") > 0, F.lit(False))
     goes = wants & ~F.coalesce("waits", F.lit(False)) & _coin("u", F.col("turn"))
-    return _wishes(edges, nodes).select("u", "mass", "resolution", F.when(goes, F.col("to")).otherwise(F.col("part")).alias("part"), (F.col("turn") + 1).alias("turn"), wants.alias("wants"), "worth")
+    moved = F.when(goes, F.col("to")).otherwise(F.col("part")).alias("part")
+    return _wishes(edges, nodes).select("u", "mass", "resolution", moved, (F.col("turn") + 1).alias("turn"), F.when(wants, F.array("part", "to")).alias("ends"), "worth")
 
 
 def _apart(wishes: DataFrame) -> DataFrame:
@@ -77,54 +81,101 @@ def _apart(wishes: DataFrame) -> DataFrame:
     return ends.join(first, ["at", "u"]).groupBy("u").agg(F.first("to").alias("to"), F.count("*").alias("n")).where("n = 2").select("u", "to")
 
 
-def _finished(edges: DataFrame, nodes: DataFrame, tolerance: float) -> tuple[DataFrame, bool]:
-    """What is left to move once the whole graph stands still, and whether anything was: only the parts that a move would touch, with the edges among them, in rounds of moves that
-    keep apart, so that each round raises the quality. The tolerance is a part of their own weight, not of the graph's: light parts go on until no node of theirs wants to move."""
-    any_moved = False
+def _rounds(edges: DataFrame, nodes: DataFrame, tolerance: float, weight: float, few: float = 0.0) -> tuple[DataFrame, bool, float, DataFrame | None]:
+    """Rounds until no node wants to move, at most `few` of the nodes do or the quality stands still: the best state, whether it differs from the first, how much better it is, and the parts that moves
+    would touch now (None: no node wants to move)."""
+    states, best, first, quality = [nodes], 0, None, None
+    while True:
+        after = _cut(_moves(edges, states[-1]), len(states))
+        seen = after.agg(F.sum("worth").alias("quality"), F.count("ends").alias("wants"), F.count("*").alias("n")).first()
+        if quality is None or not seen["wants"] or (seen["quality"] or 0.0) > quality + tolerance * weight:
+            best, quality = len(states) - 1, seen["quality"] or 0.0
+            first = quality if first is None else first
+        states.append(after)
+        behind = len(states) - 2 - best
+        if seen["wants"] and behind < PATIENCE and (behind or seen["wants"] > few * seen["n"]):
+            if best > 1:  # only the best state and those after it are still needed
+                dropped(*(x for x in states[1:best] if x is not None))
+                states[1:best] = [None] * (best - 1)
+            continue
+        touched = written(states[best + 1].select(F.explode("ends").alias("part")).distinct()) if seen["wants"] else None
+        dropped(*(x for i, x in enumerate(states) if i not in (0, best) and x is not None))
+        return states[best].select("u", "mass", "resolution", "part", "turn"), best > 0, quality - first, touched
+
+
+def _apart_rounds(edges: DataFrame, nodes: DataFrame, tolerance: float, weight: float) -> tuple[DataFrame, float]:
+    """Rounds of moves that keep apart, so that each raises the quality, until no node wants to move or they no longer raise it by much; the state, and how much better it is."""
+    total, idle = 0.0, 0
+    for number in itertools.count(1):
+        wished = checkpointed(_wishes(edges, nodes).where("rise > 0").select("u", "part", "to", "turn", "rise"))
+        going = checkpointed(_apart(wished))
+        rise = wished.join(going, "u").agg(F.sum("rise")).first()[0]
+        if rise is None:
+            return nodes, total
+        total, idle = total + 2 * rise, idle + 1 if 2 * rise <= tolerance * weight else 0
+        moved = nodes.join(going, "u", "left").select("u", "mass", "resolution", F.coalesce("to", "part").alias("part"), (F.col("turn") + 1).alias("turn"))
+        nodes, before = _cut(moved, number), nodes
+        dropped(wished, going, *([before] if number > 1 else []))
+        if idle == PATIENCE:
+            return nodes, total
+
+
+def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return written(edges.join(nodes.select("u"), "u", "left_semi").join(nodes.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v", "w"))
+
+
+def _narrowed(edges: DataFrame, nodes: DataFrame, tolerance: float, parts: DataFrame) -> tuple[DataFrame, float, float]:
+    """Rounds in parts that moves would touch, with the edges among them, then in those of them that moves would still touch, and so on while these get few; last, rounds of moves that
+    keep apart. The state of all nodes, how much better it is, and the weight of the first parts' edges."""
+    rest, made, total, weight, n = [], [], 0.0, None, nodes.count()
     while True:
-        parts = written(_wishes(edges, nodes).where("rise > 0").select(F.explode(F.array("part", "to")).alias("part")).distinct())
         region = written(nodes.join(parts, "part", "left_semi").select(nodes.columns))
-        inner = written(edges.join(region.select("u"), "u", "left_semi").join(region.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v", "w"))
-        weight, total, idle = inner.agg(F.sum("w")).first()[0] or 0.0, 0.0, 0
-        for number in itertools.count(1):
-            wished = checkpointed(_wishes(inner, region).where("rise > 0").select("u", "part", "to", "turn", "rise"))
-            going = checkpointed(_apart(wished))
-            rise = wished.join(going, "u").agg(F.sum("rise")).first()[0]
-            if rise is None:
-                break
-            total, idle = total + 2 * rise, idle + 1 if 2 * rise <= tolerance * weight else 0
-            moved = region.join(going, "u", "left").select("u", "mass", "resolution", F.coalesce("to", "part").alias("part"), (F.col("turn") + 1).alias("turn"))
-            region, before = _cut(moved, number), region
-            dropped(wished, going, before)
-            if idle == PATIENCE:
-                break
+        rest.append(written(nodes.join(parts, "part", "left_anti").select(nodes.columns)))
+        n, before = region.count(), n
+        inner = _among(edges, region)
+        size = inner.agg(F.sum("w")).first()[0] or 0.0
+        weight = size if weight is None else weight
+        made += [region, inner, parts]
+        nodes, _, rise, parts = _rounds(inner, region, tolerance, size, FEW if 2 * n <= before else 0.0)
+        made.append(nodes)
+        edges, total = inner, total + rise
+        if parts is None or 2 * n > before:
+            break
+    if parts is not None:
+        made.append(parts)
+        nodes, rise = _apart_rounds(edges, nodes, tolerance, size)
+        made.append(nodes)
+        total += rise
+    out = written(functools.reduce(DataFrame.unionByName, rest, nodes))
+    dropped(*rest, *made)
+    return out, total, weight
+
+
+def _finished(edges: DataFrame, nodes: DataFrame, tolerance: float, parts: DataFrame) -> tuple[DataFrame, bool]:
+    """What is left to move once few nodes want to or the whole graph stands still, and whether anything did: only the parts that a move would touch. The tolerance is a part of
+    their own weight, not of the graph's: light parts go on until no node of theirs wants to move."""
+    any_moved = False
+    while True:
+        after, total, weight = _narrowed(edges, nodes, tolerance, parts)
         if not total:
+            dropped(after)
             return nodes, any_moved
-        any_moved = True
-        nodes = written(nodes.join(parts, "part", "left_anti").select(nodes.columns).unionByName(region))
-        dropped(parts, inner, region)
+        dropped(*([nodes] if any_moved else []))
+        any_moved, nodes = True, after
         if total <= tolerance * weight:
             return nodes, True
+        parts = written(_wishes(edges, nodes).where("rise > 0").select(F.explode(F.array("part", "to")).alias("part")).distinct())
+        if parts.isEmpty():
+            return nodes, True
 
 
 def _settle(edges: DataFrame, nodes: DataFrame, weight: float, tolerance: float) -> tuple[DataFrame, bool]:
-    """Rounds until no node wants to move or the quality stands still, and then what is left to move; the state, and whether it differs from the first."""
-    states, best, quality = [nodes], 0, None
-    while True:
-        after = _cut(_moves(edges, states[-1]), len(states))
-        seen = after.agg(F.sum("worth").alias("quality"), F.count_if("wants").alias("wants")).first()
-        if quality is None or not seen["wants"] or (seen["quality"] or 0.0) > quality + tolerance * weight:
-            best, quality = len(states) - 1, seen["quality"] or 0.0
-        if not seen["wants"] or len(states) - 1 - best == PATIENCE:
-            dropped(after, *(x for i, x in enumerate(states) if i not in (0, best) and x is not None))
-            if not seen["wants"]:
-                return states[best], best > 0
-            settled, moved = _finished(edges, states[best], tolerance)
-            return settled, moved or best > 0
-        states.append(after.drop("wants", "worth"))
-        if best > 1:  # only the best state and those after it are still needed
-            dropped(*(x for x in states[1:best] if x is not None))
-            states[1:best] = [None] * (best - 1)
+    """Rounds of the whole graph, and then what is left to move; the state, and whether it differs from the first."""
+    nodes, moved, _, left = _rounds(edges, nodes, tolerance, weight, FEW)
+    if left is None:
+        return nodes, moved
+    nodes, more = _finished(edges, nodes, tolerance, left)
+    return nodes, moved or more
 
 
 def _pendants(level: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -136,71 +187,82 @@ def _pendants(level: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _merges(inner: DataFrame, nodes: DataFrame, theta: float) -> DataFrame:
-    """One round of refinement. nodes: u, mass, resolution, part_mass, outward (weight to the rest of the part), ref, turn; inner: edges within parts.
+    """One round of refinement. nodes: u (a refined part), mass, resolution, part_mass, single, turn; inner: the edges between refined parts of one part.
 
     Single, well-connected nodes whose coin says so join a well-connected refined part of more than one node, or
-    of one whose coin keeps it in place. Adds wants: whether the node has any part to join.
+    of one whose coin keeps it in place. A row (u, to) for each node with any part to join; to is null if it does not do so now.
     """
-    ends = nodes.select(F.col("u").alias("v"), F.col("ref").alias("to"))
-    near = inner.join(ends, "v").groupBy("u", "to").agg(F.sum("w").alias("w"))
-    met = nodes.join(near, "u", "left")
-    within = F.coalesce(F.sum(F.when(F.col("to") == F.col("ref"), F.col("w"))), F.lit(0.0))
-    inside = met.groupBy("u", "mass", "resolution", "part_mass", "outward", "ref").agg(within.alias("within"))
-    refs = inside.groupBy("ref").agg(F.sum("mass").alias("ref_mass"), F.sum(F.col("outward") - F.col("within")).alias("ref_out"), F.count("*").alias("n"), F.first("part_mass").alias("in_mass"), F.first("resolution").alias("gamma"))
-    well = refs.where(F.col("ref_out") >= F.col("gamma") * F.col("ref_mass") * (F.col("in_mass") - F.col("ref_mass")) - 1e-9)
-    single = met.where("to <> ref").join(well.where("n = 1").select(F.col("ref").alias("u")), "u", "left_semi")
-    options = single.join(well.select(F.col("ref").alias("to"), "ref_mass", F.col("n").alias("to_n")), "to")
-    gain = F.round(F.col("w") - F.col("resolution") * F.col("mass") * F.col("ref_mass"), 9)
-    draw = (F.pmod(F.xxhash64("u", "to", "turn"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    free = _coin("u", F.col("turn")) & ((F.col("to_n") > 1) | ~_coin("to", F.col("turn")))
+    outward = inner.groupBy("u").agg(F.sum("w").alias("outward"))
+    well = nodes.join(outward, "u").where(F.col("outward") >= F.col("resolution") * F.col("mass") * (F.col("part_mass") - F.col("mass")) - 1e-9)
+    stays = F.col("single") & _coin("u", F.col("turn"))
+    into = well.select(F.col("u").alias("v"), F.col("mass").alias("to_mass"), (~stays).alias("to_stays"))
+    options = inner.join(into, "v").join(well.where("single").select("u", "mass", "resolution", "turn"), "u")
+    gain = F.round(F.col("w") - F.col("resolution") * F.col("mass") * F.col("to_mass"), 9)
+    draw = (F.pmod(F.xxhash64("u", "v", "turn"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    free = _coin("u", F.col("turn")) & F.col("to_stays")
     options = options.withColumn("gain", gain).where("gain > 0").withColumn("place", F.col("gain") / theta - F.log(-F.log(draw)))
-    picked = options.groupBy("u").agg(F.max(F.when(free, F.struct("place", "to"))).alias("pick"), F.lit(True).alias("wants"))
-    new = [F.coalesce("pick.to", "ref").alias("ref"), (F.col("turn") + 1).alias("turn"), F.coalesce("wants", F.lit(False)).alias("wants")]
-    return nodes.join(picked, "u", "left").select("u", "mass", "resolution", "part", "part_mass", "outward", *new)
+    return options.groupBy("u").agg(F.max(F.when(free, F.struct("place", "v"))).alias("pick")).select("u", F.col("pick.v").alias("to"))
 
 
 def _refine(edges: DataFrame, nodes: DataFrame, theta: float, left_single: float) -> DataFrame:
-    """nodes with `ref`, the refined part of each: connected, and inside one part."""
+    """nodes with `ref`, the refined part of each: connected, and inside one part. Nodes that joined are one node of the next round, so that rounds get smaller; as only
+    single nodes move, and none that is joined, each moves once at most."""
     side = nodes.select("u", "part")
     inner = edges.join(side, "u").join(side.toDF("v", "part_v"), "v").where("part = part_v").select("u", "v", "w")
     inner = written(inner)
     masses = nodes.groupBy("part").agg(F.sum("mass").alias("part_mass"))
-    outward = inner.groupBy("u").agg(F.sum("w").alias("outward"))
-    now = nodes.join(masses, "part").join(outward, "u", "left").withColumn("outward", F.coalesce("outward", F.lit(0.0))).withColumn("ref", F.col("u"))
-    now = written(now)
+    now = written(nodes.join(masses, "part").select("u", "mass", "resolution", "part_mass", F.lit(True).alias("single"), "turn"))
+    n, moves = now.count(), []
     for number in itertools.count(1):
-        after = _cut(_merges(inner, now, theta), number)
-        seen = after.agg(F.count_if("wants").alias("wants"), F.count("*").alias("n")).first()
-        dropped(now)
-        now = after.drop("wants")
-        if seen["wants"] <= left_single * seen["n"]:
-            dropped(inner)
-            return now
+        wished = checkpointed(_merges(inner, now, theta))
+        seen = wished.agg(F.count("*").alias("wants"), F.count("to").alias("moved")).first()
+        if seen["moved"]:
+            moves.append(written(wished.where("to IS NOT NULL")))
+        if seen["wants"] <= left_single * n:
+            break
+        if seen["moved"]:
+            name = lambda end: moves[-1].toDF(end, f"{end}_to")
+            ends = [F.coalesce(f"{end}_to", end).alias(end) for end in "uv"]
+            joined = inner.join(name("u"), "u", "left").join(name("v"), "v", "left").select(*ends, "w").where("u <> v").groupBy("u", "v").agg(F.sum("w").alias("w"))
+            inner, before = written(joined), [inner, now]
+            kept = [F.first(x).alias(x) for x in ("resolution", "part_mass")]
+            now = now.join(name("u"), "u", "left").groupBy(ends[0]).agg(F.sum("mass").alias("mass"), *kept, ((F.count("*") == 1) & F.first("single")).alias("single"), (F.max("turn") + 1).alias("turn"))
+            now = written(now)
+            dropped(*before)
+        else:
+            now = now.withColumn("turn", F.col("turn") + 1)
+    out = nodes.select("u", "mass", "resolution", "part", (F.col("turn") + number).alias("turn"))
+    to = functools.reduce(DataFrame.unionByName, moves, nodes.limit(0).select("u", F.col("u").alias("to")))
+    out = written(out.join(to, "u", "left").select(*out.columns, F.coalesce("to", "u").alias("ref")))
+    dropped(inner, now, *moves)
+    return out
 
 
 def cluster(edges: DataFrame, groups: DataFrame, gamma: float = 1.0, seed: int = 42, modular: bool = True, theta: float = THETA, tolerance: float = TOLERANCE, left_single: float = LEFT_SINGLE) -> list[DataFrame]:
     """Leiden inside each group (node, grp), all groups at once; edges: source, target, weight. Parallel edges add up, loops don't count.
 
-    Returns a table (node, part) for every level, finest first: the parts of a level are unions of parts of the one before
+    Nodes are numbered in the order of their names, so that rounds join numbers. Returns a table (node, part) for every level, finest first: the parts of a level are unions of parts of the one before
     but for nodes that a later level moves with their refined part. The last is the result; its parts are connected and named by their least
     member. For modularity a node's mass is its degree, the resolution gamma over the group's total degree; for the constant
     Potts model (modular=False) mass 1, resolution gamma. With tolerance 0 rounds go on while the quality rises at all (and PATIENCE rounds
     more), with left_single 0 a refinement until no node could merge.
     """
-    side = lambda end: groups.select(F.col("node").alias(end), F.col("grp").alias(f"{end}_grp"))
-    inside = edges.where("source <> target").join(side("source"), "source").join(side("target"), "target").where("source_grp = target_grp")
-    inside = inside.select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"), F.col("weight").cast("double").alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
-    level = written(inside.unionByName(inside.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
+    ids = written(graph.numbered(groups.where("node IS NOT NULL"), "node").withColumnRenamed("place", "u"))
+    side = lambda end, u: ids.select(F.col("node").alias(end), F.col("grp").alias(f"{end}_grp"), F.col("u").alias(u))
+    inside = edges.where("source <> target").join(side("source", "u"), "source").join(side("target", "v"), "target").where("source_grp = target_grp")
+    inside = inside.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("weight").cast("double").alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
+    level = written(inside.select(F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))).alias("way")).select("way.*"))
     if modular:
         degree = level.groupBy("u").agg(F.sum("w").alias("mass"))
-        nodes = groups.withColumnRenamed("node", "u").join(degree, "u", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+        nodes = ids.join(degree, "u", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
         total = nodes.groupBy("grp").agg(F.sum("mass").alias("total"))
         nodes = nodes.join(total, "grp").withColumn("resolution", F.when(F.col("total") > 0, gamma / F.col("total")).otherwise(0.0))
     else:
-        nodes = groups.withColumnRenamed("node", "u").withColumn("mass", F.lit(1.0)).withColumn("resolution", F.lit(float(gamma)))
+        nodes = ids.withColumn("mass", F.lit(1.0)).withColumn("resolution", F.lit(float(gamma)))
     nodes = written(nodes.select("u", "mass", "resolution", F.col("u").alias("part"), F.lit(seed * 1000).alias("turn")))
     weight = level.agg(F.sum("w")).first()[0] or 0.0
-    of = nodes.select(F.col("u").alias("node"), "u")
+    of = ids.select("node", "u")
+    names = ids.select(F.col("node").alias("name"), F.col("u").alias("part"))
     if modular and gamma <= 1:
         into = written(_pendants(level, nodes))
         name = lambda u: F.coalesce("into", u)
@@ -212,7 +274,7 @@ def cluster(edges: DataFrame, groups: DataFrame, gamma: float = 1.0, seed: int =
     levels = []
     while True:
         nodes, moved = _settle(level, nodes, weight, tolerance)
-        levels.append(of.join(nodes.select("u", "part"), "u").select("node", "part"))
+        levels.append(of.join(nodes.select("u", "part"), "u").join(names, "part").select("node", F.col("name").alias("part")))
         if not moved:
             break
         refined = _refine(level, nodes, theta, left_single)
@@ -238,18 +300,25 @@ def _connected(level: DataFrame, nodes: DataFrame, of: DataFrame) -> DataFrame:
 
 def communities(edges: DataFrame, gamma: float = 1.0, seed: int = 42, modular: bool = True) -> DataFrame:
     """(node, part) of a whole graph; part is the least member's name. The same edges and seed give the same parts."""
-    return cluster(edges, _everyone(edges), gamma, seed, modular)[-1]
+    edges = _stored(edges)
+    return cluster(edges, written(_everyone(edges)), gamma, seed, modular)[-1]
 
 
 def coarsened(edges: DataFrame, gamma: float = 1.0, seed: int = 42, modular: bool = True) -> DataFrame:
     """(level, node, part): the partition of every level from the finest, 0, to the result."""
-    found = [x.select(F.lit(number).alias("level"), "node", "part") for number, x in enumerate(cluster(edges, _everyone(edges), gamma, seed, modular))]
+    edges = _stored(edges)
+    found = [x.select(F.lit(number).alias("level"), "node", "part") for number, x in enumerate(cluster(edges, written(_everyone(edges)), gamma, seed, modular))]
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
     return out
 
 
+def _stored(edges: DataFrame) -> DataFrame:
+    """The edges as a table, as they are read more than once."""
+    return written(edges.select("source", "target", "weight"))
+
+
 def _everyone(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("grp", F.lit(""))
 
@@ -268,7 +337,8 @@ def merged(coarse: DataFrame, fine: DataFrame) -> DataFrame:
 def hierarchical_communities(edges: DataFrame, largest: int = 10, gamma: float = 1.0, seed: int = 42, most_levels: int | None = None) -> DataFrame:
     """(level, part, parent, node, final): communities of `largest` nodes or more are clustered again, all of a level at once, until they no longer split or, if it is given, most_levels is met."""
     label = lambda parent: F.concat_ws("/", parent, F.col("part"))
-    now = communities(edges, gamma, seed).select(F.lit("-1").alias("parent"), F.col("part"), "node")
+    edges = _stored(edges)
+    now = cluster(edges, written(_everyone(edges)), gamma, seed)[-1].select(F.lit("-1").alias("parent"), F.col("part"), "node")
     now, out = written(now), None
     for level in itertools.count():
         large = now.groupBy("part").agg(F.count("*").alias("n")).where((F.col("n") >= largest) & (F.col("n") > 1))
